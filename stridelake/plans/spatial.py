@@ -1 +1,79 @@
-"""Queries."""
+"""Spatial queries; their SQL is brute force."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from stridelake.operators import sections as sec
+from stridelake.operators import spatial as op
+from stridelake.plans.registry import query
+
+
+def hav(a, b):
+    return f"2 * 6371000.0::double * asin(sqrt(least(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2), 1.0)))"
+
+
+PAIRS = f""", mp as (select a.section_id, b.section_id other_id, round({hav('a', 'b')}, 3) metres from sections a join sections b on a.section_id < b.section_id and a.sport_type <> b.sport_type
+    where (greatest(a.section_meters, b.section_meters) - least(a.section_meters, b.section_meters)) / greatest(a.section_meters, b.section_meters) <= 0.25 and {hav('a', 'b')} <= 200)"""
+
+
+@query("p3_viewport", "select activity_id from activities where min_lat <= 46.4 and max_lat >= 46.3 and min_lng <= 7.5 and max_lng >= 7.4")
+def viewport(t):
+    return t.activities.filter(op.in_viewport(46.3, 46.4, 7.4, 7.5)).select("activity_id")
+
+
+@query("j14_merge_pairs", PAIRS + " select * from mp")
+def merge_pairs(t):
+    return op.merge_pairs(t.sections)
+
+
+@query("j15_o3_nearby_sections", f"""select a.section_id, b.section_id other_id, round({hav('a', 'b')}, 3) metres, (row_number() over (partition by a.section_id order by {hav('a', 'b')}, b.section_id))::int rank
+    from sections a join sections b on a.section_id <> b.section_id where {hav('a', 'b')} <= 1500 qualify rank <= 20""")
+def nearby(t):
+    return op.nearby(t.sections, 1500.0)
+
+
+@query("j16_overlap_fraction", f""", a as (select track_id pair, point_id point, lat, lng from points where point_id % 2 = 0), b as (select track_id pair, lat, lng from points where point_id % 2 = 1),
+    h as (select pair, count(*) hits from (select distinct a.pair, point from a join b using (pair) where {hav('a', 'b')} <= 300) group by 1), n as (select pair, count(*) points from a group by 1)
+    select pair, points, round(coalesce(hits, 0) / points, 9) fraction from n left join h using (pair)""")
+def overlap(t):
+    p = t.points.select(F.col("track_id").alias("pair"), F.col("point_id").alias("point"), "lat", "lng")
+    return op.overlap_fraction(p.filter("point % 2 = 0"), p.filter("point % 2 = 1").drop("point"), 300.0)
+
+
+@query("j17_merge_candidates", f""", n as (select section_id, count(*) laps from traversals where not excluded group by 1)
+    select a.section_id, b.section_id other_id, round({hav('a', 'b')}, 3) metres, coalesce(n.laps, 0) laps from sections a join sections b on a.section_id <> b.section_id left join n on n.section_id = b.section_id
+    where {hav('a', 'b')} <= 300 and abs(a.section_meters - b.section_meters) / greatest(a.section_meters, b.section_meters) <= 0.3 qualify row_number() over (partition by a.section_id order by metres, b.section_id) <= 10""")
+def candidates(t):
+    s = t.sections.select("section_id", "section_meters", "lat", "lng")
+    o = s.toDF("other_id", "other_meters", "rlat", "rlng")
+    ratio = F.abs(F.col("section_meters") - F.col("other_meters")) / F.greatest("section_meters", "other_meters")
+    p = op.radius_join(s, o, 300.0).filter((F.col("section_id") != F.col("other_id")) & (ratio <= 0.3)).withColumn("metres", F.round("metres", 3))
+    p = p.withColumn("k", F.row_number().over(Window.partitionBy("section_id").orderBy("metres", "other_id"))).filter("k <= 10")
+    n = sec.visit_counts(t.traversals).select(F.col("section_id").alias("other_id"), "laps")
+    return p.join(n, "other_id", "left").select("section_id", "other_id", "metres", F.coalesce("laps", F.lit(0)).alias("laps"))
+
+
+@query("g13_cross_sport_merge", PAIRS + """, e as (select section_id a, other_id b from mp union select other_id, section_id from mp), walk(node, reach) as (select a, a from e union select walk.node, e.b from walk join e on walk.reach = e.a),
+    r as (select node, min(reach) root from walk group by 1), n as (select section_id, count(*) laps from traversals where not excluded group by 1), c as (select node, root, coalesce(laps, 0) laps from r left join n on node = section_id)
+    select node section_id, first_value(node) over (partition by root order by laps desc, node) kept, count(*) over (partition by root) size from c""")
+def merge(t):
+    return op.merge_components(op.merge_pairs(t.sections), sec.visit_counts(t.traversals))
+
+
+@query("g9_g10_portions", f""", p as (select track_id, row_number() over (partition by track_id order by t, point_id) seq, lat, lng from points), l as (select track_id line_id, lat, lng from points where track_id % 50 = 0),
+    n as (select distinct p.track_id, line_id, seq from p, l where {hav('p', 'l')} <= 200), s as (select *, case when seq - lag(seq) over (partition by track_id, line_id order by seq) <= 2 then 0 else 1 end s from n),
+    r as (select *, sum(s) over (partition by track_id, line_id order by seq rows unbounded preceding) run from s)
+    select track_id, line_id, run::bigint run, min(seq)::int first, max(seq)::int last, count(*) points from r group by 1, 2, 3 having count(*) >= 2""")
+def portions(t):
+    p = t.points.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id"))).select("track_id", "seq", "lat", "lng")
+    lines = t.points.filter("track_id % 50 = 0").select(F.col("track_id").alias("line_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
+    return op.portions(p, lines, 200.0, 1)
+
+
+@query("g27_box_clusters", """, c as (select floor((min_lat + max_lat) / 2 / 0.02)::bigint y, floor((min_lng + max_lng) / 2 / 0.002)::bigint // 10 x, count(*) n from activities where activity_id % 40 = 0 group by 1, 2),
+    e as (select a.y * 100000 + a.x a, b.y * 100000 + b.x b from c a join c b on abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1), walk(node, reach) as (select a, a from e union select walk.node, e.b from walk join e on walk.reach = e.a),
+    r as (select node, min(reach) root from walk group by 1) select sum(n)::bigint activities, count(*) cells from c join r on node = y * 100000 + x group by root""")
+def clusters(t):
+    return op.box_clusters(t.activities.filter("activity_id % 40 = 0"), 0.02).select("activities", "cells")

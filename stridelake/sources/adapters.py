@@ -113,7 +113,7 @@ def visible() -> Column:
 
 #: The same tables as CTEs in DuckDB SQL.
 PRELUDE = """
-with metrics as (
+with recursive metrics as (
   select o_orderkey activity_id, epoch(o_orderdate)::bigint date,
     case o_orderpriority when '1-URGENT' then 'Ride' when '2-HIGH' then 'Run' when '3-MEDIUM' then 'Swim' when '4-NOT SPECIFIED' then 'WeightTraining' else 'Hike' end sport_type,
     round(e / 10, 3) distance, (q * 60)::bigint moving_time, round(o_totalprice / 1000, 5) training_load, 100 + o_custkey % 80 avg_hr,
