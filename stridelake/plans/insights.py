@@ -1 +1,79 @@
-"""Queries."""
+"""Insight queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stridelake.operators import insights as op
+from stridelake.operators import sections as sec
+from stridelake.plans.registry import query
+from stridelake.plans.sections import NOW, RANKED, _best, laps
+
+MONDAY = 852508800  # 1997-01-06
+
+CAND = RANKED + ", " + _best("best", "true") + f""", cand as (
+    select best.section_id::varchar subject, 'section_pr' category, 1 priority, least(traversals / 10.0::double, 1) confidence, 'New best on section ' || best.section_id::varchar title, greatest(floor({NOW} / 86400) - floor(m.date / 86400), 0)::bigint age_days, traversals repeats, null::double signal, 3 marks
+      from best join metrics m on m.activity_id = best_activity join ranked r on r.section_id = best.section_id
+    union all select section_id::varchar, 'section_trend', 3, 0.6, case when trend > 0 then 'Getting faster' else 'You missed your pace' end, days_since_last, traversals, improvement * 4, 2 from ranked where trend <> 0
+    union all select section_id::varchar, 'stale_pr', 2, relevance, 'Worth another try', days_since_last, traversals, anomaly * 3, 2 from ranked),
+    gated as (select * from cand where ((category = 'section_pr' and age_days between 0 and 14) or (category = 'stale_pr' and age_days between 30 and 180) or (category = 'section_trend' and age_days <= 28))
+      and repeats >= case category when 'section_trend' then 3 when 'stale_pr' then 2 else 0 end and not regexp_matches(title, '(?i)\\byou (failed|missed) ')),
+    scored as (select *, round((6 - priority) * 50 + confidence * 30 + case category when 'section_pr' then 15 when 'section_trend' then 7 else 10 end + case marks when 3 then 10 when 2 then 5 else 0 end + 5
+      + case when signal is null then 0 when abs(signal) between 0.5 and 2 then 10 when abs(signal) > 2 then 3 else -5 end, 6) score from gated),
+    cons as (select * from scored qualify row_number() over (partition by subject order by score desc, priority, category) = 1)"""
+
+
+def candidates(t):
+    rows = laps(t)
+    ranked, rec = sec.ranked(rows, NOW), sec.section_records(rows)
+    pr = rec.join(t.metrics.select(F.col("activity_id").alias("best_activity"), "date"), "best_activity").join(ranked, "section_id")
+    trends = ranked.filter("trend <> 0")
+    words = F.when(F.col("trend") > 0, "Getting faster").otherwise("You missed your pace")
+    from stridelake.functions.scalar import calendar_days_between
+
+    return op.union([
+        op.candidate(pr, "section_id", "section_pr", 1, F.least(F.col("traversals") / 10.0, F.lit(1.0)), F.concat(F.lit("New best on section "), F.col("section_id").cast("string")), calendar_days_between(F.col("date"), F.lit(NOW)), F.col("traversals"), F.lit(None), 3),
+        op.candidate(trends, "section_id", "section_trend", 3, 0.6, words, F.col("days_since_last"), F.col("traversals"), F.col("improvement") * 4, 2),
+        op.candidate(ranked, "section_id", "stale_pr", 2, F.col("relevance"), F.lit("Worth another try"), F.col("days_since_last"), F.col("traversals"), F.col("anomaly") * 3, 2),
+    ])
+
+
+OUT = "subject, category, priority, round(confidence, 6)::double confidence, age_days, repeats, score::double score"
+
+
+def out(df):
+    return df.select("subject", "category", "priority", F.round("confidence", 6).alias("confidence"), "age_days", "repeats", "score")
+
+
+@query("i12_i13_scored_candidates", CAND + f" select {OUT} from scored")
+def scored(t):
+    return out(op.scored(op.gates(candidates(t))))
+
+
+@query("i15_consolidated", CAND + f" select {OUT} from cons")
+def consolidated(t):
+    return out(op.consolidated(op.scored(op.gates(candidates(t)))))
+
+
+@query("i14_o6_surface_mix", CAND + f", few as (select * from cons qualify row_number() over (partition by category order by score desc, priority, subject) <= case when category in ('section_pr', 'stale_pr') then 3 else 2 end) select {OUT} from few order by score desc, priority, category, subject limit 8")
+def surface(t):
+    return out(op.mixed(op.consolidated(op.scored(op.gates(candidates(t))))))
+
+
+@query("i1_i3_period_comparison", f""", w as (select coalesce(sum(case when date between {MONDAY} and {MONDAY} + 604800 then training_load end), 0) a, coalesce(sum(case when date between {MONDAY} - 604800 and {MONDAY} then training_load end), 0) b,
+    count(case when date between {MONDAY} and {MONDAY} + 604800 then 1 end) n, count(case when date between {MONDAY} - 604800 and {MONDAY} then 1 end) last_n from metrics), r as (select round(a, 4) load, round(b, 4) last_load, n, last_n from w)
+    select *, round(case when last_load > 0 then load / last_load - 1 end, 9) as change, case when n = 0 and last_n > 0 then 'rest_week' when load / last_load - 1 >= 0.15 then 'more' when load / last_load - 1 <= -0.15 then 'less' else 'steady' end kind from r""")
+def comparison(t):
+    return op.period_comparison(t.metrics, MONDAY)
+
+
+@query("i2_chronic_average", f"select round(coalesce(sum(training_load), 0) / 4, 6) chronic, count(*) activities from metrics where date between {MONDAY} - 2419200 and {MONDAY} - 604800")
+def chronic(t):
+    return op.chronic_average(t.metrics, MONDAY)
+
+
+@query("g34_stale_records", RANKED + ", " + _best("best", "true") + f""" select best.section_id, section_sport, best_time, (floor({NOW} / 86400) - floor(m.date / 86400))::bigint as days, traversals from best join metrics m on m.activity_id = best_activity join ranked r on r.section_id = best.section_id
+    where floor({NOW} / 86400) - floor(m.date / 86400) >= 30 order by traversals desc, 4 desc, best.section_id limit 20""")
+def stale(t):
+    rows = laps(t)
+    return op.stale_records(sec.section_records(rows), t.metrics.select("activity_id", "date"), sec.ranked(rows, NOW), NOW, 5.0)
