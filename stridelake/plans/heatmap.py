@@ -1 +1,43 @@
-"""Queries."""
+"""Heatmap queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from stridelake.operators import heatmap as op
+from stridelake.plans.registry import query
+
+ZOOMS = [8, 11, 14]
+TILES = """, z as (select *, unnest([8, 11, 14]) z from points), pt as (select distinct track_id, z, floor((lng + 180) / 360 * pow(2.0::double, z))::bigint x,
+    floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * pow(2.0::double, z))::bigint y from z)"""
+
+
+@query("h1_point_tiles", TILES + " select * from pt")
+def tiles(t):
+    return op.point_tiles(t.points, ZOOMS)
+
+
+@query("h2_h3_tile_plan", TILES + ", h as (select distinct track_id, z, x + i x, y + j y from pt, (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(j)) select z, x, y, count(distinct track_id) tracks from h where x >= 0 and y >= 0 and x < pow(2, z) and y < pow(2, z) group by 1, 2, 3")
+def plan(t):
+    return op.tile_plan(t.points, ZOOMS)
+
+
+def tracks(t):
+    return t.points.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id")))
+
+
+@query("h4_pixel_counts")
+def pixels(t):
+    return op.pixel_counts(tracks(t), 11)
+
+
+@query("h5_h6_rendered_tiles")
+def rendered(t):
+    return op.rendered(op.pixel_counts(tracks(t), 9)).select("z", "x", "y", "lit", F.octet_length("png").alias("bytes"), F.sha2("png", 256).alias("digest"))
+
+
+@query("h7_stale_tiles", TILES + ", p as (select z, x, y, count(distinct track_id) tracks from pt where z = 14 group by 1, 2, 3) select * from p where x between floor((7.0 + 180) / 360 * 16384) and floor((7.005 + 180) / 360 * 16384) and y between floor((1 - ln(tan(radians(46.05)) + 1 / cos(radians(46.05))) / pi()) / 2 * 16384) and floor((1 - ln(tan(radians(46.0)) + 1 / cos(radians(46.0))) / pi()) / 2 * 16384)")
+def stale(t):
+    box = t.spark.createDataFrame([(46.0, 46.05, 7.0, 7.005)], "min_lat double, max_lat double, min_lng double, max_lng double")
+    return op.stale_tiles(op.tile_plan(t.points, [14], halo=False), box, [14])
