@@ -101,8 +101,13 @@ def concat(rows):
     return np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> FactorisationMachine:
-    """Log loss by Adagrad over shuffled batches; without rows, a model that scores one half."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int | None = None, batch: int = 128, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> FactorisationMachine:
+    """Log loss by Adagrad over shuffled batches; without rows, a model that scores one half.
+
+    Ten epochs for a full sample, more (sixty at most) for a smaller one, so
+    that it too gets enough steps.
+    """
+    epochs = epochs or int(min(60, max(10, 10 * TRAIN_ROWS / max(len(rows), 1))))
     rng = np.random.RandomState(seed)
     fm = FactorisationMachine(0.0, np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, RANK)))
     if not len(rows):
