@@ -80,8 +80,9 @@ def silhouettes(x: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
         others = np.where(counts > 0, sums / np.maximum(counts, 1), np.inf)
         others[at, own] = np.inf
         b = others.min(1)
-        s = np.where(np.maximum(a, b) > 0, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-        out[lo : lo + 512] = np.where((counts[own] > 1) & np.isfinite(b), s, 0.0)
+        b = np.where(np.isfinite(b), b, a)
+        s = (b - a) / np.maximum(np.maximum(a, b), 1e-300)
+        out[lo : lo + 512] = np.where(counts[own] > 1, s, 0.0)
     return out
 
 

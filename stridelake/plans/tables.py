@@ -192,8 +192,8 @@ def cleaned(t):
     return recording.cleaned_batch(t.points.select("track_id", "t", "lat", "lng", F.lit("Ride").alias("sport_type"), "point_id"))
 
 
-@query("t3_sample_and_hold", """, s as (select track_id, t, point_id, value, last_value(case when point_id % 3 = 0 then value end ignore nulls) over w v, last_value(case when point_id % 3 = 0 then t end ignore nulls) over w at from points window w as (partition by track_id order by t, point_id rows unbounded preceding))
-    select track_id, point_id, case when t - at <= 86400 then v else 0 end held from s""")
+@query("t3_sample_and_hold", """, s as (select track_id, t, point_id, value, last_value(case when point_id % 3 = 0 then value end ignore nulls) over w v, last_value(case when point_id % 3 = 0 then t end ignore nulls) over w as_of from points window w as (partition by track_id order by t, point_id rows unbounded preceding))
+    select track_id, point_id, case when t - as_of <= 86400 then v else 0 end held from s""")
 def held(t):
     return recording.sample_and_hold(t.points, F.col("point_id") % 3 == 0, "value", 86400)
 

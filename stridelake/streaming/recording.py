@@ -59,7 +59,7 @@ def cleaned_batch(points: DataFrame) -> DataFrame:
     return rows.groupBy("track_id").applyInPandas(run, OUT)
 
 
-def cleaned_stream(points: DataFrame, idle: str = "6 hours") -> DataFrame:
+def cleaned_stream(points: DataFrame, idle_s: int = 6 * 3600) -> DataFrame:
     """The same over a stream: the last kept fix of each recording is the state, which goes after an idle time."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,7 +72,7 @@ def cleaned_stream(points: DataFrame, idle: str = "6 hours") -> DataFrame:
             yield _frame(key[0], rows)
         if last is not None:
             state.update(last)
-            state.setTimeoutDuration(idle)
+            state.setTimeoutDuration(idle_s * 1000)
 
     rows = points.filter("lat is not null and lng is not null and t is not null").withColumn("limit", max_plausible_speed(F.col("sport_type")))
     return rows.groupBy("track_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
