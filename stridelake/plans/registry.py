@@ -26,5 +26,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _m in ("fitness", "sections", "routes", "strength", "spatial", "patterns", "smoothing", "insights", "heatmap", "tables"):
+for _m in ("fitness", "sections", "routes", "strength", "spatial", "patterns", "smoothing", "insights", "heatmap", "tables", "detection"):
     importlib.import_module(f"stridelake.plans.{_m}")
