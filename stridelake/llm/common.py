@@ -36,6 +36,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        """Delete all tables of the run; at the driver's exit at the latest, as results may be read until then."""
+        if self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped():
+            hadoop_delete(self.spark, self.root)
 
     def path(self, name: str) -> str:
         self.n += 1
