@@ -107,3 +107,19 @@ def stale_tiles(plan: DataFrame, changed: DataFrame, zooms: list[int]) -> DataFr
     )
     cells = span.select("z", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select("z", "x", F.explode(F.sequence("y0", "y1")).alias("y")).distinct()
     return plan.join(cells, ["z", "x", "y"], "left_semi")
+
+
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """Write each tile's PNG to path/z/x/y.png; the tasks write, to any store that pyarrow knows, and repeats overwrite."""
+
+    def put(rows):
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(path)
+        for r in rows:
+            folder = f"{root}/{r['z']}/{r['x']}"
+            fs.create_dir(folder, recursive=True)
+            with fs.open_output_stream(f"{folder}/{r['y']}.png", compression=None) as f:
+                f.write(bytes(r["png"]))
+
+    tiles.select("z", "x", "y", "png").foreachPartition(put)

@@ -77,7 +77,7 @@ def mixed(s: DataFrame) -> DataFrame:
     for name, n in MORE_ROOM.items():
         cap = F.when(F.col("category") == name, n).otherwise(cap)
     w = Window.partitionBy("category").orderBy(F.desc("score"), "priority", "subject")
-    few = s.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= cap).drop("_k")
+    few = s.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= max(MAX_PER_CATEGORY, *MORE_ROOM.values())).filter(F.col("_k") <= cap).drop("_k")
     return few.orderBy(F.desc("score"), "priority", "category", "subject").limit(MAX_TOTAL)
 
 

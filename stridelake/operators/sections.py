@@ -122,18 +122,24 @@ def lap_history(lap_rows: DataFrame, left_dates: DataFrame) -> DataFrame:
 def ranked(lap_rows: DataFrame, now: int) -> DataFrame:
     """Relevance of each section by sport: recency, improvement, anomaly and engagement.
 
-    Times are a section's laps in order of date. The largest lap count of a
-    sport scales engagement, so it is a window over sections, not laps.
+    Only the first and the last six laps matter one by one, so the last six
+    are picked by rank (pruned before the shuffle) and the rest is one partial
+    aggregation: no section's laps are gathered whole. The largest lap count
+    of a sport, which scales engagement, is a row for each sport.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("date", "activity_id", "start_index", "lap_time")))
-    g = lap_rows.filter("lap_time > 0").groupBy("section_sport", "section_id").agg(
-        ordered.alias("h"), F.min("lap_time").alias("best"), F.avg("lap_time").alias("mean"), F.stddev_pop("lap_time").alias("sd"), F.max("date").alias("last"), F.count(F.lit(1)).alias("n")
+    key = ["section_sport", "section_id"]
+    rows = lap_rows.filter("lap_time > 0")
+    g = rows.groupBy(*key).agg(
+        F.min(F.struct("date", "activity_id", "start_index", "lap_time"))["lap_time"].alias("first"), F.min("lap_time").alias("best"), F.avg("lap_time").alias("mean"),
+        F.stddev_pop("lap_time").alias("sd"), F.max("date").alias("last"), F.count(F.lit(1)).alias("n"),
     )
-    t, n = F.transform("h", lambda x: x["lap_time"]), F.col("n").cast("int")
-    g = g.withColumn("t", t).withColumn("most", F.greatest(F.max("n").over(Window.partitionBy("section_sport")), F.lit(2)))
-    t = F.col("t")
+    newest = Window.partitionBy(*key).orderBy(F.desc("date"), F.desc("activity_id"), F.desc("start_index"))
+    six = rows.withColumn("k", F.row_number().over(newest)).filter("k <= 6").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "lap_time"))).alias("h"))
+    most = g.groupBy("section_sport").agg(F.greatest(F.max("n"), F.lit(2)).alias("most"))
+    g = g.join(six, key).join(F.broadcast(most), "section_sport").withColumn("t", F.transform("h", lambda x: x["lap_time"]))
+    t, n, first = F.col("t"), F.col("n").cast("int"), F.col("first")
     mid = lambda a: F.get(F.array_sort(a), 1)
-    recent, before, first, latest = mid(F.slice(t, -3, 3)), mid(F.slice(t, F.greatest(n - 5, F.lit(1)), 3)), F.get(t, 0), F.element_at(t, -1)
+    recent, before, latest = mid(F.slice(t, F.greatest(F.size(t) - 2, F.lit(1)), 3)), mid(F.slice(t, 1, 3)), F.element_at(t, -1)
     change = F.when(n >= 6, F.when(before > 0, (before - recent) / before).otherwise(0.0)).otherwise(F.when(first > 0, (first - latest) / first).otherwise(0.0))
     improvement = F.when(n >= 3, (F.greatest(F.least(change, F.lit(1.0)), F.lit(-1.0)) + 1) / 2).otherwise(0.5)
     anomaly = F.when((n >= 3) & (F.col("sd") > 0), F.least(F.abs((latest - F.col("mean")) / F.col("sd")) / 3, F.lit(1.0))).otherwise(0.0)

@@ -169,3 +169,22 @@ def test_auto_pause(spark):
     rows = [(1, t, t, v) for t, v in enumerate([5.0, 1, 1, 1, 1, 1, 1, 2.1, 2.6, 3])]
     df = spark.createDataFrame(rows, "track_id long, t long, point_id long, v double")
     assert values(recording.auto_pause(df, "v", 2.0, 5)) == [(1, 6, "pause"), (1, 8, "resume")]
+
+
+def test_engine_surface(spark, tmp_path):
+    import os
+
+    from stridelake.api import Engine
+    from stridelake.sources.adapters import Tables
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are absent")
+    e = Engine(Tables(spark, sf))
+    frames = [
+        e.fitness.period_stats(0, 10**10), e.fitness.zone_distribution("Ride", "power"), e.sections.summaries(), e.sections.performances(5), e.sections.calendar(5), e.sections.ranked(978307200, 3),
+        e.routes.groups(), e.routes.performances(7), e.activities.in_viewport(46, 47, 7, 8), e.strength.balance(0, 10**10), e.maps.tile_plan([10]),
+    ]
+    assert all(f.columns and f.count() >= 0 for f in frames)
+    heatmap.write_tiles(e.maps.tiles(8), str(tmp_path))
+    assert list(tmp_path.glob("8/*/*.png"))
