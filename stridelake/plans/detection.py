@@ -63,11 +63,11 @@ def pruned(t):
     return op.pruned(t.sections, sec.visit_counts(t.traversals), 1000.0, 0.3)
 
 
-@query("g14_merged_traversals", """, m as (select *, case when section_id % 10 = 3 then section_id - 1 else section_id end p from traversals),
-    k as (select p section_id, activity_id, start_index, distance_meters, row_number() over (partition by p, activity_id, start_index order by (section_id % 10 = 3)::int, distance_meters, lap_time nulls first) k from m)
+@query("g14_merged_traversals", """, m as (select t.*, coalesce(superseded_by, section_id) p, (superseded_by is not null)::int mv from traversals t join sections using (section_id)),
+    k as (select p section_id, activity_id, start_index, distance_meters, row_number() over (partition by p, activity_id, start_index order by mv, distance_meters, lap_time nulls first) k from m)
     select section_id, activity_id, start_index, distance_meters from k where k = 1""")
 def merged(t):
-    moves = t.sections.filter("section_id % 10 = 3").select(F.col("section_id").alias("secondary"), (F.col("section_id") - 1).alias("primary"))
+    moves = t.sections.filter("superseded_by is not null").select(F.col("section_id").alias("secondary"), F.col("superseded_by").alias("primary"))
     return op.merged_traversals(t.traversals, moves).select("section_id", "activity_id", "start_index", "distance_meters")
 
 
@@ -85,25 +85,25 @@ def trimmed(t):
     return op.trimmed(seq(t), b)
 
 
-@query("g18_section_edits", "select section_id, case when section_id % 6 = 0 then 'Renamed ' || section_id::varchar else name end as name, case when section_id % 8 = 0 then true else disabled end disabled, superseded_by from sections")
+@query("g18_section_edits", "select section_id, case when name is null then 'Renamed ' || section_id::varchar else name end as name, case when section_meters > 4000 then true else disabled end disabled, superseded_by from sections")
 def edits(t):
-    s = t.sections.select("section_id")
-    e = s.filter("section_id % 6 = 0").select("section_id", F.concat(F.lit("Renamed "), F.col("section_id").cast("string")).alias("name"), F.lit(None).cast("boolean").alias("disabled"), F.lit(2).alias("at"))
-    e = e.unionByName(s.filter("section_id % 6 = 0").select("section_id", F.lit("Old").alias("name"), F.lit(None).cast("boolean").alias("disabled"), F.lit(1).alias("at")))
-    e = e.unionByName(s.filter("section_id % 8 = 0").select("section_id", F.lit(None).cast("string").alias("name"), F.lit(True).alias("disabled"), F.lit(3).alias("at")))
+    s = t.sections
+    e = s.filter("name is null").select("section_id", F.concat(F.lit("Renamed "), F.col("section_id").cast("string")).alias("name"), F.lit(None).cast("boolean").alias("disabled"), F.lit(2).alias("at"))
+    e = e.unionByName(s.filter("name is null").select("section_id", F.lit("Old").alias("name"), F.lit(None).cast("boolean").alias("disabled"), F.lit(1).alias("at")))
+    e = e.unionByName(s.filter("section_meters > 4000").select("section_id", F.lit(None).cast("string").alias("name"), F.lit(True).alias("disabled"), F.lit(3).alias("at")))
     return op.edited(t.sections, e.withColumn("superseded_by", F.lit(None).cast("long")))
 
 
-@query("g11_g19_traces", SEQ + f", l as (select track_id line_id, lat, lng from points where track_id % 50 = 0) select distinct sq.track_id, line_id, seq::int seq, sq.lat, sq.lng from sq join l on sq.track_id % 7 = 1 where {hav('sq', 'l')} <= 200")
+@query("g11_g19_traces", SEQ + f", l as (select track_id line_id, lat, lng from points where track_id = 0) select distinct sq.track_id, line_id, seq::int seq, sq.lat, sq.lng from sq join l on sq.track_id <> line_id where {hav('sq', 'l')} <= 200")
 def traces(t):
-    lines = t.points.filter("track_id % 50 = 0").select(F.col("track_id").alias("line_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
-    return op.radius_join(seq(t).filter("track_id % 7 = 1"), lines, 200.0).select("track_id", "line_id", "seq", "lat", "lng").distinct()
+    lines = t.points.filter("track_id = 0").select(F.col("track_id").alias("line_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
+    return op.radius_join(seq(t).filter("track_id <> 0"), lines, 200.0).select("track_id", "line_id", "seq", "lat", "lng").distinct()
 
 
 @query("t7_refreshed_indicators", INDICATORS + " select * from ind")
 def refreshed(t):
     """Indicators after new traversals: sections that they touch are computed anew, the rest is kept."""
-    new = F.col("activity_id") % 50 == 0
+    new = F.col("date") >= NOW - 30 * 86400
     rows = sec.timed(t.traversals, t.sections, t.activities)
     old = sec.indicators(rows.filter(~new))
     touched = rows.filter(new).select("section_id").distinct()
@@ -163,10 +163,10 @@ def fit_files(t):
     return fit.parse_files(files).drop("duration_secs")
 
 
-@query("s17_wellness_upsert", "select date, case when day(date::date) % 2 = 0 then 1.5 else ctl end ctl from wellness")
+@query("s17_wellness_upsert", "select date, case when hrv is null then 1.5 else ctl end ctl from wellness")
 def wellness_upsert(t):
     w = t.wellness.select("date", "ctl")
-    new = w.filter("day(date) % 2 = 0").select("date", F.lit(1.5).alias("ctl"))
+    new = t.wellness.filter("hrv is null").select("date", F.lit(1.5).alias("ctl"))
     return tables.upsert(w, new.withColumn("ctl", tables.finite(F.col("ctl"))), ["date"], ["ctl"])
 
 

@@ -22,9 +22,9 @@ def statistics(t):
     return op.statistics(op.members(t.metrics))
 
 
-@query("a18_excluded_route_performances", MEMBERS + " select route_id, count(*) members, max(date) last_date from mem where activity_id % 13 = 0 group by 1")
+@query("a18_excluded_route_performances", MEMBERS + " select route_id, count(*) members, max(date) last_date from mem where activity_id in (select activity_id from metrics where avg_hr > 170) group by 1")
 def excluded(t):
-    return op.members(t.metrics).filter("activity_id % 13 = 0").groupBy("route_id").agg(F.count(F.lit(1)).alias("members"), F.max("date").alias("last_date"))
+    return op.members(t.metrics.filter("avg_hr > 170")).groupBy("route_id").agg(F.count(F.lit(1)).alias("members"), F.max("date").alias("last_date"))
 
 
 @query("w4_w6_route_highlights", MEMBERS + """, r as (select *, avg(speed) over (partition by route_id, side order by date, activity_id rows between unbounded preceding and 1 preceding) mean,

@@ -62,18 +62,18 @@ def merge(t):
     return op.merge_components(op.merge_pairs(t.sections), sec.visit_counts(t.traversals))
 
 
-@query("g9_g10_portions", f""", p as (select track_id, row_number() over (partition by track_id order by t, point_id) seq, lat, lng from points), l as (select track_id line_id, lat, lng from points where track_id % 50 = 0),
-    n as (select distinct p.track_id, line_id, seq from p, l where {hav('p', 'l')} <= 200), s as (select *, case when seq - lag(seq) over (partition by track_id, line_id order by seq) <= 2 then 0 else 1 end s from n),
+@query("g9_g10_portions", f""", p as (select track_id, row_number() over (partition by track_id order by t, point_id) seq, lat, lng from points), l as (select track_id line_id, lat, lng from points),
+    n as (select distinct p.track_id, line_id, seq from p, l where p.track_id <> line_id and abs(p.lat - l.lat) < 0.0006 and {hav('p', 'l')} <= 50), s as (select *, case when seq - lag(seq) over (partition by track_id, line_id order by seq) <= 2 then 0 else 1 end s from n),
     r as (select *, sum(s) over (partition by track_id, line_id order by seq rows unbounded preceding) run from s)
     select track_id, line_id, run::bigint run, min(seq)::int first, max(seq)::int last, count(*) points from r group by 1, 2, 3 having count(*) >= 2""")
 def portions(t):
     p = t.points.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id"))).select("track_id", "seq", "lat", "lng")
-    lines = t.points.filter("track_id % 50 = 0").select(F.col("track_id").alias("line_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
-    return op.portions(p, lines, 200.0, 1)
+    lines = t.points.select(F.col("track_id").alias("line_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
+    return op.portions(p, lines, 50.0, 1).filter("track_id <> line_id")
 
 
-@query("g27_box_clusters", """, c as (select floor((min_lat + max_lat) / 2 / 0.02)::bigint y, floor((min_lng + max_lng) / 2 / 0.002)::bigint // 10 x, count(*) n from activities where activity_id % 40 = 0 group by 1, 2),
+@query("g27_box_clusters", """, c as (select floor((min_lat + max_lat) / 2 / 0.002)::bigint y, floor((min_lng + max_lng) / 2 / 0.002)::bigint x, count(*) n from activities group by 1, 2),
     e as (select a.y * 100000 + a.x a, b.y * 100000 + b.x b from c a join c b on abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1), walk(node, reach) as (select a, a from e union select walk.node, e.b from walk join e on walk.reach = e.a),
     r as (select node, min(reach) root from walk group by 1) select sum(n)::bigint activities, count(*) cells from c join r on node = y * 100000 + x group by root""")
 def clusters(t):
-    return op.box_clusters(t.activities.filter("activity_id % 40 = 0"), 0.02).select("activities", "cells")
+    return op.box_clusters(t.activities, 0.002).select("activities", "cells")

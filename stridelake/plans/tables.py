@@ -70,10 +70,10 @@ def slices(t):
     return tracks(t).select("track_id", op.slices(F.col("track"), F.array(F.lit(0), F.floor(n / 2).cast("int"), n)).alias("s")).select("track_id", F.size(F.get("s", 0)).alias("first_half"), F.size(F.get("s", 1)).alias("second_half"))
 
 
-@query("s16_s19_upsert", "select activity_id, case when activity_id % 3 = 0 then moving_time + 60 else moving_time end moving_time, date from metrics")
+@query("s16_s19_upsert", "select activity_id, case when sport_type = 'Run' then moving_time + 60 else moving_time end moving_time, date from metrics")
 def upsert(t):
     m = t.metrics.select("activity_id", "moving_time", "date")
-    new = m.filter("activity_id % 3 = 0").withColumn("moving_time", F.col("moving_time") + 60)
+    new = t.metrics.filter("sport_type = 'Run'").select("activity_id", "moving_time", "date").withColumn("moving_time", F.col("moving_time") + 60)
     return op.upsert(m, op.unchanged(new, m, "activity_id", ["date", "moving_time"]), ["activity_id"], ["date"])
 
 
@@ -141,9 +141,9 @@ def plausible(t):
     return t.traversals.filter((F.col("distance_meters") > 0) & (F.col("lap_time") * 1000 / F.col("distance_meters")).between(60, 1800)).select("section_id", "activity_id", "start_index")
 
 
-@query("p14_exclusion_overlay", "select section_id, activity_id, start_index, case when activity_id % 10 = 0 then true else excluded end excluded from traversals")
+@query("p14_exclusion_overlay", "select section_id, activity_id, start_index, case when avg_hr > 119 then true else excluded end excluded from traversals")
 def overlay(t):
-    o = t.traversals.filter("activity_id % 10 = 0").select("section_id", "activity_id", "start_index", F.lit(True).alias("set_to"))
+    o = t.traversals.filter("avg_hr > 119").select("section_id", "activity_id", "start_index", F.lit(True).alias("set_to"))
     return t.traversals.join(o, ["section_id", "activity_id", "start_index"], "left").select("section_id", "activity_id", "start_index", F.coalesce("set_to", "excluded").alias("excluded"))
 
 
