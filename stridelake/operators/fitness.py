@@ -139,3 +139,11 @@ def decoupling(points: DataFrame, by: str, power: str, hr: str) -> DataFrame:
     g = rows.groupBy(by).agg(ef(first).alias("a"), ef(~first).alias("b"))
     pct = F.round((F.col("a") - F.col("b")) / F.col("a") * 100, 4)
     return g.select(by, pct.alias("decoupling"), (pct < 5).alias("good"))
+
+
+def even_steps(df: DataFrame, by: list[str], order: list[str], keep: int) -> DataFrame:
+    """About `keep` rows of each group (one person's history) at even steps; first and last stay."""
+    w = Window.partitionBy(*by)
+    r = df.withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
+    step = F.greatest(F.floor(F.col("_n") / keep), F.lit(1))
+    return r.filter(((F.col("_i") - 1) % step == 0) | (F.col("_i") == F.col("_n"))).drop("_i", "_n")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import scalar as S
@@ -147,14 +146,10 @@ def a36(t):
     )
 
 
-@query("w25_downsampled_ftp_history", """, r as (select activity_id, date, ftp, row_number() over (order by date, activity_id) i, count(*) over () n from metrics where ftp is not null and sport_type = 'Ride')
-    select activity_id, date, ftp from r where (i - 1) % greatest(n // 50, 1) = 0 or i = n""")
+@query("w25_downsampled_ftp_history", """, r as (select route_id, activity_id, date, ftp, row_number() over w i, count(*) over (partition by route_id) n from metrics where ftp is not null window w as (partition by route_id order by date, activity_id))
+    select route_id, activity_id, date, ftp from r where (i - 1) % greatest(n // 5, 1) = 0 or i = n""")
 def w25(t):
-    """Even steps through the history; first and last rows stay."""
-    h = t.metrics.filter("ftp is not null and sport_type = 'Ride'")
-    r = h.withColumn("i", F.row_number().over(Window.partitionBy("sport_type").orderBy("date", "activity_id"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sport_type")))
-    step = F.greatest(F.floor(F.col("n") / 50), F.lit(1))
-    return r.filter(((F.col("i") - 1) % step == 0) | (F.col("i") == F.col("n"))).select("activity_id", "date", "ftp")
+    return op.even_steps(t.metrics.filter("ftp is not null"), ["route_id"], ["date", "activity_id"], 5).select("route_id", "activity_id", "date", "ftp")
 
 
 @query("w26_split_times", """, d as (select *, sum(abs(value)) over (partition by track_id order by t, point_id rows unbounded preceding) c from points)
