@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -39,16 +40,10 @@ TEMPLATES = [
 
 
 def words_of(text: str) -> list[str]:
-    """Normal form of a template, as normalised() has it for columns."""
+    """Words of a template: runs of A-Z, a-z and 0-9, in lower case."""
     return re.sub(r"[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).strip(" ").split(" ")
 
 
-def normalised(c: F.Column) -> F.Column:
-    """Lower-cased A-Z and digits, everything else a single space."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.trim(F.regexp_replace(F.translate(c, upper, upper.lower()), "[^a-z0-9]+", " "))
-
-
 def template_rows(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[int, str, str, int, int]]:
     """(template, license, bigram, its count, bigrams in all): one row for each bigram of each template."""
     out = []
@@ -66,6 +61,23 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return least, most
 
 
+def needed_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+    """Words of which every match of any template has at least one.
+
+    A match shares at least `common` bigrams with a template of b, so of any
+    b - common + 1 of the template's bigrams it has one. Those with the longest
+    words are taken, as likely the rarest, and of each its longer word.
+    """
+    out = set()
+    for _, text in templates:
+        w = words_of(text)
+        grams = sorted(zip(w, w[1:]), key=lambda g: (-max(map(len, g)), g))
+        least = size_bounds(len(grams), threshold)[0]
+        common = math.ceil(threshold * (least + len(grams)) / 2 - 1e-9)
+        out |= {max(g, key=lambda x: (len(x), x)) for g in grams[: len(grams) - common + 1]}
+    return sorted(out)
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, unit, line_no, license, template, n_bigrams, common, dice: every match of a line or of a whole text.
 
@@ -77,8 +89,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     key stays null; repeated rows count once, as one text of one key.
 
     The number of words bounds the coefficient, so units outside every
-    template's size bounds go before their bigrams are built, and the join on
-    bigrams checks the bounds of each template. The template table has a few
+    template's size bounds go before their bigrams are built, and so do units
+    without any of the words that a match needs; the join on bigrams checks
+    the bounds of each template. The template table has a few
     thousand rows, a parameter of the code and not of the data; it is
     broadcast, and only bigrams that templates have are shuffled, as counts.
     """
@@ -90,17 +103,22 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     fits = F.lit(False)
     for lo, hi in ranges:
         fits = fits | F.col("n_bigrams").between(lo, hi)
-    t = text_or_empty(text)
-    rows = docs.select(F.col(key).alias("doc_id"), t.alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    lines = F.split("_text", "\n")
-    whole = F.array(F.when(F.size(lines) > 1, F.col("_text")).otherwise(""))
-    units = rows.select("doc_id", "_hash", F.posexplode(F.concat(whole, lines)).alias("line_no", "raw"))
     top = max(hi for _, hi in ranges)
+    t = text_or_empty(text)
+    # Words of each line; a line beyond every bound is cut just past it, which keeps it (and its text) beyond the bound.
+    words = lambda line: F.array_remove(F.split(line, "[^A-Za-z0-9]+", top + 5), "")
+    # explode() of a one-element array makes the words an input of what follows; as a plain column they would be split
+    # anew at each use.
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(t).alias("_hash"), F.explode(F.array(F.transform(F.split(t, "\n"), words))).alias("lines"))
+    total = F.aggregate("lines", F.lit(0), lambda n, w: n + F.size(w))
+    whole = F.when((F.size("lines") > 1) & (total <= top + 1), F.flatten("lines")).otherwise(F.array().cast("array<string>"))
+    needed = needed_words(templates, threshold)
     units = (
-        units.withColumn("words", F.when(F.col("raw") != "", F.split(normalised(F.col("raw")), " ", top + 3)))
-        .withColumn("n_bigrams", F.size("words") - 1)
+        rows.select("doc_id", "_hash", F.posexplode(F.concat(F.array(whole), F.col("lines"))).alias("line_no", "raw"))
+        .withColumn("n_bigrams", F.size("raw") - 1)
         .filter(fits)
-        .select("doc_id", "_hash", "line_no", "n_bigrams", F.explode(F.expr("transform(sequence(0, n_bigrams - 1), i -> concat(words[i], ' ', words[i + 1]))")).alias("gram"))
+        .filter(F.exists("raw", lambda w: F.lower(w).isin(needed)))
+        .select("doc_id", "_hash", "line_no", "n_bigrams", F.explode(F.expr("transform(sequence(0, n_bigrams - 1), i -> lower(concat(raw[i], ' ', raw[i + 1])))")).alias("gram"))
     )
     found = (
         units.join(F.broadcast(table), "gram").filter("n_bigrams between least and most")
