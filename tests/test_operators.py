@@ -166,7 +166,7 @@ def test_cleaning_as_a_stream(spark, tmp_path):
 
 
 def test_auto_pause(spark):
-    rows = [(1, t, t, v) for t, v in enumerate([5.0, 1, 1, 1, 1, 1, 1, 2.1, 2.6, 3])]
+    rows = [(1, t, t, v) for t, v in enumerate([5.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.1, 2.6, 3.0])]
     df = spark.createDataFrame(rows, "track_id long, t long, point_id long, v double")
     assert values(recording.auto_pause(df, "v", 2.0, 5)) == [(1, 6, "pause"), (1, 8, "resume")]
 
