@@ -25,6 +25,8 @@ BUCKETS, WINDOW, STEP = 128, 5, 1 << 20
 # Offsets back from the window's last byte of the other two bytes of each triplet.
 TRIPLETS = [(1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4)]
 LENGTH_CAP, RATIO_CAP = 96, 48
+#: Key ranges for each shuffle partition: ranges meet in partitions by hash, and several even that out.
+RANGES_A_TASK = 6
 MOST = 6 * BUCKETS + LENGTH_CAP + 2 * RATIO_CAP
 
 
@@ -104,7 +106,8 @@ def edited_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", par
     order through each range; two texts are in memory at a time.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or RANGES_A_TASK * shuffle
     rows = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("pos"), F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")
     )
@@ -122,7 +125,7 @@ def edited_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", par
         rows.withColumn("part", part_of("pos"))
         .select("pos", "doc_id", "text", F.explode(F.when(is_bound, F.array(own, before)).otherwise(F.array(own))).alias("p"))
         .select(F.col("p.part").alias("part"), F.col("p.extra").alias("extra"), "pos", "doc_id", "text")
-        .repartition(parts, "part")
+        .repartition(shuffle, "part")
         .sortWithinPartitions("part", "extra", "pos", "text")
         .select("part", "extra", "doc_id", "text")
     )
