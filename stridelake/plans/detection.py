@@ -9,7 +9,7 @@ from stridelake.operators import detection as op
 from stridelake.operators import fitness
 from stridelake.operators import sections as sec
 from stridelake.plans.registry import query
-from stridelake.plans.sections import INDICATORS, LAPS, NOW, RANKED, laps
+from stridelake.plans.sections import EFFICIENCY, INDICATORS, LAPS, NOW, RANKED, laps
 from stridelake.plans.spatial import hav
 from stridelake.sources import fit, tables
 
@@ -131,7 +131,7 @@ def trend_insights(t):
     return sec.ranked(laps(t), NOW).filter("traversals >= 3 and trend <> 0 and days_since_last <= 28").orderBy(F.desc("trend"), F.desc("latest_is_pr"), F.desc("traversals"), "section_id").limit(2).select("section_id", "trend", "latest_is_pr", "traversals")
 
 
-@query("i6_efficiency_insights")
+@query("i6_efficiency_insights", EFFICIENCY + " select * from eff where improving and effort_count >= 3 and abs(hr_change) >= 1 order by hr_change, section_id limit 3")
 def efficiency_insights(t):
     hr = t.traversals.select("section_id", "activity_id", "start_index", F.col("avg_hr").alias("lap_hr"))
     return sec.efficiency_trend(laps(t), hr).filter("improving and effort_count >= 3 and abs(hr_change) >= 1").orderBy("hr_change", "section_id").limit(3)

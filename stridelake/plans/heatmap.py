@@ -27,7 +27,10 @@ def tracks(t):
     return t.points.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id")))
 
 
-@query("h4_pixel_counts")
+@query("h4_pixel_counts", """, w as (select track_id, row_number() over (partition by track_id order by t, point_id) seq, (lng + 180) / 360 * 1048576.0::double px, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 1048576.0::double py from points),
+    s as (select *, lead(px) over (partition by track_id order by seq) qx, lead(py) over (partition by track_id order by seq) qy from w), n as (select *, greatest(least(ceil(greatest(abs(qx - px), abs(qy - py))), 4096), 1)::int n from s where qx is not null),
+    c as (select floor(px + (qx - px) * i / n)::bigint gx, floor(py + (qy - py) * i / n)::bigint gy from (select *, unnest(range(0, n + 1)) i from n))
+    select 11 z, gx // 512 x, gy // 512 y, (gx % 512)::int col, (gy % 512)::int as row, least(count(*), 65535) passes from c group by gx, gy""")
 def pixels(t):
     return op.pixel_counts(tracks(t), 11)
 

@@ -143,11 +143,14 @@ def ordinals(t):
     return t.traversals.filter(~F.col("excluded")).select("section_id", "activity_id", "start_index", (F.row_number().over(Window.partitionBy("section_id", "activity_id").orderBy("start_index")) - 1).alias("lap"))
 
 
-@query("a28_efficiency_trend", LAPS + """, e as (select *, lap_time * 1000 / distance_meters pace from laps where lap_time > 0 and distance_meters > 0 and avg_hr > 0), k as (select *, pace between 60 and 1800 ok from e),
+EFFICIENCY = LAPS + """, e as (select *, lap_time * 1000 / distance_meters pace from laps where lap_time > 0 and distance_meters > 0 and avg_hr > 0), k as (select *, pace between 60 and 1800 ok from e),
     d as (select *, (date - min(case when ok then date end) over (partition by section_id)) / 86400.0::double as day from k),
     g as (select section_id, count(*) effort_count, count(case when ok then 1 end) n, covar_pop(case when ok then avg_hr / pace end, case when ok then day end) c, var_pop(case when ok then day end) v, avg(case when ok then pace end) mean_pace, max(case when ok then day end) range_days from d group by 1),
-    s as (select *, case when v > 1e-12 then c / v else 0 end slope from g where n >= 3)
-    select section_id, effort_count, round(slope, 8) slope, round(slope * mean_pace * range_days, 4) hr_change, slope < -0.001 and n >= 5 improving from s""")
+    s as (select *, case when v > 1e-12 then c / v else 0 end slope from g where n >= 3),
+    eff as (select section_id, effort_count, round(slope, 8) slope, round(slope * mean_pace * range_days, 4) hr_change, slope < -0.001 and n >= 5 improving from s)"""
+
+
+@query("a28_efficiency_trend", EFFICIENCY + " select * from eff")
 def efficiency(t):
     hr = t.traversals.select("section_id", "activity_id", "start_index", F.col("avg_hr").alias("lap_hr"))
     return op.efficiency_trend(laps(t), hr)
