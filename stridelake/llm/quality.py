@@ -23,7 +23,7 @@ WORDS, BINS, RANK = 1 << 12, 16, 8
 #: Labelled rows that the model is fitted on, at most (those with the smallest hash of their key).
 TRAIN_ROWS = 6000
 THRESHOLD = 0.3
-MEMO = 200_000
+MEMO = 50_000
 
 _CLASSES = np.zeros(256, np.int64)
 for _i, _set in enumerate([b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:'\"-()", b"!?", b"|/\\_~<>", b"#%&*@$^+={}[]`", b" ", b"\n\r\t"], 1):
@@ -186,8 +186,8 @@ def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", name
     def run(batches):
         fm, features = FactorisationMachine(*shared.value), Features()
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
                 s = fm.scores([features.of(t or "") for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.astype(np.float64))], names=[*part.schema.names, name])
 

@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     def run(batches):
         for b in batches:
-            fps = [simhash(t, size, seed) for t in b.column(1).to_pylist()]
+            fps = [simhash(t.as_py(), size, seed) for t in b.column(1)]  # one text at a time in Python
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
