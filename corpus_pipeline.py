@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import exact_dedup, packing, quality, simhash
+from stridelake.llm import exact_dedup, jaccard, packing, quality
 from stridelake.llm.common import Scratch, without_ids
 
 
@@ -21,8 +21,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id."""
-    groups = simhash.near_duplicates(docs)
+    """Of each group of near-duplicates (five-word shingles, Jaccard >= 0.8), the document with the smallest doc_id."""
+    groups = jaccard.near_duplicates(docs)
     return without_ids(docs, groups.filter(F.col("doc_id") != F.col("component_id")), Scratch(spark, "near"))
 
 
