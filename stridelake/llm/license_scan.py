@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,10 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to this work to the public domain."),
 ]
+#: Whole texts as published, one file for each license, beside the notices above.
+TEMPLATES += [(p.stem, p.read_text(encoding="utf-8").strip()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+#: Templates of up to this many bigrams share one list of needed words; a longer one, which needs commoner words, has its own.
+NOTICE = 100
 
 
 def words_of(text: str) -> list[str]:
@@ -91,19 +96,26 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     The number of words bounds the coefficient, so units outside every
     template's size bounds go before their bigrams are built, and so do units
     without any of the words that a match needs; the join on bigrams checks
-    the bounds of each template. The template table has a few
-    thousand rows, a parameter of the code and not of the data; it is
+    the bounds of each template. The template table has some ten thousand
+    rows, a parameter of the code and not of the data; it is
     broadcast, and only bigrams that templates have are shuffled, as counts.
     """
     spark: SparkSession = docs.sparkSession
     grams = template_rows(templates)
     bounds = {i: size_bounds(n, threshold) for i, _, _, _, n in grams}
     table = spark.createDataFrame([(*r, *bounds[r[0]]) for r in grams], "template int, license string, gram string, t_count int, t_size int, least int, most int")
-    ranges = sorted(set(bounds.values()))
+    groups: dict[int, list[int]] = {}
+    for i, (_, txt) in enumerate(templates):
+        if i in bounds:
+            groups.setdefault(-1 if len(words_of(txt)) - 1 <= NOTICE else i, []).append(i)
     fits = F.lit(False)
-    for lo, hi in ranges:
-        fits = fits | F.col("n_bigrams").between(lo, hi)
-    top = max(hi for _, hi in ranges)
+    for group in groups.values():
+        needed = needed_words([templates[i] for i in group], threshold)
+        sized = F.lit(False)
+        for lo, hi in sorted({bounds[i] for i in group}):
+            sized = sized | F.col("n_bigrams").between(lo, hi)
+        fits = fits | (sized & F.exists("raw", lambda w: F.lower(w).isin(needed)))
+    top = max(hi for _, hi in bounds.values())
     t = text_or_empty(text)
     # Words of each line; a line beyond every bound is cut just past it, which keeps it (and its text) beyond the bound.
     words = lambda line: F.array_remove(F.split(line, "[^A-Za-z0-9]+", top + 5), "")
@@ -112,12 +124,10 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(t).alias("_hash"), F.explode(F.array(F.transform(F.split(t, "\n"), words))).alias("lines"))
     total = F.aggregate("lines", F.lit(0), lambda n, w: n + F.size(w))
     whole = F.when((F.size("lines") > 1) & (total <= top + 1), F.flatten("lines")).otherwise(F.array().cast("array<string>"))
-    needed = needed_words(templates, threshold)
     units = (
         rows.select("doc_id", "_hash", F.posexplode(F.concat(F.array(whole), F.col("lines"))).alias("line_no", "raw"))
         .withColumn("n_bigrams", F.size("raw") - 1)
         .filter(fits)
-        .filter(F.exists("raw", lambda w: F.lower(w).isin(needed)))
         .select("doc_id", "_hash", "line_no", "n_bigrams", F.explode(F.expr("transform(sequence(0, n_bigrams - 1), i -> lower(concat(raw[i], ' ', raw[i + 1])))")).alias("gram"))
     )
     found = (
