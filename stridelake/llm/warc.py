@@ -69,7 +69,8 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(root, recursive=True)
         names, out, size = [], None, 0
         for batch in iterator:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one payload at a time in Python
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if out is None or size >= self.roll:
                     if out:
                         out.close()
@@ -197,6 +198,8 @@ class Plain:
             self.at += n
         else:
             self.buf, self.at = b"", 0
+            if self.raw.tell() + left > self.raw.size():
+                raise EOFError("a record ends before its Content-Length")
             self.raw.seek(self.raw.tell() + left)
 
 
@@ -248,6 +251,8 @@ def records(stream: Plain, wanted, with_payload: bool) -> Iterator[tuple[dict, b
             stream.skip(4)
             http = fields.get("content-type", "").startswith("application/http")
             yield fields, block.partition(b"\r\n\r\n")[2] if http else block
+    if stream.buf[stream.at :]:
+        raise EOFError("an archive ends within a header")
 
 
 class WarcDataSource(DataSource):
