@@ -7,18 +7,24 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if a count of the stored table stays at
-#: or below this many (narrow) rows; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: A side of a join is broadcast only if the stored table has at most this many bytes of keys and values.
+BROADCAST_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (tests) gets a temporary folder of its
+    own; on a cluster that is an error, since executors would not see it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -65,22 +71,66 @@ def hadoop_delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
-    """Join with a stored table: broadcast if its row count is small enough, else a shuffle join.
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of a stored table in memory, about: its strings and binaries, and 16 for each other value."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    row = sum(wide, F.lit(16 * len(df.columns)))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
 
-    The shuffle join is a sort-merge join that adaptive execution can split
-    where one key is hot.
+def checked(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if its bytes are few enough, else for a sort-merge join.
+
+    Adaptive execution can split a sort-merge join where one key is hot.
     """
-    n = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right.hint("merge"), on, how)
+    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df.hint("merge")
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with a stored table on the right, see checked()."""
+    return left.join(checked(right), on, how)
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, scratch: Scratch, key: str = "doc_id") -> DataFrame:
-    """Rows of docs whose key is not in dropped (one column, the key); rows with a null key stay."""
-    gone = scratch.save(dropped.select(F.col(key).alias("_gone")).distinct(), "dropped")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
-    return docs.join(side, docs[key] == F.col("_gone"), "left_anti")
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its names."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def _reads_files(docs: DataFrame) -> bool:
+    """Whether docs is a file scan with filters and projections at most, so that no row of a file occurs twice."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Filter", "Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty()
+
+
+def with_row(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs with a further column that tells each row apart from all others, and that column's name.
+
+    Rows of files are named by file and place within it; these do not change
+    when a task runs again. Rows of anything else are numbered and stored.
+    """
+    name = free_name(docs, "_row")
+    if _reads_files(docs):
+        try:
+            meta = docs.metadataColumn("_metadata")
+            rows = docs.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at")))
+            rows.schema  # an unknown column fails here
+            return rows, name
+        except AnalysisException:  # not a file: there is no such column
+            pass
+    numbered = docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")))
+    return scratch.save(numbered, "rows"), name
+
+
+def without_rows(rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """rows but for those whose `row` is in dropped (a stored table of that one column), without that column."""
+    gone = free_name(rows, "_gone")
+    return rows.join(checked(dropped.select(F.col(row).alias(gone))), F.col(row) == F.col(gone), "left_anti").drop(row)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stridelake.llm.common import text_or_empty
+from stridelake.llm.common import free_name, text_or_empty
 
 WORDS, BINS, RANK = 1 << 12, 16, 8
 #: Labelled rows that the model is fitted on, at most (those with the smallest hash of their key).
@@ -154,20 +154,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
         .dropna().filter(~held_out(F.col("_key"))).groupBy("_key").agg(F.max("_y").alias("_y"))
         .orderBy(F.xxhash64("_key"), "_key").limit(rows)
     )
-    sample = docs.select(F.col(key).cast("long").alias("_key"), text_or_empty(text).alias("_text")).join(F.broadcast(picked), "_key")
+    # Of documents that share a key one is taken, so the sample is no larger than `picked`.
+    sample = (
+        docs.select(F.col(key).cast("long").alias("_key"), text_or_empty(text).alias("_text"))
+        .join(F.broadcast(picked), "_key").groupBy("_key", "_y").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"))
+    )
 
     def run(batches):
         features = Features()
         for b in batches:
-            found = [features.of(t) for t in b.column(1).to_pylist()]
+            found = [features.of(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())],
+                [b.column(0), b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())],
                 names=["key", "y", "idx", "val"],
             )
 
     got = sample.mapInArrow(run, "key long, y double, idx binary, val binary").collect()
-    got.sort(key=lambda r: (r["key"], r["idx"]))
-    got = got[: 2 * rows]
+    got.sort(key=lambda r: r["key"])
     return fit([(np.frombuffer(r["idx"], "<i4").astype(np.int64), np.frombuffer(r["val"], "<f4").astype(np.float64)) for r in got], np.array([r["y"] for r in got]))
 
 
@@ -176,10 +179,10 @@ def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", name
 
     Map-only; the model has a fixed size. Null and empty texts get the score
     of their statistics. A column of docs that has the score's name is kept
-    under `<name>_in`.
+    under `<name>_in`, or the next free name after it.
     """
     if name in docs.columns:
-        docs = docs.withColumnRenamed(name, f"{name}_in")
+        docs = docs.withColumnRenamed(name, free_name(docs, f"{name}_in"))
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32)))
     at = docs.columns.index(text)
 
@@ -202,5 +205,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that the classifier accepts, columns unchanged."""
-    return score(docs, train(docs, labels, text=text), text, "_quality").filter(F.col("_quality") >= THRESHOLD).drop("_quality")
+    """The rows of docs that the classifier accepts, columns unchanged; without labels or rows to learn from, all of them."""
+    name = free_name(docs, "_quality")
+    return score(docs, train(docs, labels, text=text), text, name).filter(F.col(name) >= THRESHOLD).drop(name)
