@@ -15,18 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from stridelake.llm.common import text_or_empty
+from stridelake.llm.common import Scratch, join_checked, text_or_empty
 
 BUCKETS, WINDOW, STEP = 128, 5, 1 << 20
 # Offsets back from the window's last byte of the other two bytes of each triplet.
 TRIPLETS = [(1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4)]
 LENGTH_CAP, RATIO_CAP = 96, 48
-#: Key ranges for each shuffle partition: ranges meet in partitions by hash, and several even that out.
-RANGES_A_TASK = 6
+#: Bytes of a key range, one task each; larger where there would be more than MOST_RANGES of them.
+RANGE_BYTES, MOST_RANGES, BINS = 6 << 20, 50_000, 2_000
 MOST = 6 * BUCKETS + LENGTH_CAP + 2 * RATIO_CAP
 
 
@@ -82,52 +82,118 @@ def likeness(a: str, b: str) -> float:
 
 
 def _pairs(batches) -> Iterator[tuple]:
-    """(doc_id, text, next text) of rows sorted by part and position; a part's last row only serves as a next text."""
+    """(doc_id, text, next text) of sorted rows; the last row, the first of the range after, only serves as a next text."""
     last = None
     for b in batches:
-        for part, extra, doc_id, text in zip(*(c.to_pylist() for c in b.columns)):
-            if last is not None and last[0] == part and not last[1]:
-                yield (last[2], last[3], text)
-            last = (part, extra, doc_id, text)
+        for row in zip(b.column(0), b.column(1)):
+            doc_id, text = row[0].as_py(), row[1].as_py()
+            if last is not None:
+                yield (*last, text)
+            last = (doc_id, text)
 
 
-def edited_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+def _ranges(rows: DataFrame, range_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower bounds of the ranges but the first, as positions and hashes, and how many ranges share each bound.
+
+    Quantiles of the position cut the rows into at most BINS bins, whose
+    bytes are summed. Bins are joined, or cut evenly, to ranges of about
+    range_bytes; a bin of one position (a hot key) is cut by the hash of the
+    text. Where even one slot of hashes is too large (copies of one row under
+    one key), that slot gets several ranges, between which its rows are dealt.
+    """
+    size = (F.octet_length("text") + 16).cast("long")
+    sketch = rows.agg(F.percentile_approx("pos", [i / BINS for i in range(1, BINS)], 20_000).alias("q"), F.sum(size).alias("total")).first()
+    if sketch["q"] is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    target = max(range_bytes, sketch["total"] // MOST_RANGES)
+    cuts = np.array(sorted(set(sketch["q"])), np.int64)
+
+    @F.pandas_udf(LongType())
+    def bin_of(pos):
+        return pd.Series(np.searchsorted(cuts, pos.to_numpy(), side="right").astype(np.int64))
+
+    bins = rows.groupBy(bin_of("pos").alias("bin")).agg(F.sum(size).alias("bytes"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).orderBy("bin").collect()
+    hot = [r["lo"] for r in bins if r["lo"] == r["hi"] and r["bytes"] > 2 * target]
+    slots: dict[int, dict[int, int]] = {}
+    if hot:
+        slot = F.shiftright("h", 52)
+        for r in rows.filter(F.col("pos").isin(hot)).groupBy("pos", slot.alias("slot")).agg(F.sum(size).alias("bytes")).collect():
+            slots.setdefault(r["pos"], {})[r["slot"]] = r["bytes"]
+    out, have = [], 0
+
+    def piece(pos: int, h: int, n: int):
+        nonlocal have
+        parts = n // target
+        if parts > 1:
+            out.append((pos, h, parts))
+            have = target  # what follows starts a range of its own
+            return
+        if have + n > target and have:
+            out.append((pos, h, 1))
+            have = 0
+        have += n
+
+    for r in bins:
+        if r["lo"] in slots:
+            for s in sorted(slots[r["lo"]]):
+                piece(r["lo"], s << 52, slots[r["lo"]][s])
+        else:
+            k = min(max(1, -(-r["bytes"] // target)), r["hi"] - r["lo"] + 1)
+            for i in range(k):
+                piece(r["lo"] + (r["hi"] - r["lo"] + 1) * i // k, -(2**63), r["bytes"] // k)
+    return tuple(np.array([x[i] for x in out], np.int64) for i in range(3))
+
+
+def edited_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text is the row's own with its last floor(n / 2) code points
     replaced by the first as many of the next row by ascending key (after the
     last: the first). A null text counts as empty, null keys sort first, rows
-    with equal keys follow in the order of their texts. A lone row follows
-    itself. Empty input gives no rows.
+    with equal keys follow by the hash of their texts, then by their texts. A
+    lone row follows itself. Empty input gives no rows.
 
-    One shuffle: rows go to ranges of the key whose bounds are keys of the
-    table (from a quantile sketch), so the first row of each range is known
-    beforehand and is also sent to the range before it. Rows then stream in
-    order through each range; two texts are in memory at a time.
+    One shuffle of the texts: rows go to ranges of (key, hash) of about equal
+    bytes, one a task, and stream through it in order, two texts in memory at
+    a time. The first row of each range, found beforehand, is also sent to the
+    range before it.
     """
-    spark = docs.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts or RANGES_A_TASK * shuffle
-    rows = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("pos"), F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")
-    )
-    sketch = rows.agg(F.min("pos"), F.percentile_approx("pos", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()
-    bounds = np.array(sorted({sketch[0], *sketch[1]} if sketch[0] is not None else {0}), np.int64)
+    scratch = Scratch(docs.sparkSession, "digest")
+    t = text_or_empty(text)
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("pos"), F.xxhash64(t).alias("h"), F.col(key).cast("long").alias("doc_id"), t.alias("text"))
+    pos, slot, share = _ranges(rows, range_bytes)
+    first = np.concatenate([[0], 1 + np.cumsum(share) - share]).astype(np.int64)  # number of the first range from each bound on
+    shared = np.concatenate([[1], share]).astype(np.int64)
+    n = int(first[-1] + shared[-1])
 
     @F.pandas_udf(LongType())
-    def part_of(pos):
-        return pd.Series(np.searchsorted(bounds, pos.to_numpy(), side="right").astype(np.int64) - 1)
-
-    n, is_bound = len(bounds), F.col("pos").isin(bounds.tolist())
-    own = F.struct(F.col("part"), F.lit(False).alias("extra"))
-    before = F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(True).alias("extra"))
+    def part_of(p, h, deal):
+        p, h, deal = p.to_numpy(), h.to_numpy(), deal.to_numpy()
+        at, upto = np.searchsorted(pos, p, side="left"), np.searchsorted(pos, p, side="right")
+        for k in np.unique(at[at < upto]):  # keys that are bounds themselves: by hash
+            mine = at == k
+            at[mine & (at < upto)] += np.searchsorted(slot[k : upto[mine & (at < upto)][0]], h[mine & (at < upto)], side="right")
+        return pd.Series(first[at] + deal % shared[at])
+
+    placed = rows.withColumn("part", part_of("pos", "h", F.monotonically_increasing_id()))
+    # First row of each range: the least of a number made of key and hash, then, of the few rows that have it, the least text.
+    number = F.col("pos").cast("decimal(20,0)") * F.lit(2**60) + (F.shiftright("h", 4) + F.lit(2**59))
+    least = scratch.save(placed.groupBy("part").agg(F.min(number).alias("least")), "least")
+    heads = (
+        join_checked(placed.withColumn("number", number), least, ["part"], "inner").filter("number = least")
+        .groupBy("part").agg(F.min(F.struct("pos", "h", "text", "doc_id")).alias("head"))
+    )
+    # The range before: that of the next lower number that has rows; before the first: the last. One row a range, numbers only.
+    everywhere = Window.partitionBy(F.lit(0))
+    before = least.select("part", F.coalesce(F.lag("part").over(everywhere.orderBy("part")), F.max("part").over(everywhere)).alias("before"))
+    extra = join_checked(heads, scratch.save(before, "before"), ["part"], "inner").select(
+        F.col("before").alias("part"), F.lit(True).alias("extra"), "head.pos", "head.h", "head.text", "head.doc_id"
+    )
     placed = (
-        rows.withColumn("part", part_of("pos"))
-        .select("pos", "doc_id", "text", F.explode(F.when(is_bound, F.array(own, before)).otherwise(F.array(own))).alias("p"))
-        .select(F.col("p.part").alias("part"), F.col("p.extra").alias("extra"), "pos", "doc_id", "text")
-        .repartition(shuffle, "part")
-        .sortWithinPartitions("part", "extra", "pos", "text")
-        .select("part", "extra", "doc_id", "text")
+        placed.select("part", F.lit(False).alias("extra"), "pos", "h", "text", "doc_id").unionByName(extra)
+        .repartitionById(n, F.col("part").cast("int"))
+        .sortWithinPartitions("part", "extra", "pos", "h", "text", "doc_id")
+        .select("doc_id", "text")
     )
 
     def run(batches):
