@@ -1,31 +1,33 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, candidates by MinHash bands.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash candidates, verified exactly.
 
-At similarity 0.8 most pairs differ by more SimHash bits than a small radius
-allows. So candidates come from bands of MinHashes, and each link is verified
-on the shingle sets themselves.
+At similarity 0.8 two texts differ in about 15 of 100 SimHash bits, too many
+for a 64-bit fingerprint to tell them from strangers. So the fingerprint here
+has 256 bits; the tiled comparison of simhash finds candidates within 64 of
+them, and each link is then verified on the shingle sets themselves.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from stridelake.llm.common import Scratch, join_checked, text_or_empty
-from stridelake.llm.components import connected_components
-from stridelake.llm.simhash import BLOCK, _Forest, shingles
+from stridelake.llm.components import Forest, connected_components
+from stridelake.llm.simhash import BLOCK, shingles, tile_links
 
 SIZE, THRESHOLD = 5, 0.8
-#: A pair of similarity s shares no band with probability (1 - s**DEPTH)**BANDS: 3e-6 at 0.8, less above.
-BANDS, DEPTH = 32, 5
-TILE_ROWS, PART = 512, 2048
-_RNG = np.random.default_rng(42)
-_XOR = _RNG.integers(0, 1 << 63, (BANDS * DEPTH, 1), np.uint64)
-_ODD = _RNG.integers(0, 1 << 63, (BANDS * DEPTH, 1), np.uint64) | np.uint64(1)
+#: A pair of similarity 0.8 differs by 39 bits, standard deviation 6; unrelated texts by 128, standard deviation 8.
+WORDS, RADIUS = 4, 64
+#: Sets and hashes of a tile of sets, at most (but for a single larger set).
+TILE_SETS, TILE_HASHES = 512, 1 << 20
+_SALTS = np.random.default_rng(42).integers(0, 1 << 63, WORDS, np.uint64)
 
 
 def shingle_set(text: str | None, size: int = SIZE, seed: int = 42) -> np.ndarray:
@@ -40,31 +42,51 @@ def set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys, each of DEPTH MinHashes; none for an empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(hashes), PART):
-        np.minimum(least, ((hashes[None, lo : lo + PART] ^ _XOR) * _ODD).min(1), out=least)
-    rows = np.column_stack([np.arange(BANDS, dtype=np.uint64), least.reshape(BANDS, DEPTH)])
-    return np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in rows], np.uint64).view(np.int64)
+def wide_simhash(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of WORDS words; a bit is one where over half of the set's hashes, mixed anew for each word, have it."""
+    ones = np.zeros((WORDS, 64), np.int64)
+    for lo in range(0, len(hashes), BLOCK // 4):
+        for k, salt in enumerate(_SALTS):
+            h = hashes[lo : lo + BLOCK // 4] ^ salt
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0]
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """(doc_id, text_id, sid, bands) of every row."""
+def sketches(docs: DataFrame, who: F.Column, text: str = "text", size: int = SIZE) -> DataFrame:
+    """(who, text_id, sid, n, words) of every row: its set's identifier, size and wide fingerprint."""
 
     def run(batches):
         for b in batches:
-            sids, keys = [], []
+            sids, sizes, words = [], [], []
             for t in b.column(2):
                 h = shingle_set(t.as_py(), size)
                 sids.append(set_id(h))
-                keys.append(bands(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_id", "sid", "bands"])
+                sizes.append(len(h))
+                words.append(wide_simhash(h))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64()))],
+                names=["who", "text_id", "sid", "n", "words"],
+            )
 
     t = text_or_empty(text)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(t).alias("text_id"), t.alias("text")).mapInArrow(run, "doc_id long, text_id long, sid long, bands array<long>")
+    rows = docs.select(who.alias("who"), F.xxhash64(t).alias("text_id"), t.alias("text"))
+    more = [StructField("sid", LongType()), StructField("n", LongType()), StructField("words", ArrayType(LongType()))]
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], *more]))
+
+
+def candidate_links(distinct: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """Links between sets (sid, n, words) within RADIUS bits.
+
+    Sizes of similar sets differ by a factor of 1 / threshold at most: the
+    cell is the size's class, and a tile visits its own class and the next.
+    """
+    step = -math.log(threshold) + 1e-9
+    cell = F.floor(F.log("n") / step).cast("long")
+    rows = distinct.filter("n > 0").select(cell.alias("cell"), F.concat(F.array("sid"), "words").alias("record"))
+    return tile_links(rows, scratch, [1], RADIUS, WORDS)
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
@@ -84,48 +106,49 @@ def similar_enough(common, left, right, threshold: float):
     return common >= threshold * (left + right - common) - 1e-9
 
 
-def compare_tiles(threshold: float):
+def compare_sets(threshold: float):
     """Rows arrive by home tile: the tile itself, then its visitors. Yields the links as (a, b).
 
     Only pairs that are not yet connected are compared, so a group of copies costs one pass.
     """
 
+    def tile_of(members: pa.StructArray):
+        hashes = members.field("hashes")
+        flat, ends = hashes.values.to_numpy(zero_copy_only=False), hashes.offsets.to_numpy()
+        return members.field("sid").to_pylist(), members.field("root").to_pylist(), flat[ends[0] : ends[-1]].copy(), np.diff(ends)
+
     def run(batches):
-        home, at, forest = None, None, _Forest()
-
-        def links(left, right):
-            ids, roots, flat, sizes = right
-            order = {int(x): i for i, x in enumerate(np.unique(flat))}
-            local = np.fromiter((order[x] for x in flat.tolist()), np.int64, len(flat))
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            mark = np.zeros(len(order) + 1, bool)
+        home, at, forest, distinct, local, starts = None, None, Forest(), None, None, None
+
+        def links(left):
             lo = 0
-            for a, ra, n in zip(left[0].tolist(), left[1].tolist(), left[3].tolist()):
-                mine = [order[x] for x in left[2][lo : lo + n].tolist() if x in order]
+            for a, ra, n, in zip(left[0], left[1], left[3].tolist()):
+                mine = left[2][lo : lo + n]
                 lo += n
                 root = forest.root(ra)
-                if not mine or all(forest.root(r) == root for r in set(roots.tolist())):
+                if all(forest.root(r) == root for r in set(home[1])):
                     continue
-                mark[:] = False
-                mark[mine] = True
+                place = np.searchsorted(distinct, mine)
+                place = place[distinct[np.minimum(place, len(distinct) - 1)] == mine]
+                mark = np.zeros(len(distinct), bool)
+                mark[place] = True
                 common = np.add.reduceat(mark[local].astype(np.int64), starts)
-                for j in np.nonzero(similar_enough(common, n, sizes, threshold))[0].tolist():
-                    if forest.add(ra, int(roots[j])):
-                        yield a, int(ids[j])
+                for j in np.nonzero(similar_enough(common, n, home[3], threshold))[0].tolist():
+                    if forest.add(ra, home[1][j]):
+                        yield a, home[0][j]
 
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                m = r["members"]
-                tile = (
-                    np.array([x["sid"] for x in m], np.int64), np.array([x["root"] for x in m], np.int64),
-                    np.concatenate([np.array(x["hashes"], np.int64) for x in m]), np.array([len(x["hashes"]) for x in m], np.int64),
-                )
-                if not r["visitor"]:
-                    home, at, forest = tile, (r["key"], r["block"]), _Forest()
-                    out += links(home, home)
-                elif (r["key"], r["block"]) == at:
-                    out += links(tile, home)
+            keys, blocks, visitors, members = batch.columns
+            for r, (key, block, visitor) in enumerate(zip(keys.to_pylist(), blocks.to_pylist(), visitors.to_pylist())):
+                tile = tile_of(members[r].values)
+                if not visitor:
+                    home, at, forest = tile, (key, block), Forest()
+                    distinct, local = np.unique(home[2], return_inverse=True)
+                    starts = np.concatenate([[0], np.cumsum(home[3])[:-1]])
+                    out += links(home)
+                elif (key, block) == at:
+                    out += links(tile)
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -133,41 +156,43 @@ def compare_tiles(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """doc_id, component_id for every row of docs.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", size: int = SIZE, row: str | None = None) -> DataFrame:
+    """doc_id, component_id, kept for every row of docs.
 
     Rows link where the Jaccard similarity of their sets of word shingles is
-    at least the threshold; component_id is the smallest key reachable.
-    A text of fewer words than a shingle is one shingle; texts without words
-    are equal to each other. Null keys, repeated rows and empty input are as
-    in simhash.near_duplicates.
-
-    Each bucket of a band is first compared with its least member. Buckets
-    whose members are then connected are done; the rest are compared whole,
-    in blocks of TILE_ROWS sets, so a crowded bucket is many tasks.
+    at least the threshold; component_id is the smallest key reachable, and
+    its row is kept. A text of fewer words than a shingle is one shingle;
+    texts without words are equal to each other. A null key names a component
+    only if all its rows are null. Rows that repeat the kept key are kept too,
+    unless `row` names a column that tells rows apart: then it is returned
+    too, and one row of a component is kept. Empty input gives no rows.
+
+    Sets that are linked by candidates are verified together: first each with
+    the least of them; where that leaves some apart, all with all, in tiles
+    of a bounded number of hashes, so a crowded group is many tasks.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    every = scratch.save(sketches(docs, key, text, size), "sketches")
-    distinct = scratch.save(every.groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("text_id").alias("text_id"), F.any_value("bands").alias("bands")), "distinct")
-    keyed = distinct.select("sid", "text_id", F.explode("bands").alias("key"))
-    # Buckets with the same members are one.
-    buckets = (
-        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("pivot"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("who"))
-        .filter("n > 1").groupBy("n", "pivot", "who").agg(F.min("key").alias("key")).select("key", "n", "pivot")
-    )
-    buckets = scratch.save(buckets, "buckets")
-    members = scratch.save(join_checked(keyed, buckets, ["key"], "inner"), "members")
+    who = F.struct(F.col(key).isNull().alias("none"), F.col(key).cast("long").alias("id"), (F.col(row) if row else F.lit(0)).alias("row"))
+    every = scratch.save(sketches(docs, who, text, size), "sketches")
+    distinct = scratch.save(every.groupBy("sid").agg(F.min("who").alias("first"), F.min("text_id").alias("text_id"), F.any_value("n").alias("n"), F.any_value("words").alias("words")), "distinct")
+    near = scratch.save(connected_components(scratch.save(candidate_links(distinct, scratch, threshold), "candidates"), scratch), "near")
+    members = scratch.save(distinct.join(near.select(F.col("node").alias("sid"), F.col("root").alias("key")), "sid").select("sid", "key", "text_id", "n"), "members")
     sets = scratch.save(candidate_sets(docs, scratch.save(members.select("text_id").distinct(), "wanted"), text, size), "sets")
-    pairs = members.filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+
+    pairs = members.filter("sid <> key").select(F.col("key").alias("a"), F.col("sid").alias("b"))
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     first = scratch.save(both.withColumn("common", common).filter(similar_enough(F.col("common"), F.size("x"), F.size("y"), threshold)).select("a", "b"), "links")
-    roots = scratch.save(connected_components(first, scratch), "roots")
 
-    placed = members.filter("n > 2").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    # Each set is now in the tree of its key, or alone.
+    placed = members.join(first.select(F.col("b").alias("sid"), F.lit(True).alias("done")), "sid", "left").select("key", "sid", "n", F.when(F.col("done"), F.col("key")).otherwise(F.col("sid")).alias("root"))
     placed = scratch.save(placed, "placed")
-    rest = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.first("n") / TILE_ROWS).cast("int").alias("blocks")).filter("lo <> hi").select("key", "blocks")
-    rest = scratch.save(rest, "rest")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_HASHES)).cast("int")
+    rest = scratch.save(
+        placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("sets"), blocks.alias("blocks"))
+        .filter("lo <> hi and sets > 2").select("key", "blocks"),
+        "rest",
+    )
     tiles = scratch.save(
         join_checked(placed, rest, ["key"], "inner").join(sets, "sid")
         .withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
@@ -176,14 +201,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     )
     home = tiles.select("key", "block", F.lit(False).alias("visitor"), "members")
     visits = tiles.filter("block + 1 < blocks").select("key", F.explode(F.expr("sequence(block + 1, blocks - 1)")).alias("block"), F.lit(True).alias("visitor"), "members")
-    second = home.unionByName(visits).repartition("key", "block").sortWithinPartitions("key", "block", "visitor").mapInArrow(compare_tiles(threshold), "a long, b long")
-    links = scratch.save(first.unionByName(second), "all-links")
+    second = home.unionByName(visits).repartition("key", "block").sortWithinPartitions("key", "block", "visitor").mapInArrow(compare_sets(threshold), "a long, b long")
+    roots = connected_components(scratch.save(first.unionByName(second), "all-links"), scratch)
+    scratch.drop(tiles)
+    scratch.drop(sets)
 
-    roots = scratch.save(connected_components(links, scratch).join(distinct.select(F.col("sid").alias("node"), "first"), "node"), "rooted")
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = scratch.save(roots.join(distinct.select(F.col("sid").alias("node"), "first"), "node"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     named = scratch.save(
-        distinct.join(roots.join(least, "root").select(F.col("node").alias("sid"), "component_id"), "sid", "left")
-        .select("sid", F.coalesce("component_id", "first").alias("component_id")),
+        distinct.select("sid", "first").join(rooted.join(least, "root").select(F.col("node").alias("sid"), "least"), "sid", "left")
+        .select("sid", F.coalesce("least", "first").alias("least")),
         "components",
     )
-    return join_checked(every.select("doc_id", "sid"), named, ["sid"], "left").select("doc_id", "component_id")
+    return join_checked(every.select("who", "sid"), named, ["sid"], "left").select(
+        F.col("who.id").alias("doc_id"), F.col("least.id").alias("component_id"), (F.col("who") == F.col("least")).alias("kept"), *([F.col("who.row").alias(row)] if row else []),
+    )

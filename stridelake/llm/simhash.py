@@ -1,9 +1,12 @@
 """SimHash near-dedup: tiled exact comparison of fingerprints.
 
 Fingerprints are cut into four 16-bit lanes. The four lane population counts
-name a tile: two fingerprints within r bits lie in tiles whose counts differ
-by at most r in total, so all other tile pairs are skipped. Tiles that remain
-are compared whole, with exclusive-or and bit counts over numpy arrays.
+name a cell: two fingerprints within r bits lie in cells whose counts differ
+by at most r in total, so tiles of all other cells are skipped. Tiles that
+remain are compared with exclusive-or and bit counts over numpy arrays.
+
+Every two fingerprints of near cells are compared, so the work grows with the
+square of the distinct fingerprints (about a tenth of all pairs at radius 3).
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.llm.common import Scratch, join_checked, text_or_empty
-from stridelake.llm.components import connected_components
+from stridelake.llm.components import Forest, connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER_TO_LOWER = {c: c + 32 for c in range(65, 91)}
-LANES, TILE_ROWS, BLOCK = 4, 2048, 1 << 16
+LANES, BLOCK = 4, 1 << 16
+#: Fingerprints of a tile: half a megabyte, so that a shipped fingerprint meets many others.
+TILE_ROWS = 1 << 16
 
 
 def shingles(text: str, size: int) -> Iterator[str]:
@@ -71,46 +76,57 @@ def _offsets(radius: int) -> list[tuple[int, ...]]:
     return [o for o in around if sum(map(abs, o)) <= radius and o > (0,) * LANES]
 
 
-class _Forest:
-    """Keeps of the links found by one task only those that join two trees."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
+def _table(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
-        return x
 
-    def add(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
+def compare_tiles(radius: int, words: int = 1):
+    """Rows arrive by home tile: the tile itself, then its visitors. Yields the links as (a, b).
 
+    A fingerprint is one or more 64-bit words at the end of its record, which
+    starts with its identifier (for one word, the word itself). Both sides
+    are ordered by population count, and only the stretch of the other side
+    whose counts are within the radius is compared.
+    """
+    width = words if words == 1 else words + 1
 
-def compare_tiles(radius: int):
-    """Rows arrive by home tile: the tile itself, then its visitors. Yields the links as (a, b)."""
+    def tile_of(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = flat.reshape(-1, width)
+        ones = np.bitwise_count(rows[:, -words:]).sum(1, dtype=np.int64)
+        order = np.argsort(ones, kind="stable")
+        return rows[order, 0].view(np.int64), np.ascontiguousarray(rows[order, -words:].T), ones[order]
 
     def run(batches):
-        home, at, forest, waiting, n_waiting = None, None, _Forest(), [], 0
-
-        def links(left: np.ndarray, right: np.ndarray, same: bool):
-            for lo in range(0, len(left), 512):
-                near = np.bitwise_count(left[lo : lo + 512, None] ^ right[None, :]) <= radius
+        home, at, forest, waiting, n_waiting = None, None, Forest(), [], 0
+
+        def links(left, right, same: bool):
+            ids, mine, ones = left
+            others, theirs, their_ones = right
+            step = max(1, (1 << 18) // max(len(others), 1))
+            for lo in range(0, len(ids), step):
+                hi = min(lo + step, len(ids))
+                start = lo if same else int(np.searchsorted(their_ones, ones[lo] - radius))
+                end = int(np.searchsorted(their_ones, ones[hi - 1] + radius, side="right"))
+                if start >= end:
+                    continue
+                gap = np.bitwise_count(mine[0, lo:hi, None] ^ theirs[0, None, start:end])
+                if words > 1:
+                    gap = gap.astype(np.uint16)
+                    for k in range(1, words):
+                        gap += np.bitwise_count(mine[k, lo:hi, None] ^ theirs[k, None, start:end])
+                near = gap <= radius
                 if same:
-                    near &= np.arange(lo, min(lo + 512, len(left)))[:, None] < np.arange(len(right))[None, :]
+                    near &= np.arange(lo, hi)[:, None] < np.arange(start, end)[None, :]
                 i, j = np.nonzero(near)
-                for a, b in zip(left[i + lo].view(np.int64).tolist(), right[j].view(np.int64).tolist()):
+                for a, b in zip(ids[i + lo].tolist(), others[j + start].tolist()):
                     if forest.add(a, b):
                         yield a, b
 
         def flush():
             nonlocal waiting, n_waiting
             if waiting and home is not None:
-                yield from links(home, np.concatenate(waiting), False)
+                yield from links(home, tile_of(np.concatenate(waiting)), False)
             waiting, n_waiting = [], 0
 
         for batch in batches:
@@ -121,7 +137,7 @@ def compare_tiles(radius: int):
                 tile = flat[ends[r] : ends[r + 1]]
                 if not v:
                     out += flush()
-                    home, at, forest = tile.copy(), (c, b), _Forest()
+                    home, at, forest = tile_of(tile), (c, b), Forest()
                     out += links(home, home, True)
                 elif (c, b) == at:
                     waiting.append(tile.copy())
@@ -129,57 +145,65 @@ def compare_tiles(radius: int):
                     if n_waiting >= TILE_ROWS:
                         out += flush()
             if out:
-                a, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield _table(out)
         if out := list(flush()):
-            a, b = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield _table(out)
 
     return run
 
 
-def near_links(fps: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that differ by radius bits at most.
+def tile_links(rows: DataFrame, scratch: Scratch, offsets: list[int], radius: int, words: int = 1) -> DataFrame:
+    """Links (a, b) between the records of rows (cell, record) whose fingerprints differ by radius bits at most.
 
     Enough links to connect what the full set of pairs connects: each task
     keeps a spanning forest of what it finds, so a dense group of n
     fingerprints yields about n links a task, not n squared.
 
-    A cell (one choice of lane counts) is dealt into blocks of about TILE_ROWS
-    fingerprints; each block is the home of one comparison and visits the
-    home blocks of the nearby cells. The table of cells has at most 17**4
-    rows whatever the input, so it is broadcast.
+    A cell is dealt into blocks of about TILE_ROWS records; each block is the
+    home of one comparison and visits the home blocks of the cells at
+    cell + offset. The table of cells is broadcast if its bytes are few.
     """
-    cell = sum((F.col(f"p{i}") * 17**i for i in range(LANES)), F.lit(0))
-    rows = fps.select("fp", *_lanes()).select("fp", cell.alias("cell"))
-    cells = scratch.save(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("blocks")), "cells")
+    size = F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("blocks")
+    cells = scratch.save(rows.groupBy("cell").agg(size), "cells")
     tiles = scratch.save(
-        rows.join(F.broadcast(cells), "cell")
-        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        .groupBy("cell", "block").agg(F.collect_list("fp").alias("fps")),
+        join_checked(rows, cells, ["cell"], "inner")
+        .withColumn("block", F.pmod(F.xxhash64("record"), F.col("blocks")).cast("int"))
+        .groupBy("cell", "block").agg(F.flatten(F.collect_list("record")).alias("records")),
         "tiles",
     )
-    home = tiles.select("cell", "block", F.lit(False).alias("visitor"), "fps")
+    home = tiles.select("cell", "block", F.lit(False).alias("visitor"), "records")
     # Visits within a cell go to the later blocks, visits between cells to all blocks.
-    offsets = F.array(*(F.struct(*(F.lit(x).alias(f"d{i}") for i, x in enumerate(o)), F.lit(sum(x * 17**i for i, x in enumerate(o))).alias("step")) for o in [(0,) * LANES, *_offsets(radius)]))
-    inside = " and ".join(f"(cast(cell / {17**i} as int) % 17) + o.d{i} between 0 and 16" for i in range(LANES))
+    steps = F.array(*(F.lit(o).cast("long") for o in [0, *offsets]))
     visits = (
-        tiles.select("cell", F.col("block").alias("own"), "fps", F.explode(offsets).alias("o"))
-        .filter(inside)
-        .select((F.col("cell") + F.col("o.step")).alias("cell"), "own", (F.col("o.step") == 0).alias("same"), "fps")
-        .join(F.broadcast(cells), "cell")
+        join_checked(
+            tiles.select("cell", F.col("block").alias("own"), "records", F.explode(steps).alias("step")).select((F.col("cell") + F.col("step")).alias("cell"), "own", (F.col("step") == 0).alias("same"), "records"),
+            cells, ["cell"], "inner",
+        )
         .withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
         .filter("not same or block > own")
-        .select("cell", "block", F.lit(True).alias("visitor"), "fps")
+        .select("cell", "block", F.lit(True).alias("visitor"), "records")
     )
     return (
         home.unionByName(visits)
         .repartition("cell", "block")
         .sortWithinPartitions("cell", "block", "visitor")
-        .mapInArrow(compare_tiles(radius), "a long, b long")
+        .mapInArrow(compare_tiles(radius, words), "a long, b long")
     )
 
 
+def near_links(fps: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that differ by radius bits at most.
+
+    The cell of a fingerprint is its four lane counts, written to a base so
+    wide that no offset carries from one lane to the next: at most 17**4
+    cells whatever the input.
+    """
+    base = 17 + 2 * radius
+    cell = sum((F.col(f"p{i}").cast("long") * base**i for i in range(LANES)), F.lit(0).cast("long"))
+    rows = fps.select("fp", *_lanes()).select(cell.alias("cell"), F.array("fp").alias("record"))
+    return tile_links(rows, scratch, [sum(x * base**i for i, x in enumerate(o)) for o in _offsets(radius)], radius)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, key: str = "doc_id", text: str = "text", size: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs.
 

@@ -61,11 +61,12 @@ def fixture():
 
 
 def test_edited_copies(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "TILE_ROWS", 16)
+    monkeypatch.setattr(jaccard, "TILE_SETS", 16)
+    monkeypatch.setattr(simhash, "TILE_ROWS", 16)
     rows = fixture()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute_force(rows)
-    assert sorted(str(tuple(r)) for r in jaccard.near_duplicates(docs).collect()) == want
+    assert sorted(str(tuple(r)) for r in jaccard.near_duplicates(docs).drop("kept").collect()) == want
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -82,4 +83,4 @@ def test_stage_drops_edited_copies(spark):
 def test_stage_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert sorted(str(tuple(r)) for r in jaccard.near_duplicates(docs).collect()) == brute_force(rows)
+    assert sorted(str(tuple(r)) for r in jaccard.near_duplicates(docs).drop("kept").collect()) == brute_force(rows)

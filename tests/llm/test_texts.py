@@ -189,9 +189,12 @@ def test_overlaps_widen_until_they_align():
         assert token_counts.count_overlapping(t, spans, 20, 4) == counts([t])[0]
 
 
-def test_digests(docs, empty):
-    rows = rows_of(docs)
-    got = digest.edited_digests(docs, parts=4).collect()
+def edited_rows(rows):
+    """Brute force over (key, text) rows: by key, then by hash of the text, then by text."""
+    import xxhash
+
+    hashed = [(i is not None, i or 0, xxhash.xxh64_intdigest(t.encode(), 42), t, i) for i, t in rows]
+    rows = [(i, t) for *_, t, i in sorted((a, b, h - 2**64 if h >= 2**63 else h, t, i) for a, b, h, t, i in hashed)]
     want = []
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1]
@@ -199,9 +202,27 @@ def test_digests(docs, empty):
         e = t[: len(t) - m] + nxt[:m]
         a, b, c = (digest.digest(x.encode()) for x in (t, e, nxt))
         want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, digest.likeness(a, b), digest.likeness(a, c)))
-    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 30, 5000, 300])
+def test_digests(docs, empty, range_bytes):
+    got = digest.edited_digests(docs, range_bytes=range_bytes).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == edited_rows(rows_of(docs))
     assert digest.edited_digests(empty).count() == 0
-    assert digest.edited_digests(docs.filter("doc_id = 0"), parts=3).first()["near_next"] == 1.0
+    assert digest.edited_digests(docs.filter("doc_id = 0")).first()["near_next"] == 1.0
+
+
+def test_digests_of_a_hot_key(spark):
+    """A key with most rows, and copies of one row under one key, are cut into many ranges."""
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcde ") for _ in range(40))) for i in range(100)]
+    rows += [(50, "".join(rng.choice("abcde ") for _ in range(40))) for _ in range(300)] + [(70, "one and the same row")] * 300 + [(None, "none")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = digest.edited_digests(docs, range_bytes=600)
+    sizes = [n for n in got.rdd.glom().map(len).collect() if n]
+    assert max(sizes) < 100 and len(sizes) > 20
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == edited_rows(rows)
 
 
 def test_digest_is_bounded_and_blockwise():
@@ -217,38 +238,54 @@ def test_digest_is_bounded_and_blockwise():
     assert (small == digest.bucket_counts(a)).all() and small.sum() == 6 * (3000 - 4)
 
 
-def test_packing(docs, empty):
-    got = packing.pack_batches(docs, buckets=4, budget=300).collect()
-    assert len(got) == docs.count()
+@pytest.mark.parametrize("length", [None, "n_chars", "regexp_count(text, 'a')"])
+def test_packing(docs, empty, length):
+    length = length and F.expr(length)
+    got = packing.pack_batches(docs, length=length, buckets=4, budget=300).collect()
+    lengths = [r[0] or 0 for r in docs.select(F.coalesce(F.octet_length("text"), F.lit(0)) if length is None else length).collect()]
+    assert sorted(r["n_tokens"] for r in got) == sorted(lengths)
     batches, bounds = {}, sorted({r["bucket_tokens"] for r in got})
     for r in got:
-        assert r["n_tokens"] + r["padding"] == r["bucket_tokens"] and (r["bucket_tokens"] == min(b for b in bounds if b >= r["n_tokens"]) or r["n_tokens"] <= bounds[0])
+        assert r["n_tokens"] + r["padding"] == r["bucket_tokens"] == min(b for b in bounds if b >= r["n_tokens"])
         batches.setdefault(r["batch"], []).append((r["slot"], r["bucket_tokens"]))
     for slots in batches.values():
         assert sorted(s for s, _ in slots) == list(range(len(slots))) and len({b for _, b in slots}) == 1
         assert len(slots) == 1 or len(slots) * slots[0][1] <= 300
     for b in bounds:
         full = sorted((len(s) for s in batches.values() if s[0][1] == b), reverse=True)
-        assert all(n == max(1, 300 // b) for n in full[:-1])
+        assert all(n == max(1, 300 // max(b, 1)) for n in full[:-1])
     assert sorted(batches) == list(range(len(batches)))
+    assert sum(r["padding"] for r in got) == least_padding(lengths, 4)
     assert packing.pack_batches(empty).count() == 0
 
 
-def test_boundaries_are_optimal():
-    from itertools import combinations
+def least_padding(lengths, buckets):
+    """By the plain recurrence over all splits."""
+    sizes = sorted(set(lengths))
+    count = [lengths.count(s) for s in sizes]
+    cost = lambda i, j: sum(c * (sizes[j - 1] - s) for s, c in zip(sizes[i:j], count[i:j]))
+    best = [0] + [cost(0, j) for j in range(1, len(sizes) + 1)]
+    for _ in range(buckets - 1):
+        best = [min(best[i] + cost(i, j) for i in range(j + 1)) if j else 0 for j in range(len(sizes) + 1)]
+    return best[-1]
 
-    rng = np.random.RandomState(4)
-    for _ in range(40):
-        sizes = np.sort(rng.choice(50, rng.randint(1, 9), replace=False)).astype(np.int64)
-        counts = rng.randint(1, 9, len(sizes))
-        totals = sizes * counts
 
-        def padding(bounds):
-            return sum(int(c * (min(b for b in bounds if b >= s) - s)) for s, c in zip(sizes, counts))
+def test_long_lengths_have_exact_boundaries(spark):
+    rows = [(i, "x" * n) for i, n in enumerate([5001, 5001, 5001, 9001])]
+    got = packing.pack_batches(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["n_tokens"], r["bucket_tokens"], r["padding"]) for r in got.collect()} == {(5001, 5001, 0), (9001, 9001, 0)}
 
-        k = min(3, len(sizes))
-        best = min(padding((*c, sizes[-1])) for c in combinations(sizes[:-1], k - 1)) if k > 1 else padding((sizes[-1],))
-        assert padding(packing.optimal_boundaries(sizes, counts, totals, 3)) == best
+
+def test_boundaries_are_optimal():
+    rng = np.random.RandomState(4)
+    for _ in range(60):
+        top = int(rng.choice([50, 20_000, 10**7]))
+        lengths = rng.randint(0, top, rng.randint(1, 40)).tolist() * 2
+        k = int(rng.randint(1, 7))
+        sizes, counts = np.unique(lengths, return_counts=True)
+        bounds = packing.optimal_boundaries(sizes.astype(np.int64), counts.astype(np.int64), k)
+        assert len(bounds) <= k and bounds[-1] == max(lengths)
+        assert sum(min(b for b in bounds if b >= n) - n for n in lengths) == least_padding(lengths, k)
 
 
 def test_licenses(spark, empty):
@@ -329,6 +366,27 @@ def test_quality_without_labels_or_rows(docs, empty, graded):
     assert "score_in" in named.columns and named.count() == docs.count()
 
 
+def test_repeated_keys_do_not_widen_the_sample(graded):
+    docs, labels = graded
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    model = quality.train(twice, labels, rows=50)
+    assert len(model.linear) == quality.SIZE
+    got = quality.score_quality(twice, labels).collect()
+    assert len(got) == twice.count()
+
+
+def test_score_is_what_the_features_give(graded):
+    """Scores of the query, by the plain sum over pairs."""
+    docs, labels = graded
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
+    for r in docs.limit(20).collect():
+        idx, val = quality.Features().of(r["text"])
+        z = model.bias + model.linear[idx] @ val
+        z += sum(model.factors[idx[i]] @ model.factors[idx[j]] * val[i] * val[j] for i in range(len(idx)) for j in range(i))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 def test_pair_sum_identity():
     rng = np.random.RandomState(0)
     fm = quality.FactorisationMachine(0.3, rng.normal(size=quality.SIZE), rng.normal(size=(quality.SIZE, quality.RANK)))
