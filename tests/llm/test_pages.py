@@ -105,3 +105,96 @@ def test_every_page_has_a_row(spark, pages):
     got = html_text.extract_main_text(pages).collect()
     assert len(got) == pages.count() and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
+
+
+P = "A paragraph with enough words that it reads like the text of an article and not like a menu. "
+HOSTILE = {
+    "body in a class that sounds like a notice": (f"<body><nav><a>Home</a></nav><div class='post notice-board-story'><h1>Title here</h1><p>{P * 2}</p><p>{P}</p><p>Short one.</p></div><footer>Imprint</footer></body>", ["Title here", P * 2, P, "Short one."]),
+    "related-content in an article": (f"<article><h1>Head</h1><p>{P}</p><div class='related-content'><p>{P * 2}</p></div><p>{P}</p></article>", ["Head", P, P * 2, P]),
+    "related links": (f"<article><h1>Head</h1><p>{P}</p><div class='related'><a>{P}</a> <a>More of it</a></div></article>", ["Head", P]),
+    "formula and fall-back text": (f"<article><p>It is <math><mi>a</mi><mo>+</mo><mi>b</mi></math> here. {P}</p><noscript><p>{P}</p></noscript></article>", ["It is a+b here. " + P, P]),
+    "an unclosed quote": (f"<article><p title=\"bad>Second part. {P}</p><p class=\"x\">More {P}</p></article>", ["Second part. " + P, "More " + P]),
+    "markup in a closed quote": (f"<article><p title=\"a > b <b>c</b>\">{P}</p></article>", [P]),
+    "comments": (f"<article><h1>H</h1><p>{P}</p><div class='comments'><h3>Comments</h3><div class='comment'><p>I think {P}</p><p>ok</p></div><div class='comment'><p>{P * 4}</p></div></div></article>", ["H", P]),
+    "aside and form": (f"<article><p>{P * 2}</p><aside><h3>More</h3><p>{P * 3}</p></aside><p>{P}</p><form>Your mail {P}<button>ok</button></form></article>", [P * 2, P]),
+    "a long advert": (f"<article><p>{P}</p><div class='ad'>{P * 4}</div><p>{P}</p></article>", [P, P]),
+    "no article, a list and a table": (f"<body><div><h2>S</h2><p>{P * 2}</p><ul><li>One</li><li>Two</li><li>Three</li><li>Four</li></ul><table><tr><td>a</td><td>b</td></tr></table><p>{P}</p></div></body>", ["S", P * 2, "One", "Two", "Three", "Four", "a", "b", P]),
+    "a phrase of footers in the text": (f"<article><p>{P}</p><p>All rights reserved.</p></article>", [P, "All rights reserved."]),
+    "a number beyond all": ("<article><p>Big &#" + "9" * 6000 + f"; and &#0000000065; in {P}</p></article>", ["Big � and A in " + P]),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages(name):
+    page, want = HOSTILE[name]
+    assert html_text.main_text(page) == "\n\n".join(w.strip() for w in want)
+
+
+@pytest.mark.parametrize("page", ["<a " * 20_000, "<p title='" * 20_000, "<p a='>" * 20_000 + "'x", "<div>" * 20_000 + "</b>" * 20_000, "<b>" * 20_000 + "<li>" * 20_000, "<style>" + "</style " * 20_000, "<p>x</p><p>" + "<!--" * 20_000, "<p>short</p><div><a>link link</a></div>" * 3_000])
+def test_no_page_is_slow(page):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 1.5
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def article_blocks(page):
+    """The blocks of the article element, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag in html_text.BLOCKS:
+                self.blocks.append("")
+            elif tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            if tag in html_text.BLOCKS:
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    parser = Parser()
+    parser.feed(page or "")
+    return "\n\n".join(t for b in parser.blocks if (t := " ".join(b.split())))
+
+
+def test_query_on_the_table(spark):
+    import os
+
+    from stridelake.llm.queries import op8_html_main_text
+
+    if not os.path.isdir(SF):
+        pytest.skip("test tables are absent")
+    rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = op8_html_main_text(spark, SF).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: article_blocks(v) for k, v in rows.items()} and len(got) == len(rows)
+
+
+def test_cut_decides_labels(spark):
+    """Blocks of the table whose own cost has the other sign than their label, and of a page of short blocks."""
+    import os
+
+    blocks = html_text.blocks_of(f"<div><h2>S</h2><p>{P * 2}</p><h3>T</h3><p>No.</p><p>{P}</p></div>")
+    costs = html_text.block_costs(blocks)
+    assert min(costs) < 0 and all(html_text.min_cut(costs, html_text.smoothness(blocks)))
+    if os.path.isdir(SF):
+        flipped = 0
+        for r in spark.read.parquet(f"{SF.replace('0.01', '0.1')}/pages.parquet").select("html").collect():
+            blocks = html_text.blocks_of(r["html"] or "")
+            costs = html_text.block_costs(blocks)
+            flipped += sum((c > 0) != k for c, k in zip(costs, html_text.min_cut(costs, html_text.smoothness(blocks))))
+        assert flipped >= 10
