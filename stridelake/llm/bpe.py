@@ -8,7 +8,10 @@ continuation can change them. Two kinds of boundary are stable:
 * inside a pre-token: a token that ends further from the end of the known
   bytes than the merge list's sufficient lookahead.
 
-Memory is bounded by the block size, the lookahead and the memo's cap.
+Every text goes through the transducer in blocks: ids are hashed and decoded as
+they come out, so memory is bounded by the block size, the lookahead and the
+memo's cap, whatever the text. The memo only holds what the transducer gave for
+a pre-token before.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 RUNS = [r"\p{L}+", r"\p{N}+", rf"[^{SPACE}\p{{L}}\p{{N}}]+", rf"[{SPACE}]+"]
 
-BLOCK, LONG, MEMO = 1 << 16, 1 << 12, 600_000
+BLOCK, MEMO = 1 << 14, 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -140,6 +143,25 @@ class Vocabulary:
                 return self.merge(data)
         return out
 
+    def stable(self, known: bytes) -> tuple[list[int], int]:
+        """Tokens at the start of a pre-token that no continuation of its known bytes can change, and their bytes."""
+        done, size, certain = [], 0, len(known) - self.lookahead
+        for i in self.merge(known):
+            if size + len(self.bytes_of[i]) > certain:
+                break
+            done.append(i)
+            size += len(self.bytes_of[i])
+        return done, size
+
+    def pre_token(self, data: bytes, window: int) -> Iterator[list[int]]:
+        """Tokens of one pre-token; a long one passes through a window, from whose start stable tokens are emitted."""
+        at = 0
+        while len(data) - at > window:
+            done, size = self.stable(data[at : at + window])
+            yield done
+            at += size
+        yield self.tokens(data[at:])
+
     def agrees(self, last: int, t: int) -> bool:
         """Whether two tokens (one, if last is negative) are the encoding of their bytes."""
         if len(self.agree) >= MEMO:
@@ -200,11 +222,15 @@ class _Words(dict):
 
 
 class Encoder:
-    """encode_stream(text pieces) yields packed ids (little-endian 32-bit) as they become stable."""
+    """encode_stream(text pieces) yields packed ids (little-endian 32-bit) as they become stable.
+
+    `long` is the length, in characters or bytes, from which a pre-token is
+    not awaited whole: its stable start is emitted by the lookahead.
+    """
 
-    def __init__(self, vocab: Vocabulary, block: int = BLOCK, memo: int = MEMO):
-        self.vocab, self.block = vocab, block
-        self.pre = _Words(lambda w: pack(self.vocab.tokens(w.encode("utf-8"))), memo)
+    def __init__(self, vocab: Vocabulary, block: int = BLOCK, memo: int = MEMO, long: int | None = None):
+        self.vocab, self.block, self.long = vocab, block, max(long or 0, 2 * vocab.lookahead)
+        self.pre = _Words(lambda w: b"".join(map(pack, self.vocab.pre_token(w.encode("utf-8"), self.long))), memo)
         self.words = _Words(self.word, memo)
         self.crowded = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
 
@@ -250,7 +276,7 @@ class Encoder:
             if run is None and (p := self.cut(tail)):
                 yield self.spaced(tail[:p])
                 tail = tail[p:]
-            if run is not None or len(tail) > self.block:
+            if run is not None or len(tail) > self.long:
                 out, tail, run, known = self.unspaced(tail, run, known, False)
                 yield out
         if run is not None:
@@ -279,43 +305,38 @@ class Encoder:
         if run is None:
             for m in vocab.pattern.finditer(text, at):
                 if m.end() > limit - 1 and not last:
-                    if limit - m.start() > LONG:
+                    if limit - m.start() > self.long:
                         run = next(r for r in vocab.runs if r.match(text, m.start() + (text[m.start()] == " " and not text[m.start() + 1].isspace())))
                         stop = limit - 1
                         known, at = text[m.start() : stop].encode("utf-8"), stop
                     break
                 out.append(self.pre[m[0]])
                 at = m.end()
-        if run is not None and len(known) > LONG + vocab.lookahead:
-            done, size = [], 0
-            for i in vocab.merge(known):
-                n = len(vocab.bytes_of[i])
-                if size + n > len(known) - vocab.lookahead:
-                    break
-                done.append(i)
-                size += n
+        if run is not None and len(known) > self.long:
+            done, size = vocab.stable(known)
             out.append(pack(done))
             known = known[size:]
         return b"".join(out), text[at:], run, known
 
-    def encode(self, text: str) -> bytes:
-        if len(text) <= self.block:
-            return self.spaced(text)
-        return b"".join(self.encode_stream(text[i : i + self.block] for i in range(0, len(text), self.block)))
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Packed ids of a whole text, in parts."""
+        return self.encode_stream(text[i : i + self.block] for i in range(0, len(text), self.block))
 
 
 class Decoder:
-    """ids in blocks to text in blocks; an unfinished UTF-8 sequence waits for the next block."""
+    """Packed ids in parts to text in parts; an unfinished UTF-8 sequence waits for the next part."""
 
     def __init__(self, vocab: Vocabulary):
-        self.bytes_of = vocab.bytes_of
+        self.bytes_of, self.state = vocab.bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, packed: bytes) -> str:
+        return self.state.decode(b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist())))
 
-    def decode_stream(self, packed: bytes, block: int = BLOCK) -> Iterator[str]:
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in range(0, len(packed), 4 * block):
-            ids = np.frombuffer(packed, "<u4", min(block, (len(packed) - i) // 4), i).tolist()
-            yield state.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
-        yield state.decode(b"", True)
+    def finish(self) -> str:
+        """What an unfinished sequence at the end gives; the decoder then starts anew."""
+        out = self.state.decode(b"", True)
+        self.state.reset()
+        return out
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -333,15 +354,18 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
         for b in batches:
             n, ids, shas, decoded = [], [], [], []
             for t in b.column(1):
-                packed = encode(t.as_py())
-                sha = hashlib.sha256()
-                for part in decoder.decode_stream(packed):
-                    sha.update(part.encode("utf-8"))
-                n.append(len(packed) // 4)
-                shas.append(hashlib.sha256(packed).hexdigest())
-                decoded.append(sha.hexdigest())
-                if with_ids:
-                    ids.append(packed)
+                size, of_ids, of_text, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+                for packed in encode(t.as_py()):
+                    size += len(packed) // 4
+                    of_ids.update(packed)
+                    of_text.update(decoder.feed(packed).encode("utf-8"))
+                    if with_ids:
+                        kept.append(packed)
+                of_text.update(decoder.finish().encode("utf-8"))
+                n.append(size)
+                shas.append(of_ids.hexdigest())
+                decoded.append(of_text.hexdigest())
+                ids.append(b"".join(kept))
             cols = [b.column(0), pa.array(n, pa.int64())] + [pa.array(ids, pa.binary())] * with_ids + [pa.array(shas), pa.array(decoded)]
             names = ["doc_id", "n_tokens"] + ["ids"] * with_ids + ["ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(cols, names=names)

@@ -153,13 +153,56 @@ def test_bpe_streams_in_any_pieces():
     for s in odd:
         want = bpe.pack(tok.encode(s, add_special_tokens=False).ids)
         for block in (7, 64, 5000):
-            assert bpe.Encoder(vocab, block, memo=50).encode(s) == want, (block, s[:80])
-        assert "".join(bpe.Decoder(vocab).decode_stream(want, 5)) == s
+            assert b"".join(bpe.Encoder(vocab, block, memo=50).encode(s)) == want, (block, s[:80])
+        decoder = bpe.Decoder(vocab)
+        assert "".join(decoder.feed(want[i : i + 20]) for i in range(0, len(want), 20)) + decoder.finish() == s
+
+
+def test_ids_come_out_while_the_text_goes_on():
+    """Texts of ten million characters, with spaces and without: no part is much larger than what was fed, and little is held."""
+    import tracemalloc
+
+    vocab = bpe.vocabulary(vocabulary_path())
+    rng = random.Random(9)
+    word = "".join(rng.choice("abcdefghinotrs") for _ in range(5000))
+    for unit in ("some words of a text, and more. ", word, "é" * 50, "=-" * 50, "\n\n\n"):
+        fed, held, out = 0, [0], 0
+        enc = bpe.Encoder(vocab, memo=1000)
+
+        def pieces(unit=unit):
+            nonlocal fed
+            piece = (unit * (bpe.BLOCK // len(unit) + 1))[: bpe.BLOCK]
+            for _ in range(60):
+                fed += len(piece.encode())
+                yield piece
+
+        tracemalloc.start()
+        for packed in enc.encode_stream(pieces()):
+            out += sum(len(vocab.bytes_of[i]) for i in np.frombuffer(packed, "<u4").tolist())
+            held.append(fed - out)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out == fed and max(held) < 4 * bpe.BLOCK and peak < 12 << 20, (unit[:10], max(held), peak)
+
+
+def test_lookahead_is_used_on_the_table(spark):
+    """Pre-tokens longer than the window come out by the lookahead, as the library has them."""
+    from tokenizers import Tokenizer
+
+    tok, vocab = Tokenizer.from_file(vocabulary_path()), bpe.vocabulary(vocabulary_path())
+    rng = random.Random(10)
+    for n in (300, 1000, 20_000):
+        for alphabet in ("ab", "etaoinshr", "=", "漢字仮名", "0123456789"):
+            t = "".join(rng.choice(alphabet) for _ in range(n))
+            parts = list(vocab.pre_token(t.encode(), 2 * vocab.lookahead))
+            assert len(parts) > 1 and [i for p in parts for i in p] == tok.encode(t, add_special_tokens=False).ids
 
 
 def test_decoder_replaces_broken_sequences():
     vocab = bpe.vocabulary(vocabulary_path())
-    assert "".join(bpe.Decoder(vocab).decode_stream(bpe.pack([vocab.byte_ids[0xE6], vocab.byte_ids[0x61]]), 1)) == "�a"
+    decoder = bpe.Decoder(vocab)
+    assert decoder.feed(bpe.pack([vocab.byte_ids[0xE6]])) + decoder.feed(bpe.pack([vocab.byte_ids[0x61]])) + decoder.finish() == "\ufffda"
+    assert decoder.feed(bpe.pack([vocab.byte_ids[0xE6]])) + decoder.finish() == "\ufffd"
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
