@@ -89,69 +89,100 @@ def candidate_links(distinct: DataFrame, scratch: Scratch, threshold: float) ->
     return tile_links(rows, scratch, [1], RADIUS, WORDS)
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
-    """(sid, hashes) of the texts in wanted (text_id)."""
+def set_tiles(docs: DataFrame, wanted: DataFrame, scratch: Scratch, text: str = "text", size: int = SIZE) -> DataFrame:
+    """(key, block, blocks, members) with members (sid, hashes), from the texts of wanted (text_id, sid, key, block, blocks).
+
+    Copies of a text are dropped in each task, and those of several tasks
+    where they meet. One shuffle: the tiles are built where the sets arrive.
+    """
 
     def run(batches):
+        seen = set()
         for b in batches:
-            sets = [shingle_set(t.as_py(), size) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["sid", "hashes"])
+            new = [i for i, s in enumerate(b.column(1).to_pylist()) if s not in seen and not seen.add(s)]
+            if new:
+                b = b.take(pa.array(new))
+                sets = pa.array([shingle_set(t.as_py(), size).view(np.int64) for t in b.column(0)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], sets], names=["sid", "key", "block", "blocks", "hashes"])
 
     t = text_or_empty(text)
     rows = docs.select(F.xxhash64(t).alias("text_id"), t.alias("text"))
-    return join_checked(rows, wanted, ["text_id"], "left_semi").select("text").mapInArrow(run, "sid long, hashes array<long>").dropDuplicates(["sid"])
+    found = join_checked(rows, wanted, ["text_id"], "inner").select("text", "sid", "key", "block", "blocks")
+    sets = found.mapInArrow(run, "sid long, key long, block int, blocks int, hashes array<long>")
+    return scratch.save(
+        sets.repartition("key", "block").dropDuplicates(["key", "block", "sid"])
+        .groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("sid", "hashes")).alias("members")),
+        "tiles",
+    )
 
 
 def similar_enough(common, left, right, threshold: float):
     return common >= threshold * (left + right - common) - 1e-9
 
 
-def compare_sets(threshold: float):
-    """Rows arrive by home tile: the tile itself, then its visitors. Yields the links as (a, b).
-
-    Only pairs that are not yet connected are compared, so a group of copies costs one pass.
-    """
+class _Tile:
+    """Sets of a tile, their trees, and the places of their hashes in the tile's own dictionary."""
 
-    def tile_of(members: pa.StructArray):
+    def __init__(self, members: pa.StructArray, roots: list[int] | None = None):
         hashes = members.field("hashes")
-        flat, ends = hashes.values.to_numpy(zero_copy_only=False), hashes.offsets.to_numpy()
-        return members.field("sid").to_pylist(), members.field("root").to_pylist(), flat[ends[0] : ends[-1]].copy(), np.diff(ends)
+        ends = hashes.offsets.to_numpy()
+        self.ids = members.field("sid").to_pylist()
+        self.roots = roots or self.ids
+        self.flat, self.sizes = hashes.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].copy(), np.diff(ends)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+
+    def index(self):
+        self.distinct, self.local = np.unique(self.flat, return_inverse=True)
+
+    def links(self, left: _Tile, forest: Forest, threshold: float):
+        """Links between sets of left and of this tile, of pairs that are not yet connected."""
+        for k, (a, root_a) in enumerate(zip(left.ids, left.roots)):
+            root = forest.root(root_a)
+            if all(forest.root(r) == root for r in self.roots):
+                continue
+            mine = left.flat[left.starts[k] : left.starts[k + 1]]
+            place = np.searchsorted(self.distinct, mine)
+            place = place[self.distinct[np.minimum(place, len(self.distinct) - 1)] == mine]
+            mark = np.zeros(len(self.distinct), np.int64)
+            mark[place] = 1
+            common = np.add.reduceat(mark[self.local], self.starts[:-1])
+            for j in np.nonzero(similar_enough(common, len(mine), self.sizes, threshold))[0].tolist():
+                if forest.add(root_a, self.roots[j]):
+                    yield a, self.ids[j]
+
+
+def _links_table(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def compare_homes(threshold: float):
+    """Links within each tile (column members)."""
 
     def run(batches):
-        home, at, forest, distinct, local, starts = None, None, Forest(), None, None, None
-
-        def links(left):
-            lo = 0
-            for a, ra, n, in zip(left[0], left[1], left[3].tolist()):
-                mine = left[2][lo : lo + n]
-                lo += n
-                root = forest.root(ra)
-                if all(forest.root(r) == root for r in set(home[1])):
-                    continue
-                place = np.searchsorted(distinct, mine)
-                place = place[distinct[np.minimum(place, len(distinct) - 1)] == mine]
-                mark = np.zeros(len(distinct), bool)
-                mark[place] = True
-                common = np.add.reduceat(mark[local].astype(np.int64), starts)
-                for j in np.nonzero(similar_enough(common, n, home[3], threshold))[0].tolist():
-                    if forest.add(ra, home[1][j]):
-                        yield a, home[0][j]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tile = _Tile(batch.column(0)[k].values)
+                tile.index()
+                yield _links_table(list(tile.links(tile, Forest(), threshold)))
+
+    return run
+
 
+def compare_visits(threshold: float):
+    """Rows (key, block, visitor, roots, members) arrive by home tile: the tile itself, then its visitors. Links between them."""
+
+    def run(batches):
+        home, at, forest = None, None, Forest()
         for batch in batches:
-            out = []
-            keys, blocks, visitors, members = batch.columns
-            for r, (key, block, visitor) in enumerate(zip(keys.to_pylist(), blocks.to_pylist(), visitors.to_pylist())):
-                tile = tile_of(members[r].values)
+            keys, blocks, visitors, roots, members = batch.columns
+            for r, (key, block, visitor, known) in enumerate(zip(keys.to_pylist(), blocks.to_pylist(), visitors.to_pylist(), roots.to_pylist())):
+                tile = _Tile(members[r].values, known)
                 if not visitor:
                     home, at, forest = tile, (key, block), Forest()
-                    distinct, local = np.unique(home[2], return_inverse=True)
-                    starts = np.concatenate([[0], np.cumsum(home[3])[:-1]])
-                    out += links(home)
+                    home.index()
                 elif (key, block) == at:
-                    out += links(tile)
-            if out:
-                a, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    yield _links_table(list(home.links(tile, forest, threshold)))
 
     return run
 
@@ -167,44 +198,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     unless `row` names a column that tells rows apart: then it is returned
     too, and one row of a component is kept. Empty input gives no rows.
 
-    Sets that are linked by candidates are verified together: first each with
-    the least of them; where that leaves some apart, all with all, in tiles
-    of a bounded number of hashes, so a crowded group is many tasks.
+    Sets that are linked by candidates are verified together, in tiles of a
+    bounded number of hashes: first within each tile; then, in groups of
+    several tiles that are still apart, each set with the least of its group;
+    then, where that is not enough, tile with tile. Sets known to be
+    connected are not compared again, so a crowd of copies costs one pass.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     who = F.struct(F.col(key).isNull().alias("none"), F.col(key).cast("long").alias("id"), (F.col(row) if row else F.lit(0)).alias("row"))
     every = scratch.save(sketches(docs, who, text, size), "sketches")
     distinct = scratch.save(every.groupBy("sid").agg(F.min("who").alias("first"), F.min("text_id").alias("text_id"), F.any_value("n").alias("n"), F.any_value("words").alias("words")), "distinct")
-    near = scratch.save(connected_components(scratch.save(candidate_links(distinct, scratch, threshold), "candidates"), scratch), "near")
-    members = scratch.save(distinct.join(near.select(F.col("node").alias("sid"), F.col("root").alias("key")), "sid").select("sid", "key", "text_id", "n"), "members")
-    sets = scratch.save(candidate_sets(docs, scratch.save(members.select("text_id").distinct(), "wanted"), text, size), "sets")
-
-    pairs = members.filter("sid <> key").select(F.col("key").alias("a"), F.col("sid").alias("b"))
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    first = scratch.save(both.withColumn("common", common).filter(similar_enough(F.col("common"), F.size("x"), F.size("y"), threshold)).select("a", "b"), "links")
-
-    # Each set is now in the tree of its key, or alone.
-    placed = members.join(first.select(F.col("b").alias("sid"), F.lit(True).alias("done")), "sid", "left").select("key", "sid", "n", F.when(F.col("done"), F.col("key")).otherwise(F.col("sid")).alias("root"))
-    placed = scratch.save(placed, "placed")
+    candidates = candidate_links(distinct, scratch, threshold)
+    near = scratch.save(connected_components(candidates, scratch), "near")
+    members = distinct.join(near.select(F.col("node").alias("sid"), F.col("root").alias("key")), "sid").select("sid", "key", "text_id", "n")
+    members = scratch.save(members, "members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_HASHES)).cast("int")
-    rest = scratch.save(
-        placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("sets"), blocks.alias("blocks"))
-        .filter("lo <> hi and sets > 2").select("key", "blocks"),
-        "rest",
-    )
-    tiles = scratch.save(
-        join_checked(placed, rest, ["key"], "inner").join(sets, "sid")
-        .withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-        .groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("sid", "root", "hashes")).alias("members")),
-        "tiles",
-    )
-    home = tiles.select("key", "block", F.lit(False).alias("visitor"), "members")
-    visits = tiles.filter("block + 1 < blocks").select("key", F.explode(F.expr("sequence(block + 1, blocks - 1)")).alias("block"), F.lit(True).alias("visitor"), "members")
-    second = home.unionByName(visits).repartition("key", "block").sortWithinPartitions("key", "block", "visitor").mapInArrow(compare_sets(threshold), "a long, b long")
-    roots = connected_components(scratch.save(first.unionByName(second), "all-links"), scratch)
+    sizes = scratch.save(members.groupBy("key").agg(blocks.alias("blocks")), "sizes")
+    wanted = join_checked(members, sizes, ["key"], "inner").select("text_id", "sid", "key", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    tiles = set_tiles(docs, scratch.save(wanted, "wanted"), scratch, text, size)
+    links = scratch.save(tiles.select("members").mapInArrow(compare_homes(threshold), "a long, b long"), "links")
+
+    wide = tiles.filter("blocks > 1")
+    if not wide.isEmpty():
+        links = _links_between_tiles(wide, links, scratch, threshold)
+    roots = connected_components(links, scratch)
     scratch.drop(tiles)
-    scratch.drop(sets)
 
     rooted = scratch.save(roots.join(distinct.select(F.col("sid").alias("node"), "first"), "node"), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
@@ -213,6 +231,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
         .select("sid", F.coalesce("least", "first").alias("least")),
         "components",
     )
+    for table in (distinct, candidates, near, members, links, rooted):
+        scratch.drop(table)
     return join_checked(every.select("who", "sid"), named, ["sid"], "left").select(
         F.col("who.id").alias("doc_id"), F.col("least.id").alias("component_id"), (F.col("who") == F.col("least")).alias("kept"), *([F.col("who.row").alias(row)] if row else []),
     )
+
+
+def _links_between_tiles(tiles: DataFrame, links: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """links, and enough more to connect what is similar across tiles of a group."""
+    each = tiles.select("key", "block", "blocks", F.inline("members"))
+    pivots = scratch.save(each.groupBy("key").agg(F.min_by(F.struct("sid", "hashes"), "sid").alias("p")).select("key", F.col("p.sid").alias("pivot"), F.col("p.hashes").alias("x")), "pivots")
+    common = F.size(F.array_intersect("x", "hashes"))
+    first = (
+        join_checked(each, pivots, ["key"], "inner").filter("sid <> pivot").withColumn("common", common)
+        .filter(similar_enough(F.col("common"), F.size("x"), F.size("hashes"), threshold)).select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+    )
+    links = scratch.save(links.unionByName(first), "links")
+    known = connected_components(links, scratch).withColumnRenamed("node", "sid")
+    placed = scratch.save(each.select("key", "block", "sid").join(known, "sid", "left").select("key", "block", "sid", F.coalesce("root", "sid").alias("root")), "placed")
+    apart = scratch.save(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "apart")
+    rooted = (
+        join_checked(placed, apart, ["key"], "left_semi").groupBy("key", "block").agg(F.map_from_entries(F.collect_list(F.struct("sid", "root"))).alias("of"))
+        .join(tiles, ["key", "block"])
+        .select("key", "block", "blocks", F.transform("members", lambda m: F.element_at("of", m["sid"])).alias("roots"), "members")
+    )
+    rooted = scratch.save(rooted, "rooted-tiles")
+    home = rooted.select("key", "block", F.lit(False).alias("visitor"), "roots", "members")
+    visits = rooted.filter("block + 1 < blocks").select("key", F.explode(F.expr("sequence(block + 1, blocks - 1)")).alias("block"), F.lit(True).alias("visitor"), "roots", "members")
+    more = home.unionByName(visits).repartition("key", "block").sortWithinPartitions("key", "block", "visitor").mapInArrow(compare_visits(threshold), "a long, b long")
+    return scratch.save(links.unionByName(more), "links")

@@ -7,10 +7,10 @@ import re
 from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import text_or_empty
+from stridelake.llm.common import Scratch, checked, text_or_empty
 
 THRESHOLD = 0.8
 
@@ -42,6 +42,8 @@ TEMPLATES = [
 TEMPLATES += [(p.stem, p.read_text(encoding="utf-8").strip()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 #: Templates of up to this many bigrams share one list of needed words; a longer one, which needs commoner words, has its own.
 NOTICE = 100
+#: Windows of a template start at every size / STRIDES bigrams, and are longer by that much, so that one of them covers any match.
+STRIDES = 16
 
 
 def words_of(text: str) -> list[str]:
@@ -83,15 +85,83 @@ def needed_words(templates: list[tuple[str, str]], threshold: float) -> list[str
     return sorted(out)
 
 
+def window_of(size: int) -> tuple[int, int]:
+    """Bigrams of a window for a template of `size` bigrams, and from one window's start to the next."""
+    step = max(1, size // STRIDES)
+    return size + step - 1, step
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, unit, line_no, license, template, n_bigrams, common, dice: every match of a line or of a whole text.
+    """doc_id, unit, line_no, start_word, license, template, n_bigrams, common, dice: every match of a line, a whole text or a passage.
+
+    Units are the lines of a text (line_no from 1), where it has several
+    lines the whole text (line_no 0), and windows of words wherever they
+    start, over line ends too. A unit is normalised and its bag of word
+    bigrams compared with each template's: 2 * common / (a + b), at least the
+    threshold. For each unit and license the best template is given (ties:
+    the first in the list); of windows that overlap, as one passage, the best
+    (ties: the first template, then the first start), with its first word
+    from 0. Null and empty texts match nothing; a null key stays null;
+    repeated rows count once, as one text of one key.
+    """
+    return scan_units(docs, templates, threshold, key, text).unionByName(scan_passages(docs, templates, threshold, key, text))
+
+
+def _words(text: F.Column) -> F.Column:
+    return F.array_remove(F.split(text, "[^A-Za-z0-9]+"), "")
+
+
+def scan_passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The passages of scan_licenses.
+
+    Texts without a word that a match needs go first. Of the others, bigrams
+    that templates have are counted by text and template (whole in one task,
+    so the partial aggregation leaves a row for each); only where these can
+    make a match are windows built: each matched bigram goes to the windows
+    that hold it, about STRIDES of them, and bags are compared by two partial
+    aggregations. Windows at a text's end are as short as it leaves them.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    grams = template_rows(templates)
+    least = {i: size_bounds(n, threshold)[0] for i, _, _, _, n in grams}
+    table = docs.sparkSession.createDataFrame([(*r, *window_of(r[4]), least[r[0]]) for r in grams], "template int, license string, gram string, t_count int, t_size int, width int, step int, least int")
+    needed = needed_words(templates, threshold)
+    t = text_or_empty(text)
+
+    def matched(rows: DataFrame) -> DataFrame:
+        made = (
+            rows.select(F.col(key).alias("doc_id"), F.xxhash64(t).alias("_hash"), F.explode(F.array(_words(t))).alias("words"))
+            .filter(F.exists("words", lambda w: F.lower(w).isin(needed)) & (F.size("words") > 1))
+            .select("doc_id", "_hash", (F.size("words") - 1).alias("n"), F.posexplode(F.expr("transform(sequence(0, size(words) - 2), i -> lower(concat(words[i], ' ', words[i + 1])))")).alias("at", "gram"))
+        )
+        return made.join(F.broadcast(table), "gram")
+
+    able = (
+        matched(docs).groupBy("doc_id", "_hash", "template", "least").agg(F.count(F.lit(1)).alias("hits"))
+        .filter("hits >= least").select("_hash", "template").distinct()
+    )
+    able = scratch.save(able, "able")
+    some = docs.join(checked(scratch.save(able.select("_hash").distinct(), "texts")), F.xxhash64(t) == F.col("_hash"), "left_semi")
+    windows = (
+        matched(some).join(checked(able), ["_hash", "template"], "left_semi")
+        .withColumn("k", F.explode(F.expr("sequence(greatest(0, cast(ceil((at - width + 1) / step) as int)), cast(at div step as int))")))
+        .groupBy("doc_id", "_hash", "n", "template", "license", "t_size", "width", "step", "k", "gram", "t_count").agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("doc_id", "_hash", "n", "template", "license", "t_size", "width", "step", "k").agg(F.sum(F.least("c", "t_count")).alias("common"))
+        .select("doc_id", "_hash", "template", "license", "common", "t_size", (F.col("k") * F.col("step")).alias("start"), F.expr("least(width, n - k * step)").alias("n_bigrams"))
+        .withColumn("dice", F.round(2 * F.col("common") / (F.col("n_bigrams") + F.col("t_size")), 6))
+        .filter(F.col("dice") >= threshold)
+    )
+    order = Window.partitionBy("doc_id", "_hash", "license").orderBy("start", "n_bigrams", "template")
+    seen = F.max(F.col("start") + F.col("n_bigrams")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    passages = windows.withColumn("new", F.coalesce((F.col("start") >= seen).cast("int"), F.lit(1))).withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.max_by(F.struct("template", "start", "n_bigrams", "common", "dice"), F.struct("dice", (-F.col("template")).alias("t"), (-F.col("start")).alias("s")))
+    return passages.groupBy("doc_id", "_hash", "license", "passage").agg(best.alias("b")).select(
+        "doc_id", F.lit("passage").alias("unit"), F.lit(None).cast("int").alias("line_no"), "b.start", "license", "b.template", "b.n_bigrams", "b.common", "b.dice",
+    ).withColumnRenamed("start", "start_word")
+
 
-    Units are the lines of a text (line_no from 1) and, where it has several
-    lines, the whole text (line_no 0). A unit is normalised and its bag of
-    word bigrams compared with each template's: 2 * common / (a + b), at
-    least the threshold. For each unit and license the best template is given
-    (ties: the first in the list). Null and empty texts match nothing; a null
-    key stays null; repeated rows count once, as one text of one key.
+def scan_units(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The lines and whole texts of scan_licenses.
 
     The number of words bounds the coefficient, so units outside every
     template's size bounds go before their bigrams are built, and so do units
@@ -139,7 +209,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     )
     best = F.max_by(F.struct("template", "common", "dice"), F.struct("dice", (-F.col("template")).alias("t")))
     return found.groupBy("doc_id", "_hash", "line_no", "license", "n_bigrams").agg(best.alias("b")).select(
-        "doc_id", F.when(F.col("line_no") == 0, "text").otherwise("line").alias("unit"), "line_no", "license",
+        "doc_id", F.when(F.col("line_no") == 0, "text").otherwise("line").alias("unit"), "line_no", F.lit(None).cast("int").alias("start_word"), "license",
         "b.template", "n_bigrams", "b.common", "b.dice",
     )
 
@@ -163,8 +233,21 @@ def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float =
            where exists (select 1 from (select distinct t_size from tc) z where 2 * least(n_bigrams, t_size) >= {threshold} * (n_bigrams + t_size) - 1e-9)),
     c as (select doc_id, h, line_no, n_bigrams, gram, count(*) n from ug group by all),
     f as (select doc_id, h, line_no, n_bigrams, template, license, t_size, sum(least(n, t_count)) common from c join tc using (gram) group by all),
-    g as (select *, round(2.0 * common / (n_bigrams + t_size), 6) dice from f)
-    select doc_id, case when line_no = 0 then 'text' else 'line' end unit, line_no::int line_no, license, template, n_bigrams::int n_bigrams, common::bigint common, dice
-    from g where dice >= {threshold}
-    qualify row_number() over (partition by doc_id, h, line_no, license order by dice desc, template) = 1
+    g as (select *, round(2.0 * common / (n_bigrams + t_size), 6) dice from f),
+    pw as (select doc_id, hash(text) h, string_split({norm('text')}, ' ') w from d where text <> ''),
+    pg as (select doc_id, h, len(w) - 1 n, unnest(range(0, len(w) - 1)) pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) gram from pw),
+    pm as (select doc_id, h, n, pos, gram, template, license, t_size, t_count, greatest(1, t_size // {STRIDES}) step, t_size + greatest(1, t_size // {STRIDES}) - 1 width from pg join tc using (gram)),
+    pk as (select *, unnest(range(greatest(0, (pos - width + step) // step), pos // step + 1)) k from pm),
+    pc as (select doc_id, h, n, template, license, t_size, width, step, k, gram, t_count, count(*) c from pk group by all),
+    pf as (select doc_id, h, n, template, license, t_size, width, step, k, sum(least(c, t_count)) common from pc group by all),
+    pd as (select *, k * step start, least(width, n - k * step) size, round(2.0 * common / (least(width, n - k * step) + t_size), 6) dice from pf),
+    pi as (select *, case when start < max(start + size) over o then 0 else 1 end fresh from pd where dice >= {threshold}
+           window o as (partition by doc_id, h, license order by start, size, template rows between unbounded preceding and 1 preceding)),
+    pp as (select *, sum(fresh) over (partition by doc_id, h, license order by start, size, template rows unbounded preceding) passage from pi)
+    select doc_id, case when line_no = 0 then 'text' else 'line' end unit, line_no::int line_no, null::int start_word, license, template, n_bigrams::int n_bigrams, common::bigint common, dice
+    from (select * from g where dice >= {threshold}
+          qualify row_number() over (partition by doc_id, h, line_no, license order by dice desc, template) = 1)
+    union all
+    select doc_id, 'passage', null, start::int, license, template, size::int, common::bigint, dice
+    from (select * from pp qualify row_number() over (partition by doc_id, h, license, passage order by dice desc, template, start) = 1)
     """

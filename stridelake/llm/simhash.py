@@ -183,12 +183,15 @@ def tile_links(rows: DataFrame, scratch: Scratch, offsets: list[int], radius: in
         .filter("not same or block > own")
         .select("cell", "block", F.lit(True).alias("visitor"), "records")
     )
-    return (
+    links = (
         home.unionByName(visits)
         .repartition("cell", "block")
         .sortWithinPartitions("cell", "block", "visitor")
         .mapInArrow(compare_tiles(radius, words), "a long, b long")
     )
+    links = scratch.save(links, "links")
+    scratch.drop(tiles)
+    return links
 
 
 def near_links(fps: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
@@ -216,7 +219,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, key: str = "doc_id", text:
     scratch = Scratch(docs.sparkSession, "simhash")
     every = scratch.save(fingerprints(docs, key, text, size, seed), "fingerprints")
     distinct = scratch.save(every.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(scratch.save(near_links(distinct.select("fp"), scratch, radius), "links"), scratch)
+    roots = connected_components(near_links(distinct.select("fp"), scratch, radius), scratch)
     roots = scratch.save(
         roots.join(distinct, roots["node"] == distinct["fp"]).select("root", "fp", "first"), "roots"
     )

@@ -17,3 +17,74 @@ def test_whole_texts_are_found(spark):
     found = {(r["doc_id"], r["license"]) for r in got}
     assert found >= {(i, n) for i, n in enumerate(names)}
     assert not {x for x in found if x[1] in ("ISC", "Unlicense", "CC0-1.0", "Apache-2.0")} - set(enumerate(names))
+
+
+def dice(a, b):
+    from collections import Counter
+
+    x, y = (Counter(zip(w, w[1:])) for w in (a, b))
+    n = sum(x.values()) + sum(y.values())
+    return 2 * sum((x & y).values()) / n if n else 0
+
+
+def brute_force(rows):
+    """(doc_id, license, template, start_word, dice) of the best window of each run of overlapping windows."""
+    out = []
+    for doc, text in rows:
+        words = license_scan.words_of(text or "")
+        hits = {}
+        for k, (name, template) in enumerate(license_scan.TEMPLATES):
+            t = license_scan.words_of(template)
+            width, step = license_scan.window_of(len(t) - 1)
+            for start in range(0, len(words) - 1, step):
+                w = words[start : start + width + 1]
+                if (d := round(dice(w, t), 6)) >= license_scan.THRESHOLD:
+                    hits.setdefault(name, []).append((start, len(w) - 1, k, d))
+        for name, found in hits.items():
+            runs, end = [], -1
+            for h in sorted(found):
+                if h[0] >= end:
+                    runs.append([])
+                runs[-1].append(h)
+                end = max(end, h[0] + h[1])
+            out += [(doc, name, k, start, d) for start, _, k, d in (min(r, key=lambda h: (-h[3], h[2], h[0])) for r in runs)]
+    return sorted(out, key=str)
+
+
+MIT, APACHE = license_scan.TEMPLATES[2][1], license_scan.TEMPLATES[4][1]
+PROSE = "It is said that words of many kinds stand in a text, some of the time with reason and some of the time without, as it may be. " * 6
+
+
+def wrapped(text, width=70, lead=""):
+    import textwrap
+
+    return "\n".join(lead + x for x in textwrap.wrap(text, width))
+
+
+PROBES = [
+    ("ISC", "ISC License\n\nCopyright (c) 2011, Some Authors\n\n" + wrapped(WHOLE["ISC"], 78) + "\n"),
+    ("Apache-2.0", "package a;\n\n" + wrapped(APACHE, 66, " * ") + "\n\nclass B { int c = 1; }\n" + PROSE),
+    ("MIT", wrapped(MIT) + "\n\n" + PROSE),
+    ("MIT", PROSE + MIT + " " + PROSE),
+    ("MIT", PROSE + "Licensed under the MIT License. " + PROSE),
+    ("MIT", MIT),
+    ("BSD-3-Clause", PROSE + wrapped(WHOLE["BSD-3-Clause"], 60) + PROSE),
+]
+
+
+def test_licenses_inside_texts(spark):
+    """Wrapped, in the middle of other text, within a line: found, and where brute force over all windows finds them."""
+    rows = [(i, t) for i, (_, t) in enumerate(PROBES)] + [(100, PROSE), (101, None), (102, ""), (103, "word"), (104, MIT + "\n" + PROSE + MIT), (104, MIT + "\n" + PROSE + MIT), (None, MIT)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as template", "2 as n", "3 as start", "'x' as license")
+    got = license_scan.scan_licenses(docs).filter("unit = 'passage'").collect()
+    found = sorted(((r["doc_id"], r["license"], r["template"], r["start_word"], r["dice"]) for r in got), key=str)
+    assert found == brute_force(list(dict.fromkeys(rows)))
+    assert {(i, n) for i, (n, _) in enumerate(PROBES)} <= {(d, n) for d, n, *_ in found}
+    assert not [f for f in found if f[0] in (100, 101, 102, 103)] and sum(f[0] == 104 for f in found) == 2
+
+
+def test_whole_texts_inside_others(spark):
+    names = sorted(n for n in WHOLE if n not in ("GPL-2.0",))
+    rows = [(i, f"{PROSE}\n{WHOLE[n]}\n{PROSE}") for i, n in enumerate(names)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).filter("unit = 'passage'").collect()
+    assert {(r["doc_id"], r["license"]) for r in got} >= set(enumerate(names))
