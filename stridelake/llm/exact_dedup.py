@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import Scratch, join_checked, text_or_empty
+from stridelake.llm.common import Scratch, text_or_empty
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DIGIT, GROWTH = 32, 8
@@ -36,11 +36,12 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", r
     returned too, and of such rows the largest is kept alone. Empty input
     gives no rows; other columns are ignored.
 
-    A level moves only digits: members are counted by (group, digit) with
-    map-side partial aggregation, so a hot group is a few rows a task, and
-    the bytes not yet read stay beside their row. The split of a level is
-    stored once: rows that are done with their verdict, the others with the
-    rest of their bytes, from which the next level reads.
+    Members are counted by (group, digit) with map-side partial aggregation,
+    so a hot group is a few rows a task; then rows move to their digit, with
+    the bytes not yet read, in a sort-merge join that adaptive execution
+    splits where a digit is hot. The split of a level is stored once: rows
+    that are done with their verdict, the others with the rest of their
+    bytes, from which the next level reads.
     """
     scratch = Scratch(docs.sparkSession, "radix")
     name = F.struct(F.col(key).cast("long").alias("id"), (F.col(row) if row else F.lit(0)).alias("row"))
@@ -61,9 +62,9 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", r
             "groups",
         )
         more = not groups.filter("not ended").isEmpty()
-        split = join_checked(
-            rows.select("who", "sha", "gid", *digit, *([F.expr(f"substring(rest, {width + 1})").alias("tail")] * more)),
-            groups, ["gid", "digit", "ended"], "left",
+        # Rows move to their digits in one shuffle at every size: digits of all groups have no bound that a broadcast needs.
+        split = rows.select("who", "sha", "gid", *digit, *([F.expr(f"substring(rest, {width + 1})").alias("tail")] * more)).join(
+            groups.hint("merge"), ["gid", "digit", "ended"], "left"
         )
         last = scratch.save(
             split.select(
