@@ -96,8 +96,11 @@ class Sections:
     def merge_candidates(self) -> DataFrame:
         return spa.merge_pairs(self.t.sections)
 
-    def pruned(self, radius_m: float = 50.0) -> DataFrame:
-        return det.pruned(self.t.sections, sec.visit_counts(self.t.traversals), radius_m, 0.3)
+    def pruned(self, threshold_m: float = 50.0, least: float = 0.5) -> DataFrame:
+        return det.pruned(self.t.sections, self.t.section_points, sec.visit_counts(self.t.traversals), threshold_m, least)
+
+    def merge_candidates(self, centre_m: float = 300.0) -> DataFrame:
+        return spa.merge_candidates(self.t.sections, self.t.section_points, centre_m)
 
 
 class Routes:
@@ -177,10 +180,10 @@ class Maps:
         return fit.bounds_union(self.t.activities, self.t.metrics, start, end, sports)
 
     def tile_plan(self, zooms: list[int]) -> DataFrame:
-        return heat.tile_plan(self.t.points, zooms)
+        return heat.tile_plan(self.tracks, zooms)
 
     def tiles(self, zoom: int) -> DataFrame:
-        return heat.rendered(heat.pixel_counts(self.tracks, zoom))
+        return heat.rendered(heat.pixel_intensity(self.tracks, [zoom]))
 
     def route_groups(self, cfg: det.DetectionConfig = det.DetectionConfig()) -> DataFrame:
         return det.route_groups(self.tracks, cfg)

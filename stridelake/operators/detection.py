@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stridelake.functions.scalar import haversine
 from stridelake.operators.graph import connected_components
-from stridelake.operators.spatial import METRES_PER_DEGREE, radius_join
+from stridelake.operators.spatial import near_box, overlaps, radius_join
 
 
 @dataclass(frozen=True)
@@ -87,17 +87,19 @@ def consensus(points: DataFrame, cell_deg: float) -> DataFrame:
 
 def candidates_by_box(boxes: DataFrame, min_lat: float, max_lat: float, min_lng: float, max_lng: float, proximity_m: float) -> DataFrame:
     """Rows whose box comes within twice the proximity of another box."""
-    pad = 2 * proximity_m / METRES_PER_DEGREE
-    return boxes.filter((F.col("min_lat") <= max_lat + pad) & (F.col("max_lat") >= min_lat - pad) & (F.col("min_lng") <= max_lng + 1.5 * pad) & (F.col("max_lng") >= min_lng - 1.5 * pad))
+    return boxes.filter(near_box(min_lat, max_lat, min_lng, max_lng, 2 * proximity_m, (F.col("min_lat"), F.col("max_lat")), (F.col("min_lng"), F.col("max_lng"))))
 
 
-def pruned(sections: DataFrame, counts: DataFrame, radius_m: float, length_gap: float) -> DataFrame:
-    """Automatic sections without those that a busier one of the same sport covers (ties: the smaller id stays)."""
-    s = sections.filter("section_type = 'auto'").join(counts.select("section_id", "laps"), "section_id", "left").select("section_id", "sport_type", "section_meters", F.coalesce("laps", F.lit(0)).alias("laps"), "lat", "lng")
-    o = s.toDF("other_id", "sport_type", "other_meters", "other_laps", "rlat", "rlng")
-    gap = F.abs(F.col("section_meters") - F.col("other_meters")) / F.greatest("section_meters", "other_meters")
-    busier = (F.col("other_laps") > F.col("laps")) | ((F.col("other_laps") == F.col("laps")) & (F.col("other_id") < F.col("section_id")))
-    covered = radius_join(s, o, radius_m, ["sport_type"]).filter((gap <= length_gap) & busier).select("section_id").distinct()
+def pruned(sections: DataFrame, points: DataFrame, counts: DataFrame, threshold_m: float, least: float) -> DataFrame:
+    """Automatic sections without those that a busier one of the same sport covers (ties: the smaller id stays).
+
+    Covered: at least the share `least` of its points (section_id, point, lat,
+    lng) lies within the threshold of the other's.
+    """
+    s = sections.filter("section_type = 'auto'").join(counts.select("section_id", "laps"), "section_id", "left").select("section_id", "sport_type", F.coalesce("laps", F.lit(0)).alias("laps"))
+    over = overlaps(points.join(s.select("section_id", "sport_type"), "section_id"), threshold_m, ["sport_type"]).filter(F.col("fraction") >= least)
+    both = over.join(s.select("section_id", "laps"), "section_id").join(s.select(F.col("section_id").alias("other_id"), F.col("laps").alias("other_laps")), "other_id")
+    covered = both.filter("other_laps > laps or (other_laps = laps and other_id < section_id)").select("section_id").distinct()
     return s.join(covered, "section_id", "left_anti").select("section_id", "sport_type", "laps")
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stridelake.operators.spatial import near_box
 from stridelake.functions import scalar as S
 
 # Score of each category, and the caps of the surface.
@@ -44,8 +45,7 @@ def gates(c: DataFrame) -> DataFrame:
 
 def near(c: DataFrame, lat: Column, lng: Column, min_lat: float, max_lat: float, min_lng: float, max_lng: float, pad_km: float = 25.0) -> DataFrame:
     """Rows within the active region widened by pad_km."""
-    dy = pad_km / 111.195
-    return c.filter(lat.between(min_lat - dy, max_lat + dy) & lng.between(min_lng - 1.5 * dy, max_lng + 1.5 * dy))
+    return c.filter(near_box(min_lat, max_lat, min_lng, max_lng, 1000 * pad_km, (lat, lat), (lng, lng)))
 
 
 def scored(c: DataFrame) -> DataFrame:

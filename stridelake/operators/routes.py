@@ -79,11 +79,29 @@ def match_percent(points_a: DataFrame, points_b: DataFrame, cell_deg: float, per
     return both.select("pair", F.round(amd, 3).alias("amd"), F.round(pct, 3).alias("match"))
 
 
+def track_distances(points: DataFrame, groups: DataFrame, samples: int = 20) -> DataFrame:
+    """(route_id, a, b, d) for each two tracks of a route: the mean distance of a's sampled points to the nearest of b's.
+
+    points: track_id, seq from 1, lat, lng; groups: track_id, route_id. Both
+    tracks are sampled at even steps, as many points as the shorter one has,
+    `samples` at most. Pairs are those of a route, so a route of n tracks
+    costs n squared times samples squared; only sampled points are joined.
+    """
+    sizes = points.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).join(groups, "track_id")
+    pairs = sizes.toDF("a", "na", "route_id").join(sizes.toDF("b", "nb", "route_id"), "route_id").filter("a <> b").withColumn("k", F.least(F.lit(samples), "na", "nb"))
+    step = {"a": F.expr("na div k"), "b": F.expr("nb div k")}
+    pick = lambda side: (F.pmod(F.col("seq") - 1, step[side]) == 0) & ((F.col("seq") - 1) / step[side] < F.col("k"))
+    left = pairs.join(points.withColumnRenamed("track_id", "a"), "a").filter(pick("a")).select("route_id", "a", "b", F.col("seq").alias("i"), F.col("lat").alias("la"), F.col("lng").alias("lo"))
+    right = pairs.join(points.withColumnRenamed("track_id", "b"), "b").filter(pick("b")).select("a", "b", "lat", "lng")
+    near = left.join(right, ["a", "b"]).groupBy("route_id", "a", "b", "i").agg(F.min(S.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng"))).alias("d"))
+    return near.groupBy("route_id", "a", "b").agg(F.avg("d").alias("d"))
+
+
 def medoid(distances: DataFrame) -> DataFrame:
     """Member with the least summed distance to the others of its route (the smallest id of equal ones).
 
     distances: (route_id, a, b, d), each pair in both directions.
     """
-    s = distances.groupBy("route_id", "a").agg(F.round(F.sum("d"), 6).alias("s"))
+    s = distances.groupBy("route_id", "a").agg(F.round(F.sum("d"), 3).alias("s"))
     best = F.min(F.struct("s", "a"))
     return s.groupBy("route_id").agg(best["a"].alias("medoid"), best["s"].alias("total"))

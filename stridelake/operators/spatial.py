@@ -18,23 +18,48 @@ def in_viewport(min_lat: float, max_lat: float, min_lng: float, max_lng: float)
     return (F.col("min_lat") <= max_lat) & (F.col("max_lat") >= min_lat) & (F.col("min_lng") <= max_lng) & (F.col("max_lng") >= min_lng)
 
 
-def cell_sizes(radius_m: float, max_lat: float = 70.0) -> tuple[float, float]:
-    """Degrees of latitude and longitude that hold the radius up to a latitude."""
-    return radius_m * 1.001 / METRES_PER_DEGREE, radius_m * 1.001 / (METRES_PER_DEGREE * math.cos(math.radians(max_lat)))
+def near_box(min_lat: float, max_lat: float, min_lng: float, max_lng: float, pad_m: float, lat: tuple[Column, Column], lng: tuple[Column, Column]) -> Column:
+    """Boxes (lowest and highest latitude, longitude) that come within pad_m of a box, whatever its latitude or the antimeridian."""
+    dy = pad_m / METRES_PER_DEGREE
+    polar = max(abs(min_lat - dy), abs(max_lat + dy))
+    dx = dy / math.cos(math.radians(polar)) if polar < 89.9 else 360.0
+    turns = [(lng[0] <= max_lng + dx + turn) & (lng[1] >= min_lng - dx + turn) for turn in (0, -360, 360)]
+    return (lat[0] <= max_lat + dy) & (lat[1] >= min_lat - dy) & (turns[0] | turns[1] | turns[2])
+
+
+def _band(lat: Column, radius_m: float) -> Column:
+    return F.floor((lat + 90) / (radius_m * 1.001 / METRES_PER_DEGREE)).cast("long")
+
+
+def _cells_around(band: Column, radius_m: float) -> Column:
+    """Cells of a band of latitude: as wide as the radius is on the most polar circle of the band and its two neighbours."""
+    dy = radius_m * 1.001 / METRES_PER_DEGREE
+    polar = F.greatest(F.abs((band - 1) * dy - 90), F.abs((band + 2) * dy - 90))
+    reach = math.sin(min(radius_m * 1.001 / 2 / 6_371_000.0, math.pi / 2)) / F.cos(F.radians(F.least(polar, F.lit(90.0))))
+    width = F.degrees(2 * F.asin(F.least(reach, F.lit(1.0))))
+    return F.when((polar >= 90) | (reach >= 1), F.lit(1)).otherwise(F.greatest(F.floor(360 / width), F.lit(1))).cast("long")
+
+
+def _cell(lng: Column, cells: Column) -> Column:
+    return F.least(F.floor(F.pmod(lng + 180, F.lit(360.0)) / 360 * cells).cast("long"), cells - 1)
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, on: list[str] | None = None) -> DataFrame:
-    """Pairs within a radius, with their distance in metres.
+    """Pairs within a radius, with their distance in metres, anywhere on the sphere.
 
     left has lat and lng, right rlat and rlng; other columns must differ in
-    name. Cells are as large as the radius, so a left row looks in its own and
-    the eight around it: an equi-join on the cell (and on `on`, if given), with
-    the exact distance as a filter. No pair is found twice.
+    name. Cells are at least as large as the radius: bands of latitude, cut
+    into the more cells the nearer they are to the equator, all around the
+    globe. So a left row looks in its own band and the two beside it, in three
+    cells each: an equi-join on the cell (and on `on`, if given), with the
+    exact distance as a filter. No pair is found twice. Rows without a
+    coordinate have no pairs.
     """
-    dy, dx = cell_sizes(radius_m)
-    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as i, j as j))))"))
-    probe = left.withColumn("_o", around).withColumn("_y", F.floor(F.col("lat") / dy) + F.col("_o.i")).withColumn("_x", F.floor(F.col("lng") / dx) + F.col("_o.j")).drop("_o")
-    build = right.withColumn("_y", F.floor(F.col("rlat") / dy)).withColumn("_x", F.floor(F.col("rlng") / dx))
+    around = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.struct((_band(F.col("lat"), radius_m) + i).alias("y"), _cells_around(_band(F.col("lat"), radius_m) + i, radius_m).alias("n")))
+    cells = F.transform(around, lambda b: F.struct(b["y"].alias("y"), F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.pmod(_cell(F.col("lng"), b["n"]) + j, b["n"]))).alias("xs")))
+    probe = left.filter("lat is not null and lng is not null").withColumn("_b", F.explode(cells)).withColumn("_y", F.col("_b.y")).withColumn("_x", F.explode("_b.xs")).drop("_b")
+    band = _band(F.col("rlat"), radius_m)
+    build = right.filter("rlat is not null and rlng is not null").withColumn("_y", band).withColumn("_x", _cell(F.col("rlng"), _cells_around(band, radius_m)))
     d = haversine(F.col("lat"), F.col("lng"), F.col("rlat"), F.col("rlng"))
     return probe.join(build, [*(on or []), "_y", "_x"]).drop("_y", "_x").withColumn("metres", d).filter(F.col("metres") <= radius_m)
 
@@ -65,6 +90,35 @@ def overlap_fraction(a: DataFrame, b: DataFrame, threshold_m: float) -> DataFram
     return a.groupBy("pair").agg(F.count(F.lit(1)).alias("points")).join(hit, "pair", "left").select("pair", "points", F.round(F.coalesce("hits", F.lit(0)) / F.col("points"), 9).alias("fraction"))
 
 
+def overlaps(points: DataFrame, threshold_m: float, on: list[str] | None = None) -> DataFrame:
+    """(section_id, other_id, fraction): the share of a polyline's points with a point of another within the threshold.
+
+    points: section_id, point, lat, lng and the columns of `on`, in which the
+    two must agree. Only polylines that come within the threshold have a row.
+    """
+    o = points.select(F.col("section_id").alias("other_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"), *(on or []))
+    hits = radius_join(points, o, threshold_m, on).filter("section_id <> other_id").select("section_id", "other_id", "point").distinct().groupBy("section_id", "other_id").agg(F.count(F.lit(1)).alias("hits"))
+    sizes = points.groupBy("section_id").agg(F.count(F.lit(1)).alias("points"))
+    return hits.join(sizes, "section_id").select("section_id", "other_id", F.round(F.col("hits") / F.col("points"), 9).alias("fraction"))
+
+
+def merge_candidates(sections: DataFrame, points: DataFrame, centre_m: float = 300.0, length_gap: float = 0.3, least: float = 0.3, threshold_m: float = 50.0, top: int = 10) -> DataFrame:
+    """For each section the others that lie on it: centres and lengths close, overlap at least `least`; the `top` by overlap.
+
+    Overlap is measured for pairs that pass the centre and length tests only.
+    """
+    s = sections.select("section_id", "section_meters", "lat", "lng")
+    o = s.toDF("other_id", "other_meters", "rlat", "rlng")
+    ratio = F.abs(F.col("section_meters") - F.col("other_meters")) / F.greatest("section_meters", "other_meters")
+    pairs = radius_join(s, o, centre_m).filter((F.col("section_id") != F.col("other_id")) & (ratio <= length_gap)).select("section_id", "other_id", "metres")
+    keyed = pairs.select(F.struct("section_id", "other_id").alias("pair"), "section_id", "other_id")
+    a = keyed.join(points.select("section_id", "point", "lat", "lng"), "section_id").select("pair", "point", "lat", "lng")
+    b = keyed.join(points.select(F.col("section_id").alias("other_id"), "lat", "lng"), "other_id").select("pair", "lat", "lng")
+    f = overlap_fraction(a, b, threshold_m).filter(F.col("fraction") >= least).select("pair.section_id", "pair.other_id", "fraction")
+    w = Window.partitionBy("section_id").orderBy(F.desc("fraction"), "metres", "other_id")
+    return f.join(pairs, ["section_id", "other_id"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("section_id", "other_id", F.round("metres", 3).alias("metres"), "fraction", "rank")
+
+
 def merge_components(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """Groups of sections that merge, each with its root: the member with most traversals (the smallest id of equal ones)."""
     g = connected_components(pairs.select(F.col("section_id").alias("a"), F.col("other_id").alias("b")))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stridelake.operators import detection as op
-from stridelake.operators import fitness
+from stridelake.operators import fitness, routes
 from stridelake.operators import sections as sec
 from stridelake.plans.registry import query
 from stridelake.plans.sections import EFFICIENCY, INDICATORS, LAPS, NOW, RANKED, laps
@@ -22,15 +22,44 @@ def seq(t):
     return t.points.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id"))).select("track_id", "seq", "lat", "lng")
 
 
-@query("g1_g2_route_groups", STEPS + f""", sg as (select track_id, arg_min(lat, seq) lat, arg_min(lng, seq) lng, arg_max(lat, seq) el, arg_max(lng, seq) eg, sum(step) len from st group by 1),
+GROUPS = STEPS + f""", sg as (select track_id, arg_min(lat, seq) lat, arg_min(lng, seq) lng, arg_max(lat, seq) el, arg_max(lng, seq) eg, sum(step) len from st group by 1),
     e as (select a.track_id x, b.track_id y from sg a join sg b on a.track_id < b.track_id where {hav('a', 'b')} <= 2500 and least(a.len, b.len) / greatest(a.len, b.len) >= 0.7
       and 2 * 6371000.0::double * asin(sqrt(least(pow(sin(radians(b.el - a.el) / 2), 2) + cos(radians(a.el)) * cos(radians(b.el)) * pow(sin(radians(b.eg - a.eg) / 2), 2), 1.0))) <= 2500),
-    u as (select x, y from e union select y, x from e), walk(node, reach) as (select track_id, track_id from sg union select walk.node, u.y from walk join u on walk.reach = u.x)
-    select node track_id, min(reach) route from walk group by 1""")
+    u as (select x, y from e union select y, x from e), walk(node, reach) as (select track_id, track_id from sg union select walk.node, u.y from walk join u on walk.reach = u.x),
+    grp as (select node track_id, min(reach) route from walk group by 1)"""
+
+
+@query("g1_g2_route_groups", GROUPS + " select * from grp")
 def groups(t):
     return op.route_groups(seq(t), CFG)
 
 
+ONE_WAY = "least(coalesce(min(" + hav("p", "q") + "), 500), 500)"
+
+
+@query("g3_g4_match_percent", GROUPS + f""", mem as (select track_id, route from grp where track_id <> route),
+    x as (select track_id, avg(d) ab from (select m.track_id, m.seq, {ONE_WAY.replace("p.", "m.").replace("q.", "r.")} d from (select mem.*, seq, lat, lng from mem join sq using (track_id)) m join sq r on r.track_id = m.route group by 1, 2) group by 1),
+    y as (select track_id, avg(d) ba from (select m.track_id, r.seq, {ONE_WAY.replace("p.", "r.").replace("q.", "m.")} d from (select mem.*, seq, lat, lng from mem join sq using (track_id)) m join sq r on r.track_id = m.route group by 1, 2) group by 1)
+    select track_id pair, round((ab + ba) / 2, 3) amd, round(greatest(least((500 - (ab + ba) / 2) / 490 * 100, 100), 0), 3) as match from x join y using (track_id)""")
+def match(t):
+    """Each member of a route against its representative, the route's first track; 500 m of reach are well inside a cell of 0.02 degrees."""
+    p = seq(t)
+    mem = op.route_groups(p, CFG).filter("track_id <> route")
+    a = mem.join(p, "track_id").select(F.col("track_id").alias("pair"), "lat", "lng")
+    b = mem.join(p.withColumnRenamed("track_id", "route"), "route").select(F.col("track_id").alias("pair"), "lat", "lng")
+    return routes.match_percent(a, b, 0.02, 10.0, 500.0)
+
+
+@query("g5_route_medoid", GROUPS + f""", nn as (select track_id, route, count(*) n from grp join sq using (track_id) group by 1, 2),
+    pp as (select a.route route_id, a.track_id a, b.track_id b, least(20, a.n, b.n) k, a.n na, b.n nb from nn a join nn b on a.route = b.route and a.track_id <> b.track_id),
+    dd as (select pp.route_id, pp.a, pp.b, p.seq, min({hav("p", "q")}) d from pp join sq p on p.track_id = pp.a and (p.seq - 1) % (na // k) = 0 and (p.seq - 1) / (na // k) < k join sq q on q.track_id = pp.b and (q.seq - 1) % (nb // k) = 0 and (q.seq - 1) / (nb // k) < k group by 1, 2, 3, 4),
+    s as (select route_id, a, round(sum(d), 3) s from (select route_id, a, b, avg(d) d from dd group by 1, 2, 3) group by 1, 2) select route_id, arg_min(a, struct_pack(s := s, a := a)) medoid, min(s) total from s group by 1""")
+def medoid(t):
+    """Of each route of two tracks or more, by distances of sampled points."""
+    p = seq(t)
+    return routes.medoid(routes.track_distances(p, op.route_groups(p, CFG).select("track_id", F.col("route").alias("route_id"))))
+
+
 @query("g6_detected_sections", """, c as (select floor(lat / 0.002)::bigint y, floor(lng / 0.002)::bigint x, count(distinct track_id) tracks from points group by 1, 2 having count(distinct track_id) >= 3),
     e as (select a.y * 1000000 + a.x a, b.y * 1000000 + b.x b from c a join c b on abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1), walk(node, reach) as (select a, a from e union select walk.node, e.b from walk join e on walk.reach = e.a),
     r as (select node, min(reach) root from walk group by 1) select count(*) cells, max(tracks) peak, sum(tracks)::bigint passes from c join r on node = y * 1000000 + x group by root having count(*) >= 2""")
@@ -48,7 +77,7 @@ def potential(t):
     return op.busy_cells(t.points, CFG)
 
 
-@query("g8_box_candidates", "select activity_id from activities where min_lat <= 46.4 + 100 / 111194.9 and max_lat >= 46.3 - 100 / 111194.9 and min_lng <= 7.5 + 150 / 111194.9 and max_lng >= 7.4 - 150 / 111194.9")
+@query("g8_box_candidates", "select activity_id from activities where min_lat <= 46.4 + 100 / 111194.9 and max_lat >= 46.3 - 100 / 111194.9 and min_lng <= 7.5 + 100 / 111194.9 / cos(radians(46.4 + 100 / 111194.9)) and max_lng >= 7.4 - 100 / 111194.9 / cos(radians(46.4 + 100 / 111194.9))")
 def boxes(t):
     return op.candidates_by_box(t.activities, 46.3, 46.4, 7.4, 7.5, 50.0).select("activity_id")
 
@@ -56,11 +85,13 @@ def boxes(t):
 COUNTS = ", n as (select section_id, count(*) laps from traversals where not excluded group by 1)"
 
 
-@query("g15_pruned_sections", COUNTS + f""", s as (select section_id, sport_type, section_meters, coalesce(laps, 0) laps, lat, lng from sections left join n using (section_id) where section_type = 'auto')
-    select section_id, sport_type, laps from s a where not exists (select 1 from s b where a.sport_type = b.sport_type and abs(a.section_meters - b.section_meters) / greatest(a.section_meters, b.section_meters) <= 0.3
-      and (b.laps > a.laps or (b.laps = a.laps and b.section_id < a.section_id)) and {hav('a', 'b')} <= 1000)""")
+@query("g15_pruned_sections", COUNTS + f""", s as (select section_id, sport_type, coalesce(laps, 0) laps from sections left join n using (section_id) where section_type = 'auto'),
+    sp as (select s.*, point, lat, lng, count(*) over (partition by section_id) size from s join section_points using (section_id)),
+    c as (select a.section_id, a.size, count(distinct a.point) hits from sp a join sp b on a.sport_type = b.sport_type and a.section_id <> b.section_id and abs(a.lat - b.lat) < 0.0005 and (b.laps > a.laps or (b.laps = a.laps and b.section_id < a.section_id))
+      where {hav('a', 'b')} <= 50 group by a.section_id, a.size, b.section_id)
+    select section_id, sport_type, laps from s where section_id not in (select section_id from c where round(hits / size, 9) >= 0.5)""")
 def pruned(t):
-    return op.pruned(t.sections, sec.visit_counts(t.traversals), 1000.0, 0.3)
+    return op.pruned(t.sections, t.section_points, sec.visit_counts(t.traversals), 50.0, 0.5)
 
 
 @query("g14_merged_traversals", """, m as (select t.*, coalesce(superseded_by, section_id) p, (superseded_by is not null)::int mv from traversals t join sections using (section_id)),
@@ -79,9 +110,10 @@ def names(t):
     return op.numbered_names(t.sections)
 
 
-@query("g17_trimmed", STEPS + " select track_id, count(*) points, round(sum(case when seq > 3 then step else 0 end), 3) metres from st where seq between 3 and 20 group by 1")
+@query("g17_trimmed", STEPS + ", b as (select track_id, count(*) // 10 + 1 f, count(*) - count(*) // 10 l from points group by 1) select track_id, count(*) points, round(sum(case when seq > f then step else 0 end), 3) metres from st join b using (track_id) where seq between f and l group by 1")
 def trimmed(t):
-    b = t.points.select("track_id").distinct().select("track_id", F.lit(3).alias("first"), F.lit(20).alias("last"))
+    """Each track without its first and last tenth."""
+    b = t.points.groupBy("track_id").agg(F.expr("count(1) div 10 + 1").alias("first"), F.expr("count(1) - count(1) div 10").alias("last"))
     return op.trimmed(seq(t), b)
 
 
@@ -94,10 +126,11 @@ def edits(t):
     return op.edited(t.sections, e.withColumn("superseded_by", F.lit(None).cast("long")))
 
 
-@query("g11_g19_traces", SEQ + f", l as (select track_id line_id, lat, lng from points where track_id = 0) select distinct sq.track_id, line_id, seq::int seq, sq.lat, sq.lng from sq join l on sq.track_id <> line_id where {hav('sq', 'l')} <= 200")
+@query("g11_g19_traces", SEQ + f" select distinct sq.track_id, l.section_id line_id, seq::int seq, sq.lat, sq.lng from sq join section_points l on abs(sq.lat - l.lat) < 0.002 where {hav('sq', 'l')} <= 200")
 def traces(t):
-    lines = t.points.filter("track_id = 0").select(F.col("track_id").alias("line_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
-    return op.radius_join(seq(t).filter("track_id <> 0"), lines, 200.0).select("track_id", "line_id", "seq", "lat", "lng").distinct()
+    """Fixes of every track near every section's polyline."""
+    lines = t.section_points.select(F.col("section_id").alias("line_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
+    return op.radius_join(seq(t), lines, 200.0).select("track_id", "line_id", "seq", "lat", "lng").distinct()
 
 
 @query("t7_refreshed_indicators", INDICATORS + " select * from ind")

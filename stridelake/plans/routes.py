@@ -45,25 +45,3 @@ def summaries(t):
     select route_id, activities, representative from g order by activities desc, route_id limit 20 offset 20""")
 def page(t):
     return op.summaries(t.metrics).select("route_id", "activities", "representative").orderBy(F.desc("activities"), "route_id").offset(20).limit(20)
-
-
-PAIRS = """, pa as (select track_id pair, lat, lng from points where point_id % 2 = 0), pb as (select track_id pair, lat, lng from points where point_id % 2 = 1),
-    hv as (select a.pair, a.lat la, a.lng lo, b.lat, b.lng, 2 * 6371000.0::double * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2), 1.0))) d from pa a join pb b using (pair)),
-    x as (select pair, avg(least(d, 500)) ab from (select pair, la, lo, min(d) d from hv group by 1, 2, 3) group by 1), y as (select pair, avg(least(d, 500)) ba from (select pair, lat, lng, min(d) d from hv group by 1, 2, 3) group by 1)"""
-
-
-@query("g3_g4_match_percent", PAIRS + " select pair, round((ab + ba) / 2, 3) amd, round(greatest(least((500 - (ab + ba) / 2) / 490 * 100, 100), 0), 3) as match from x join y using (pair)")
-def match(t):
-    """Even against odd fixes of each track; 500 m of reach are well inside a cell of 0.02 degrees."""
-    p = t.points.select(F.col("track_id").alias("pair"), "lat", "lng", "point_id").dropDuplicates(["pair", "lat", "lng", "point_id"])
-    a, b = (p.filter(F.col("point_id") % 2 == k).select("pair", "lat", "lng") for k in (0, 1))
-    return op.match_percent(a, b, 0.02, 10.0, 500.0)
-
-
-@query("g5_route_medoid", """, d as (select m.route_id, m.activity_id a, n.activity_id b, abs(m.moving_time - n.moving_time) + abs(m.distance - n.distance) / 100 d from metrics m join metrics n on m.route_id = n.route_id and m.activity_id <> n.activity_id),
-    s as (select route_id, a, round(sum(d), 6) s from d group by 1, 2) select route_id, arg_min(a, struct_pack(s := s, a := a)) medoid, min(s) total from s group by 1""")
-def medoid(t):
-    m = t.metrics.select("route_id", "activity_id", "moving_time", "distance")
-    o = m.toDF("route_id", "b", "t2", "d2")
-    d = m.join(o, "route_id").filter("activity_id <> b").select("route_id", F.col("activity_id").alias("a"), "b", (F.abs(F.col("moving_time") - F.col("t2")) + F.abs(F.col("distance") - F.col("d2")) / 100).alias("d"))
-    return op.medoid(d)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stridelake.operators import sections as sec
 from stridelake.operators import spatial as op
 from stridelake.plans.registry import query
+from stridelake.sources.adapters import visible
 
 
 def hav(a, b):
@@ -34,25 +35,24 @@ def nearby(t):
     return op.nearby(t.sections, 1500.0)
 
 
-@query("j16_overlap_fraction", f""", a as (select track_id pair, point_id point, lat, lng from points where point_id % 2 = 0), b as (select track_id pair, lat, lng from points where point_id % 2 = 1),
-    h as (select pair, count(*) hits from (select distinct a.pair, point from a join b using (pair) where {hav('a', 'b')} <= 300) group by 1), n as (select pair, count(*) points from a group by 1)
-    select pair, points, round(coalesce(hits, 0) / points, 9) fraction from n left join h using (pair)""")
+@query("j16_overlap_fraction", f""", h as (select a.section_id, b.section_id other_id, count(distinct a.point) hits from section_points a join section_points b on a.section_id <> b.section_id and abs(a.lat - b.lat) < 0.0005 where {hav('a', 'b')} <= 50 group by 1, 2)
+    select h.section_id, other_id, round(hits / n, 9) fraction from h join (select section_id, count(*) n from section_points group by 1) s on s.section_id = h.section_id""")
 def overlap(t):
-    p = t.points.select(F.col("track_id").alias("pair"), F.col("point_id").alias("point"), "lat", "lng")
-    return op.overlap_fraction(p.filter("point % 2 = 0"), p.filter("point % 2 = 1").drop("point"), 300.0)
+    """Every two sections whose polylines come within 50 m of each other."""
+    return op.overlaps(t.section_points, 50.0)
 
 
-@query("j17_merge_candidates", f""", n as (select section_id, count(*) laps from traversals where not excluded group by 1)
-    select a.section_id, b.section_id other_id, round({hav('a', 'b')}, 3) metres, coalesce(n.laps, 0) laps from sections a join sections b on a.section_id <> b.section_id left join n on n.section_id = b.section_id
-    where {hav('a', 'b')} <= 300 and abs(a.section_meters - b.section_meters) / greatest(a.section_meters, b.section_meters) <= 0.3 qualify row_number() over (partition by a.section_id order by metres, b.section_id) <= 10""")
+@query("j17_merge_candidates", f""", c as (select a.section_id, b.section_id other_id, {hav('a', 'b')} metres from sections a join sections b on a.section_id <> b.section_id
+      where not (a.disabled or b.disabled or a.superseded_by is not null or b.superseded_by is not null) and {hav('a', 'b')} <= 300 and abs(a.section_meters - b.section_meters) / greatest(a.section_meters, b.section_meters) <= 0.3),
+    h as (select section_id, other_id, count(*) hits from (select distinct c.section_id, c.other_id, a.point from c join section_points a on a.section_id = c.section_id join section_points b on b.section_id = c.other_id where {hav('a', 'b')} <= 50) group by 1, 2),
+    f as (select h.section_id, other_id, round(hits / n, 9) fraction from h join (select section_id, count(*) n from section_points group by 1) s on s.section_id = h.section_id),
+    n as (select section_id, count(*) laps from traversals where not excluded group by 1)
+    select f.section_id, f.other_id, round(metres, 3) metres, fraction, coalesce(laps, 0) laps, (row_number() over (partition by f.section_id order by fraction desc, metres, f.other_id))::int rank
+    from f join c on c.section_id = f.section_id and c.other_id = f.other_id left join n on n.section_id = f.other_id where fraction >= 0.3 qualify rank <= 10""")
 def candidates(t):
-    s = t.sections.select("section_id", "section_meters", "lat", "lng")
-    o = s.toDF("other_id", "other_meters", "rlat", "rlng")
-    ratio = F.abs(F.col("section_meters") - F.col("other_meters")) / F.greatest("section_meters", "other_meters")
-    p = op.radius_join(s, o, 300.0).filter((F.col("section_id") != F.col("other_id")) & (ratio <= 0.3)).withColumn("metres", F.round("metres", 3))
-    p = p.withColumn("k", F.row_number().over(Window.partitionBy("section_id").orderBy("metres", "other_id"))).filter("k <= 10")
+    p = op.merge_candidates(t.sections.filter(visible()), t.section_points)
     n = sec.visit_counts(t.traversals).select(F.col("section_id").alias("other_id"), "laps")
-    return p.join(n, "other_id", "left").select("section_id", "other_id", "metres", F.coalesce("laps", F.lit(0)).alias("laps"))
+    return p.join(n, "other_id", "left").select("section_id", "other_id", "metres", "fraction", F.coalesce("laps", F.lit(0)).alias("laps"), "rank")
 
 
 @query("g13_cross_sport_merge", PAIRS + """, e as (select section_id a, other_id b from mp union select other_id, section_id from mp), walk(node, reach) as (select a, a from e union select walk.node, e.b from walk join e on walk.reach = e.a),
@@ -62,14 +62,15 @@ def merge(t):
     return op.merge_components(op.merge_pairs(t.sections), sec.visit_counts(t.traversals))
 
 
-@query("g9_g10_portions", f""", p as (select track_id, row_number() over (partition by track_id order by t, point_id) seq, lat, lng from points), l as (select track_id line_id, lat, lng from points),
-    n as (select distinct p.track_id, line_id, seq from p, l where p.track_id <> line_id and abs(p.lat - l.lat) < 0.0006 and {hav('p', 'l')} <= 50), s as (select *, case when seq - lag(seq) over (partition by track_id, line_id order by seq) <= 2 then 0 else 1 end s from n),
+@query("g9_g10_portions", f""", p as (select track_id, row_number() over (partition by track_id order by t, point_id) seq, lat, lng from points),
+    n as (select distinct p.track_id, l.section_id line_id, seq from p join section_points l on abs(p.lat - l.lat) < 0.001 where {hav('p', 'l')} <= 100), s as (select *, case when seq - lag(seq) over (partition by track_id, line_id order by seq) <= 2 then 0 else 1 end s from n),
     r as (select *, sum(s) over (partition by track_id, line_id order by seq rows unbounded preceding) run from s)
-    select track_id, line_id, run::bigint run, min(seq)::int first, max(seq)::int last, count(*) points from r group by 1, 2, 3 having count(*) >= 2""")
+    select track_id, line_id, run::bigint run, min(seq)::int first, max(seq)::int last, count(*) points from r group by 1, 2, 3""")
 def portions(t):
+    """Portions of every track on every section's polyline."""
     p = t.points.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id"))).select("track_id", "seq", "lat", "lng")
-    lines = t.points.select(F.col("track_id").alias("line_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
-    return op.portions(p, lines, 50.0, 1).filter("track_id <> line_id")
+    lines = t.section_points.select(F.col("section_id").alias("line_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
+    return op.portions(p, lines, 100.0, 1, least=1)
 
 
 @query("g27_box_clusters", """, c as (select floor((min_lat + max_lat) / 2 / 0.002)::bigint y, floor((min_lng + max_lng) / 2 / 0.002)::bigint x, count(*) n from activities group by 1, 2),

@@ -62,6 +62,13 @@ class Tables:
             (46 + (F.col("p_partkey") * 37 % 1000) / 2000.0).alias("lat"), (7 + (F.col("p_partkey") * 91 % 1000) / 2000.0).alias("lng"),
         )
 
+    @property
+    def section_points(self) -> DataFrame:
+        """Polylines of the sections: a point every 100 m, northward or eastward."""
+        k = F.col("point") * 100 / 111_194.9
+        s = self.sections.select("section_id", "lat", "lng", F.explode(F.sequence(F.lit(0), (F.col("section_meters") / 100).cast("int"))).alias("point"))
+        return s.select("section_id", "point", (F.col("lat") + F.when(F.col("section_id") % 2 == 0, k).otherwise(0.0)).alias("lat"), (F.col("lng") + F.when(F.col("section_id") % 2 == 0, 0.0).otherwise(k)).alias("lng"))
+
     @property
     def traversals(self) -> DataFrame:
         """section_activities, unique by section, activity and start_index."""
@@ -129,6 +136,9 @@ sections as (
     case when p_partkey % 7 <> 0 then s || ' Section ' || p_partkey::varchar end as name, s sport_type, p_size * 100.0::double section_meters, p_partkey % 17 = 0 disabled,
     case when p_partkey % 23 = 0 then p_partkey - 1 end superseded_by, 46 + (p_partkey * 37 % 1000) / 2000.0::double lat, 7 + (p_partkey * 91 % 1000) / 2000.0::double lng
   from (select *, case p_size % 3 when 0 then 'Ride' when 1 then 'Run' else 'Hike' end s from part)),
+section_points as (
+  select section_id, point, lat + case when section_id % 2 = 0 then point * 100 / 111194.9::double else 0 end lat, lng + case when section_id % 2 = 0 then 0 else point * 100 / 111194.9::double end lng
+  from (select section_id, lat, lng, unnest(range(0, (section_meters / 100)::bigint + 1))::int point from sections)),
 traversals as (
   select section_id, activity_id, start_index, direction, distance_meters, lap_time, round(distance_meters / lap_time, 6) lap_pace, avg_hr, excluded from (
     select l_partkey section_id, l_orderkey activity_id, l_linenumber start_index, case max(l_returnflag) when 'R' then 'reverse' when 'A' then 'partial' else 'same' end direction,
