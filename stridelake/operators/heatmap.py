@@ -13,54 +13,124 @@ from pyspark.sql import functions as F
 
 from stridelake.functions import scalar as S
 
-SIZE, BLUR_TO_ZOOM, SATURATION = 512, 9, 65_535
+SIZE, BLUR_TO_ZOOM, SATURATION, FINEST = 512, 9, 65_535, 17
+# Stroke width in pixels and intensity of a pass, up to and including a zoom.
+WIDTHS = [(6, 6.0), (8, 5.0), (10, 4.0), (12, 3.2), (14, 2.6), (15, 2.1), (16, 1.7), (FINEST, 1.4)]
+INTENSITIES = [(8, 18.0), (11, 16.0), (14, 14.0), (16, 12.0), (FINEST, 10.0)]
 #: Colour stops (share of full exposure, red, green, blue, alpha), from transparent over orange to white.
 GRADIENT = [(0.0, 120, 20, 0, 0), (0.15, 180, 50, 0, 140), (0.5, 252, 100, 20, 210), (0.8, 255, 190, 90, 240), (1.0, 255, 255, 240, 255)]
+#: Values of one sequence() at most; longer stretches are cut first, so no array grows with a segment's length.
+STRETCH = 4096
+
+
+def of_zoom(steps: list[tuple[int, float]], zoom: int) -> float:
+    return next(v for z, v in steps if zoom <= z)
+
+
+def _along(low: str, high: str, name: str) -> list[tuple[str, F.Column]]:
+    """Two columns to add in turn: stretches of the whole numbers from low to high, and the numbers themselves."""
+    return [
+        ("_from", F.explode(F.expr(f"sequence({low}, {high}, {STRETCH})"))),
+        (name, F.explode(F.expr(f"sequence(_from, least(_from + {STRETCH - 1}, {high}))"))),
+    ]
+
+
+def explode_range(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """A row for each whole number from column low to column high."""
+    for column, value in _along(low, high, name):
+        df = df.withColumn(column, value)
+    return df.drop("_from")
 
 
 def point_tiles(points: DataFrame, zooms: list[int]) -> DataFrame:
-    """Distinct tiles of each track at each zoom."""
-    z = points.withColumn("z", F.explode(F.array(*map(F.lit, zooms))))
-    return z.select("track_id", "z", S.tile_x(F.col("lng"), F.col("z")).alias("x"), S.tile_y(F.col("lat"), F.col("z")).alias("y")).distinct()
+    """Distinct tiles of each track's points at each zoom, from those at the finest one."""
+    top = max(zooms)
+    fine = points.dropna(subset=["lat", "lng"]).select("track_id", S.tile_x(F.col("lng"), top).alias("x"), S.tile_y(F.col("lat"), top).alias("y")).distinct()
+    return parents(fine, top, zooms)
 
 
-def tile_plan(points: DataFrame, zooms: list[int], halo: bool = True) -> DataFrame:
-    """Tiles to draw with their number of tracks: the tiles that tracks touch, and with a halo the eight around each."""
-    t = point_tiles(points, zooms)
-    if halo:
-        around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as i, j as j))))"))
-        t = t.withColumn("o", around).select("track_id", "z", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"))
-        n = F.pow(F.lit(2.0), F.col("z"))
-        t = t.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < n) & (F.col("y") < n)).distinct()
-    return t.groupBy("z", "x", "y").agg(F.countDistinct("track_id").alias("tracks"))
+def parents(fine: DataFrame, top: int, zooms: list[int]) -> DataFrame:
+    """Distinct tiles at each zoom that hold the tiles (track_id, x, y) of zoom top."""
+    z = fine.withColumn("z", F.explode(F.array(*map(F.lit, zooms))))
+    up = F.pow(F.lit(2.0), top - F.col("z"))
+    return z.select("track_id", "z", F.floor(F.col("x") / up).alias("x"), F.floor(F.col("y") / up).alias("y")).distinct()
 
 
-def segments(points: DataFrame, zoom: int) -> DataFrame:
-    """Consecutive points of each track in world pixels at a zoom; a missing coordinate breaks the line."""
+def segments(points: DataFrame, scale: float) -> DataFrame:
+    """Consecutive points of each track on a square world map of `scale` a side; a missing coordinate breaks the line."""
     w = Window.partitionBy("track_id").orderBy("seq")
-    n = float(SIZE * 2**zoom)
     r = F.radians(F.greatest(F.least(F.col("lat"), F.lit(85.051129)), F.lit(-85.051129)))
-    px = points.select("track_id", "seq", ((F.col("lng") + 180) / 360 * n).alias("px"), ((1 - F.ln(F.tan(r) + 1 / F.cos(r)) / math.pi) / 2 * n).alias("py"))
-    both = px.select("track_id", "px", "py", F.lead("px").over(w).alias("qx"), F.lead("py").over(w).alias("qy"))
+    px = points.select("track_id", "seq", ((F.col("lng") + 180) / 360 * scale).alias("px"), ((1 - F.ln(F.tan(r) + 1 / F.cos(r)) / math.pi) / 2 * scale).alias("py"))
+    both = px.select("track_id", "seq", "px", "py", F.lead("px").over(w).alias("qx"), F.lead("py").over(w).alias("qy"))
     return both.dropna().filter(~(F.isnan("px") | F.isnan("qx") | F.isnan("py") | F.isnan("qy")))
 
 
-def pixel_counts(points: DataFrame, zoom: int, steps: int = 4096) -> DataFrame:
-    """Passes over each pixel of each tile: segments are sampled at every pixel (at most `steps` each) and counted.
+def line_tiles(points: DataFrame, zooms: list[int]) -> DataFrame:
+    """Distinct tiles that each track's points and the lines between them touch, at each zoom.
 
-    Counting is a partial aggregation, so a pixel that every track crosses is
+    Swept at the finest zoom, column of tiles by column: a line enters and
+    leaves each at known heights. A coarser tile is touched exactly if one of
+    its fine ones is.
+    """
+    top = max(zooms)
+    s = segments(points, 2.0**top).withColumn("x0", F.floor(F.least("px", "qx"))).withColumn("x1", F.floor(F.greatest("px", "qx")))
+    height = lambda x: F.when(F.col("qx") == F.col("px"), None).otherwise(F.col("py") + (F.col("qy") - F.col("py")) * (x - F.col("px")) / (F.col("qx") - F.col("px")))
+    s = explode_range(s, "x0", "x1", "x")
+    ya, yb = F.coalesce(height(F.greatest(F.least("px", "qx"), F.col("x"))), F.col("py")), F.coalesce(height(F.least(F.greatest("px", "qx"), F.col("x") + 1)), F.col("qy"))
+    s = s.withColumn("y0", F.floor(F.least(ya, yb))).withColumn("y1", F.floor(F.greatest(ya, yb)))
+    swept = explode_range(s, "y0", "y1", "y").select("track_id", "x", "y").distinct()
+    alone = points.dropna(subset=["lat", "lng"]).select("track_id", S.tile_x(F.col("lng"), top).alias("x"), S.tile_y(F.col("lat"), top).alias("y"))
+    return parents(swept.unionByName(alone).distinct(), top, zooms)
+
+
+def tile_plan(points: DataFrame, zooms: list[int], halo: bool = True, existing: DataFrame | None = None) -> DataFrame:
+    """Tiles to draw with their number of tracks: those that tracks touch, with a halo the eight around each too; existing ones (z, x, y) are skipped."""
+    t = line_tiles(points, zooms)
+    if halo:
+        around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as i, j as j))))"))
+        t = t.withColumn("o", around).select("track_id", "z", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"))
+        n = F.pow(F.lit(2.0), F.col("z"))
+        t = t.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < n) & (F.col("y") < n)).distinct()
+    plan = t.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("tracks"))
+    return plan if existing is None else plan.join(existing.select("z", "x", "y"), ["z", "x", "y"], "left_anti")
+
+
+def pixel_intensity(points: DataFrame, zooms: list[int]) -> DataFrame:
+    """Intensity of each pixel of each tile: every line between two points is a stroke with round, smoothed ends.
+
+    A stroke adds the zoom's intensity, times a smooth step over the last
+    pixel of its width, to each pixel; sums stop at SATURATION. Pixels are
+    found along the stroke's longer side, and across it as far as it is wide.
+    Adding up is a partial aggregation, so a pixel that every track crosses is
     one row a task; a tile has at most SIZE squared rows in the end.
     """
-    s = segments(points, zoom)
-    n = F.least(F.ceil(F.greatest(F.abs(F.col("qx") - F.col("px")), F.abs(F.col("qy") - F.col("py")))), F.lit(steps)).cast("int")
-    at = s.withColumn("n", F.greatest(n, F.lit(1))).withColumn("i", F.explode(F.expr("sequence(0, n)")))
-    x = F.floor(F.col("px") + (F.col("qx") - F.col("px")) * F.col("i") / F.col("n"))
-    y = F.floor(F.col("py") + (F.col("qy") - F.col("py")) * F.col("i") / F.col("n"))
-    cells = at.select("track_id", x.alias("gx"), y.alias("gy"))
-    counted = cells.groupBy("gx", "gy").agg(F.least(F.count(F.lit(1)), F.lit(SATURATION)).alias("passes"))
-    return counted.select(
-        F.lit(zoom).alias("z"), F.floor(F.col("gx") / SIZE).alias("x"), F.floor(F.col("gy") / SIZE).alias("y"), F.pmod("gx", F.lit(SIZE)).cast("int").alias("col"), F.pmod("gy", F.lit(SIZE)).cast("int").alias("row"), "passes"
-    )
+    out = None
+    for zoom in zooms:
+        radius, intensity = max(of_zoom(WIDTHS, zoom) / 2, 0.75), of_zoom(INTENSITIES, zoom)
+        outer = radius + 1.0
+        s = segments(points, float(SIZE * 2**zoom))
+        steep = F.abs(F.col("qy") - F.col("py")) > F.abs(F.col("qx") - F.col("px"))
+        turned = lambda a, b, name: F.when(steep, F.col(a)).otherwise(F.col(b)).alias(name)  # noqa: B023, E731
+        s = s.select(steep.alias("steep"), turned("py", "px", "pu"), turned("px", "py", "pv"), turned("qy", "qx", "qu"), turned("qx", "qy", "qv"))
+        s = s.withColumn("du", F.col("qu") - F.col("pu")).withColumn("dv", F.col("qv") - F.col("pv")).withColumn("ll", F.col("du") * F.col("du") + F.col("dv") * F.col("dv"))
+        s = s.withColumn("u0", F.floor(F.least("pu", "qu") - outer)).withColumn("u1", F.ceil(F.greatest("pu", "qu") + outer))
+        s = explode_range(s, "u0", "u1", "u")
+        share = lambda top: F.when(F.col("ll") <= 0.0001, 0.0).otherwise(F.greatest(F.least(top, F.lit(1.0)), F.lit(0.0)))
+        mid = F.col("pv") + F.col("dv") * share((F.col("u") + 0.5 - F.col("pu")) / F.when(F.col("du") == 0, 1.0).otherwise(F.col("du")))
+        s = s.withColumn("v", F.explode(F.sequence(F.floor(mid - 1.5 * outer - 1), F.ceil(mid + 1.5 * outer))))
+        u, v = F.col("u") + 0.5 - F.col("pu"), F.col("v") + 0.5 - F.col("pv")
+        at = share((u * F.col("du") + v * F.col("dv")) / F.when(F.col("ll") == 0, 1.0).otherwise(F.col("ll")))
+        away = F.sqrt(F.pow(u - at * F.col("du"), 2) + F.pow(v - at * F.col("dv"), 2))
+        edge = F.greatest(F.least(away - radius, F.lit(1.0)), F.lit(0.0))
+        s = s.withColumn("value", F.floor(intensity * (1 - edge * edge * (3 - 2 * edge)) + 0.5).cast("long")).filter("value > 0")
+        lit = s.select(F.when(F.col("steep"), F.col("v")).otherwise(F.col("u")).alias("gx"), F.when(F.col("steep"), F.col("u")).otherwise(F.col("v")).alias("gy"), "value")
+        most = SIZE * 2**zoom
+        added = lit.filter(F.col("gx").between(0, most - 1) & F.col("gy").between(0, most - 1)).groupBy("gx", "gy").agg(F.least(F.sum("value"), F.lit(SATURATION)).alias("intensity"))
+        one = added.select(
+            F.lit(zoom).alias("z"), F.floor(F.col("gx") / SIZE).alias("x"), F.floor(F.col("gy") / SIZE).alias("y"), F.pmod("gx", F.lit(SIZE)).cast("int").alias("col"), F.pmod("gy", F.lit(SIZE)).cast("int").alias("row"), "intensity"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def png(rgba: np.ndarray) -> bytes:
@@ -79,8 +149,8 @@ def blur(grid: np.ndarray) -> np.ndarray:
 
 
 def colours(grid: np.ndarray) -> np.ndarray:
-    """Exposure (saturating with the count) and gradient as RGBA."""
-    share = 1 - np.exp(-grid / 6.0)
+    """Exposure (saturating with the intensity) and gradient as RGBA."""
+    share = 1 - np.exp(-grid / 90.0)
     stops = np.array(GRADIENT, float)
     return np.stack([np.interp(share, stops[:, 0], stops[:, c]) for c in range(1, 5)], -1).round().astype(np.uint8)
 
@@ -90,7 +160,7 @@ def rendered(pixels: DataFrame) -> DataFrame:
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.zeros((SIZE, SIZE))
-        grid[pdf["row"], pdf["col"]] = pdf["passes"]
+        grid[pdf["row"], pdf["col"]] = pdf["intensity"]
         z = int(pdf["z"].iloc[0])
         if z <= BLUR_TO_ZOOM:
             grid = blur(grid)
@@ -100,13 +170,24 @@ def rendered(pixels: DataFrame) -> DataFrame:
 
 
 def stale_tiles(plan: DataFrame, changed: DataFrame, zooms: list[int]) -> DataFrame:
-    """Tiles of a plan that a changed box (min_lat, max_lat, min_lng, max_lng) touches."""
+    """Tiles of a plan that a changed box (min_lat, max_lat, min_lng, max_lng) touches.
+
+    A box is named by the two by two tiles, at most, of a zoom so coarse that
+    they hold it; tiles of the plan meet it there by an equi-join and are then
+    tested. So a country at a fine zoom is four rows, not its millions of tiles.
+    """
     z = changed.withColumn("z", F.explode(F.array(*map(F.lit, zooms))))
     span = z.select(
         "z", S.tile_x(F.col("min_lng"), F.col("z")).alias("x0"), S.tile_x(F.col("max_lng"), F.col("z")).alias("x1"), S.tile_y(F.col("max_lat"), F.col("z")).alias("y0"), S.tile_y(F.col("min_lat"), F.col("z")).alias("y1")
     )
-    cells = span.select("z", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select("z", "x", F.explode(F.sequence("y0", "y1")).alias("y")).distinct()
-    return plan.join(cells, ["z", "x", "y"], "left_semi")
+    span = span.withColumn("up", F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1)))).cast("int"))
+    tall = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("up")))
+    cells = span.withColumn("cx", F.explode(F.array_distinct(F.array(tall("x0"), tall("x1"))))).withColumn("cy", F.explode(F.array_distinct(F.array(tall("y0"), tall("y1")))))
+    # At most a row for each two zooms, so it is broadcast.
+    levels = span.select("z", "up").distinct()
+    up = plan.join(F.broadcast(levels), "z").withColumn("cx", tall("x")).withColumn("cy", tall("y"))
+    within = up.join(cells, ["z", "up", "cx", "cy"]).filter("x between x0 and x1 and y between y0 and y1")
+    return within.select(*plan.columns).distinct()
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
