@@ -160,16 +160,21 @@ def pattern_sections(labels: DataFrame, laps: DataFrame, by: list[str]) -> DataF
     key = [*by, "cluster"]
     size = labels.groupBy(*key).agg(F.count(F.lit(1)).alias("members"))
     rows = labels.select("activity_id", *key).join(laps.filter("lap_time > 0").select("activity_id", "section_id", "lap_time", F.col("date").alias("lap_date"), "start_index"), "activity_id")
-    newest = F.reverse(F.array_sort(F.collect_list(F.struct("lap_date", "activity_id", "start_index", "lap_time"))))
-    g = rows.groupBy(*key, "section_id").agg(F.countDistinct("activity_id").alias("appearances"), F.min("lap_time").alias("best"), newest.alias("h")).join(size, key).filter("appearances >= 0.5 * members")
-    t = F.transform("h", lambda x: x["lap_time"])
-    return g.select(*key, "section_id", "appearances", "best", S.upper_middle(F.slice(t, 1, 5)).alias("median_recent"), half_trend(t).alias("trend"))
-
-
-def half_trend(t: F.Column) -> F.Column:
-    """1 where the newer half of an array (newest first) is over 3 % faster than the older, -1 where slower; 0 under four values."""
-    n = F.size(t)
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    half = F.floor(n / 2).cast("int")
-    new, old = mean(F.slice(t, 1, half)), mean(F.slice(t, half + 1, n - half))
-    return F.when(n < 4, 0).when(new < old * 0.97, 1).when(new > old * 1.03, -1).otherwise(0)
+    rows = newest_first(rows, [*key, "section_id"], ["lap_date", "activity_id", "start_index"])
+    five = F.collect_list(F.when(F.col("k") <= 5, F.col("lap_time")))
+    g = rows.groupBy(*key, "section_id").agg(F.countDistinct("activity_id").alias("appearances"), F.min("lap_time").alias("best"), five.alias("five"), half_trend("lap_time").alias("trend"))
+    g = g.join(size, key).filter("appearances >= 0.5 * members")
+    return g.select(*key, "section_id", "appearances", "best", S.upper_middle(F.col("five")).alias("median_recent"), "trend")
+
+
+def newest_first(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with their place k from the newest on, and the number n of rows of the group."""
+    w = Window.partitionBy(*by)
+    return rows.withColumn("k", F.row_number().over(w.orderBy(*(F.desc(c) for c in order)))).withColumn("n", F.count(F.lit(1)).over(w))
+
+
+def half_trend(value: str) -> F.Column:
+    """An aggregate over newest_first(): 1 where the newer half is over 3 % faster than the older, -1 where slower; 0 under four values."""
+    newer = F.col("k") <= F.floor(F.col("n") / 2)
+    new, old = F.avg(F.when(newer, F.col(value))), F.avg(F.when(~newer, F.col(value)))
+    return F.when(F.count(F.lit(1)) < 4, 0).when(new < old * 0.97, 1).when(new > old * 1.03, -1).otherwise(0)

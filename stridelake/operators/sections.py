@@ -108,14 +108,22 @@ def indicators(timed_rows: DataFrame) -> DataFrame:
 
 
 def lap_history(lap_rows: DataFrame, left_dates: DataFrame) -> DataFrame:
-    """Times of each section and direction by date, with the number of visits and whether the last is within 0.5 % of the best."""
+    """Each timed lap with its place by date in its section and direction, the best time so far, and the section's figures.
+
+    Figures: the number of visits, the best and the latest time, and whether
+    the latest is within 0.5 % of the best. A lap is a row, so no section's
+    laps are gathered.
+    """
     d = left_dates.select("activity_id", F.coalesce("start_date", F.lit(0)).alias("start"))
-    rows = lap_rows.filter("lap_time > 0").join(d, "activity_id", "left")
-    h = rows.groupBy("section_id", "direction").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("start", F.lit(0)).alias("start"), "activity_id", "start_index", "lap_time"))).alias("h"))
-    times = F.transform("h", lambda x: x["lap_time"])
-    return h.select(
-        "section_id", "direction", F.size("h").alias("visit_count"), F.array_min(times).alias("best"), F.element_at(times, -1).alias("latest"),
-        (F.element_at(times, -1) <= F.array_min(times) * 1.005).alias("latest_is_pr"), F.concat_ws(",", F.transform(times, lambda x: x.cast("string"))).alias("history"),
+    rows = lap_rows.filter("lap_time > 0").join(d, "activity_id", "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    w = Window.partitionBy("section_id", "direction")
+    order = w.orderBy("start", "activity_id", "start_index")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.last("lap_time").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    best = F.min("lap_time").over(w)
+    return rows.select(
+        "section_id", "direction", "activity_id", "start_index", "lap_time", F.row_number().over(order).alias("visit"), F.min("lap_time").over(upto).alias("best_so_far"),
+        F.count(F.lit(1)).over(w).alias("visit_count"), best.alias("best"), latest.alias("latest"), (latest <= best * 1.005).alias("latest_is_pr"),
     )
 
 

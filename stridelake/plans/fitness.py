@@ -118,14 +118,17 @@ def a30(t):
 
 @query("a31_upper_middle_by_route", "select route_id, list_sort(list(moving_time))[(count(*) // 2) + 1] upper_middle from metrics group by 1")
 def a31(t):
-    return t.metrics.groupBy("route_id").agg(S.upper_middle(F.collect_list("moving_time")).alias("upper_middle"))
+    """By rank, so no route's times are gathered."""
+    w = Window.partitionBy("route_id")
+    r = t.metrics.select("route_id", "moving_time", F.row_number().over(w.orderBy("moving_time")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
+    return r.filter("k = n div 2 + 1").select("route_id", F.col("moving_time").alias("upper_middle"))
 
 
 @query("a32_elevation_gain", """, d as (select track_id, value - lag(value) over (partition by track_id order by t, point_id) d from points)
     select track_id, round(coalesce(sum(greatest(d, 0)), 0), 3) gain from d group by 1""")
 def a32(t):
-    s = F.transform(F.array_sort(F.collect_list(F.struct("t", "point_id", "value"))), lambda x: x["value"])
-    return t.points.groupBy("track_id").agg(s.alias("v")).select("track_id", F.round(S.elevation_gain(F.col("v")), 3).alias("gain"))
+    rise = F.col("value") - F.lag("value").over(Window.partitionBy("track_id").orderBy("t", "point_id"))
+    return t.points.select("track_id", rise.alias("rise")).groupBy("track_id").agg(F.round(F.coalesce(F.sum(F.greatest("rise", F.lit(0.0))), F.lit(0.0)), 3).alias("gain"))
 
 
 @query("a33_decoupling", """, r as (select *, 100 + point_id % 50 hr, row_number() over (partition by track_id order by t, point_id) i, count(*) over (partition by track_id) n from points where value > 0),

@@ -32,9 +32,8 @@ def w24(t):
 @query("w22_half_trend", LAPS + """, h as (select section_id, list(lap_time order by date desc, activity_id desc, start_index desc) t, count(*) n from laps where lap_time > 0 group by 1),
     m as (select section_id, n, list_avg(t[1:(n // 2)]) a, list_avg(t[(n // 2) + 1:]) b from h) select section_id, case when n < 4 then 0 when a < b * 0.97::double then 1 when a > b * 1.03::double then -1 else 0 end trend from m""")
 def w22(t):
-    h = F.reverse(F.array_sort(F.collect_list(F.struct("date", "activity_id", "start_index", "lap_time"))))
-    g = laps(t).filter("lap_time > 0").groupBy("section_id").agg(h.alias("h"))
-    return g.select("section_id", op.half_trend(F.transform("h", lambda x: x["lap_time"])).alias("trend"))
+    rows = op.newest_first(laps(t).filter("lap_time > 0"), ["section_id"], ["date", "activity_id", "start_index"])
+    return rows.groupBy("section_id").agg(op.half_trend("lap_time").alias("trend"))
 
 
 @query("g22_g23_clusters")
@@ -56,5 +55,5 @@ def today(t):
 
 @query("g25_pattern_sections")
 def pattern_sections(t):
-    """Sections are folded into three, since the test tables hardly ever repeat one within a cluster."""
-    return op.pattern_sections(op.clusters(features(t), BY), sec.laps(t.traversals, t.sections, t.metrics).withColumn("section_id", F.col("section_id") % 3), BY)
+    """Sections as they are."""
+    return op.pattern_sections(op.clusters(features(t), BY), sec.laps(t.traversals, t.sections, t.metrics), BY)

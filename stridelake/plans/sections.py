@@ -98,9 +98,10 @@ def highlights(t):
     return op.highlights(op.indicators(op.timed(t.traversals, t.sections, t.activities)))
 
 
-@query("w7_encounter_history", LAPS + """, h as (select section_id, direction, list(struct_pack(s := coalesce(start_date, 0), a := activity_id, i := start_index, t := lap_time) order by coalesce(start_date, 0), activity_id, start_index) h
-        from laps left join (select activity_id, start_date from activities) using (activity_id) where lap_time > 0 group by 1, 2), v as (select section_id, direction, list_transform(h, lambda x: x.t) v from h)
-    select section_id, direction, len(v)::int visit_count, list_min(v) best, v[-1] latest, v[-1] <= list_min(v) * 1.005::double latest_is_pr, list_aggregate(list_transform(v, lambda x: x::varchar), 'string_agg', ',') history from v""")
+@query("w7_encounter_history", LAPS + """, r as (select section_id, direction, activity_id, start_index, lap_time, coalesce(start_date, 0) s from laps left join (select activity_id, start_date from activities) using (activity_id) where lap_time > 0),
+    v as (select *, (row_number() over o)::int visit, min(lap_time) over (o rows unbounded preceding) best_so_far, count(*) over w visit_count, min(lap_time) over w best, last_value(lap_time) over (o rows between unbounded preceding and unbounded following) latest
+        from r window w as (partition by section_id, direction), o as (partition by section_id, direction order by s, activity_id, start_index))
+    select section_id, direction, activity_id, start_index, lap_time, visit, best_so_far, visit_count, best, latest, latest <= best * 1.005::double latest_is_pr from v""")
 def history(t):
     return op.lap_history(laps(t), t.activities)
 

@@ -10,14 +10,14 @@ from stridelake.plans.routes import MEMBERS
 from stridelake.operators import routes
 
 FIT = MEMBERS + """, d as (select route_id, date / 86400.0::double x, speed y from mem), g as (select route_id, min(x) x0, max(x) x1, count(*) n from d group by 1 having max(x) > min(x)),
-    r as (select d.*, i, x0 + (x1 - x0) * i / 19.0::double as xat, exp(-0.5 * pow((x - (x0 + (x1 - x0) * i / 19.0::double)) / ((x1 - x0) / greatest(3.0::double, sqrt(n))), 2)) w from d join g using (route_id), range(20) t(i)),
+    r as (select d.*, i, x0 + (x1 - x0) * i / 199.0::double as xat, exp(-0.5 * pow((x - (x0 + (x1 - x0) * i / 199.0::double)) / ((x1 - x0) / greatest(3.0::double, sqrt(n))), 2)) w from d join g using (route_id), range(200) t(i)),
     m as (select route_id, i, any_value(xat) as xat, sum(w) s0, sum(w * (x - xat)) s1, sum(w * (x - xat) * (x - xat)) s2, sum(w * y) t0, sum(w * (x - xat) * y) t1, sum(w * y * y) q from r group by 1, 2),
     f as (select *, case when abs(s0 * s2 - s1 * s1) > 1e-12 then (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) else t0 / s0 end fit from m), fits as (select route_id, i, xat, fit, sqrt(greatest(q / s0 - 2 * fit * t0 / s0 + fit * fit, 0)) sigma from f)"""
 
 
 def fit(t):
     d = routes.members(t.metrics).select("route_id", (F.col("date") / 86400.0).alias("x"), F.col("speed").alias("y"))
-    return d, op.local_linear(d, ["route_id"], "x", "y", 20)
+    return d, op.local_linear(d, ["route_id"], "x", "y")
 
 
 @query("w17_centred_average", """, d as (select sport_type, (date // 86400)::bigint as day_no, sum(training_load) load from metrics group by 1, 2)

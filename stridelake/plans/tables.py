@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import scalar as S
@@ -15,9 +16,10 @@ def scan(t):
     return t.activities
 
 
-@query("s2_s4_metrics_for_ids", "select activity_id, date, moving_time, distance from metrics where activity_id in (select distinct activity_id from traversals where section_id between 10 and 19)")
+@query("s2_s4_metrics_for_ids", "select activity_id, date, moving_time, distance from metrics where activity_id in (select activity_id from traversals where excluded)")
 def for_ids(t):
-    ids = t.traversals.filter(F.col("section_id").between(10, 19)).select("activity_id").distinct()
+    """Metrics of the activities of a list: all that have an excluded lap."""
+    ids = t.traversals.filter("excluded").select("activity_id").distinct()
     return t.metrics.select("activity_id", "date", "moving_time", "distance").join(ids, "activity_id", "left_semi")
 
 
@@ -32,31 +34,33 @@ def signatures(t):
 
 
 def tracks(t):
-    """Tracks as arrays; a track is one recording, which bounds its length."""
+    """Recordings as arrays: the fixes of a user on one day, so their number is bounded by its seconds."""
     pts = F.transform(F.array_sort(F.collect_list(F.struct("t", "point_id", "lat", "lng", "value"))), lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"), p["value"].alias("elevation")))
-    return t.points.groupBy("track_id").agg(pts.alias("track"))
+    return t.points.groupBy("track_id", F.floor(F.col("t") / 86400).alias("day")).agg(pts.alias("track"))
 
 
-@query("s6_s14_valid_tracks", "select track_id, count(*)::int points from points where lat between -90 and 90 and lng between -180 and 180 group by 1 having count(*) >= 2")
+@query("s6_s14_valid_tracks", "select track_id, t // 86400 as day, count(*)::int points from points where lat between -90 and 90 and lng between -180 and 180 group by 1, 2 having count(*) >= 2")
 def valid(t):
-    return tracks(t).withColumn("track", op.valid_track(F.col("track"))).filter("track is not null").select("track_id", F.size("track").alias("points"))
+    return tracks(t).withColumn("track", op.valid_track(F.col("track"))).filter("track is not null").select("track_id", "day", F.size("track").alias("points"))
 
 
-@query("s8_stream_parse", "select track_id, count(*)::int points, round(min(value), 4) low from points group by 1")
+@query("s8_stream_parse", "select track_id, t // 86400 as day, count(*)::int points, round(min(value), 4) low from points group by 1, 2")
 def streams(t):
     """Streams written as JSON and parsed back."""
-    s = tracks(t).select("track_id", F.to_json(F.array(
+    s = tracks(t).select("track_id", "day", F.to_json(F.array(
         F.struct(F.lit("latlng").alias("type"), F.transform("track", lambda p: p["lat"]).alias("data"), F.transform("track", lambda p: p["lng"]).alias("data2")),
         F.struct(F.lit("fixed_altitude").alias("type"), F.transform("track", lambda p: p["elevation"]).alias("data"), F.array().cast("array<double>").alias("data2")),
     )).alias("j")).withColumn("s", op.parse_streams(F.col("j")))
-    return s.select("track_id", F.size("s.track").alias("points"), F.round(F.array_min("s.altitude"), 4).alias("low"))
+    return s.select("track_id", "day", F.size("s.track").alias("points"), F.round(F.array_min("s.altitude"), 4).alias("low"))
 
 
-@query("s9_s10_curves", "select route_id, round(max(distance / moving_time), 6) best_speed, count(*)::int points from metrics where moving_time > 0 group by 1")
+@query("s9_s10_curves", "select activity_id, round(max(distance_meters / lap_time), 6) best_speed, count(*)::int points, max(distance_meters)::double longest from traversals where lap_time > 0 group by 1")
 def curves(t):
-    g = t.metrics.filter("moving_time > 0").groupBy("route_id").agg(F.collect_list("distance").alias("d"), F.collect_list(F.col("moving_time").cast("double")).alias("m"))
-    j = F.to_json(F.struct(F.array(F.struct(F.col("d").alias("distance"), F.col("m").alias("values"))).alias("list")))
-    return g.select("route_id", op.parse_pace_curve(j).alias("c")).select("route_id", F.round(F.array_max("c.speed"), 6).alias("best_speed"), F.size("c.speed").alias("points"))
+    """Pace curves as JSON, one of each activity's laps, and parsed back."""
+    g = t.traversals.filter("lap_time > 0").groupBy("activity_id").agg(F.collect_list(F.struct("distance_meters", "lap_time")).alias("laps"))
+    j = F.to_json(F.struct(F.array(F.struct(F.col("laps.distance_meters").alias("distance"), F.col("laps.lap_time").alias("values"))).alias("list")))
+    c = g.select("activity_id", op.parse_pace_curve(j).alias("c"))
+    return c.select("activity_id", F.round(F.array_max("c.speed"), 6).alias("best_speed"), F.size("c.speed").alias("points"), F.array_max("c.distance").alias("longest"))
 
 
 @query("s11_s28_engine_stats", "select count(*) activities, min(start_date) first_date, max(start_date) last_date, count(distinct sport_type) sports from activities")
@@ -64,10 +68,10 @@ def stats(t):
     return t.activities.agg(F.count(F.lit(1)).alias("activities"), F.min("start_date").alias("first_date"), F.max("start_date").alias("last_date"), F.countDistinct("sport_type").alias("sports"))
 
 
-@query("s13_slices", "select track_id, (count(*) // 2)::int first_half, (count(*) - count(*) // 2)::int second_half from points group by 1")
+@query("s13_slices", "select track_id, t // 86400 as day, (count(*) // 2)::int first_half, (count(*) - count(*) // 2)::int second_half from points group by 1, 2")
 def slices(t):
     n = F.size("track")
-    return tracks(t).select("track_id", op.slices(F.col("track"), F.array(F.lit(0), F.floor(n / 2).cast("int"), n)).alias("s")).select("track_id", F.size(F.get("s", 0)).alias("first_half"), F.size(F.get("s", 1)).alias("second_half"))
+    return tracks(t).select("track_id", "day", op.slices(F.col("track"), F.array(F.lit(0), F.floor(n / 2).cast("int"), n)).alias("s")).select("track_id", "day", F.size(F.get("s", 0)).alias("first_half"), F.size(F.get("s", 1)).alias("second_half"))
 
 
 @query("s16_s19_upsert", "select activity_id, case when sport_type = 'Run' then moving_time + 60 else moving_time end moving_time, date from metrics")
@@ -88,31 +92,32 @@ def retention(t):
 
 
 def exported(t):
-    return tracks(t).select(F.col("track_id").alias("activity_id"), F.col("track").alias("points")).join(t.metrics.select("activity_id", "name", "sport_type"), "activity_id", "left")
+    return tracks(t).select(F.col("track_id").alias("activity_id"), "day", F.col("track").alias("points")).join(t.metrics.select("activity_id", "name", "sport_type"), "activity_id", "left")
 
 
-@query("s23_j9_gpx", """, g as (select track_id activity_id, string_agg('<trkpt lat="' || lat::varchar || '" lon="' || lng::varchar || '"></trkpt>', '' order by t, point_id) p from points group by 1)
-    select activity_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>' || coalesce(name, '') || '</name><type>' || coalesce(sport_type, '') || '</type><trkseg>' || p || '</trkseg></trk></gpx>' gpx from g left join metrics using (activity_id)""")
+@query("s23_j9_gpx", """, g as (select track_id activity_id, t // 86400 as day, string_agg('<trkpt lat="' || lat::varchar || '" lon="' || lng::varchar || '"></trkpt>', '' order by t, point_id) p from points group by 1, 2)
+    select activity_id, day, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>' || coalesce(name, '') || '</name><type>' || coalesce(sport_type, '') || '</type><trkseg>' || p || '</trkseg></trk></gpx>' gpx from g left join metrics using (activity_id)""")
 def gpx(t):
     return op.gpx(exported(t))
 
 
-@query("s24_geojson")
+@query("s24_geojson", """, g as (select track_id activity_id, t // 86400 as day, string_agg('[' || lng::varchar || ',' || lat::varchar || ']', ',' order by t, point_id) p from points group by 1, 2)
+    select activity_id, day, '{"type":"Feature","geometry":{"type":"LineString","coordinates":[' || p || ']},"properties":{"id":' || activity_id::varchar || coalesce(',"name":"' || name || '"', '') || coalesce(',"sport":"' || sport_type || '"', '') || '}}' feature from g left join metrics using (activity_id)""")
 def geojson(t):
     return op.geojson(exported(t))
 
 
-@query("s27_coordinate_codec", "select track_id, count(*)::int points, true same from points group by 1")
+@query("s27_coordinate_codec", "select track_id, t // 86400 as day, count(*)::int points, true same from points group by 1, 2")
 def codec(t):
     r = tracks(t).withColumn("lat", F.transform("track", lambda p: p["lat"])).withColumn("back", op.decode_coordinates(op.encode_coordinates(F.col("lat"))))
     gap = F.array_max(F.zip_with("lat", "back", lambda a, b: F.abs(a - b)))
-    return r.select("track_id", F.size("back").alias("points"), (gap < 1e-6).alias("same"))
+    return r.select("track_id", "day", F.size("back").alias("points"), (gap < 1e-6).alias("same"))
 
 
 @query("f_simplified_tracks")
 def simplified(t):
-    r = tracks(t).select("track_id", F.transform("track", lambda p: p["lat"]).alias("lat"), F.transform("track", lambda p: p["lng"]).alias("lng"))
-    return r.select("track_id", F.size("lat").alias("points"), op.simplified("lat", "lng", F.lit(100.0)).alias("kept"))
+    r = tracks(t).select("track_id", "day", F.transform("track", lambda p: p["lat"]).alias("lat"), F.transform("track", lambda p: p["lng"]).alias("lng"))
+    return r.select("track_id", "day", F.size("lat").alias("points"), op.simplified("lat", "lng", F.lit(100.0)).alias("kept"))
 
 
 @query("p1_date_range", "select activity_id from metrics where date between 820454400 and 852076800")
@@ -182,14 +187,19 @@ def route_of(t):
 @query("g37_lap_time_backfill", """, st as (select track_id activity_id, list(t order by t, point_id) ts from points group by 1)
     select section_id, activity_id, start_index, round(coalesce(lap_time, abs(ts[start_index + 6] - ts[start_index + 1])), 3) lap_time from traversals left join st using (activity_id) where not excluded""")
 def lap_backfill(t):
-    st = t.points.groupBy(F.col("track_id").alias("activity_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "point_id"))), lambda x: x["t"]).alias("ts"))
-    lap = F.coalesce("lap_time", S.lap_seconds(F.col("ts"), F.col("start_index"), F.col("start_index") + 5).cast("double"))
-    return t.traversals.filter(~F.col("excluded")).join(st, "activity_id", "left").select("section_id", "activity_id", "start_index", F.round(lap, 3).alias("lap_time"))
+    """Times at a lap's first and last fix, joined by their position in the track."""
+    at = t.points.select(F.col("track_id").alias("activity_id"), "t", (F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id")) - 1).alias("i"))
+    rows = t.traversals.filter(~F.col("excluded")).withColumn("end_index", F.col("start_index") + 5)
+    rows = rows.join(at.toDF("activity_id", "t0", "start_index"), ["activity_id", "start_index"], "left").join(at.toDF("activity_id", "t1", "end_index"), ["activity_id", "end_index"], "left")
+    lap = F.coalesce("lap_time", F.abs(F.col("t1") - F.col("t0")).cast("double"))
+    return rows.select("section_id", "activity_id", "start_index", F.round(lap, 3).alias("lap_time"))
 
 
 @query("t1_t2_cleaned_recording")
 def cleaned(t):
-    return recording.cleaned_batch(t.points.select("track_id", "t", "lat", "lng", F.lit("Ride").alias("sport_type"), "point_id"))
+    """Fixes with an accuracy of 0 to 39 m, without the inaccurate ones and without jumps."""
+    p = t.points.select("track_id", "t", "lat", "lng", F.lit("Ride").alias("sport_type"), "point_id", (F.col("point_id") % 40).alias("accuracy"))
+    return recording.cleaned_batch(recording.accurate(p))
 
 
 @query("t3_sample_and_hold", """, s as (select track_id, t, point_id, value, last_value(case when point_id % 3 = 0 then value end ignore nulls) over w v, last_value(case when point_id % 3 = 0 then t end ignore nulls) over w as_of from points window w as (partition by track_id order by t, point_id rows unbounded preceding))
@@ -205,4 +215,4 @@ def paused(t):
 
 @query("t6_live_metrics", "select track_id, count(*) points, (max(t) - min(t))::bigint elapsed, max(value) top from points group by 1")
 def live(t):
-    return t.points.groupBy("track_id").agg(F.count(F.lit(1)).alias("points"), (F.max("t") - F.min("t")).alias("elapsed"), F.max("value").alias("top"))
+    return recording.live_metrics(t.points)

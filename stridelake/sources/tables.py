@@ -88,6 +88,11 @@ def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def _names(tracks: DataFrame) -> list[str]:
+    """The columns that name a track: its activity, and the day if it has one."""
+    return [c for c in ("activity_id", "day") if c in tracks.columns]
+
+
 def gpx(tracks: DataFrame) -> DataFrame:
     """activity_id and a GPX document for each track (name, sport_type, points: array of lat, lng)."""
     pts = F.transform("points", lambda p: F.concat(F.lit('<trkpt lat="'), p["lat"].cast("string"), F.lit('" lon="'), p["lng"].cast("string"), F.lit('"></trkpt>')))
@@ -95,14 +100,14 @@ def gpx(tracks: DataFrame) -> DataFrame:
         F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>'), xml_escape(F.coalesce("name", F.lit(""))), F.lit("</name><type>"),
         xml_escape(F.coalesce("sport_type", F.lit(""))), F.lit("</type><trkseg>"), F.concat_ws("", pts), F.lit("</trkseg></trk></gpx>"),
     )
-    return tracks.select("activity_id", doc.alias("gpx"))
+    return tracks.select(*_names(tracks), doc.alias("gpx"))
 
 
 def geojson(tracks: DataFrame) -> DataFrame:
     """activity_id and a GeoJSON feature for each track."""
     shape = F.struct(F.lit("LineString").alias("type"), F.transform("points", lambda p: F.array(p["lng"], p["lat"])).alias("coordinates"))
     props = F.struct(F.col("activity_id").alias("id"), F.col("name"), F.col("sport_type").alias("sport"))
-    return tracks.select("activity_id", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), props.alias("properties"))).alias("feature"))
+    return tracks.select(*_names(tracks), F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), props.alias("properties"))).alias("feature"))
 
 
 @F.pandas_udf(BinaryType())

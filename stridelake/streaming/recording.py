@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,15 +49,34 @@ def _frame(track_id, rows) -> pd.DataFrame:
     return pd.DataFrame([(track_id, *r) for r in rows], columns=["track_id", "t", "lat", "lng", "step_m", "total_m"])
 
 
-def cleaned_batch(points: DataFrame) -> DataFrame:
-    """The cleaning over stored recordings (track_id, t, lat, lng, sport_type, point_id); one recording a group."""
+def _fold(rows: DataFrame, order: list[str], step, schema: str) -> DataFrame:
+    """A fold over each track in order, batch by batch: step(rows of one track, state) gives output rows and the next state.
+
+    Rows are sorted on disk if need be and stream through; only the state of
+    the track at hand is kept, so a track of any length fits.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id")
-        return _frame(pdf["track_id"].iloc[0], clean(zip(pdf["t"], pdf["lat"], pdf["lng"], pdf["limit"]), None)[0])
+    def run(batches):
+        track, state = None, None
+        for batch in batches:
+            pdf, out = batch.to_pandas(), []
+            for key, part in pdf.groupby("track_id", sort=False):
+                if key != track:
+                    track, state = key, None
+                made, state = step(part, state)
+                out += [(key, *r) for r in made]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], schema=types)
 
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    types = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+    return rows.repartition("track_id").sortWithinPartitions("track_id", *order).mapInArrow(run, schema)
+
+
+def cleaned_batch(points: DataFrame) -> DataFrame:
+    """The cleaning over stored recordings (track_id, t, lat, lng, sport_type, point_id)."""
     rows = points.filter("lat is not null and lng is not null and t is not null").withColumn("limit", max_plausible_speed(F.col("sport_type")))
-    return rows.groupBy("track_id").applyInPandas(run, OUT)
+    return _fold(rows.select("track_id", "point_id", "t", "lat", "lng", "limit"), ["point_id"], lambda p, state: clean(zip(p["t"], p["lat"], p["lng"], p["limit"]), state), OUT)
 
 
 def cleaned_stream(points: DataFrame, idle_s: int = 6 * 3600) -> DataFrame:
@@ -95,23 +115,24 @@ def sample_and_hold(points: DataFrame, sampled: Column, value: str, fresh_s: int
 def auto_pause(points: DataFrame, speed: str, threshold: float, after_s: int, resume: float = 1.25) -> DataFrame:
     """Pauses and resumes of each recording: below the threshold for after_s seconds, then at least resume times it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, paused, since, out = pdf.sort_values(["t", "point_id"]), False, None, []
-        for track, t, v in zip(pdf["track_id"], pdf["t"], pdf[speed]):
+    def step(part: pd.DataFrame, state: tuple | None):
+        paused, since = state or (False, None)
+        out = []
+        for t, v in zip(part["t"].tolist(), part[speed].tolist()):
             if paused:
                 if v >= threshold * resume:
                     paused, since = False, None
-                    out.append((track, t, "resume"))
+                    out.append((t, "resume"))
             elif v < threshold:
                 since = t if since is None else since
                 if t - since >= after_s:
                     paused = True
-                    out.append((track, t, "pause"))
+                    out.append((t, "pause"))
             else:
                 since = None
-        return pd.DataFrame(out, columns=["track_id", "t", "event"])
+        return out, (paused, since)
 
-    return points.select("track_id", "t", "point_id", speed).groupBy("track_id").applyInPandas(run, "track_id long, t long, event string")
+    return _fold(points.select("track_id", "t", "point_id", speed), ["t", "point_id"], step, "track_id long, t long, event string")
 
 
 def live_metrics(points: DataFrame) -> DataFrame:

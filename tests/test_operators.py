@@ -89,6 +89,132 @@ def test_radius_join_is_whole(spark):
     assert got == {(a[0], b[0]) for a in p for b in p if recording.distance(a[1], a[2], b[1], b[2]) <= 150.0}
 
 
+@pytest.mark.parametrize("lat, lng, spread", [(80.0, 10.0, 0.01), (89.995, 0.0, 0.005), (0.0, 180.0, 0.002), (-75.0, -179.999, 0.005), (60.0, 179.9995, 0.002), (-89.999, 90.0, 0.001)])
+def test_radius_join_anywhere(spark, lat, lng, spread):
+    """Near the poles, and over the antimeridian, where longitudes jump."""
+    rng = np.random.RandomState(4)
+    turn = 360 if abs(lat) > 89 else spread * 2 / max(math.cos(math.radians(lat)), 0.01)
+    p = [(i, max(-90.0, min(90.0, lat + float(a) * spread)), (lng + float(b) * turn + 180) % 360 - 180) for i, (a, b) in enumerate(rng.rand(200, 2) - 0.5)]
+    p += [(900, lat, lng), (901, lat, lng + 0.0001), (902, lat, -lng), (903, None, lng), (904, lat, None)]
+    df = spark.createDataFrame(p, "id long, lat double, lng double")
+    got = sorted(values(spatial.radius_join(df, df.toDF("other", "rlat", "rlng"), 200.0).select("id", "other")))
+    full = [x for x in p if None not in x]
+    assert got == sorted((a[0], b[0]) for a in full for b in full if recording.distance(a[1], a[2], b[1], b[2]) <= 200.0)
+    assert len(got) > len(full)
+
+
+def test_boxes_near_a_box_at_any_latitude(spark):
+    rows = [(1, 70.0, 25.004), (2, 70.0, 25.02), (3, 70.0, -334.996), (4, 10.0, 25.0)]
+    df = spark.createDataFrame(rows, "id long, lat double, lng double")
+    near = spatial.near_box(69.9, 70.1, 24.9, 25.0, 180.0, (F.col("lat"), F.col("lat")), (F.col("lng"), F.col("lng")))
+    assert sorted(r["id"] for r in df.filter(near).collect()) == [1, 3]
+
+
+def test_line_sweep_touches_every_tile(spark):
+    """A long line at zoom 14, against tiles of points set closely along it; a missing fix breaks the line."""
+    zooms = [6, 11, 14]
+    a, b = (46.0, 7.0), (46.4, 9.0)
+    df = spark.createDataFrame([(1, 1, *a), (1, 2, *b), (1, 3, None, None), (1, 4, 40.0, 0.0), (2, 1, 50.0, 1.0)], "track_id long, seq int, lat double, lng double")
+    got = {tuple(r) for r in heatmap.line_tiles(df, zooms).select("track_id", "z", "x", "y").collect()}
+
+    def world(lat, lng, z):
+        r = math.radians(lat)
+        return (lng + 180) / 360 * 2**z, (1 - math.log(math.tan(r) + 1 / math.cos(r)) / math.pi) / 2 * 2**z
+
+    for z in zooms:
+        (x0, y0), (x1, y1) = world(*a, z), world(*b, z)
+        want = {(1, z, int(x0 + (x1 - x0) * k / 50_000), int(y0 + (y1 - y0) * k / 50_000)) for k in range(50_001)}
+        want |= {(1, z, *map(int, world(40.0, 0.0, z))), (2, z, *map(int, world(50.0, 1.0, z)))}
+        assert {g for g in got if g[1] == z} == want
+    assert sum(g[1] == 14 for g in got) > 92
+    plan = heatmap.tile_plan(df, zooms, halo=False)
+    assert plan.count() == len(got) and heatmap.tile_plan(df, zooms, halo=False, existing=plan.limit(10)).count() == len(got) - 10
+
+
+def test_strokes_are_whole_and_smooth(spark):
+    """Pixels of strokes of any length, by distance from the line; long ones are not thinned, joints have two round ends."""
+    zoom = 10
+    pts = [(1, 1, 46.0, 7.0), (1, 2, 46.01, 7.9), (1, 3, 46.01, 7.9), (1, 4, 46.2, 7.9)]
+    got = {(r["x"] * 512 + r["col"], r["y"] * 512 + r["row"]): r["intensity"] for r in heatmap.pixel_intensity(spark.createDataFrame(pts, "track_id long, seq int, lat double, lng double"), [zoom]).collect()}
+    radius, intensity, scale = 2.0, 16.0, 512 * 2**zoom
+    xy = [((g + 180) / 360 * scale, (1 - math.log(math.tan(math.radians(a)) + 1 / math.cos(math.radians(a))) / math.pi) / 2 * scale) for _, _, a, g in pts]
+    want = {}
+    for (ax, ay), (bx, by) in zip(xy, xy[1:]):
+        gx, gy = np.meshgrid(np.arange(int(min(ax, bx)) - 5, int(max(ax, bx)) + 6), np.arange(int(min(ay, by)) - 5, int(max(ay, by)) + 6), indexing="ij")
+        ll = (bx - ax) ** 2 + (by - ay) ** 2
+        at = np.clip(((gx + 0.5 - ax) * (bx - ax) + (gy + 0.5 - ay) * (by - ay)) / ll, 0, 1) if ll > 1e-4 else 0.0
+        e = np.clip(np.hypot(gx + 0.5 - ax - at * (bx - ax), gy + 0.5 - ay - at * (by - ay)) - radius, 0, 1)
+        v = np.floor(intensity * (1 - e * e * (3 - 2 * e)) + 0.5).astype(int)
+        for x, y, n in zip(gx[v > 0].tolist(), gy[v > 0].tolist(), v[v > 0].tolist()):
+            want[(x, y)] = want.get((x, y), 0) + n
+    assert got == want
+
+
+def test_stale_tiles_of_a_large_box(spark):
+    plan = spark.createDataFrame([(17, 68000 + i, 46000, 1) for i in range(0, 3000, 100)] + [(3, 4, 2, 1), (3, 7, 7, 1)], "z int, x long, y long, tracks long")
+    box = spark.createDataFrame([(40.0, 50.0, 7.0, 12.0), (46.0, 46.1, 9.0, 9.1)], "min_lat double, max_lat double, min_lng double, max_lng double")
+    got = sorted(tuple(r) for r in heatmap.stale_tiles(plan, box, [3, 17]).collect())
+    n = 2**17
+    assert got == sorted([(3, 4, 2, 1)] + [(17, x, 46000, 1) for x in range(68000, 71000, 100) if int(187 / 360 * n) <= x <= int(192 / 360 * n)])
+
+
+def test_overlap_and_pruning(spark):
+    """Sections of which one lies on the other, by half, or far off."""
+    from stridelake.operators import detection
+
+    line = lambda s, lat, k0, k1: [(s, k, lat, 7 + k * 0.001) for k in range(k0, k1)]
+    pts = spark.createDataFrame(line(1, 46.0, 0, 10) + line(2, 46.0001, 0, 10) + line(3, 46.0002, 5, 15) + line(4, 46.5, 0, 10), "section_id long, point int, lat double, lng double")
+    over = {(r["section_id"], r["other_id"]): r["fraction"] for r in spatial.overlaps(pts, 50.0).collect()}
+    assert over == {(1, 2): 1.0, (2, 1): 1.0, (1, 3): 0.5, (3, 1): 0.5, (2, 3): 0.5, (3, 2): 0.5}
+    s = spark.createDataFrame([(i, "auto", "Run", 1000.0, 46.0, 7.0 + i / 10000) for i in (1, 2, 3, 4)], "section_id long, section_type string, sport_type string, section_meters double, lat double, lng double")
+    laps = spark.createDataFrame([(1, 5), (2, 9), (3, 5)], "section_id long, laps long")
+    assert sorted(r["section_id"] for r in detection.pruned(s, pts, laps, 50.0, 0.6).collect()) == [2, 3, 4]
+    got = [(r["section_id"], r["other_id"], r["rank"]) for r in spatial.merge_candidates(s, pts, top=1).collect()]
+    assert sorted(got) == [(1, 2, 1), (2, 1, 1), (3, 2, 1)]
+
+
+def test_medoid_by_sampled_points(spark):
+    from stridelake.operators import routes
+
+    rng = np.random.RandomState(5)
+    tracks = {i: [(46 + k * 0.001 + float(rng.rand()) * 0.0005 * i, 7 + float(rng.rand()) * 0.0005 * i) for k in range(10 + 11 * i)] for i in range(1, 6)}
+    pts = spark.createDataFrame([(i, k + 1, *p) for i, t in tracks.items() for k, p in enumerate(t)], "track_id long, seq int, lat double, lng double")
+    groups = spark.createDataFrame([(i, 7) for i in tracks], "track_id long, route_id long")
+
+    def gap(a, b):
+        k = min(20, len(a), len(b))
+        x, y = ([t[i * (len(t) // k)] for i in range(k)] for t in (a, b))
+        return sum(min(recording.distance(*p, *q) for q in y) for p in x) / k
+
+    d = {(r["a"], r["b"]): r["d"] for r in routes.track_distances(pts, groups).collect()}
+    assert set(d) == {(i, j) for i in tracks for j in tracks if i != j} and all(abs(d[i, j] - gap(tracks[i], tracks[j])) < 1e-6 for i, j in d)
+    total = {i: sum(d[i, j] for j in tracks if j != i) for i in tracks}
+    assert routes.medoid(routes.track_distances(pts, groups)).first()["medoid"] == min(total, key=total.get)
+
+
+def test_folds_carry_over_batches(spark):
+    """A track over many Arrow batches, against the fold in one go."""
+    rng = np.random.RandomState(6)
+    rows = [(k, t, 46 + float(rng.rand()) * 0.001, 7.0, "Ride", t) for k in (1, 2, 3) for t in range(0, 400, 1 + k)]
+    df = spark.createDataFrame(rows, "track_id long, t long, lat double, lng double, sport_type string, point_id long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(r) for r in recording.cleaned_batch(df).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = [(k, *r) for k in (1, 2, 3) for r in recording.clean([(t, a, g, 35.0) for i, t, a, g, *_ in rows if i == k], None)[0]]
+    assert got == sorted(want)
+
+
+def test_pattern_sections_by_rank(spark):
+    rows = [(a, 1, float(100 - a), a, 0) for a in range(8)] + [(0, 2, 50.0, 0, 0)]
+    laps = spark.createDataFrame(rows, "activity_id long, section_id long, lap_time double, date long, start_index int")
+    labels = spark.createDataFrame([(a, 5, 0) for a in range(8)], "activity_id long, athlete long, cluster int")
+    got = [tuple(r) for r in patterns.pattern_sections(labels, laps, ["athlete"]).select("section_id", "appearances", "best", "median_recent", "trend").collect()]
+    assert got == [(1, 8, 93.0, 95.0, 1)]
+
+
 def test_k_means_separates():
     rng = np.random.RandomState(1)
     x = np.concatenate([rng.normal(c, 0.02, (20, 4)) for c in (0.1, 0.9)])
