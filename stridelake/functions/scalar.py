@@ -162,3 +162,33 @@ def upper_middle(values: Column) -> Column:
     """Element n / 2 of the sorted array: the upper of two middle ones."""
     s = F.array_sort(values)
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+
+
+def tile_bounds(zoom: Column, x: Column, y: Column) -> tuple[Column, Column, Column, Column]:
+    """Lowest and highest latitude, then longitude, of a tile."""
+    n = F.pow(F.lit(2.0), zoom)
+    lat = lambda row: F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * row / n))))
+    return lat(y + 1), lat(y), x / n * 360 - 180, (x + 1) / n * 360 - 180
+
+
+def expanded_bounds(min_lat: Column, max_lat: Column, min_lng: Column, max_lng: Column, radius_km: float) -> tuple[Column, Column, Column, Column]:
+    """A box widened by a radius: 111 km a degree of latitude, and as many times the cosine of the middle one of longitude."""
+    dy = radius_km / 111.0
+    middle = F.greatest(F.least((min_lat + max_lat) / 2, F.lit(85.051129)), F.lit(-85.051129))
+    dx = radius_km / (111.0 * F.cos(F.radians(middle)))
+    return min_lat - dy, max_lat + dy, min_lng - dx, max_lng + dx
+
+
+def tile_count(min_lat: Column, max_lat: Column, min_lng: Column, max_lng: Column, first: int, last: int) -> Column:
+    """Tiles that a box touches at the zooms from first to last."""
+    each = [(tile_x(max_lng, z) - tile_x(min_lng, z) + 1) * (tile_y(min_lat, z) - tile_y(max_lat, z) + 1) for z in range(first, last + 1)]
+    return sum(each[1:], each[0])
+
+
+# Days of smoothing for each time range.
+SMOOTHING = {"7d": 0, "1m": 3, "42d": 5, "3m": 7, "6m": 14, "1y": 21}
+
+
+def smoothing_window(preference: str | int, time_range: str) -> int:
+    """Days to smooth over: none, the range's own (auto), or as many as asked for."""
+    return 0 if preference == "none" else SMOOTHING[time_range] if preference == "auto" else int(preference)

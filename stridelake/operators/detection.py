@@ -43,10 +43,10 @@ def signatures(points: DataFrame) -> DataFrame:
     )
 
 
-def route_edges(sigs: DataFrame, cfg: DetectionConfig) -> DataFrame:
-    """Pairs of tracks that start and end close to each other and are of similar length."""
-    other = sigs.select(F.col("track_id").alias("other_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"), F.col("end_lat").alias("oend_lat"), F.col("end_lng").alias("oend_lng"), F.col("metres_long").alias("other_long"))
-    pairs = radius_join(sigs, other, cfg.endpoint_m).filter("track_id < other_id")
+def route_edges(sigs: DataFrame, cfg: DetectionConfig, others: DataFrame | None = None) -> DataFrame:
+    """Pairs of tracks that start and end close to each other and are of similar length; of sigs, or of sigs with others."""
+    other = (sigs if others is None else others).select(F.col("track_id").alias("other_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"), F.col("end_lat").alias("oend_lat"), F.col("end_lng").alias("oend_lng"), F.col("metres_long").alias("other_long"))
+    pairs = radius_join(sigs, other, cfg.endpoint_m).filter("track_id < other_id" if others is None else "track_id <> other_id")
     ratio = F.least("metres_long", "other_long") / F.greatest("metres_long", "other_long")
     ends = haversine(F.col("end_lat"), F.col("end_lng"), F.col("oend_lat"), F.col("oend_lng"))
     return pairs.filter((ratio >= cfg.length_ratio) & (ends <= cfg.endpoint_m)).select(F.col("track_id").alias("a"), F.col("other_id").alias("b"))

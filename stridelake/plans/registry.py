@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stridelake.sources.adapters import PRELUDE, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: The same as functions of domain tables, wherever these come from.
+OVER_TABLES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "a15_section_records"
 
@@ -18,6 +20,7 @@ def query(name: str, sql: str | None = None):
     """Register a function of Tables; sql follows the prelude's CTEs (", x as (...)" may come first)."""
 
     def add(f: Callable[[Tables], DataFrame]):
+        OVER_TABLES[name] = f
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLE[name] = PRELUDE + sql
@@ -26,5 +29,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _m in ("fitness", "sections", "routes", "strength", "spatial", "patterns", "smoothing", "insights", "heatmap", "tables", "detection"):
+for _m in ("fitness", "sections", "routes", "strength", "spatial", "patterns", "smoothing", "insights", "heatmap", "tables", "detection", "upkeep"):
     importlib.import_module(f"stridelake.plans.{_m}")

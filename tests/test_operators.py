@@ -314,3 +314,36 @@ def test_engine_surface(spark, tmp_path):
     assert all(f.columns and f.count() >= 0 for f in frames)
     heatmap.write_tiles(e.maps.tiles(8), str(tmp_path))
     assert list(tmp_path.glob("8/*/*.png"))
+
+
+def test_store_and_versions(spark, tmp_path):
+    import os
+
+    from stridelake.plans import registry
+    from stridelake.sources import store
+    from stridelake.sources.adapters import Tables
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("test tables are absent")
+    t = Tables(spark, "/root/testdata/sf0.001")
+    stored = store.store(t, str(tmp_path / "store"))
+    for name in ("a8_a9_section_summaries", "p13_excluded_ids"):
+        assert values(registry.OVER_TABLES[name](stored)) == values(registry.OVER_TABLES[name](t))
+    built = []
+
+    def build(n):
+        built.append(n)
+        return spark.range(n)
+
+    path = str(tmp_path / "derived")
+    assert store.materialised(spark, path, 1, lambda: build(3)).count() == 3
+    assert store.materialised(spark, path, 1, lambda: build(4)).count() == 3
+    assert store.materialised(spark, path, 2, lambda: build(5)).count() == 5 and built == [3, 5]
+
+
+def test_scalar_look_ups(spark):
+    z, x, y = F.lit(10), F.lit(532), F.lit(360)
+    a, b, c, d = (one(spark, v) for v in S.tile_bounds(z, x, y))
+    assert a < b and c < d and one(spark, S.tile_x(F.lit((c + d) / 2), 10)) == 532 and one(spark, S.tile_y(F.lit((a + b) / 2), 10)) == 360
+    assert one(spark, S.tile_count(F.lit(a + 1e-6), F.lit(b - 1e-6), F.lit(c + 1e-6), F.lit(d - 1e-6), 9, 11)) == 1 + 1 + 4
+    assert [S.smoothing_window(*p) for p in (("auto", "6m"), ("none", "1y"), (7, "7d"))] == [14, 0, 7]
