@@ -20,11 +20,12 @@ Spans = list[tuple[int, int]]
 
 
 @functools.cache
-def span_encoder(path: str) -> tuple[Callable[[list[str]], list[Spans]], Callable[[list[str]], list[int]], bool]:
+def span_encoder(path: str) -> tuple[Callable[[list[str]], list[Spans]], Callable[[list[str]], list[int]], bool, re.Pattern | None]:
     """Batch encoders of the library for this file: character spans of tokens, and token counts.
 
     The third item says whether a space between two other characters always
-    parts two tokens (byte-level pre-tokens).
+    parts two tokens (byte-level pre-tokens, and no added token that has or
+    takes in white space); the fourth finds added tokens.
     """
     if path.endswith(".json"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,10 +35,13 @@ def span_encoder(path: str) -> tuple[Callable[[list[str]], list[Spans]], Callabl
         tok.no_truncation()
         tok.no_padding()
         byte_level = '"ByteLevel"' in (tok.pre_tokenizer.__getstate__().decode() if tok.pre_tokenizer else "") and tok.normalizer is None
+        added = [t for t in tok.get_added_tokens_decoder().values() if t.content]
+        plain = not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
         return (
             lambda ts: [e.offsets for e in tok.encode_batch(ts, add_special_tokens=False)],
             lambda ts: [len(e) for e in tok.encode_batch_fast(ts, add_special_tokens=False)],
-            byte_level,
+            byte_level and plain,
+            re.compile("|".join(re.escape(t.content) for t in added)) if added else None,
         )
     import sentencepiece
 
@@ -46,6 +50,7 @@ def span_encoder(path: str) -> tuple[Callable[[list[str]], list[Spans]], Callabl
         lambda ts: [[(p.begin, p.end) for p in x.pieces] for x in sp.encode(ts, out_type="immutable_proto", num_threads=1)],
         lambda ts: [len(x) for x in sp.encode(ts, num_threads=1)],
         False,
+        None,
     )
 
 
@@ -89,7 +94,7 @@ class Counter:
     """Token counts of texts; short ones by their parts between stable starts, each part encoded once by the library."""
 
     def __init__(self, path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP, memo: int = MEMO):
-        self.spans, self.counts, self.parted = span_encoder(path)
+        self.spans, self.counts, self.parted, self.added = span_encoder(path)
         self.huge, self.chunk, self.overlap, self.cap = huge, chunk, overlap, memo
         self.memo: dict[str, int] = {}
         self.crowded = re.compile(r"\s (?:\s|\Z)")
@@ -99,7 +104,7 @@ class Counter:
         if len(self.memo) > self.cap:
             self.memo.clear()
         new = list(set().union(*texts) - self.memo.keys())
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and "<|" not in w]
+        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and not (self.added and self.added.search(w))]
         odd = list(set(new) - set(plain))
         for k in range(0, len(plain), 1000):
             words = plain[k : k + 1000]
