@@ -347,3 +347,43 @@ def test_scalar_look_ups(spark):
     assert a < b and c < d and one(spark, S.tile_x(F.lit((c + d) / 2), 10)) == 532 and one(spark, S.tile_y(F.lit((a + b) / 2), 10)) == 360
     assert one(spark, S.tile_count(F.lit(a + 1e-6), F.lit(b - 1e-6), F.lit(c + 1e-6), F.lit(d - 1e-6), 9, 11)) == 1 + 1 + 4
     assert [S.smoothing_window(*p) for p in (("auto", "6m"), ("none", "1y"), (7, "7d"))] == [14, 0, 7]
+
+
+def test_patterns_from_labels(spark):
+    """The gates and figures of patterns, and the pattern of a day, against plain loops over given labels."""
+    from collections import Counter
+    from datetime import datetime, timezone
+
+    rng = np.random.RandomState(7)
+    rows, labels = [], []
+    for i in range(240):
+        athlete, cluster = i % 3, i // 3 % 3
+        rows.append((athlete, "Ride", i, int(978307200 + 86400 * (rng.randint(0, 20 if cluster == 2 else 400))), int(rng.randint(1000, 5000)), float(rng.randint(1, 90)), float(rng.randint(1, 50))))
+        labels.append((i, cluster, float([0.6, 0.35, 0.5][cluster] if athlete else 0.2)))
+    m = spark.createDataFrame(rows, "athlete long, sport_type string, activity_id long, date long, moving_time long, distance double, training_load double")
+    lab = spark.createDataFrame(labels, "activity_id long, cluster int, silhouette double")
+    by = ["athlete", "sport_type"]
+    got = {(r["athlete"], r["cluster"]): r for r in patterns.patterns(patterns.normalised(m, by), lab, by).collect()}
+
+    season = lambda d: "winter spring summer autumn".split()[datetime.fromtimestamp(d, timezone.utc).month % 12 // 3]
+    want = {}
+    for athlete in range(3):
+        for cluster in range(3):
+            own = [r for r in rows if r[0] == athlete and labels[r[2]][1] == cluster]
+            sil = np.mean([labels[r[2]][2] for r in own])
+            span = (max(r[3] for r in own) - min(r[3] for r in own)) // 86400
+            month = len(own) / (max(span, 1) / 30.44)
+            if len(own) >= 6 and span >= 90 and sil >= 0.3 - 1e-12 and month >= 0.3:
+                s = Counter(season(r[3]) for r in own)
+                top = max(s.items(), key=lambda x: (x[1], x[0]))
+                day = max(Counter(datetime.fromtimestamp(r[3], timezone.utc).weekday() for r in own).items(), key=lambda x: (x[1], x[0]))
+                conf = 0.3 * min(len(own) / 20, 1) + 0.3 * sil + 0.2 * min(month / 4, 1) + 0.2 * day[1] / len(own)
+                want[athlete, cluster] = (len(own), span, top[0] if top[1] > 0.6 * len(own) or len(s) < 3 else "all", day[0], round(conf, 5))
+    assert {k: (r["members"], r["span_days"], r["season"], r["primary_day"], round(r["confidence"], 5)) for k, r in got.items()} == want and len(want) == 4
+    today = patterns.pattern_today(spark.createDataFrame(list(got.values())), by, 0, "summer").collect()
+    near = lambda r: min(abs(r["primary_day"] - 0), 7 - abs(r["primary_day"] - 0)) <= 1 and r["season"] in ("summer", "all")
+    best = {}
+    for k, r in got.items():
+        if near(r) and (k[0] not in best or (-r["confidence"], r["cluster"]) < (-best[k[0]]["confidence"], best[k[0]]["cluster"])):
+            best[k[0]] = r
+    assert {r["athlete"]: r["cluster"] for r in today} == {k: r["cluster"] for k, r in best.items()}
