@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import text_or_empty
+from stridelake.llm.common import spread, text_or_empty
 
 # The pre-token pattern of the byte-level vocabulary. \s is spelt
 # out as the characters with the White_Space property.
@@ -371,4 +371,4 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_tokens long, " + "ids binary, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))).mapInArrow(run, schema)

@@ -111,6 +111,16 @@ def _reads_files(docs: DataFrame) -> bool:
     return plan.children().isEmpty()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df with its rows dealt over all task slots, if it is a scan of fewer splits than these; else df itself.
+
+    Work on whole texts is heavy, and a file of one row group is one task. A
+    table of many files or row groups is left as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if _reads_files(df) and df.rdd.getNumPartitions() < slots else df
+
+
 def with_row(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     """docs with a further column that tells each row apart from all others, and that column's name.
 

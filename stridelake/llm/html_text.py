@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import text_or_empty
+from stridelake.llm.common import spread, text_or_empty
 
 # Element names of HTML.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -378,5 +378,5 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", html: str = "html"
                 texts = [main_text(t.as_py()) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_or_empty(html).alias("html"))
+    rows = spread(pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_or_empty(html).alias("html")))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

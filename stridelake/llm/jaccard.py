@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from stridelake.llm.common import Scratch, join_checked, text_or_empty
+from stridelake.llm.common import Scratch, join_checked, spread, text_or_empty
 from stridelake.llm.components import Forest, connected_components
 from stridelake.llm.simhash import BLOCK, shingles, tile_links
 
@@ -72,7 +72,7 @@ def sketches(docs: DataFrame, who: F.Column, text: str = "text", size: int = SIZ
             )
 
     t = text_or_empty(text)
-    rows = docs.select(who.alias("who"), F.xxhash64(t).alias("text_id"), t.alias("text"))
+    rows = spread(docs.select(who.alias("who"), F.xxhash64(t).alias("text_id"), t.alias("text")))
     more = [StructField("sid", LongType()), StructField("n", LongType()), StructField("words", ArrayType(LongType()))]
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], *more]))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -10,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import Scratch, checked, text_or_empty
+from stridelake.llm.common import Scratch, checked, spread, text_or_empty
 
 THRESHOLD = 0.8
 
@@ -61,6 +62,7 @@ def template_rows(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[in
     return out
 
 
+@functools.cache
 def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     """Bigram counts whose Dice coefficient with a template of `size` bigrams can reach the threshold."""
     least = next(n for n in range(size + 1) if 2 * min(n, size) >= threshold * (n + size) - 1e-12)
@@ -104,9 +106,15 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     from 0. Null and empty texts match nothing; a null key stays null;
     repeated rows count once, as one text of one key.
     """
+    docs = spread(docs.select(key, text))
     return scan_units(docs, templates, threshold, key, text).unionByName(scan_passages(docs, templates, threshold, key, text))
 
 
+def _has(words: str, needed: list[str]) -> F.Column:
+    """Whether an array of words has one of a list (of A-Z, a-z and 0-9), in any case."""
+    return F.expr(f"exists({words}, w -> lower(w) in ({', '.join(map(repr, needed))}))")
+
+
 def _words(text: F.Column) -> F.Column:
     return F.array_remove(F.split(text, "[^A-Za-z0-9]+"), "")
 
@@ -131,7 +139,7 @@ def scan_passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     def matched(rows: DataFrame) -> DataFrame:
         made = (
             rows.select(F.col(key).alias("doc_id"), F.xxhash64(t).alias("_hash"), F.explode(F.array(_words(t))).alias("words"))
-            .filter(F.exists("words", lambda w: F.lower(w).isin(needed)) & (F.size("words") > 1))
+            .filter(_has("words", needed) & (F.size("words") > 1))
             .select("doc_id", "_hash", (F.size("words") - 1).alias("n"), F.posexplode(F.expr("transform(sequence(0, size(words) - 2), i -> lower(concat(words[i], ' ', words[i + 1])))")).alias("at", "gram"))
         )
         return made.join(F.broadcast(table), "gram")
@@ -184,7 +192,7 @@ def scan_units(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, th
         sized = F.lit(False)
         for lo, hi in sorted({bounds[i] for i in group}):
             sized = sized | F.col("n_bigrams").between(lo, hi)
-        fits = fits | (sized & F.exists("raw", lambda w: F.lower(w).isin(needed)))
+        fits = fits | (sized & _has("raw", needed))
     top = max(hi for _, hi in bounds.values())
     t = text_or_empty(text)
     # Words of each line; a line beyond every bound is cut just past it, which keeps it (and its text) beyond the bound.

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stridelake.llm.common import free_name, text_or_empty
+from stridelake.llm.common import free_name, spread, text_or_empty
 
 WORDS, BINS, RANK = 1 << 12, 16, 8
 #: Labelled rows that the model is fitted on, at most (those with the smallest hash of their key).
@@ -183,6 +183,7 @@ def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", name
     """
     if name in docs.columns:
         docs = docs.withColumnRenamed(name, free_name(docs, f"{name}_in"))
+    docs = spread(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32)))
     at = docs.columns.index(text)
 

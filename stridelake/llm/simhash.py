@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import Scratch, join_checked, text_or_empty
+from stridelake.llm.common import Scratch, join_checked, spread, text_or_empty
 from stridelake.llm.components import Forest, connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             fps = [simhash(t.as_py(), size, seed) for t in b.column(1)]  # one text at a time in Python
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def _lanes() -> list[F.Column]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import text_or_empty
+from stridelake.llm.common import spread, text_or_empty
 
 #: Texts of more characters than HUGE are encoded in overlapping chunks.
 HUGE, CHUNK, OVERLAP, MEMO = 1 << 15, 1 << 14, 256, 1_000_000
@@ -165,5 +165,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), n], names=["doc_id", "n_bytes", "n_tokens"])
 
     t = text_or_empty(text)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), t.alias("text"), F.octet_length(t).cast("long").alias("n_bytes"))
+    rows = spread(docs.select(F.col(key).cast("long").alias("doc_id"), t.alias("text"), F.octet_length(t).cast("long").alias("n_bytes")))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
