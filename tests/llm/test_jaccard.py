@@ -84,3 +84,29 @@ def test_stage_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(str(tuple(r)) for r in jaccard.near_duplicates(docs).drop("kept").collect()) == brute_force(rows)
+
+
+@pytest.mark.parametrize("most", [3, 40, 10**6])
+def test_components_in_rounds(spark, monkeypatch, most):
+    """Chains, stars, loops and repeats, with tasks that hold few edges at a time."""
+    from stridelake.llm import components
+    from stridelake.llm.common import Scratch
+
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    rng = random.Random(most)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(5000, 5000), (7, 7), (None, 3), (61, 2000), (2000, 1999)]
+    edges += [(rng.randint(10_000, 10_060), rng.randint(10_000, 10_060)) for _ in range(40)] + [(3, 4)] * 5
+    scratch = Scratch(spark, "test")
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3), scratch).collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    assert got == {x: root(x) for x in parent}
