@@ -10,6 +10,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 #: A side of a join is broadcast only if the stored table has at most this many bytes of keys and values.
 BROADCAST_BYTES = 8 << 20
@@ -71,10 +72,15 @@ def hadoop_delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _values(kind: DataType) -> int:
+    """Single values of a type: those of all its fields if it is a struct."""
+    return sum(_values(f.dataType) for f in kind.fields) if isinstance(kind, StructType) else 1
+
+
 def stored_bytes(df: DataFrame) -> int:
-    """Bytes of a stored table in memory, about: its strings and binaries, and 16 for each other value."""
+    """Bytes of a stored table in memory, about: its strings and binaries, 16 for each single value and 32 for each row."""
     wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
-    row = sum(wide, F.lit(16 * len(df.columns)))
+    row = sum(wide, F.lit(16 * _values(df.schema) + 32))
     return df.agg(F.sum(row.cast("long"))).first()[0] or 0
 
 

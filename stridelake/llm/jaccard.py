@@ -27,6 +27,8 @@ SIZE, THRESHOLD = 5, 0.8
 WORDS, RADIUS = 4, 64
 #: Sets and hashes of a tile of sets, at most (but for a single larger set).
 TILE_SETS, TILE_HASHES = 512, 1 << 20
+#: Bytes of sets for each task that builds tiles.
+TASK_BYTES = 16 << 20
 _SALTS = np.random.default_rng(42).integers(0, 1 << 63, WORDS, np.uint64)
 
 
@@ -90,7 +92,7 @@ def candidate_links(distinct: DataFrame, scratch: Scratch, threshold: float) ->
 
 
 def set_tiles(docs: DataFrame, wanted: DataFrame, scratch: Scratch, text: str = "text", size: int = SIZE) -> DataFrame:
-    """(key, block, blocks, members) with members (sid, hashes), from the texts of wanted (text_id, sid, key, block, blocks).
+    """(key, block, blocks, members) with members (sid, hashes), from the texts of wanted (text_id, sid, n, key, block, blocks).
 
     Copies of a text are dropped in each task, and those of several tasks
     where they meet. One shuffle: the tiles are built where the sets arrive.
@@ -107,10 +109,12 @@ def set_tiles(docs: DataFrame, wanted: DataFrame, scratch: Scratch, text: str =
 
     t = text_or_empty(text)
     rows = docs.select(F.xxhash64(t).alias("text_id"), t.alias("text"))
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-8 * total // TASK_BYTES))
     found = join_checked(rows, wanted, ["text_id"], "inner").select("text", "sid", "key", "block", "blocks")
     sets = found.mapInArrow(run, "sid long, key long, block int, blocks int, hashes array<long>")
     return scratch.save(
-        sets.repartition("key", "block").dropDuplicates(["key", "block", "sid"])
+        sets.repartition(tasks, "key", "block").dropDuplicates(["key", "block", "sid"])
         .groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("sid", "hashes")).alias("members")),
         "tiles",
     )
@@ -214,7 +218,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     members = scratch.save(members, "members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_HASHES)).cast("int")
     sizes = scratch.save(members.groupBy("key").agg(blocks.alias("blocks")), "sizes")
-    wanted = join_checked(members, sizes, ["key"], "inner").select("text_id", "sid", "key", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    wanted = join_checked(members, sizes, ["key"], "inner").select("text_id", "sid", "n", "key", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "blocks")
     tiles = set_tiles(docs, scratch.save(wanted, "wanted"), scratch, text, size)
     links = scratch.save(tiles.select("members").mapInArrow(compare_homes(threshold), "a long, b long"), "links")
 
