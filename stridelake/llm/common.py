@@ -57,10 +57,17 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        return self._read(df, path)
+
+    def _read(self, df: DataFrame, path: str) -> DataFrame:
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
+    def again(self, df: DataFrame) -> DataFrame:
+        """A further read of a stored table, whose columns Spark tells apart from those of the first."""
+        return self._read(df, df._scratch_path)  # type: ignore[attr-defined]
+
     def drop(self, df: DataFrame) -> None:
         """Delete a stored table that no later plan reads."""
         hadoop_delete(self.spark, df._scratch_path)  # type: ignore[attr-defined]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import bpe, digest, exact_dedup, html_text, license_scan, packing, quality, simhash, token_counts, warc
+from stridelake.llm import bpe, digest, exact_dedup, hard_negatives, html_text, license_scan, packing, piece_bpe, quality, simhash, token_counts, warc
 from stridelake.llm.common import Scratch
 
 
@@ -63,11 +63,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_simhash_near_dedup, op3_warc, op4_quality, op5_bpe_round_trip,
         op6_quartile_digest, op7_packing, op8_html_main_text, op9_token_counts, op10_exact_dedup,
+        op11_hard_negatives, op13_piece_round_trip,
     )
 }
 
@@ -88,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
             doc_id = max(doc_id) over w kept, sha256(t) text_sha256
         from d window w as (partition by t)
     """,
+    "op11_hard_negatives": hard_negatives.oracle_sql(),
 }
