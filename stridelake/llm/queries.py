@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import bpe, digest, exact_dedup, hard_negatives, html_text, license_scan, packing, piece_bpe, quality, simhash, token_counts, warc
+from stridelake.llm import bpe, conversations, digest, exact_dedup, hard_negatives, html_text, license_scan, packing, piece_bpe, quality, simhash, token_counts, warc
 from stridelake.llm.common import Scratch
 
 
@@ -67,6 +67,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), with_ids=False)
 
@@ -76,7 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_license_scan, op2_simhash_near_dedup, op3_warc, op4_quality, op5_bpe_round_trip,
         op6_quartile_digest, op7_packing, op8_html_main_text, op9_token_counts, op10_exact_dedup,
-        op11_hard_negatives, op13_piece_round_trip,
+        op11_hard_negatives, op12_conversation_repair, op13_piece_round_trip,
     )
 }
 
@@ -98,4 +102,5 @@ ORACLE_SQL: dict[str, str] = {
         from d window w as (partition by t)
     """,
     "op11_hard_negatives": hard_negatives.oracle_sql(),
+    "op12_conversation_repair": conversations.oracle_sql(),
 }
