@@ -54,7 +54,11 @@ def route_edges(sigs: DataFrame, cfg: DetectionConfig, others: DataFrame | None
 
 def route_groups(points: DataFrame, cfg: DetectionConfig) -> DataFrame:
     """track_id and route (the smallest track of its group), lone tracks included."""
-    sigs = signatures(points)
+    return grouped(signatures(points), cfg)
+
+
+def grouped(sigs: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """The same from signatures."""
     roots = connected_components(route_edges(sigs, cfg))
     return sigs.join(roots, sigs["track_id"] == roots["node"], "left").select("track_id", F.coalesce("root", "track_id").alias("route"))
 

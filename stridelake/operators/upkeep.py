@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions.scalar import haversine
-from stridelake.operators.detection import DetectionConfig, route_edges, route_groups, signatures, step_lengths
+from stridelake.operators.detection import DetectionConfig, grouped, route_edges, signatures, step_lengths
 from stridelake.operators.graph import connected_components
 from stridelake.operators.spatial import radius_join
 
@@ -14,15 +14,12 @@ from stridelake.operators.spatial import radius_join
 FULL_FROM = 0.9
 
 
-def best_spans(points: DataFrame, polylines: DataFrame, threshold_m: float, least: float, max_gap: int = 1) -> DataFrame:
-    """For each track and section the stretch of the track that covers most of the section's polyline, if at least the share `least`.
+def spans(points: DataFrame, polylines: DataFrame, threshold_m: float, least: float, max_gap: int = 1) -> DataFrame:
+    """Stretches of tracks that cover at least the share `least` of a section's polyline.
 
     points: track_id, seq, lat, lng; polylines: section_id, point, lat, lng.
     A stretch is a run of fixes within the threshold, over gaps of max_gap
     fixes. Its direction is that in which it passes the polyline's points.
-    Ties: the earlier stretch. Standard matching takes the proximity and half
-    of the polyline; a rematch 2.5 times the proximity and 0.4 of it; a custom
-    section 50 m and 0.8.
     """
     lines = polylines.select("section_id", "point", F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
     near = radius_join(points.select("track_id", "seq", "lat", "lng"), lines, threshold_m).select("track_id", "section_id", "seq", "point")
@@ -31,28 +28,41 @@ def best_spans(points: DataFrame, polylines: DataFrame, threshold_m: float, leas
     runs = starts.withColumn("run", F.sum("s").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     sizes = polylines.groupBy("section_id").agg(F.count(F.lit(1)).alias("n"))
     at = lambda agg, order: agg(F.struct(order, "point"))["point"]
-    spans = runs.groupBy("track_id", "section_id", "run").agg(
+    found = runs.groupBy("track_id", "section_id", "run").agg(
         F.min("seq").alias("first"), F.max("seq").alias("last"), F.countDistinct("point").alias("covered"), (at(F.min, "seq") <= at(F.max, "seq")).alias("same"),
     )
-    spans = spans.join(sizes, "section_id").withColumn("quality", F.round(F.col("covered") / F.col("n"), 9)).filter(F.col("quality") >= least)
-    best = F.max_by(F.struct("first", "last", "quality", "same"), F.struct("quality", (-F.col("first")).alias("f")))
-    return spans.groupBy("track_id", "section_id").agg(best.alias("b")).select("track_id", "section_id", "b.first", "b.last", "b.quality", F.when(F.col("b.same"), "same").otherwise("reverse").alias("direction"))
+    found = found.join(sizes, "section_id").withColumn("quality", F.round(F.col("covered") / F.col("n"), 9)).filter(F.col("quality") >= least)
+    return found.select("track_id", "section_id", "first", "last", "quality", F.when(F.col("same"), "same").otherwise("reverse").alias("direction"))
+
+
+def best_spans(points: DataFrame, polylines: DataFrame, threshold_m: float, least: float, max_gap: int = 1) -> DataFrame:
+    """Of each track and section the stretch that covers most of the polyline (ties: the earlier one).
+
+    Standard matching takes the proximity and half of the polyline; a rematch
+    2.5 times the proximity and 0.4 of it; a custom section 50 m and 0.8.
+    """
+    best = F.max_by(F.struct("first", "last", "quality", "direction"), F.struct("quality", (-F.col("first")).alias("f")))
+    return spans(points, polylines, threshold_m, least, max_gap).groupBy("track_id", "section_id").agg(best.alias("b")).select("track_id", "section_id", "b.*")
 
 
 def grouped_with_new(points: DataFrame, groups: DataFrame, cfg: DetectionConfig, full_from: float = FULL_FROM) -> DataFrame:
-    """track_id and route after new tracks came in: as route_groups gives them over all tracks.
+    """track_id and route after new tracks came in: as route_groups gives them over all tracks. See regrouped."""
+    return regrouped(signatures(points), groups, cfg, full_from)
+
+
+def regrouped(sigs: DataFrame, groups: DataFrame, cfg: DetectionConfig, full_from: float = FULL_FROM) -> DataFrame:
+    """track_id and route of all tracks with a signature.
 
     groups: track_id and route of the tracks grouped before. Old groups stay
     valid, so only pairs with a new track are compared; an old track stands
     for its group through one edge. Where at least full_from of the tracks are
     new, all are grouped anew. Two counts reach the driver.
     """
-    sigs = signatures(points)
     old = groups.select("track_id", "route")
     new = sigs.join(old, "track_id", "left_anti")
     total, fresh = sigs.count(), new.count()
     if fresh >= full_from * total:
-        return route_groups(points, cfg)
+        return grouped(sigs, cfg)
     met = route_edges(new, cfg, sigs)
     edges = met.unionByName(old.filter("track_id <> route").select(F.col("track_id").alias("a"), F.col("route").alias("b")))
     roots = connected_components(edges)

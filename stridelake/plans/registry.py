@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _m in ("fitness", "sections", "routes", "strength", "spatial", "patterns", "smoothing", "insights", "heatmap", "tables", "detection", "upkeep"):
+for _m in ("fitness", "sections", "routes", "strength", "spatial", "patterns", "smoothing", "insights", "heatmap", "tables", "detection", "upkeep", "keeping"):
     importlib.import_module(f"stridelake.plans.{_m}")

@@ -12,22 +12,23 @@ from stridelake.plans.registry import query
 from stridelake.plans.spatial import hav
 
 
-def _spans(threshold: float, least: float) -> str:
-    return SEQ + f""", nr as (select distinct sq.track_id, l.section_id, seq, point from sq join section_points l on abs(sq.lat - l.lat) < {threshold} / 100000.0 where {hav('sq', 'l')} <= {threshold}),
+def spans_sql(threshold: float, least: float, then: str = " select * from best", every: bool = False) -> str:
+    """SQL of the best stretches of tracks on sections, or of all of them, as CTE `best`, and what follows it."""
+    return STEPS + f""", nr as (select distinct sq.track_id, l.section_id, seq, point from sq join section_points l on abs(sq.lat - l.lat) < {threshold} / 100000.0 where {hav('sq', 'l')} <= {threshold}),
     nb as (select *, case when seq - lag(seq) over (partition by track_id, section_id order by seq) <= 2 then 0 else 1 end s from (select distinct track_id, section_id, seq from nr)),
     rn as (select track_id, section_id, seq, sum(s) over (partition by track_id, section_id order by seq rows unbounded preceding) run from nb),
     sp as (select track_id, section_id, run, min(seq) f, max(seq) l, count(distinct point) covered, arg_min(point, seq * 100000 + point) <= arg_max(point, seq * 100000 + point) same from rn join nr using (track_id, section_id, seq) group by 1, 2, 3),
-    q as (select sp.*, round(covered / n, 9) quality from sp join (select section_id, count(*) n from section_points group by 1) z using (section_id))
-    select track_id, section_id, f::int as "first", l::int as "last", quality, case when same then 'same' else 'reverse' end direction from q where quality >= {least} qualify row_number() over (partition by track_id, section_id order by quality desc, f) = 1"""
+    q as (select sp.*, round(covered / n, 9) quality from sp join (select section_id, count(*) n from section_points group by 1) z using (section_id)),
+    best as (select track_id, section_id, f::int as "first", l::int as "last", quality, case when same then 'same' else 'reverse' end direction from q where quality >= {least} qualify {every} or row_number() over (partition by track_id, section_id order by quality desc, f) = 1){then}"""
 
 
-@query("g12_rematched", _spans(125.0, 0.4))
+@query("g12_rematched", spans_sql(125.0, 0.4))
 def rematched(t):
     """Every track against every section with the relaxed thresholds: 2.5 times 50 m, 0.4 of the polyline."""
     return op.best_spans(seq(t), t.section_points, 125.0, 0.4)
 
 
-@query("g21_custom_matches", _spans(50.0, 0.8))
+@query("g21_custom_matches", spans_sql(50.0, 0.8))
 def custom(t):
     return op.best_spans(seq(t), t.section_points, 50.0, 0.8)
 
