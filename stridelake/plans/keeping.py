@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stridelake.operators import keeping as op, upkeep
-from stridelake.plans.detection import CFG, GROUPS, seq
+from stridelake.operators import editing, keeping as op, upkeep
+from stridelake.plans.detection import CFG, GROUPS, STEPS, seq
 from stridelake.plans.registry import query
+from stridelake.plans.spatial import hav
 from stridelake.plans.upkeep import spans_sql
 from stridelake.sources.folders import shared_folder
 from stridelake.streaming.indexing import TrackIndex
@@ -94,3 +95,81 @@ def indexed(t):
     return index.traversals.read().join(index.groups.read().withColumnRenamed("track_id", "activity_id"), "activity_id").select(
         "section_id", "activity_id", "start_index", "end_index", "direction", "distance_meters", "lap_time", "route"
     )
+
+
+def editable(t):
+    """Sections as edits take them: each on its own line."""
+    n = F.col("section_id")
+    return t.sections.select(
+        "section_id", "section_type", "sport_type", "name", (n % 6 == 0).alias("accepted"), "disabled", "superseded_by", F.lit(None).cast("long").alias("track_id"), F.lit("own").alias("base"),
+        F.lit(0).alias("first"), (F.col("section_meters") / 100).cast("int").alias("last"),
+    )
+
+
+def edit_log(s):
+    """Events on sections, some of which their section does not allow."""
+    n, last = F.col("section_id"), F.col("last")
+    rows = []
+
+    def event(at, where, kind, of=n, **what):
+        rows.append(s.filter(where).select(F.lit(at).cast("long").alias("at"), of.cast("long").alias("section_id"), F.lit(kind).alias("kind"), *(what.get(k, F.lit(None)).cast(kind_of).alias(k) for k, kind_of in (x.split() for x in editing.EVENTS.split(", ")[3:]))))
+
+    event(1, n % 5 == 0, "rename", name=F.lit("Renamed"))
+    event(2, n % 4 == 0, "trim", first=F.lit(1), last=last - 1)
+    event(3, n % 4 == 0, "trim", first=F.lit(1), last=last - 4)
+    event(4, n % 8 == 0, "reset_bounds")
+    event(5, n % 7 == 0, "disable")
+    event(6, n % 14 == 0, "enable")
+    event(7, n % 10 == 3, "supersede", other_id=n - 3)
+    event(8, n % 9 == 0, "delete")
+    event(9, n % 9 == 0, "rename", name=F.lit("Too late"))
+    event(10, n % 50 == 1, "create", n + 1_000_000, name=F.lit("Made"), track_id=n, first=F.lit(1), last=F.lit(20), other_id=n)
+    event(11, n % 50 == 1, "trim", n + 1_000_000, first=F.lit(2), last=F.lit(10))
+    event(12, n % 50 == 1, "create", n + 1_000_000, name=F.lit("Again"), track_id=n, first=F.lit(1), last=F.lit(30), other_id=n)
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("g18_edit_log", """, e as (select s.*, (section_meters / 100)::int l, section_id n, section_type = 'custom' custom from sections s where section_id % 9 <> 0),
+    w as (select *, n % 4 = 0 and l >= 6 once, n % 4 = 0 and l >= 9 twice, n % 8 = 0 and l >= 6 back, case when n % 10 = 3 then n - 3 else superseded_by end sup from e)
+    select section_id, section_type, sport_type, case when n % 5 = 0 then 'Renamed' else name end as name, case when back then custom else n % 6 = 0 or n % 5 = 0 or once end accepted,
+      case when n % 14 = 0 then false when n % 7 = 0 then true else disabled end disabled, case when sup % 9 <> 0 then sup end superseded_by, 'own' base,
+      case when back or not once then 0 when twice then 2 else 1 end "first", case when back or not once then l when twice then l - 3 else l - 1 end "last", once and not back trimmed,
+      case when n % 4 = 0 then (l < 6)::int + (l < 9)::int + (n % 8 = 0 and l < 6)::int else 0 end refused from w
+    union all select section_id + 1000000, 'custom', sport_type, 'Made', true, false, null, 'track', 3, 11, true, 1 from sections where section_id % 50 = 1""")
+def edit_log_query(t):
+    s = editable(t)
+    return editing.folded(s, edit_log(s)).drop("track_id")
+
+
+def extended(t):
+    """Each section on the track of its number, with a reach of 500 m."""
+    return editing.extension(t.sections.select("section_id", F.col("section_id").alias("track_id")), t.section_points, seq(t), 500.0)
+
+
+EXTENSION = STEPS + f""", rp as (select section_id, track_id from sections join (select track_id, count(*) c from points group by 1 having count(*) >= 3) q on track_id = section_id join (select section_id from section_points group by 1 having count(*) >= 2) z using (section_id)),
+    nr as (select distinct rp.section_id, sq.seq from rp join sq using (track_id) join section_points l on l.section_id = rp.section_id where {hav('sq', 'l')} <= 500),
+    rn as (select *, sum(s) over (partition by section_id order by seq rows unbounded preceding) run from (select *, case when seq - lag(seq) over (partition by section_id order by seq) <= 2 then 0 else 1 end s from nr)),
+    bs as (select section_id, f, l from (select section_id, run, min(seq) f, max(seq) l from rn group by 1, 2 having count(*) >= 2) qualify row_number() over (partition by section_id order by l - f desc, f) = 1),
+    ed as (select section_id, arg_min(lat, point) alat, arg_min(lng, point) alng, arg_max(lat, point) blat, arg_max(lng, point) blng from section_points group by 1),
+    fb as (select rp.section_id, arg_min(seq, struct_pack(g := pow(sq.lat - alat, 2) + pow(sq.lng - alng, 2), s := seq)) p, arg_min(seq, struct_pack(g := pow(sq.lat - blat, 2) + pow(sq.lng - blng, 2), s := seq)) q from rp join ed using (section_id) join sq using (track_id) group by 1),
+    ex as (select rp.section_id, track_id, coalesce(f, least(p, q))::int "first", coalesce(l, greatest(p, q))::int "last", (select count(*) from points where points.track_id = rp.track_id) fixes from rp left join bs using (section_id) left join fb using (section_id))"""
+
+
+@query("g17_extension_track", EXTENSION + " select * from ex")
+def extension_track(t):
+    return extended(t)
+
+
+@query("g17_expanded_sections", EXTENSION + """, ep as (select section_id, track_id, greatest("first" - 5, 1) f, least("last" + 5, fixes) l from ex)
+    select section_id, f::int as "first", l::int as "last", count(*) points, round(sum(case when seq > f then step else 0 end), 3) section_meters from ep join st using (track_id) where seq between f and l and l - f >= 4 group by 1, 2, 3 having sum(case when seq > f then step else 0 end) >= 50""")
+def expanded(t):
+    """Sections expanded along their track by five fixes on either side; those under five points or 50 m stay as they were and are left out here."""
+    e = extended(t).select("section_id", "track_id", F.greatest(F.col("first") - 5, F.lit(1)).alias("first"), F.least(F.col("last") + 5, F.col("fixes")).cast("int").alias("last"))
+    events = e.select(F.lit(1).cast("long").alias("at"), "section_id", F.lit("expand").alias("kind"), F.lit(None).cast("string").alias("name"), "track_id", "first", "last", F.lit(None).cast("long").alias("other_id"))
+    now = editing.folded(editable(t), events).filter("base = 'track'")
+    lines = editing.polylines(now, t.section_points, seq(t))
+    sizes = lines.groupBy("section_id").agg(F.count(F.lit(1)).alias("points"))
+    return now.select("section_id", "first", "last").join(sizes, "section_id").join(editing.long_enough(lines), "section_id")
