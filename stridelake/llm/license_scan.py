@@ -43,8 +43,8 @@ TEMPLATES = [
 TEMPLATES += [(p.stem, p.read_text(encoding="utf-8").strip()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 #: Templates of up to this many bigrams share one list of needed words; a longer one, which needs commoner words, has its own.
 NOTICE = 100
-#: Windows of a template start at every size / STRIDES bigrams, and are longer by that much, so that one of them covers any match.
-STRIDES = 16
+#: Starts of spans are dealt into regions of a STARTS-th of a template.
+STARTS = 6
 
 
 def words_of(text: str) -> list[str]:
@@ -87,29 +87,43 @@ def needed_words(templates: list[tuple[str, str]], threshold: float) -> list[str
     return sorted(out)
 
 
-def window_of(size: int) -> tuple[int, int]:
-    """Bigrams of a window for a template of `size` bigrams, and from one window's start to the next."""
-    step = max(1, size // STRIDES)
-    return size + step - 1, step
+def region_of(size: int, most: int) -> tuple[int, int]:
+    """Bigrams that starts of spans are dealt by for a template of `size` bigrams, and bigrams of a region: all that a span with a start among these may hold."""
+    step = max(1, size // STARTS)
+    return step, step + most
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, unit, line_no, start_word, license, template, n_bigrams, common, dice: every match of a line, a whole text or a passage.
 
     Units are the lines of a text (line_no from 1), where it has several
-    lines the whole text (line_no 0), and windows of words wherever they
-    start, over line ends too. A unit is normalised and its bag of word
-    bigrams compared with each template's: 2 * common / (a + b), at least the
-    threshold. For each unit and license the best template is given (ties:
-    the first in the list); of windows that overlap, as one passage, the best
-    (ties: the first template, then the first start), with its first word
-    from 0. Null and empty texts match nothing; a null key stays null;
-    repeated rows count once, as one text of one key.
+    lines the whole text (line_no 0), and passages: spans of words wherever
+    they start and end, over line ends too. A unit is normalised and its bag
+    of word bigrams compared with each template's: 2 * common / (a + b), at
+    least the threshold. For each line, text and license the best template is
+    given (ties: the first in the list). A span's worth is what it shares
+    beyond what the threshold asks of it, 2 * common - threshold * (a + b); a
+    span counts if none with the same start or the same end is worth more, or
+    as much and shorter. Spans that overlap are one passage, for which that of
+    the most worth is given (ties: the first template, the first start, the
+    shorter), with its first word from 0. Null and empty
+    texts match nothing; a null key stays null; repeated rows count once, as
+    one text of one key.
     """
-    docs = spread(docs.select(key, text))
+    docs = spread(once(docs.select(key, text), key, text))
     return scan_units(docs, templates, threshold, key, text).unionByName(scan_passages(docs, templates, threshold, key, text))
 
 
+def once(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with one row for each key and text; only texts that are there twice are moved."""
+    mark = F.xxhash64(F.col(key), text_or_empty(text))
+    twice = Scratch(docs.sparkSession, "twice").save(docs.groupBy(mark.alias("_mark")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_mark"), "twice")
+    if twice.isEmpty():
+        return docs
+    some = docs.withColumn("_mark", mark).join(checked(twice), "_mark", "left_semi").dropDuplicates([key, text]).drop("_mark")
+    return docs.withColumn("_mark", mark).join(checked(twice), "_mark", "left_anti").drop("_mark").unionByName(some)
+
+
 def _has(words: str, needed: list[str]) -> F.Column:
     """Whether an array of words has one of a list (of A-Z, a-z and 0-9), in any case."""
     return F.expr(f"exists({words}, w -> lower(w) in ({', '.join(map(repr, needed))}))")
@@ -125,14 +139,18 @@ def scan_passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     Texts without a word that a match needs go first. Of the others, bigrams
     that templates have are counted by text and template (whole in one task,
     so the partial aggregation leaves a row for each); only where these can
-    make a match are windows built: each matched bigram goes to the windows
-    that hold it, about STRIDES of them, and bags are compared by two partial
-    aggregations. Windows at a text's end are as short as it leaves them.
+    make a match are spans sought. What a span shares beyond the threshold is
+    a sum over its bigrams, so the best span that starts within a few words
+    is a running sum less the least one before it. Starts are dealt into
+    regions of a sixth of the template, each with all bigrams that a span from
+    there can hold within the size bounds; a bigram counts as often as the
+    template has it, from the region's last start on. Of the span found, the
+    end and then the start are set anew with exact counts.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     grams = template_rows(templates)
-    least = {i: size_bounds(n, threshold)[0] for i, _, _, _, n in grams}
-    table = docs.sparkSession.createDataFrame([(*r, *window_of(r[4]), least[r[0]]) for r in grams], "template int, license string, gram string, t_count int, t_size int, width int, step int, least int")
+    bounds = {i: size_bounds(n, threshold) for i, _, _, _, n in grams}
+    table = docs.sparkSession.createDataFrame([(*r, *region_of(r[4], bounds[r[0]][1]), bounds[r[0]][0]) for r in grams], "template int, license string, gram string, t_count int, t_size int, step int, width int, least int")
     needed = needed_words(templates, threshold)
     t = text_or_empty(text)
 
@@ -140,7 +158,7 @@ def scan_passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         made = (
             rows.select(F.col(key).alias("doc_id"), F.xxhash64(t).alias("_hash"), F.explode(F.array(_words(t))).alias("words"))
             .filter(_has("words", needed) & (F.size("words") > 1))
-            .select("doc_id", "_hash", (F.size("words") - 1).alias("n"), F.posexplode(F.expr("transform(sequence(0, size(words) - 2), i -> lower(concat(words[i], ' ', words[i + 1])))")).alias("at", "gram"))
+            .select("doc_id", "_hash", F.posexplode(F.expr("transform(sequence(0, size(words) - 2), i -> lower(concat(words[i], ' ', words[i + 1])))")).alias("at", "gram"))
         )
         return made.join(F.broadcast(table), "gram")
 
@@ -150,22 +168,48 @@ def scan_passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     )
     able = scratch.save(able, "able")
     some = docs.join(checked(scratch.save(able.select("_hash").distinct(), "texts")), F.xxhash64(t) == F.col("_hash"), "left_semi")
-    windows = (
-        matched(some).join(checked(able), ["_hash", "template"], "left_semi")
-        .withColumn("k", F.explode(F.expr("sequence(greatest(0, cast(ceil((at - width + 1) / step) as int)), cast(at div step as int))")))
-        .groupBy("doc_id", "_hash", "n", "template", "license", "t_size", "width", "step", "k", "gram", "t_count").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("doc_id", "_hash", "n", "template", "license", "t_size", "width", "step", "k").agg(F.sum(F.least("c", "t_count")).alias("common"))
-        .select("doc_id", "_hash", "template", "license", "common", "t_size", (F.col("k") * F.col("step")).alias("start"), F.expr("least(width, n - k * step)").alias("n_bigrams"))
-        .withColumn("dice", F.round(2 * F.col("common") / (F.col("n_bigrams") + F.col("t_size")), 6))
-        .filter(F.col("dice") >= threshold)
+    hits = scratch.save(matched(some).join(checked(able), ["_hash", "template"], "left_semi").drop("least"), "hits")
+
+    # Scores are in millionths: 2 for each bigram shared, less the threshold for each bigram of the span and of the template.
+    shared, each = F.lit(2_000_000).cast("long"), F.lit(round(threshold * 1_000_000)).cast("long")
+    region = ["doc_id", "_hash", "template", "k"]
+    near = hits.withColumn("k", F.explode(F.expr("sequence(cast(greatest(0, ceil((at - width + 1) / step)) as int), cast(at div step as int))"))).withColumn("base", (F.col("k") + 1) * F.col("step") - 1)
+    seen = F.count(F.when(F.col("at") >= F.col("base"), 1)).over(Window.partitionBy(*region, "gram").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    counted = near.withColumn("seen", seen).filter("seen <= t_count")
+    along = Window.partitionBy(*region).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    scored = counted.withColumn("c", F.count(F.lit(1)).over(along)).withColumn("sum", shared * F.col("c") - each * F.col("at"))
+    before = F.max(F.when(F.col("at") <= F.col("base"), F.struct((shared - each - F.col("sum")).alias("lead"), (-F.col("at")).alias("f")))).over(along)
+    ends = scored.withColumn("from", before).filter("from is not null").withColumn("score", F.col("sum") + F.col("from.lead"))
+    spans = (
+        ends.groupBy(*region, "license", "t_size", "width", "step").agg(F.max(F.struct("score", (-F.col("at")).alias("e"), F.col("from.f").alias("f"))).alias("b"))
+        .filter(F.col("b.score") >= each * F.col("t_size")).select("doc_id", "_hash", "template", "license", "t_size", (-F.col("b.f")).alias("start"), (-F.col("b.e")).alias("end"), (F.col("width") - F.col("step")).alias("most"))
     )
+    spans = scratch.save(spans.distinct(), "spans")
+
+    def refined(now: DataFrame, forward: bool) -> DataFrame:
+        """The spans with their best end for the start (forward), or their best start for the end, by exact counts."""
+        s = now.select(F.col("doc_id").alias("d"), F.col("_hash").alias("h"), F.col("template").alias("m"), "start", "end", "most")
+        inside = F.col("at").between(F.col("start"), F.col("start") + F.col("most") - 1) if forward else F.col("at").between(F.col("end") - F.col("most") + 1, F.col("end"))
+        rows = hits.join(s, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_hash") == F.col("h")) & (F.col("template") == F.col("m"))).filter(inside)
+        fixed = ["doc_id", "_hash", "template", "license", "t_size", "most", "start" if forward else "end"]
+        rows = rows.select(*fixed, "at", "gram", "t_count").distinct()  # several spans may share the end that stays
+        way = "at" if forward else F.desc("at")
+        rank = F.row_number().over(Window.partitionBy(*fixed, "gram").orderBy(way))
+        common = F.sum((F.col("rank") <= F.col("t_count")).cast("int")).over(Window.partitionBy(*fixed).orderBy(way).rowsBetween(Window.unboundedPreceding, 0))
+        size = (F.col("at") - F.col("start") if forward else F.col("end") - F.col("at")) + 1
+        tried = rows.withColumn("rank", rank).withColumn("common", common).withColumn("size", size).withColumn("score", shared * F.col("common") - each * (F.col("size") + F.col("t_size")))
+        best = F.max(F.struct("score", (-F.col("size")).alias("s"), "at", "common"))
+        return tried.groupBy(*fixed).agg(best.alias("b")).select(*fixed, F.col("b.at").alias("end" if forward else "start"), "b.score", "b.common")
+
+    exact = refined(refined(spans, True), False).filter("score >= 0").withColumn("n_bigrams", (F.col("end") - F.col("start") + 1).cast("int"))
     order = Window.partitionBy("doc_id", "_hash", "license").orderBy("start", "n_bigrams", "template")
-    seen = F.max(F.col("start") + F.col("n_bigrams")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    passages = windows.withColumn("new", F.coalesce((F.col("start") >= seen).cast("int"), F.lit(1))).withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.max_by(F.struct("template", "start", "n_bigrams", "common", "dice"), F.struct("dice", (-F.col("template")).alias("t"), (-F.col("start")).alias("s")))
+    reached = F.max(F.col("start") + F.col("n_bigrams")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    passages = exact.withColumn("new", F.coalesce((F.col("start") >= reached).cast("int"), F.lit(1))).withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.max_by(F.struct("template", "start", "n_bigrams", "common", "t_size"), F.struct("score", (-F.col("template")).alias("t"), (-F.col("start")).alias("s"), (-F.col("n_bigrams")).alias("n")))
     return passages.groupBy("doc_id", "_hash", "license", "passage").agg(best.alias("b")).select(
-        "doc_id", F.lit("passage").alias("unit"), F.lit(None).cast("int").alias("line_no"), "b.start", "license", "b.template", "b.n_bigrams", "b.common", "b.dice",
-    ).withColumnRenamed("start", "start_word")
+        "doc_id", F.lit("passage").alias("unit"), F.lit(None).cast("int").alias("line_no"), F.col("b.start").alias("start_word"), "license", "b.template", "b.n_bigrams", "b.common",
+        F.round(2 * F.col("b.common") / (F.col("b.n_bigrams") + F.col("b.t_size")), 6).alias("dice"),
+    )
 
 
 def scan_units(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,18 +288,20 @@ def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float =
     g as (select *, round(2.0 * common / (n_bigrams + t_size), 6) dice from f),
     pw as (select doc_id, hash(text) h, string_split({norm('text')}, ' ') w from d where text <> ''),
     pg as (select doc_id, h, len(w) - 1 n, unnest(range(0, len(w) - 1)) pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) gram from pw),
-    pm as (select doc_id, h, n, pos, gram, template, license, t_size, t_count, greatest(1, t_size // {STRIDES}) step, t_size + greatest(1, t_size // {STRIDES}) - 1 width from pg join tc using (gram)),
-    pk as (select *, unnest(range(greatest(0, (pos - width + step) // step), pos // step + 1)) k from pm),
-    pc as (select doc_id, h, n, template, license, t_size, width, step, k, gram, t_count, count(*) c from pk group by all),
-    pf as (select doc_id, h, n, template, license, t_size, width, step, k, sum(least(c, t_count)) common from pc group by all),
-    pd as (select *, k * step start, least(width, n - k * step) size, round(2.0 * common / (least(width, n - k * step) + t_size), 6) dice from pf),
-    pi as (select *, case when start < max(start + size) over o then 0 else 1 end fresh from pd where dice >= {threshold}
+    pm as (select doc_id, h, pos, gram, template, license, t_size, t_count, lag(pos, t_count::int) over (partition by doc_id, h, template, gram order by pos) same from pg join tc using (gram)),
+    pa as (select * from pm qualify count(*) over (partition by doc_id, h, template) >= {threshold} / (2 - {threshold}) * t_size - 1e-9),
+    ps as (select a.doc_id, a.h, a.template, a.license, a.t_size, a.pos start, b.pos - a.pos + 1 size, count(*) filter (where coalesce(b.same, -1) < a.pos) over (partition by a.doc_id, a.h, a.template, a.pos order by b.pos rows unbounded preceding) common
+           from pa a join pa b on a.doc_id is not distinct from b.doc_id and a.h = b.h and a.template = b.template and b.pos between a.pos and a.pos + floor((2 - {threshold}) / {threshold} * a.t_size + 1e-9)),
+    pb as (select *, 2000000 * common - {round(threshold * 1_000_000)} * (size + t_size) score from ps),
+    px as (select * from pb where score >= 0 qualify row_number() over (partition by doc_id, h, template, start order by score desc, size) = 1
+           and row_number() over (partition by doc_id, h, template, start + size order by score desc, size) = 1),
+    pi as (select *, case when start < max(start + size) over o then 0 else 1 end fresh from px
            window o as (partition by doc_id, h, license order by start, size, template rows between unbounded preceding and 1 preceding)),
-    pp as (select *, sum(fresh) over (partition by doc_id, h, license order by start, size, template rows unbounded preceding) passage from pi)
+    pp as (select *, round(2.0 * common / (size + t_size), 6) dice, sum(fresh) over (partition by doc_id, h, license order by start, size, template rows unbounded preceding) passage from pi)
     select doc_id, case when line_no = 0 then 'text' else 'line' end unit, line_no::int line_no, null::int start_word, license, template, n_bigrams::int n_bigrams, common::bigint common, dice
     from (select * from g where dice >= {threshold}
           qualify row_number() over (partition by doc_id, h, line_no, license order by dice desc, template) = 1)
     union all
     select doc_id, 'passage', null, start::int, license, template, size::int, common::bigint, dice
-    from (select * from pp qualify row_number() over (partition by doc_id, h, license, passage order by dice desc, template, start) = 1)
+    from (select * from pp qualify row_number() over (partition by doc_id, h, license, passage order by score desc, template, start, size) = 1)
     """

@@ -28,18 +28,34 @@ def dice(a, b):
 
 
 def brute_force(rows):
-    """(doc_id, license, template, start_word, dice) of the best window of each run of overlapping windows."""
+    """(doc_id, license, template, start_word, dice) of the best span of each run of overlapping spans, by plain search over all spans."""
+    from collections import Counter
+
     out = []
     for doc, text in rows:
         words = license_scan.words_of(text or "")
-        hits = {}
+        grams, hits = list(zip(words, words[1:])), {}
         for k, (name, template) in enumerate(license_scan.TEMPLATES):
             t = license_scan.words_of(template)
-            width, step = license_scan.window_of(len(t) - 1)
-            for start in range(0, len(words) - 1, step):
-                w = words[start : start + width + 1]
-                if (d := round(dice(w, t), 6)) >= license_scan.THRESHOLD:
-                    hits.setdefault(name, []).append((start, len(w) - 1, k, d))
+            want, size = Counter(zip(t, t[1:])), len(t) - 1
+            least, most = license_scan.size_bounds(size, license_scan.THRESHOLD)
+            at = [i for i, g in enumerate(grams) if g in want]
+            if len(at) < least:
+                continue
+            by_start, by_end = {}, {}
+            for x, s in enumerate(at):
+                seen, common = Counter(), 0
+                for e in at[x:]:
+                    if e - s >= most:
+                        break
+                    seen[grams[e]] += 1
+                    common += seen[grams[e]] <= want[grams[e]]
+                    n = e - s + 1
+                    span = (2_000_000 * common - 800_000 * (n + size), -n, s, e, common)
+                    by_start[s], by_end[e] = max(by_start.get(s, span), span), max(by_end.get(e, span), span)
+            for s, span in by_start.items():
+                if span[0] >= 0 and by_end[span[3]] == span:
+                    hits.setdefault(name, []).append((s, -span[1], k, span[0], round(2 * span[4] / (size - span[1]), 6)))
         for name, found in hits.items():
             runs, end = [], -1
             for h in sorted(found):
@@ -47,7 +63,7 @@ def brute_force(rows):
                     runs.append([])
                 runs[-1].append(h)
                 end = max(end, h[0] + h[1])
-            out += [(doc, name, k, start, d) for start, _, k, d in (min(r, key=lambda h: (-h[3], h[2], h[0])) for r in runs)]
+            out += [(doc, name, h[2], h[0], h[4]) for h in (min(r, key=lambda h: (-h[3], h[2], h[0], h[1])) for r in runs)]
     return sorted(out, key=str)
 
 
@@ -83,6 +99,36 @@ def test_licenses_inside_texts(spark):
     assert not [f for f in found if f[0] in (100, 101, 102, 103)] and sum(f[0] == 104 for f in found) == 2
 
 
+def cut_texts():
+    """Each template of 30 words or more: its first 70, 75 and 80 percent, and with every twelfth word replaced."""
+    for name, template in license_scan.TEMPLATES:
+        w = license_scan.words_of(template)
+        if 30 <= len(w) <= 1000:
+            for share in (0.7, 0.75, 0.8):
+                yield name, " ".join(w[: int(len(w) * share)])
+            yield name, " ".join("zebra" if i % 12 == 11 else x for i, x in enumerate(w))
+
+
+def test_embedding_loses_no_match(spark):
+    """What is found alone is found between 200 words of prose on either side, as brute force says."""
+    cases = list(cut_texts())
+    lead = " ".join(PROSE.split()[:200])
+    alone = [(i, t) for i, (_, t) in enumerate(cases)]
+    inside = [(i, f"{lead} {t} {lead}") for i, t in alone]
+    names = lambda rows: {(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = {(i, n) for i, (n, _) in enumerate(cases)}
+    assert names(alone) & own <= names(inside) and len(names(alone) & own) > 0.9 * len(own)
+    got = license_scan.scan_licenses(spark.createDataFrame(inside, "doc_id long, text string")).filter("unit = 'passage'").collect()
+    assert sorted(((r["doc_id"], r["license"], r["template"], r["start_word"], r["dice"]) for r in got), key=str) == brute_force(inside)
+
+
+def test_repeated_rows_count_once(spark):
+    w = license_scan.words_of(WHOLE["BSD-2-Clause"])
+    cut = " ".join(x for i, x in enumerate(w) if i % 9)
+    rows = lambda n: sorted(map(str, license_scan.scan_licenses(spark.createDataFrame([(1, cut)] * n + [(None, cut)] * n, "doc_id long, text string")).collect()))
+    assert rows(1) == rows(2) == rows(3) and rows(1)
+
+
 def test_whole_texts_inside_others(spark):
     names = sorted(n for n in WHOLE if n not in ("GPL-2.0",))
     rows = [(i, f"{PROSE}\n{WHOLE[n]}\n{PROSE}") for i, n in enumerate(names)]

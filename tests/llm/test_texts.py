@@ -356,9 +356,8 @@ def test_licenses(spark, empty):
                 if d >= 0.8 and d > best.get(name, (0, 0))[0]:
                     best[name] = (d, k)
             want |= {(i, no, name, k, round(d, 6)) for name, (d, k) in best.items()}
-    got = [(r["doc_id"], r["line_no"], r["license"], r["template"], r["dice"]) for r in license_scan.scan_units(docs).collect()]
-    assert set(got) >= want and len(want) >= 5
-    assert {g for g in got if g[0] != 7} == {w for w in want if w[0] != 7}
+    got = [(r["doc_id"], r["line_no"], r["license"], r["template"], r["dice"]) for r in license_scan.scan_units(license_scan.once(docs, "doc_id", "text")).collect()]
+    assert set(got) == want and len(want) >= 5
     assert license_scan.scan_licenses(empty).count() == 0
 
 
