@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql.types import DataType, StructType
 
 #: A side of a join is broadcast only if the stored table has at most this many bytes of keys and values.
 BROADCAST_BYTES = 8 << 20
+#: Bytes that a task of a shuffle of whole texts is given, about; adaptive execution still splits hot keys and joins small partitions.
+TASK_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -104,6 +107,17 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str) ->
     return left.join(checked(right), on, how)
 
 
+@contextlib.contextmanager
+def shuffle_tasks(spark: SparkSession, size: int):
+    """Shuffles that run inside have a partition for each TASK_BYTES of `size`, and no fewer than are set."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(int(was), -(-size // TASK_BYTES))))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

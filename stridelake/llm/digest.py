@@ -27,6 +27,8 @@ TRIPLETS = [(1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4)]
 LENGTH_CAP, RATIO_CAP = 96, 48
 #: Bytes of a key range, one task each; larger where there would be more than MOST_RANGES of them.
 RANGE_BYTES, MOST_RANGES, BINS = 6 << 20, 50_000, 2_000
+#: Bits of the hash that cut a hot key at first, and further ones where a slot of these is still too large.
+SLOT_BITS, MORE_BITS = 12, 6
 MOST = 6 * BUCKETS + LENGTH_CAP + 2 * RATIO_CAP
 
 
@@ -98,8 +100,9 @@ def _ranges(rows: DataFrame, range_bytes: int) -> tuple[np.ndarray, np.ndarray,
     Quantiles of the position cut the rows into at most BINS bins, whose
     bytes are summed. Bins are joined, or cut evenly, to ranges of about
     range_bytes; a bin of one position (a hot key) is cut by the hash of the
-    text. Where even one slot of hashes is too large (copies of one row under
-    one key), that slot gets several ranges, between which its rows are dealt.
+    text, by more and more of its bits where rows are many. Where one hash
+    alone is too large (copies of one text under one key), it gets several
+    ranges, between which its rows are dealt.
     """
     size = (F.octet_length("text") + 16).cast("long")
     sketch = rows.agg(F.percentile_approx("pos", [i / BINS for i in range(1, BINS)], 20_000).alias("q"), F.sum(size).alias("total")).first()
@@ -114,17 +117,26 @@ def _ranges(rows: DataFrame, range_bytes: int) -> tuple[np.ndarray, np.ndarray,
 
     bins = rows.groupBy(bin_of("pos").alias("bin")).agg(F.sum(size).alias("bytes"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).orderBy("bin").collect()
     hot = [r["lo"] for r in bins if r["lo"] == r["hi"] and r["bytes"] > 2 * target]
-    slots: dict[int, dict[int, int]] = {}
-    if hot:
-        slot = F.shiftright("h", 52)
-        for r in rows.filter(F.col("pos").isin(hot)).groupBy("pos", slot.alias("slot")).agg(F.sum(size).alias("bytes")).collect():
-            slots.setdefault(r["pos"], {})[r["slot"]] = r["bytes"]
+    slots: dict[int, list[tuple[int, int, bool]]] = {}  # of each hot position: lowest hash, bytes, whether it is one hash
+    cut, wide = SLOT_BITS, rows.filter(F.col("pos").isin(hot)).withColumn("prefix", F.lit(0).cast("long"))
+    while hot:
+        prefix = F.shiftright("h", 64 - cut)
+        found = wide.groupBy("pos", prefix.alias("slot")).agg(F.sum(size).alias("bytes")).collect()
+        large = {(r["pos"], r["slot"]) for r in found if r["bytes"] >= 2 * target and cut < 64}
+        for r in found:
+            if (r["pos"], r["slot"]) not in large:
+                slots.setdefault(r["pos"], []).append((r["slot"] << 64 - cut, r["bytes"], cut == 64))
+        if not large:
+            break
+        keys = rows.sparkSession.createDataFrame(sorted(large), "pos long, prefix long")
+        wide = rows.withColumn("prefix", prefix).join(F.broadcast(keys), ["pos", "prefix"], "left_semi")
+        cut = min(cut + MORE_BITS, 64)
     out, have = [], 0
 
-    def piece(pos: int, h: int, n: int):
+    def piece(pos: int, h: int, n: int, one: bool = False):
         nonlocal have
         parts = n // target
-        if parts > 1:
+        if one and parts > 1:
             out.append((pos, h, parts))
             have = target  # what follows starts a range of its own
             return
@@ -135,8 +147,8 @@ def _ranges(rows: DataFrame, range_bytes: int) -> tuple[np.ndarray, np.ndarray,
 
     for r in bins:
         if r["lo"] in slots:
-            for s in sorted(slots[r["lo"]]):
-                piece(r["lo"], s << 52, slots[r["lo"]][s])
+            for h, n, one in sorted(slots[r["lo"]]):
+                piece(r["lo"], h, n, one)
         else:
             k = min(max(1, -(-r["bytes"] // target)), r["hi"] - r["lo"] + 1)
             for i in range(k):
@@ -151,7 +163,9 @@ def edited_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", ran
     replaced by the first as many of the next row by ascending key (after the
     last: the first). A null text counts as empty, null keys sort first, rows
     with equal keys follow by the hash of their texts, then by their texts. A
-    lone row follows itself. Empty input gives no rows.
+    lone row follows itself. Empty input gives no rows. Texts without a byte
+    triplet that counts (under five bytes) have empty buckets: such texts of
+    one length have likeness 1, whatever they say.
 
     One shuffle of the texts: rows go to ranges of (key, hash) of about equal
     bytes, one a task, and stream through it in order, two texts in memory at

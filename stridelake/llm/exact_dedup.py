@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import Scratch, text_or_empty
+from stridelake.llm.common import Scratch, shuffle_tasks, text_or_empty
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DIGIT, GROWTH = 32, 8
@@ -39,7 +39,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", r
     Members are counted by (group, digit) with map-side partial aggregation,
     so a hot group is a few rows a task; then rows move to their digit, with
     the bytes not yet read, in a sort-merge join that adaptive execution
-    splits where a digit is hot. The split of a level is stored once: rows
+    splits where a digit is hot, in as many tasks as the bytes need. The split of a level is stored once: rows
     that are done with their verdict, the others with the rest of their
     bytes, from which the next level reads.
     """
@@ -49,7 +49,8 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", r
     rows = docs.select(name.alias("who"), F.lit(0).cast("long").alias("gid"), norm.alias("rest"), F.unhex(F.sha2(norm, 256)).alias("sha"))
     # To count the first level, leading characters are enough.
     head = F.encode(ascii_lower(F.substring(text_or_empty(text), 1, FIRST_DIGIT + 1)), "utf-8")
-    heads = docs.select(name.alias("who"), F.lit(0).cast("long").alias("gid"), head.alias("rest"))
+    size = Observation()
+    heads = docs.observe(size, F.coalesce(F.sum(F.octet_length(text_or_empty(text)).cast("long") + 100), F.lit(0)).alias("bytes")).select(name.alias("who"), F.lit(0).cast("long").alias("gid"), head.alias("rest"))
     width, levels = FIRST_DIGIT, []
     while True:
         digit = [F.substring("rest", 1, width).alias("digit"), (F.octet_length("rest") <= width).alias("ended")]
@@ -66,13 +67,12 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", r
         split = rows.select("who", "sha", "gid", *digit, *([F.expr(f"substring(rest, {width + 1})").alias("tail")] * more)).join(
             groups.hint("merge"), ["gid", "digit", "ended"], "left"
         )
-        last = scratch.save(
-            split.select(
-                "who", F.coalesce("keep", "who").alias("keep"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "sha", "next_gid",
-                *([F.when(F.col("next_gid").isNotNull(), F.col("tail")).alias("tail")] * more),
-            ),
-            "split",
+        moved = split.select(
+            "who", F.coalesce("keep", "who").alias("keep"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "sha", "next_gid",
+            *([F.when(F.col("next_gid").isNotNull(), F.col("tail")).alias("tail")] * more),
         )
+        with shuffle_tasks(scratch.spark, size.get["bytes"]):
+            last = scratch.save(moved, "split")
         levels.append(last.filter("next_gid is null").select("who", "keep", "group_size", "sha"))
         scratch.drop(groups)
         if not more:

@@ -160,7 +160,7 @@ def _odds_of(tag: str, attrs: dict[str, str], parent: _Node) -> float:
     if attrs:
         names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".split() if tag not in ("html", "body") else []
         of_names = 0.0
-        for name in names[:50]:
+        for name in names:
             if COMMENT.search(name):
                 of_names += COMMENT_ODDS
             elif NOISE.search(name):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stridelake.llm import bpe, digest, exact_dedup, license_scan, packing, quality, simhash, token_counts
+from stridelake.llm.common import TASK_BYTES, shuffle_tasks
 from stridelake.llm.queries import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, part int, words int"
@@ -64,6 +65,15 @@ def test_exact_duplicates_splits_late(spark):
     assert got == {1: 2, 2: 2, 3: 4, 4: 4, 5: 8, 6: 8, 7: 7, 8: 8}
 
 
+def test_tasks_follow_the_bytes(spark):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    with shuffle_tasks(spark, 100 * TASK_BYTES + 1):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "101"
+    with shuffle_tasks(spark, 10):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == was
+    assert spark.conf.get("spark.sql.shuffle.partitions") == was
+
+
 def plain_simhash(text):
     import xxhash
 
@@ -268,6 +278,22 @@ def test_digests_of_a_hot_key(spark):
     assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == edited_rows(rows)
 
 
+def test_digests_keep_their_order_in_a_hot_slot(spark):
+    """Texts whose hashes share their first bits, many rows each under one key: only copies of one text are dealt."""
+    import xxhash
+
+    by_slot = {}
+    for i in range(40_000):
+        by_slot.setdefault(xxhash.xxh64_intdigest(f"text number {i} of many".encode(), 42) >> 52, []).append(f"text number {i} of many")
+    crowd = next(v for v in by_slot.values() if len(v) >= 8)[:3]
+    rows = [(7, t) for t in crowd for _ in range(12)] + [(3, "before"), (9, "after it all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = digest.edited_digests(docs, range_bytes=150)
+    by_hash = sorted(rows, key=lambda r: (r[0], (xxhash.xxh64_intdigest(r[1].encode(), 42) + 2**63) % 2**64, r[1]))
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == edited_rows(by_hash)
+    assert sum(n > 0 for n in got.rdd.glom().map(len).collect()) > 3
+
+
 def test_digest_is_bounded_and_blockwise():
     rng = np.random.RandomState(0)
     a, b = rng.bytes(3000), rng.bytes(50)
