@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stridelake.operators import editing, keeping as op, upkeep
+from stridelake.operators import editing, flows, keeping as op, upkeep
+from stridelake.operators.detection import DetectionConfig
 from stridelake.plans.detection import CFG, GROUPS, STEPS, seq
 from stridelake.plans.registry import query
 from stridelake.plans.spatial import hav
@@ -173,3 +174,32 @@ def expanded(t):
     lines = editing.polylines(now, t.section_points, seq(t))
     sizes = lines.groupBy("section_id").agg(F.count(F.lit(1)).alias("points"))
     return now.select("section_id", "first", "last").join(sizes, "section_id").join(editing.long_enough(lines), "section_id")
+
+
+FLOWS = DetectionConfig(cell_deg=0.02, least_tracks=3, least_cells=2)
+FLOW_SQL = """, sq as (select track_id, row_number() over (partition by track_id order by t, point_id) seq, floor((lat + 90) / 0.02::double)::bigint * 1000000000 + floor((lng + 180) / 0.02::double)::bigint cell from points),
+    sp as (select track_id, seq, cell from (select *, lag(cell) over (partition by track_id order by seq) was from sq) where was is null or was <> cell),
+    tu as (select a, b, c, count(distinct track_id) tracks from (select track_id, lag(cell, 2) over w a, lag(cell) over w b, cell c from sp window w as (partition by track_id order by seq)) where a is not null group by a, b, c having count(distinct track_id) >= 3),
+    lk as (select a, b, c, tracks from tu qualify row_number() over (partition by a, b order by tracks desc, c) = 1 and row_number() over (partition by b, c order by tracks desc, a) = 1),
+    ed as (select a x, b y from lk union select b, c from lk),
+    rc(x, y, u, v) as (select x, y, x, y from ed union select rc.x, rc.y, l.b, l.c from rc join lk l on l.a = rc.u and l.b = rc.v),
+    ring as (select x, y from rc join lk l on l.b = rc.x and l.c = rc.y and l.a = rc.u and l.b = rc.v),
+    cut as (select r.x, r.y from ring r where not exists (select 1 from rc join ring s on s.x = rc.u and s.y = rc.v where rc.x = r.x and rc.y = r.y and (rc.u, rc.v) < (r.x, r.y))),
+    lc as (select * from lk where (b, c) not in (select (x, y) from cut)),
+    wk(hx, hy, x, y, k, least, peak) as (select x, y, x, y, 0, null::bigint, null::bigint from ed where (x, y) not in (select (b, c) from lc)
+      union all select hx, hy, l.b, l.c, k + 1, least(least, tracks), greatest(peak, tracks) from wk join lc l on l.a = wk.x and l.b = wk.y),
+    fs as (select hx from_cell, arg_max(y, k) to_cell, count(*) + 1 cells, min(least) least, max(peak) peak from wk group by hx, hy)"""
+
+
+@query("g6_flow_sections", FLOW_SQL + " select * from fs where cells > 2")
+def flow_sections(t):
+    return flows.flow_sections(flows.turns(seq(t), FLOWS.cell_deg), FLOWS)
+
+
+@query("t8_batched_detection", FLOW_SQL + " select * from fs where cells > 2")
+def batched(t):
+    """Two thirds of the tracks are known; the others come in batches of 20."""
+    p = seq(t)
+    known = p.filter("track_id % 3 > 0")
+    rows = flows.detected_with_new(p, flows.turns(known, FLOWS.cell_deg), known.select("track_id").distinct(), FLOWS, batch=20)
+    return flows.flow_sections(rows, FLOWS)
