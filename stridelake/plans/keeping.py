@@ -12,6 +12,7 @@ from stridelake.plans.registry import query
 from stridelake.plans.spatial import hav
 from stridelake.plans.upkeep import spans_sql
 from stridelake.sources.folders import shared_folder
+from stridelake.streaming import live
 from stridelake.streaming.indexing import TrackIndex
 
 BOXED = """, bx as (select section_id, min(lat) - 0.0005::double min_lat, max(lat) + 0.0005::double max_lat, min(lng) - 0.0005::double min_lng, max(lng) + 0.0005::double max_lng from section_points group by 1),
@@ -203,3 +204,33 @@ def batched(t):
     known = p.filter("track_id % 3 > 0")
     rows = flows.detected_with_new(p, flows.turns(known, FLOWS.cell_deg), known.select("track_id").distinct(), FLOWS, batch=20)
     return flows.flow_sections(rows, FLOWS)
+
+
+def live_samples(t):
+    """Samples of each track with a tenth of time-only ones, a lap button at every 25th fix, and a sport each."""
+    n, i = F.col("track_id") % 4, F.col("point_id")
+    p = t.points.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id"))).withColumn("t0", F.min("t").over(Window.partitionBy("track_id")))
+    rows = p.select(
+        F.col("track_id").alias("recording"), (F.col("seq") * 2).alias("seq"), F.when(i % 10 == 0, "indoor").otherwise("sample").alias("kind"), (F.col("t") - F.col("t0")).cast("double").alias("t"), F.lit(0.0).alias("paused"),
+        F.round(F.col("value") / 10, 5).alias("speed"), (F.col("seq") * 10.0).alias("distance"), F.when(i % 7 != 0, F.col("value")).alias("altitude"), F.when(i % 3 == 0, 0.0).otherwise((100 + i % 60).cast("double")).alias("heartrate"),
+        F.lit(200.0).alias("power"), F.lit(None).cast("double").alias("cadence"), F.when(n == 0, "VirtualRide").when(n == 1, "TrailRun").when(n == 2, "Hike").alias("sport_type"), F.when(F.col("track_id") % 2 == 0, 80.0).alias("weight_kg"),
+    )
+    laps = rows.filter(F.col("seq") % 50 == 0).select("recording", (F.col("seq") + 1).alias("seq"), F.lit("lap").alias("kind"), "t", "paused", *(F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in live.SAMPLES.split(", ")[5:])))
+    return rows.unionByName(laps)
+
+
+@query("t4_t6_live_figures", """, q as (select track_id, point_id, t - min(t) over (partition by track_id) t, value, row_number() over (partition by track_id order by t, point_id) seq from points),
+    w as (select *, point_id % 10 = 0 indoor, lag(t) over (partition by track_id order by seq) was from q), k as (select * from w where not (indoor and coalesce(t <= was, false))),
+    d as (select *, coalesce(last_value(case when not indoor then seq * 10.0::double end ignore nulls) over (partition by track_id order by seq rows unbounded preceding), 0) dist, case when indoor then 0 when point_id % 7 <> 0 then value end alt,
+      case when point_id % 3 = 0 then 0 else 100 + point_id % 60 end hr from k),
+    a as (select track_id, sum(greatest(alt - was, 0)) gain from (select track_id, alt, lag(alt) over (partition by track_id order by seq) was from d where alt is not null) group by 1),
+    g as (select track_id, count(*) samples, max(t)::double elapsed, arg_max(dist, seq) distance, arg_max(case when indoor then 0 else round(value / 10, 5) end, seq) speed, arg_max(hr, seq)::double heartrate, count(*) filter (where hr > 0) n, avg(hr) filter (where hr > 0) m from d group by 1),
+    l as (select track_id, count(*) laps, max(t) lap_end from q where seq % 25 = 0 group by 1),
+    f as (select d.track_id, arg_min(dist, seq) lap_from from d join l using (track_id) where t >= lap_end group by 1),
+    z as (select *, case when track_id % 2 = 0 then 80 else 70 end kg, case track_id % 4 when 0 then 8 when 1 then 10 when 2 then 4 else 6 end met from g left join a using (track_id) left join l using (track_id) left join f using (track_id))
+    select track_id recording, samples, elapsed, speed, round(case when elapsed > 0 then distance / elapsed else 0 end, 9) avg_speed, distance, heartrate, round(coalesce(gain, 0), 6) elevation_gain,
+      floor(case when n >= 30 then greatest((-55.0969::double + 0.6309::double * m + 0.1988::double * kg + 0.2017::double * 35) / 4.184::double, 0) * (elapsed / 60) else elapsed / 3600 * kg * met end + 0.5)::bigint calories,
+      coalesce(laps, 0)::bigint laps, round(distance - coalesce(lap_from, 0), 6) lap_distance, greatest(elapsed - coalesce(lap_end, 0), 0)::double lap_time from z""")
+def live_figures(t):
+    r = live.live_batch(live_samples(t))
+    return r.select("recording", "samples", "elapsed", "speed", F.round("avg_speed", 9).alias("avg_speed"), "distance", "heartrate", F.round("elevation_gain", 6).alias("elevation_gain"), "calories", "laps", F.round("lap_distance", 6).alias("lap_distance"), "lap_time")
