@@ -12,16 +12,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.operators import detection as det
+from stridelake.operators import editing as edi
 from stridelake.operators import fitness as fit
+from stridelake.operators import flows as flo
 from stridelake.operators import heatmap as heat
 from stridelake.operators import insights as ins
+from stridelake.operators import keeping as kee
 from stridelake.operators import patterns as pat
 from stridelake.operators import routes as rou
 from stridelake.operators import sections as sec
 from stridelake.operators import spatial as spa
 from stridelake.operators import strength as stg
+from stridelake.operators import upkeep as upk
 from stridelake.sources import tables as io
 from stridelake.sources.adapters import visible
+from stridelake.streaming.indexing import TrackIndex
 
 
 class Fitness:
@@ -93,7 +98,7 @@ class Sections:
     def nearby(self, radius_m: float = 500.0) -> DataFrame:
         return spa.nearby(self.t.sections, radius_m)
 
-    def merge_candidates(self) -> DataFrame:
+    def merge_pairs(self) -> DataFrame:
         return spa.merge_pairs(self.t.sections)
 
     def pruned(self, threshold_m: float = 50.0, least: float = 0.5) -> DataFrame:
@@ -103,6 +108,53 @@ class Sections:
         return spa.merge_candidates(self.t.sections, self.t.section_points, centre_m)
 
 
+    def edited(self, sections: DataFrame, events: DataFrame) -> DataFrame:
+        """A table of sections after a log of edits, see editing.folded."""
+        return edi.folded(sections, events)
+
+    def extension(self, sections: DataFrame, tracks: DataFrame) -> DataFrame:
+        return edi.extension(sections, self.t.section_points, tracks)
+
+    def rematched(self, sections: DataFrame, lines: DataFrame, tracks: DataFrame, track_sports: DataFrame) -> DataFrame:
+        return edi.rematched(sections, lines, tracks, track_sports)
+
+    def saved(self, sections: DataFrame, detected: DataFrame) -> DataFrame:
+        """A table of sections after a detection, see keeping.saved."""
+        return kee.saved(sections, detected)
+
+
+class Detection:
+    """Detection over tracks (track_id, seq, lat, lng), whole or with what is new."""
+
+    def __init__(self, tables, config: det.DetectionConfig = det.DetectionConfig()):
+        self.t, self.config = tables, config
+
+    def groups(self, points: DataFrame) -> DataFrame:
+        return det.route_groups(points, self.config)
+
+    def regrouped(self, points: DataFrame, groups: DataFrame) -> DataFrame:
+        return upk.grouped_with_new(points, groups, self.config)
+
+    def corridors(self, points: DataFrame) -> DataFrame:
+        return det.detected_sections(points, self.config)
+
+    def potential(self, points: DataFrame) -> DataFrame:
+        return det.busy_cells(points, self.config)
+
+    def turns(self, points: DataFrame, stored: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+        """Turns of all tracks; where those of known tracks are stored, see flows.detected_with_new."""
+        if stored is None or known is None:
+            return flo.turns(points, self.config.cell_deg)
+        return flo.detected_with_new(points, stored, known, self.config)
+
+    def flow_sections(self, turns: DataFrame) -> DataFrame:
+        return flo.flow_sections(turns, self.config)
+
+    def index(self, path: str) -> TrackIndex:
+        """An index that new tracks are matched with, stored at path."""
+        return TrackIndex(self.t.spark, path, self.t.sections, self.t.section_points, self.config)
+
+
 class Routes:
     def __init__(self, tables):
         self.t = tables
@@ -198,3 +250,4 @@ class Engine:
     def __init__(self, tables):
         self.fitness, self.sections, self.routes = Fitness(tables), Sections(tables), Routes(tables)
         self.activities, self.strength, self.maps = Activities(tables), Strength(tables), Maps(tables)
+        self.detection = Detection(tables)

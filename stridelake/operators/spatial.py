@@ -84,6 +84,29 @@ def nearby(sections: DataFrame, radius_m: float, top: int = 20) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("section_id", "other_id", F.round("metres", 3).alias("metres"), "rank")
 
 
+def nearest_first(places: DataFrame, lat: float, lng: float, limit: int, offset: int = 0, order: list[Column | str] = (), first_m: float = 5_000.0) -> DataFrame:
+    """A page of places (min_lat, max_lat, min_lng, max_lng) by the distance of their box's centre from a position, with has_more.
+
+    Ties follow `order`. A ring around the position widens, twelvefold each
+    time, until it holds a row more than the page's end, or all; only boxes
+    that reach into it are read, and only a page's rows are ranked. One count
+    a ring reaches the driver. Places without a box come last, and only if
+    the page gets there.
+    """
+    centre = haversine(F.lit(lat), F.lit(lng), (F.col("min_lat") + F.col("max_lat")) / 2, (F.col("min_lng") + F.col("max_lng")) / 2)
+    rows, ring, need = places.withColumn("metres", centre), first_m, offset + limit + 1
+    while ring < 2.1e7:
+        inside = rows.filter(near_box(lat, lat, lng, lng, ring, (F.col("min_lat"), F.col("max_lat")), (F.col("min_lng"), F.col("max_lng")))).filter(F.col("metres") <= ring)
+        if inside.limit(need).count() == need:
+            rows = inside
+            break
+        ring *= 12
+    by = [F.asc_nulls_last("metres"), *order]
+    some = rows.orderBy(*by).offset(offset).limit(limit + 1)
+    place = F.row_number().over(Window.orderBy(*by))  # a page and one row
+    return some.withColumn("_k", place).withColumn("has_more", F.max("_k").over(Window.partitionBy()) > limit).filter(F.col("_k") <= limit).drop("_k")
+
+
 def overlap_fraction(a: DataFrame, b: DataFrame, threshold_m: float) -> DataFrame:
     """For each pair key, the share of a's points (pair, point, lat, lng) with a point of b (pair, lat, lng) within the threshold."""
     hit = radius_join(a, _other(b, {}), threshold_m, ["pair"]).select("pair", "point").distinct().groupBy("pair").agg(F.count(F.lit(1)).alias("hits"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stridelake.functions import scalar as S
 from stridelake.plans.registry import query
+from stridelake.plans.spatial import hav
 from stridelake.sources import tables as op
 from stridelake.streaming import recording
 
@@ -195,11 +196,17 @@ def lap_backfill(t):
     return rows.select("section_id", "activity_id", "start_index", F.round(lap, 3).alias("lap_time"))
 
 
-@query("t1_t2_cleaned_recording")
+@query("t1_t2_cleaned_recording", f""", q as (select track_id, t, lat, lng, row_number() over (partition by track_id order by point_id) k from points where point_id % 40 <= 30),
+    w as (select track_id, 0::bigint k, null::bigint t, null::double lat, null::double lng, 0::double total_m, 0::double step_m, false kept from (select distinct track_id from q) union all
+      select a.track_id, a.k, case when a.good then a.t else a.wt end, case when a.good then a.lat else a.wlat end, case when a.good then a.lng else a.wlng end, case when a.good then a.total_m + coalesce(a.step, 0) else a.total_m end, coalesce(a.step, 0), a.good
+      from (select z.*, wt is null or (t > wt and step / (t - wt) <= 35) good from (select y.*, case when wt is not null then {hav("r", "p")} end step from
+        (select q.*, w.t wt, w.lat wlat, w.lng wlng, w.total_m from w join q on q.track_id = w.track_id and q.k = w.k + 1) y, lateral (select y.lat lat, y.lng lng) p, lateral (select y.wlat lat, y.wlng lng) r) z) a)
+    select track_id, t, round(lat, 6) lat, round(lng, 6) lng, round(step_m, 4) step_m, round(total_m, 4) total_m from w where kept""")
 def cleaned(t):
     """Fixes with an accuracy of 0 to 39 m, without the inaccurate ones and without jumps."""
     p = t.points.select("track_id", "t", "lat", "lng", F.lit("Ride").alias("sport_type"), "point_id", (F.col("point_id") % 40).alias("accuracy"))
-    return recording.cleaned_batch(recording.accurate(p))
+    rows = recording.cleaned_batch(recording.accurate(p))
+    return rows.select("track_id", "t", *(F.round(c, n).alias(c) for c, n in (("lat", 6), ("lng", 6), ("step_m", 4), ("total_m", 4))))
 
 
 @query("t3_sample_and_hold", """, s as (select track_id, t, point_id, value, last_value(case when point_id % 3 = 0 then value end ignore nulls) over w v, last_value(case when point_id % 3 = 0 then t end ignore nulls) over w as_of from points window w as (partition by track_id order by t, point_id rows unbounded preceding))
@@ -208,7 +215,11 @@ def held(t):
     return recording.sample_and_hold(t.points, F.col("point_id") % 3 == 0, "value", 86400)
 
 
-@query("t5_auto_pause")
+@query("t5_auto_pause", """, q as (select track_id, t, value v, row_number() over (partition by track_id order by t, point_id) k from points),
+    w as (select track_id, 0::bigint k, null::bigint t, false paused, null::bigint since, null::varchar as "event" from (select distinct track_id from points) union all
+      select q.track_id, q.k, q.t, case when paused then v < 50 else v < 40 and q.t - coalesce(since, q.t) >= 5 end, case when paused then case when v < 50 then since end when v < 40 then coalesce(since, q.t) end,
+        case when paused and v >= 50 then 'resume' when not paused and v < 40 and q.t - coalesce(since, q.t) >= 5 then 'pause' end from w join q on q.track_id = w.track_id and q.k = w.k + 1)
+    select track_id, t, "event" from w where "event" is not null""")
 def paused(t):
     return recording.auto_pause(t.points, "value", 40.0, 5)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import scalar as S
-from stridelake.operators import detection, upkeep as op
+from stridelake.operators import detection, spatial, upkeep as op
 from stridelake.plans.detection import CFG, GROUPS, SEQ, STEPS, seq
 from stridelake.plans.registry import query
 from stridelake.plans.spatial import hav
@@ -96,6 +96,18 @@ def page(t):
     return rows.join(F.broadcast(total)).select("route_id", "activities", "representative", "has_more", "total")
 
 
+@query("o4_nearest_page", f""", g as (select route_id, count(*) activities, min(min_lat) a, max(max_lat) b, min(min_lng) c, max(max_lng) d from metrics join activities using (activity_id) group by 1 having count(*) >= 2),
+    m as (select route_id, activities, {hav("p", "q")} metres from (select *, 46.4::double ulat, 7.3::double ulng, (a + b) / 2 la, (c + d) / 2 lo from g) z, lateral (select z.ulat lat, z.ulng lng) p, lateral (select z.la lat, z.lo lng) q),
+    k as (select *, row_number() over (order by metres, activities desc, route_id) k, count(*) over () total from m) select route_id, activities, round(metres, 3) metres, total > 30 has_more from k where k between 21 and 30""")
+def nearest_page(t):
+    """The third page of ten groups, nearest to a position first."""
+    g = t.metrics.select("activity_id", "route_id").join(t.activities.drop("name"), "activity_id").groupBy("route_id").agg(
+        F.count(F.lit(1)).alias("activities"), *(f(c).alias(c) for c, f in (("min_lat", F.min), ("max_lat", F.max), ("min_lng", F.min), ("max_lng", F.max)))
+    ).filter("activities >= 2")
+    page = spatial.nearest_first(g, 46.4, 7.3, 10, 20, [F.desc("activities"), "route_id"])
+    return page.select("route_id", "activities", F.round("metres", 3).alias("metres"), "has_more")
+
+
 @query("t6_live_figures", STEPS + """, r as (select track_id, t, value - lag(value) over (partition by track_id order by t, point_id) rise from points), g as (select track_id, (max(t) - min(t))::bigint s, sum(greatest(coalesce(rise, 0), 0)) climbed from r group by 1),
     m as (select track_id, count(*) fixes, sum(step) m from st group by 1) select track_id, fixes, s elapsed, round(m, 3) metres, round(case when s > 0 then m / s else 0 end, 6) speed, round(climbed, 3) climbed from m join g using (track_id)""")
 def live(t):

@@ -312,6 +312,9 @@ def test_engine_surface(spark, tmp_path):
         e.routes.groups(), e.routes.performances(7), e.activities.in_viewport(46, 47, 7, 8), e.strength.balance(0, 10**10), e.maps.tile_plan([10]),
     ]
     assert all(f.columns and f.count() >= 0 for f in frames)
+    points = e.maps.tracks
+    assert e.detection.groups(points).count() == points.select("track_id").distinct().count()
+    assert e.detection.flow_sections(e.detection.turns(points)).columns and e.sections.merge_pairs().columns != e.sections.merge_candidates().columns
     heatmap.write_tiles(e.maps.tiles(8), str(tmp_path))
     assert list(tmp_path.glob("8/*/*.png"))
 
