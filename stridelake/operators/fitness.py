@@ -82,6 +82,15 @@ def threshold_change(metrics: DataFrame, value: str, sports: list[str], last: in
     return latest.join(other)
 
 
+def pace_milestone(change: DataFrame, metres: int) -> DataFrame:
+    """Of a change of speed (latest, previous): seconds gained over so many metres and percent, if it is a gain in both once rounded."""
+    better = change.filter("latest > 0 and previous > 0 and latest > previous")
+    rows = better.select(
+        "latest", "previous", S.round_half_up(metres / F.col("previous") - metres / F.col("latest")).alias("gain_secs"), S.round_half_up((F.col("latest") - F.col("previous")) / F.col("previous") * 100).alias("gain_percent")
+    )
+    return rows.filter("gain_secs > 0 and gain_percent > 0")
+
+
 def heart_series(wellness: DataFrame, days: int) -> DataFrame:
     """The last `days` rows, oldest first, numbered; fitness, fatigue and form with nulls as 0."""
     rows = wellness.orderBy(F.desc("date")).limit(days)

@@ -83,14 +83,17 @@ def line_tiles(points: DataFrame, zooms: list[int]) -> DataFrame:
     return parents(swept.unionByName(alone).distinct(), top, zooms)
 
 
+def with_halo(tiles: DataFrame) -> DataFrame:
+    """Tiles of each track (track_id, z, x, y) and the eight around each, within the map."""
+    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as i, j as j))))"))
+    t = tiles.withColumn("o", around).select("track_id", "z", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"))
+    n = F.pow(F.lit(2.0), F.col("z"))
+    return t.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < n) & (F.col("y") < n)).distinct()
+
+
 def tile_plan(points: DataFrame, zooms: list[int], halo: bool = True, existing: DataFrame | None = None) -> DataFrame:
     """Tiles to draw with their number of tracks: those that tracks touch, with a halo the eight around each too; existing ones (z, x, y) are skipped."""
-    t = line_tiles(points, zooms)
-    if halo:
-        around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as i, j as j))))"))
-        t = t.withColumn("o", around).select("track_id", "z", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"))
-        n = F.pow(F.lit(2.0), F.col("z"))
-        t = t.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < n) & (F.col("y") < n)).distinct()
+    t = with_halo(line_tiles(points, zooms)) if halo else line_tiles(points, zooms)
     plan = t.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("tracks"))
     return plan if existing is None else plan.join(existing.select("z", "x", "y"), ["z", "x", "y"], "left_anti")
 

@@ -220,3 +220,16 @@ def recent_records(records: DataFrame, metrics: DataFrame, visits: DataFrame, no
         records.join(metrics.select(F.col("activity_id").alias("best_activity"), "date"), "best_activity").filter(F.col("date").between(now - days * 86400, now))
         .join(visits.filter(F.col("laps") >= least), "section_id").select("section_id", "best_activity", "best_time", "date", "laps")
     )
+
+
+def backfilled_laps(traversals: DataFrame, times: DataFrame) -> DataFrame:
+    """Times and paces for traversals without one, excluded ones too, from their activity's time stream (activity_id, index from 0, t).
+
+    Only stretches that start after the first fix and end later are looked at;
+    those with an end outside the stream, or without time between, are left out.
+    """
+    open_laps = traversals.filter("lap_time is null and start_index > 0 and end_index > start_index").select("section_id", "activity_id", "start_index", "end_index", "distance_meters")
+    at = lambda t, i: times.select("activity_id", F.col("t").alias(t), F.col("index").alias(i))
+    rows = open_laps.join(at("t0", "start_index"), ["activity_id", "start_index"]).join(at("t1", "end_index"), ["activity_id", "end_index"])
+    lap = F.abs(F.col("t1") - F.col("t0")).cast("double")
+    return rows.withColumn("lap_time", lap).filter("lap_time > 0").select("section_id", "activity_id", "start_index", "lap_time", F.round(F.col("distance_meters") / F.col("lap_time"), 6).alias("lap_pace"))

@@ -177,6 +177,15 @@ def milestone(t):
     return c.select("latest", "previous", (F.col("latest") - F.col("previous")).alias("gain"), (F.col("latest") - F.col("previous") >= 5).alias("milestone"))
 
 
+@query("i7_pace_milestone", "".join(f", c{sport} as (select *, row_number() over (order by date desc, activity_id desc) n from (select *, round(distance / moving_time, 6) cs from metrics where moving_time > 0 and sport_type = '{sport}') qualify n <= 20)" for sport in ("Run", "Swim")) + " " + " union all ".join(f"""select '{sport}' sport, latest, previous, floor({m} / previous - {m} / latest + 0.5)::bigint gain_secs, floor((latest - previous) / previous * 100 + 0.5)::bigint gain_percent from
+      (select (select cs from c{sport} where n = 1) latest, (select cs from c{sport} where abs(cs - (select cs from c{sport} where n = 1)) > 0.02 order by n limit 1) previous) where latest > previous and gain_secs > 0 and gain_percent > 0""" for sport, m in (("Run", 1000), ("Swim", 100))))
+def pace_milestone(t):
+    """Runs by the kilometre, swims by 100 m."""
+    m = t.metrics.filter("moving_time > 0").withColumn("cs", F.round(F.col("distance") / F.col("moving_time"), 6))
+    out = [fitness.pace_milestone(fitness.threshold_change(m, "cs", [s], gap=0.02), metres).select(F.lit(s).alias("sport"), "latest", "previous", F.col("gain_secs").cast("long").alias("gain_secs"), F.col("gain_percent").cast("long").alias("gain_percent")) for s, metres in (("Run", 1000), ("Swim", 100))]
+    return out[0].unionByName(out[1])
+
+
 @query("i8_hrv_insight", """, v as (select list(hrv order by date) v, count(*) n from (select * from wellness order by date desc limit 28) where hrv > 0) select n::int points, round(least(1, n / 7.0::double), 6) confidence from v where n >= 5""")
 def hrv_insight(t):
     return fitness.hrv_trend(t.wellness, 28).select("points", F.round(F.least(F.lit(1.0), F.col("points") / 7.0), 6).alias("confidence"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import scalar as S
+from stridelake.operators import sections as sec
 from stridelake.plans.registry import query
 from stridelake.plans.spatial import hav
 from stridelake.sources import tables as op
@@ -196,6 +197,15 @@ def lap_backfill(t):
     return rows.select("section_id", "activity_id", "start_index", F.round(lap, 3).alias("lap_time"))
 
 
+@query("g37_null_laps_backfilled", """, st as (select track_id activity_id, list(t order by t, point_id) ts from points group by 1),
+    r as (select section_id, activity_id, start_index, distance_meters, abs(ts[start_index + start_index % 4 * 2 - 1] - ts[start_index + 1])::double lap_time from traversals join st using (activity_id) where lap_time is null and start_index > 0 and start_index % 4 * 2 - 2 > 0)
+    select section_id, activity_id, start_index, lap_time, round(distance_meters / lap_time, 6) lap_pace from r where lap_time > 0""")
+def null_laps(t):
+    """Stretches of up to four fixes that end 2 * (start mod 4) - 2 fixes after their start; where that is not later, they are skipped."""
+    at = t.points.select(F.col("track_id").alias("activity_id"), "t", (F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id")) - 1).alias("index"))
+    return sec.backfilled_laps(t.traversals.withColumn("end_index", F.col("start_index") + F.col("start_index") % 4 * 2 - 2), at)
+
+
 @query("t1_t2_cleaned_recording", f""", q as (select track_id, t, lat, lng, row_number() over (partition by track_id order by point_id) k from points where point_id % 40 <= 30),
     w as (select track_id, 0::bigint k, null::bigint t, null::double lat, null::double lng, 0::double total_m, 0::double step_m, false kept from (select distinct track_id from q) union all
       select a.track_id, a.k, case when a.good then a.t else a.wt end, case when a.good then a.lat else a.wlat end, case when a.good then a.lng else a.wlng end, case when a.good then a.total_m + coalesce(a.step, 0) else a.total_m end, coalesce(a.step, 0), a.good
