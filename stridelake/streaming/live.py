@@ -161,7 +161,12 @@ def live_stream(samples: DataFrame, idle_s: int | None = 6 * 3600) -> DataFrame:
 
 
 def live_batch(samples: DataFrame) -> DataFrame:
-    """The last figures of stored recordings: the same fold, streaming through sorted partitions, one state at a time."""
+    """The last figures of stored recordings: the same fold, streaming through sorted partitions, one state at a time.
+
+    Rows are dealt by a hash of their recording, not by the recording itself:
+    a union whose sides are dealt by it already would be taken as it is, and
+    its sides may be cut differently.
+    """
     kinds = {"long": pa.int64(), "double": pa.float64()}
     types = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in FIGURES.split(", "))])
 
@@ -181,7 +186,7 @@ def live_batch(samples: DataFrame) -> DataFrame:
         if live is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((key, *live.figures()), types)], schema=types)
 
-    return _good(samples).repartition("recording").sortWithinPartitions("recording", "t", "seq").mapInArrow(run, FIGURES)
+    return _good(samples).repartition(F.xxhash64("recording")).sortWithinPartitions("recording", "t", "seq").mapInArrow(run, FIGURES)
 
 
 def indoor_rows(times: DataFrame, sensors: DataFrame, fresh_s: float) -> DataFrame:

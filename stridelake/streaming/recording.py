@@ -70,7 +70,7 @@ def _fold(rows: DataFrame, order: list[str], step, schema: str) -> DataFrame:
 
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     types = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
-    return rows.repartition("track_id").sortWithinPartitions("track_id", *order).mapInArrow(run, schema)
+    return rows.repartition(F.xxhash64("track_id")).sortWithinPartitions("track_id", *order).mapInArrow(run, schema)
 
 
 def cleaned_batch(points: DataFrame) -> DataFrame:
