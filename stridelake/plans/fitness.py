@@ -159,8 +159,8 @@ def w25(t):
 @query("w26_split_times", """, d as (select *, sum(abs(value)) over (partition by track_id order by t, point_id rows unbounded preceding) c from points)
     select track_id, floor(c / 1000)::bigint split, min(t) reached from d where floor(c / 1000) >= 1 group by 1, 2""")
 def w26(t):
-    """First time in each whole thousand of the running sum."""
-    c = F.sum(F.abs("value")).over(Window.partitionBy("track_id").orderBy("t", "point_id").rowsBetween(Window.unboundedPreceding, 0))
+    """First time in each whole thousand of the running sum, which is one of decimals: a sum of doubles may miss a thousand that is met exactly."""
+    c = F.sum(F.abs("value").cast("decimal(18,4)")).over(Window.partitionBy("track_id").orderBy("t", "point_id").rowsBetween(Window.unboundedPreceding, 0))
     return t.points.withColumn("split", F.floor(c / 1000)).filter("split >= 1").groupBy("track_id", "split").agg(F.min("t").alias("reached"))
 
 
