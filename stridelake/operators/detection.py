@@ -6,14 +6,15 @@ inputs and outputs); the other operators edit sections as tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions.scalar import haversine
-from stridelake.operators.graph import connected_components
-from stridelake.operators.spatial import line_overlaps, near_box, radius_join
+from stridelake.operators.graph import connected_components, ensure_checkpoint_dir
+from stridelake.operators.spatial import METRES_PER_DEGREE, line_overlaps, near_box, radius_join
 
 
 @dataclass(frozen=True)
@@ -43,10 +44,14 @@ def signatures(points: DataFrame) -> DataFrame:
     )
 
 
-def route_edges(sigs: DataFrame, cfg: DetectionConfig, others: DataFrame | None = None) -> DataFrame:
-    """Pairs of tracks that start and end close to each other and are of similar length; of sigs, or of sigs with others."""
-    other = (sigs if others is None else others).select(F.col("track_id").alias("other_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng"), F.col("end_lat").alias("oend_lat"), F.col("end_lng").alias("oend_lng"), F.col("metres_long").alias("other_long"))
-    pairs = radius_join(sigs, other, cfg.endpoint_m).filter("track_id < other_id" if others is None else "track_id <> other_id")
+def route_edges(sigs: DataFrame, cfg: DetectionConfig, where: Column | None = None) -> DataFrame:
+    """Pairs of tracks that start and end close to each other and are of similar length; `where` may compare _root with other_root."""
+    names = {"track_id": "other_id", "lat": "rlat", "lng": "rlng", "end_lat": "oend_lat", "end_lng": "oend_lng", "metres_long": "other_long", "_root": "other_root"}
+    mine = [c for c in names if c in sigs.columns]
+    other = sigs.select(*(F.col(c).alias(names[c]) for c in mine))
+    pairs = radius_join(sigs.select(*mine), other, cfg.endpoint_m).filter("track_id < other_id")
+    if where is not None:
+        pairs = pairs.filter(where)
     ratio = F.least("metres_long", "other_long") / F.greatest("metres_long", "other_long")
     ends = haversine(F.col("end_lat"), F.col("end_lng"), F.col("oend_lat"), F.col("oend_lng"))
     return pairs.filter((ratio >= cfg.length_ratio) & (ends <= cfg.endpoint_m)).select(F.col("track_id").alias("a"), F.col("other_id").alias("b"))
@@ -59,8 +64,54 @@ def route_groups(points: DataFrame, cfg: DetectionConfig) -> DataFrame:
 
 def grouped(sigs: DataFrame, cfg: DetectionConfig) -> DataFrame:
     """The same from signatures."""
-    roots = connected_components(route_edges(sigs, cfg))
-    return sigs.join(roots, sigs["track_id"] == roots["node"], "left").select("track_id", F.coalesce("root", "track_id").alias("route"))
+    return with_routes(sigs, cfg)
+
+
+def _blocks(sigs: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """sigs with _block: tracks of one block start and end within less than the radius of each other, and are of similar length."""
+    side = cfg.endpoint_m / 1.5 / METRES_PER_DEGREE  # the diagonal is 0.95 of the radius
+
+    def cell(lat: Column, lng: Column) -> Column:
+        y = F.floor(lat / side)
+        least = F.least(F.abs(y * side), F.abs((y + 1) * side))  # where the cell is widest
+        return F.struct(y.alias("y"), F.floor(lng / (side / F.cos(F.radians(F.when((y == 0) | (y == -1), 0.0).otherwise(least))))).alias("x"))
+
+    band = F.floor(F.ln("metres_long") / -math.log(cfg.length_ratio) * 1.01).cast("double") if 0 < cfg.length_ratio < 1 else F.col("metres_long")
+    return sigs.withColumn("_block", F.struct(cell(F.col("lat"), F.col("lng")).alias("a"), cell(F.col("end_lat"), F.col("end_lng")).alias("b"), band.alias("l")))
+
+
+def with_routes(sigs: DataFrame, cfg: DetectionConfig, known: DataFrame | None = None) -> DataFrame:
+    """track_id and route of all tracks of sigs, also by edges (a, b) that are known.
+
+    A block's tracks belong together, so its smallest track stands for them.
+    What the blocks' first tracks link makes components; then only tracks of
+    near blocks in different components are compared. So pairs grow with the
+    blocks, not with the square of the tracks.
+    """
+    ensure_checkpoint_dir(sigs.sparkSession)
+    whole = sigs.filter("lat is not null and lng is not null and end_lat is not null and end_lng is not null and metres_long > 0")
+    rows = _blocks(whole, cfg).select("track_id", "lat", "lng", "end_lat", "end_lng", "metres_long", "_block").checkpoint()
+    heads = rows.groupBy("_block").agg(F.min_by(F.struct("track_id", "lat", "lng", "end_lat", "end_lng", "metres_long"), "track_id").alias("h")).select("_block", "h.*").checkpoint()
+    stars = rows.select("_block", F.col("track_id").alias("b")).join(heads.select("_block", F.col("track_id").alias("a")).hint("merge"), "_block").select("a", "b")
+    first = stars.unionByName(route_edges(heads.drop("_block"), cfg))
+    if known is not None:
+        first = first.unionByName(known.select("a", "b"))
+    first = first.filter("a <> b").checkpoint()
+    roots = connected_components(first)
+    named = heads.join(roots.hint("merge"), heads["track_id"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "track_id")).drop("node", "root").checkpoint()
+    # A track is within 0.95 of the radius of its head, at either end; 0.9999 leaves room for rounding.
+    wide = replace(cfg, endpoint_m=cfg.endpoint_m * 3, length_ratio=cfg.length_ratio**3 * 0.9999)
+    of = lambda a: named.select(F.col("track_id").alias(a), F.col("_block").alias(f"{a}_block"), F.col("_root").alias(f"{a}_root"))
+    near = route_edges(named, wide, F.col("_root") != F.col("other_root")).join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
+    one = near.select("a_block", "b_block").join(rows.withColumnRenamed("_block", "a_block").hint("merge"), "a_block").drop("a_block")
+    two = rows.select(F.col("_block").alias("b_block"), *(F.col(c).alias(f"o_{c}") for c in rows.columns if c != "_block"))
+    pairs = one.join(two.hint("merge"), "b_block")
+    ratio = F.least("metres_long", "o_metres_long") / F.greatest("metres_long", "o_metres_long")
+    starts = haversine(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng"))
+    ends = haversine(F.col("end_lat"), F.col("end_lng"), F.col("o_end_lat"), F.col("o_end_lng"))
+    more = pairs.filter((ratio >= cfg.length_ratio) & (starts <= cfg.endpoint_m) & (ends <= cfg.endpoint_m)).select(F.col("track_id").alias("a"), F.col("o_track_id").alias("b"))
+    roots = connected_components(first.unionByName(more))
+    return sigs.join(roots.hint("merge"), sigs["track_id"] == roots["node"], "left").select("track_id", F.coalesce("root", "track_id").alias("route"))
 
 
 def busy_cells(points: DataFrame, cfg: DetectionConfig) -> DataFrame:
