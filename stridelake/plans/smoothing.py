@@ -17,7 +17,7 @@ FIT = MEMBERS + """, d as (select route_id, date / 86400.0::double x, speed y fr
 
 def fit(t):
     d = routes.members(t.metrics).select("route_id", (F.col("date") / 86400.0).alias("x"), F.col("speed").alias("y"))
-    return d, op.local_linear(d, ["route_id"], "x", "y")
+    return op.local_linear(d, ["route_id"], "x", "y")
 
 
 @query("w17_centred_average", """, d as (select sport_type, (date // 86400)::bigint as day_no, sum(training_load) load from metrics group by 1, 2)
@@ -29,14 +29,12 @@ def w17(t):
 
 @query("w18_local_linear_smoother", FIT + " select route_id, i::int i, round(xat, 4) as place, round(fit, 5) fit from fits")
 def w18(t):
-    return fit(t)[1].select("route_id", "i", F.round("at", 4).alias("place"), F.round("fit", 5).alias("fit"))
+    return fit(t).select("route_id", "i", F.round("at", 4).alias("place"), F.round("fit", 5).alias("fit"))
 
 
 @query("w19_clamped_band", FIT + ", l as (select route_id, min(y) lo, max(y) hi from d group by 1) select route_id, i::int i, round(greatest(least(fit - sigma, hi + (hi - lo) * 0.15), lo - (hi - lo) * 0.15), 4) low, round(greatest(least(fit + sigma, hi + (hi - lo) * 0.15), lo - (hi - lo) * 0.15), 4) high from fits join l using (route_id)")
 def w19(t):
-    d, f = fit(t)
-    limits = d.groupBy("route_id").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    return op.clamped_band(f, ["route_id"], limits).select("route_id", "i", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    return op.clamped_band(fit(t), ["route_id"]).select("route_id", "i", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query("w20_lanes", MEMBERS + " select route_id, side, round(max(speed), 9) best, round(min(speed), 9) low, count(*) points, round(greatest((max(speed) - min(speed)) * 0.2, 0.5), 9) padding from mem group by 1, 2")
