@@ -127,18 +127,19 @@ def patterns(features: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame
     """
     key = [*by, "cluster"]
     rows = features.join(labels.select("activity_id", "cluster", "silhouette"), "activity_id").withColumn("season", S.season(S.epoch_date(F.col("date"))))
+    # All of a cluster in one aggregation, so that the labels are made once.
+    counts = lambda c, values: [F.struct(F.count(F.when(F.col(c).eqNullSafe(F.lit(v)), 1)).alias("c"), F.lit(v).cast(dict(rows.dtypes)[c]).alias(c)) for v in values]
+    seasons, days = counts("season", ["winter", "spring", "summer", "autumn"]), counts("dow", [None, *range(7)])
     g = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("members"), F.floor((F.max("date") - F.min("date")) / 86400).alias("span_days"), F.avg("silhouette").alias("silhouette"), F.floor(F.avg("moving_time")).alias("avg_duration"),
-        F.avg("distance").alias("avg_distance"), F.avg("training_load").alias("avg_load"), F.countDistinct("season").alias("seasons"),
+        F.avg("distance").alias("avg_distance"), F.avg("training_load").alias("avg_load"), F.size(F.filter(F.array(*seasons), lambda s: s["c"] > 0)).alias("seasons"), F.array_max(F.array(*seasons)).alias("top"), F.array_max(F.array(*days)).alias("d"),
     )
     g = g.withColumn("per_month", F.col("members") / (F.greatest(F.col("span_days"), F.lit(1)) / 30.44))
     g = g.filter((F.col("members") >= MIN_SIZE) & (F.col("span_days") >= MIN_SPAN_DAYS) & (F.col("silhouette") >= MIN_SILHOUETTE) & (F.col("per_month") >= MIN_PER_MONTH))
-    top = rows.groupBy(*key, "season").agg(F.count(F.lit(1)).alias("c")).groupBy(*key).agg(F.max(F.struct("c", "season")).alias("top"))
     share = F.col("top.c") / F.col("members")
     label = F.when(share > SEASON_SHARE, F.col("top.season")).when(F.col("seasons") >= 3, "all").otherwise(F.col("top.season"))
-    day = rows.groupBy(*key, "dow").agg(F.count(F.lit(1)).alias("c")).groupBy(*key).agg(F.max(F.struct("c", "dow")).alias("d"))
     confidence = 0.3 * F.least(F.col("members") / 20, F.lit(1.0)) + 0.3 * F.col("silhouette") + 0.2 * F.least(F.col("per_month") / 4, F.lit(1.0)) + 0.2 * F.col("d.c") / F.col("members")
-    return g.join(top, key).join(day, key).select(
+    return g.select(
         *key, "members", "span_days", F.round("silhouette", 6).alias("silhouette"), "avg_duration", F.round("avg_distance", 3).alias("avg_distance"), F.round("avg_load", 4).alias("avg_load"),
         F.round("per_month", 4).alias("per_month"), label.alias("season"), F.col("d.dow").alias("primary_day"), F.round(confidence, 6).alias("confidence"),
     )
@@ -158,12 +159,12 @@ def pattern_sections(labels: DataFrame, laps: DataFrame, by: list[str]) -> DataF
     The trend compares halves of the times, newest first, by 3 % from four times on.
     """
     key = [*by, "cluster"]
-    size = labels.groupBy(*key).agg(F.count(F.lit(1)).alias("members"))
-    rows = labels.select("activity_id", *key).join(laps.filter("lap_time > 0").select("activity_id", "section_id", "lap_time", F.col("date").alias("lap_date"), "start_index"), "activity_id")
+    sized = labels.select("activity_id", *key, F.count(F.lit(1)).over(Window.partitionBy(*key)).alias("members"))
+    rows = sized.join(laps.filter("lap_time > 0").select("activity_id", "section_id", "lap_time", F.col("date").alias("lap_date"), "start_index"), "activity_id")
     rows = newest_first(rows, [*key, "section_id"], ["lap_date", "activity_id", "start_index"])
     five = F.collect_list(F.when(F.col("k") <= 5, F.col("lap_time")))
-    g = rows.groupBy(*key, "section_id").agg(F.countDistinct("activity_id").alias("appearances"), F.min("lap_time").alias("best"), five.alias("five"), half_trend("lap_time").alias("trend"))
-    g = g.join(size, key).filter("appearances >= 0.5 * members")
+    g = rows.groupBy(*key, "section_id").agg(F.countDistinct("activity_id").alias("appearances"), F.min("lap_time").alias("best"), five.alias("five"), half_trend("lap_time").alias("trend"), F.first("members").alias("members"))
+    g = g.filter("appearances >= 0.5 * members")
     return g.select(*key, "section_id", "appearances", "best", S.upper_middle(F.col("five")).alias("median_recent"), "trend")
 
 
