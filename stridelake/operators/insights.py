@@ -25,12 +25,23 @@ COLUMNS = "subject string, category string, priority int, confidence double, tit
 
 def candidate(df: DataFrame, subject, category: str, priority: int, confidence, title, age, repeats, signal, marks: int, is_self: bool = True) -> DataFrame:
     """Rows in the common shape of candidates. marks counts number, place and date among what the text names."""
-    return df.select(
+    return df.select(marked(subject, category, priority, confidence, title, age, repeats, signal, marks, is_self).alias("c")).select("c.*")
+
+
+def marked(subject, category: str, priority: int, confidence, title, age, repeats, signal, marks: int, is_self: bool = True) -> Column:
+    """A candidate as a struct."""
+    return F.struct(
         F.col(subject).cast("string").alias("subject"), F.lit(category).alias("category"), F.lit(priority).alias("priority"), F.lit(confidence).cast("double").alias("confidence"),
         title.alias("title"), age.cast("long").alias("age_days"), repeats.cast("long").alias("repeats"), signal.cast("double").alias("signal"), F.lit(marks).alias("marks"), F.lit(is_self).alias("is_self"),
     )
 
 
+def candidates(df: DataFrame, *made: tuple[Column, Column]) -> DataFrame:
+    """Candidates of several kinds from each row, in one pass: (where, marked(...)) for each kind."""
+    some = F.filter(F.array(*(F.when(where, c) for where, c in made)), lambda c: c.isNotNull())
+    return df.select(F.inline(some))
+
+
 def gates(c: DataFrame) -> DataFrame:
     """Candidates that pass recency, repetition and wording."""
     recency = F.lit(False)
@@ -106,6 +117,10 @@ def chronic_average(metrics: DataFrame, monday: int) -> DataFrame:
 
 def stale_records(records: DataFrame, dates: DataFrame, ranked: DataFrame, now: int, gain_pct: float, gain_floor: float = 3.0, least_days: int = 30, top: int = 20) -> DataFrame:
     """Sections whose record is old while the athlete got fitter, by traversals. No rows for a gain below the floor."""
-    rows = records.join(dates, F.col("best_activity") == F.col("activity_id")).withColumn("days", S.calendar_days_between(F.col("date"), F.lit(now))).filter(F.col("days") >= least_days)
-    rows = rows.join(ranked.select("section_id", "traversals", "section_sport"), "section_id").filter(F.lit(gain_pct >= gain_floor))
-    return rows.select("section_id", "section_sport", "best_time", "days", "traversals").orderBy(F.desc("traversals"), F.desc("days"), "section_id").limit(top)
+    return stale_ranked(records.join(ranked.select("section_id", "traversals", "section_sport"), "section_id"), dates, now, gain_pct, gain_floor, least_days, top)
+
+
+def stale_ranked(ranked: DataFrame, dates: DataFrame, now: int, gain_pct: float, gain_floor: float = 3.0, least_days: int = 30, top: int = 20) -> DataFrame:
+    """stale_records() of ranked sections that have their record with them (best_time, best_activity)."""
+    rows = ranked.join(dates, F.col("best_activity") == F.col("activity_id")).withColumn("days", S.calendar_days_between(F.col("date"), F.lit(now))).filter(F.col("days") >= least_days)
+    return rows.filter(F.lit(gain_pct >= gain_floor)).select("section_id", "section_sport", "best_time", "days", "traversals").orderBy(F.desc("traversals"), F.desc("days"), "section_id").limit(top)

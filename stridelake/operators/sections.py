@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import scalar as S
+from stridelake.operators.graph import ensure_checkpoint_dir
 
 
 def effective_time() -> Column:
@@ -21,10 +22,10 @@ def complete() -> Column:
 
 
 def laps(traversals: DataFrame, sections: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Included traversals with their section's and activity's columns: two equi-joins, the section side small."""
+    """Included traversals with their section's and activity's columns: two equi-joins, by activity first, so that rows end up dealt by section."""
     m = metrics.select("activity_id", "date", "sport_type", "distance", "moving_time")
     s = sections.select("section_id", "section_meters", F.col("sport_type").alias("section_sport"))
-    return traversals.filter(~F.col("excluded")).join(s, "section_id").join(m, "activity_id")
+    return traversals.filter(~F.col("excluded")).join(m, "activity_id").join(s, "section_id")
 
 
 def activity_records(lap_rows: DataFrame) -> DataFrame:
@@ -127,24 +128,32 @@ def lap_history(lap_rows: DataFrame, left_dates: DataFrame) -> DataFrame:
     )
 
 
-def ranked(lap_rows: DataFrame, now: int) -> DataFrame:
+def ranked(lap_rows: DataFrame, now: int, best: bool = False) -> DataFrame:
     """Relevance of each section by sport: recency, improvement, anomaly and engagement.
 
-    Only the first and the last six laps matter one by one, so the last six
-    are picked by rank (pruned before the shuffle) and the rest is one partial
-    aggregation: no section's laps are gathered whole. The largest lap count
-    of a sport, which scales engagement, is a row for each sport.
+    Only the first and the last six laps matter one by one. Laps are dealt by
+    section and put in order once; the aggregation follows in the same tasks,
+    so no section's laps are gathered whole. Figures of sections are kept
+    (checkpoint), as the largest lap count of a sport scales engagement.
+    With `best`, the record of section_records() comes along: best_time and
+    best_activity.
     """
+    ensure_checkpoint_dir(lap_rows.sparkSession)
     key = ["section_sport", "section_id"]
-    rows = lap_rows.filter("lap_time > 0")
-    g = rows.groupBy(*key).agg(
-        F.min(F.struct("date", "activity_id", "start_index", "lap_time"))["lap_time"].alias("first"), F.min("lap_time").alias("best"), F.avg("lap_time").alias("mean"),
-        F.stddev_pop("lap_time").alias("sd"), F.max("date").alias("last"), F.count(F.lit(1)).alias("n"),
-    )
-    newest = Window.partitionBy(*key).orderBy(F.desc("date"), F.desc("activity_id"), F.desc("start_index"))
-    six = rows.withColumn("k", F.row_number().over(newest)).filter("k <= 6").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "lap_time"))).alias("h"))
+    timed = F.col("lap_time") > 0
+    rows = lap_rows if best else lap_rows.filter(timed)
+    newest = Window.partitionBy(*key).orderBy(F.coalesce(timed, F.lit(False)).desc(), F.desc("date"), F.desc("activity_id"), F.desc("start_index"))
+    lap = F.when(timed, F.col("lap_time"))
+    out = [
+        F.min(F.when(timed, F.struct("date", "activity_id", "start_index", "lap_time")))["lap_time"].alias("first"), F.min(lap).alias("best"), F.avg(lap).alias("mean"),
+        F.stddev_pop(lap).alias("sd"), F.max(F.when(timed, F.col("date"))).alias("last"), F.count(lap).alias("n"), *(F.max(F.when(F.col("k") == i, lap)).alias(f"t{i}") for i in range(1, 7)),
+    ]
+    if best:
+        record = F.max(F.when(complete() & (F.col("lap_pace") > 0), F.struct("lap_pace", (-F.col("date")).alias("d"), (-F.col("activity_id")).alias("a"), (-F.col("start_index")).alias("i"), "lap_time")))
+        out += [record["lap_time"].alias("best_time"), (-record["a"]).alias("best_activity")]
+    g = rows.withColumn("k", F.row_number().over(newest)).groupBy(*key).agg(*out).filter("n > 0").checkpoint()
     most = g.groupBy("section_sport").agg(F.greatest(F.max("n"), F.lit(2)).alias("most"))
-    g = g.join(six, key).join(F.broadcast(most), "section_sport").withColumn("t", F.transform("h", lambda x: x["lap_time"]))
+    g = g.join(F.broadcast(most), "section_sport").withColumn("t", F.filter(F.array(*(f"t{i}" for i in range(6, 0, -1))), lambda x: x.isNotNull()))
     t, n, first = F.col("t"), F.col("n").cast("int"), F.col("first")
     mid = lambda a: F.get(F.array_sort(a), 1)
     recent, before, latest = mid(F.slice(t, F.greatest(F.size(t) - 2, F.lit(1)), 3)), mid(F.slice(t, 1, 3)), F.element_at(t, -1)
@@ -159,7 +168,7 @@ def ranked(lap_rows: DataFrame, now: int) -> DataFrame:
     return g.select(
         "section_sport", "section_id", F.round(0.35 * recency + 0.30 * improvement + 0.20 * anomaly + 0.15 * engagement, 6).alias("relevance"), F.round(improvement, 6).alias("improvement"),
         F.round(anomaly, 6).alias("anomaly"), F.round(engagement, 6).alias("engagement"), F.col("n").alias("traversals"), "best", median_recent.alias("median_recent"), days.alias("days_since_last"),
-        trend.alias("trend"), (F.abs(latest - F.col("best")) < 0.01).alias("latest_is_pr"),
+        trend.alias("trend"), (F.abs(latest - F.col("best")) < 0.01).alias("latest_is_pr"), *(["best_time", "best_activity"] if best else []),
     )
 
 
