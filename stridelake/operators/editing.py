@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.operators.detection import step_lengths
+from stridelake.operators.graph import ensure_checkpoint_dir
 from stridelake.operators.spatial import radius_join
 from stridelake.operators.upkeep import best_spans
 
@@ -83,6 +84,7 @@ def folded(sections: DataFrame, events: DataFrame) -> DataFrame:
     a section that is not there. A second create of an id is refused, too. The
     log of one section is one array in the JVM: what users did to it by hand.
     """
+    ensure_checkpoint_dir(sections.sparkSession)
     made = events.filter("kind = 'create' and last > first").groupBy("section_id").agg(F.min(F.struct("at", "name", "track_id", "first", "last", "other_id")).alias("c"))
     sport = sections.select(F.col("section_id").alias("other"), F.col("sport_type"))
     made = made.join(sections.select("section_id"), "section_id", "left_anti").join(sport, F.col("c.other_id") == F.col("other"), "left")
@@ -92,15 +94,15 @@ def folded(sections: DataFrame, events: DataFrame) -> DataFrame:
     )
     all_of = sections.select(*(c for c in new.columns if c != "born"), F.lit(None).cast("long").alias("born")).unionByName(new)
     log = events.groupBy(F.col("section_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("at", "kind", "name", "track_id", "first", "last", "other_id"))).alias("log"))
-    both = all_of.join(log, F.col("section_id") == F.col("of"), "left")
+    both = all_of.join(log.hint("merge"), F.col("section_id") == F.col("of"), "left")
     # What made a section is no edit of it; what came before it, or makes it again, is refused.
     mine = F.filter(F.coalesce("log", F.array().cast("array<struct<at: long, kind: string, name: string, track_id: long, first: int, last: int, other_id: long>>")), lambda e: ~((e["kind"] == "create") & e["at"].eqNullSafe(F.col("born"))))
     mine = F.transform(mine, lambda e: F.struct(F.when((e["kind"] == "create") | (e["at"] < F.col("born")), "refuse").otherwise(e["kind"]).alias("kind"), *(e[n].alias(n) for n in ("name", "track_id", "first", "last", "other_id")), (F.col("section_type") == "custom").alias("custom")))
     fields = {"gone": F.lit(False), "refused": F.lit(0), **{n: F.lit(None) for n, _ in STATE if n.startswith("original")}}
     start = F.struct(*(fields.get(n, F.col(n)).cast(t).alias(n) for n, t in STATE))
-    out = both.withColumn("s", F.aggregate(mine, start, _step)).filter("not s.gone")
-    gone = both.join(out.select(F.col("section_id").alias("there")), F.col("section_id") == F.col("there"), "left_anti").select(F.col("section_id").alias("dead"))
-    free = out.join(gone, F.col("s.superseded_by") == F.col("dead"), "left")
+    state = both.withColumn("s", F.aggregate(mine, start, _step)).select("section_id", "section_type", "sport_type", "s").checkpoint()  # the fold is made once
+    out, gone = state.filter("not s.gone"), state.filter("s.gone").select(F.col("section_id").alias("dead"))
+    free = out.join(gone.hint("merge"), F.col("s.superseded_by") == F.col("dead"), "left")
     return free.select(
         "section_id", "section_type", "sport_type", "s.name", "s.accepted", "s.disabled", F.when(F.col("dead").isNull(), F.col("s.superseded_by")).alias("superseded_by"),
         "s.track_id", "s.base", "s.first", "s.last", F.col("s.original_base").isNotNull().alias("trimmed"), "s.refused",
@@ -116,8 +118,9 @@ def accept_all(sections: DataFrame, at: int) -> DataFrame:
 def polylines(sections: DataFrame, lines: DataFrame, tracks: DataFrame) -> DataFrame:
     """section_id, point (from 0), lat, lng of each section's stretch of its own line (section_id, point) or of a track (track_id, seq)."""
     s = sections.select("section_id", "base", "track_id", "first", "last")
-    own = s.filter("base = 'own'").join(lines.select("section_id", F.col("point").alias("at"), "lat", "lng"), "section_id")
-    of_track = s.filter("base = 'track'").join(tracks.select("track_id", F.col("seq").alias("at"), "lat", "lng"), "track_id")
+    # Lines are far larger than the file that they come from, so they are never broadcast.
+    own = s.filter("base = 'own'").join(lines.select("section_id", F.col("point").alias("at"), "lat", "lng").hint("merge"), "section_id")
+    of_track = s.filter("base = 'track'").join(tracks.select("track_id", F.col("seq").alias("at"), "lat", "lng").hint("merge"), "track_id")
     both = own.select("section_id", "first", "last", "at", "lat", "lng").unionByName(of_track.select("section_id", "first", "last", "at", "lat", "lng"))
     return both.filter(F.col("at").between(F.col("first"), F.col("last"))).select("section_id", (F.col("at") - F.col("first")).cast("int").alias("point"), "lat", "lng")
 
@@ -139,17 +142,19 @@ def extension(sections: DataFrame, lines: DataFrame, tracks: DataFrame, threshol
     """
     sizes = tracks.groupBy("track_id").agg(F.count(F.lit(1)).alias("fixes")).filter("fixes >= 3")
     ends = lines.groupBy("section_id").agg(*(f(F.struct("point", "lat", "lng")).alias(n) for n, f in (("a", F.min), ("b", F.max))), F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    wanted = sections.select("section_id", "track_id").join(sizes, "track_id").join(ends, "section_id")
+    ensure_checkpoint_dir(tracks.sparkSession)
+    wanted = sections.select("section_id", "track_id").join(sizes.hint("merge"), "track_id").join(ends.hint("merge"), "section_id").checkpoint()
+    own = lines.join(wanted.select("section_id").hint("merge"), "section_id", "left_semi")
     # Only a section's own track is of interest: each section meets a copy of it, keyed by the section.
-    on_track = wanted.select("section_id", "track_id").join(tracks.select("track_id", "seq", "lat", "lng"), "track_id").select(F.col("section_id").alias("track_id"), "seq", "lat", "lng")
-    near = radius_join(on_track, lines.select(F.col("section_id").alias("track_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng")), threshold_m, ["track_id"]).select("track_id", "seq").distinct()
+    on_track = wanted.select("section_id", "track_id").join(tracks.select("track_id", "seq", "lat", "lng").hint("merge"), "track_id").select(F.col("section_id").alias("track_id"), "seq", "lat", "lng")
+    near = radius_join(on_track, own.select(F.col("section_id").alias("track_id"), F.col("lat").alias("rlat"), F.col("lng").alias("rlng")), threshold_m, ["track_id"]).select("track_id", "seq").distinct()
     runs = portions_of(near, max_gap).filter("points >= 2")
-    best = runs.groupBy(F.col("track_id").alias("s1")).agg(F.max(F.struct((F.col("last") - F.col("first")).alias("size"), (-F.col("first")).alias("f"), "first", "last")).alias("r"))
-    far = wanted.join(best, F.col("section_id") == F.col("s1"), "left_anti")
+    best = runs.groupBy(F.col("track_id").alias("s1")).agg(F.max(F.struct((F.col("last") - F.col("first")).alias("size"), (-F.col("first")).alias("f"), "first", "last")).alias("r")).checkpoint()
+    far = wanted.join(best.hint("merge"), F.col("section_id") == F.col("s1"), "left_anti")
     gap = lambda end: (F.pow(F.col("lat") - F.col(f"{end}.lat"), 2) + F.pow(F.col("lng") - F.col(f"{end}.lng"), 2)).alias("gap")
     nearest = lambda end: F.min(F.struct(gap(end), "seq"))["seq"]
-    fall = far.join(tracks.select("track_id", "seq", "lat", "lng"), "track_id").groupBy(F.col("section_id").alias("s2")).agg(nearest("a").alias("p"), nearest("b").alias("q"))
-    out = wanted.join(best, F.col("section_id") == F.col("s1"), "left").join(fall, F.col("section_id") == F.col("s2"), "left")
+    fall = far.join(tracks.select("track_id", "seq", "lat", "lng").hint("merge"), "track_id").groupBy(F.col("section_id").alias("s2")).agg(nearest("a").alias("p"), nearest("b").alias("q"))
+    out = wanted.join(best.hint("merge"), F.col("section_id") == F.col("s1"), "left").join(fall.hint("merge"), F.col("section_id") == F.col("s2"), "left")
     return out.select("section_id", "track_id", F.coalesce("r.first", F.least("p", "q")).alias("first"), F.coalesce("r.last", F.greatest("p", "q")).alias("last"), "fixes")
 
 
