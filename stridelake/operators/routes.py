@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stridelake.functions import scalar as S
 from stridelake.operators.graph import ensure_checkpoint_dir
+from stridelake.operators.spatial import METRES_PER_DEGREE
 
 EARTH_M = 6_371_000.0
 
@@ -60,26 +61,55 @@ def summaries(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("route_id").agg(F.count(F.lit(1)).alias("activities"), F.concat_ws(",", F.array_sort(F.collect_set("sport_type"))).alias("sports"), F.min("activity_id").alias("representative")).filter("activities >= 2")
 
 
-def match_percent(points_a: DataFrame, points_b: DataFrame, cell_deg: float, perfect_m: float, zero_m: float) -> DataFrame:
-    """Match percentage of track pairs from the mean distance of each track's points to the other's nearest.
+def match_percent(points: DataFrame, members: DataFrame, perfect_m: float, zero_m: float, block: int = 128, together: int = 1024) -> DataFrame:
+    """Match percentage of each track (column pair) with its route's track, from the mean distance of each track's points to the other's nearest.
 
-    points_a and points_b: (pair, lat, lng). The two one-way means are averaged
-    and mapped linearly from perfect_m (100) to zero_m (0). Nearest points are
-    searched in the cells around each point; a point with none within
-    reach counts as zero_m away, which the mapping gives no credit for.
+    points: track_id, seq from 1, lat, lng; members: track_id and route, the
+    track that it is held against. The two one-way means are averaged and
+    mapped linearly from perfect_m (100) to zero_m (0); a point with none
+    within zero_m counts as zero_m away, which the mapping gives no credit for.
+    Tracks meet as blocks of points whose latitudes come within reach, and a
+    busy route's track is sent once for every `together` members. What a point
+    is nearer than zero_m is its credit: the largest over all blocks of the
+    other track, added up.
     """
-
-    def one_way(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        cell = lambda c: F.floor(F.col(c) / cell_deg)
-        near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))"))
-        left = a.withColumn("pid", F.row_number().over(Window.partitionBy("pair").orderBy("lat", "lng")))
-        probe = left.withColumn("o", near).select("pair", "pid", F.col("lat").alias("la"), F.col("lng").alias("lo"), (cell("lat") + F.col("o.i")).alias("cx"), (cell("lng") + F.col("o.j")).alias("cy"))
-        hit = probe.join(b.select("pair", cell("lat").alias("cx"), cell("lng").alias("cy"), "lat", "lng"), ["pair", "cx", "cy"])
-        best = hit.groupBy("pair", "pid").agg(F.min(S.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng"))).alias("d"))
-        return left.join(best, ["pair", "pid"], "left").groupBy("pair").agg(F.avg(F.least(F.coalesce("d", F.lit(zero_m)), F.lit(zero_m))).alias(name))
-
-    both = one_way(points_a, points_b, "ab").join(one_way(points_b, points_a, "ba"), "pair")
-    amd = (F.col("ab") + F.col("ba")) / 2
+    ensure_checkpoint_dir(points.sparkSession)
+    known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+    rows = points.select("track_id", F.floor((F.col("seq") - 1) / block).alias("blk"), "lat", "lng")
+    lists = rows.groupBy("track_id", "blk").agg(F.collect_list(known("lat")).alias("lats"), F.collect_list(known("lng")).alias("lngs"), F.min("lat").alias("south"), F.max("lat").alias("north")).checkpoint()
+    pairs = members.select("track_id", "route").checkpoint()
+    sizes = lists.groupBy("track_id").agg(F.sum(F.size("lats")).alias("n"), F.count(F.lit(1)).alias("blocks"))
+    parts = pairs.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / together).alias("parts"))
+    of = lambda p: lists.join(sizes.hint("merge"), "track_id").select(F.col("track_id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in ("blk", "lats", "lngs", "south", "north", "blocks")))
+    dealt = pairs.join(parts.hint("merge"), "route").select(F.col("track_id").alias("a_id"), "route", F.pmod(F.xxhash64("track_id"), F.col("parts")).alias("part"))
+    a = of("a").join(dealt.hint("merge"), "a_id")
+    b = of("b").join(parts.hint("merge"), F.col("b_id") == F.col("route")).drop("b_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    reach = zero_m * 1.001 / METRES_PER_DEGREE
+    met = a.join(b.hint("merge"), ["route", "part"]).filter((F.col("a_south") - reach <= F.col("b_north")) & (F.col("b_south") - reach <= F.col("a_north")))
+
+    def credits(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                la, ga, lb, gb = (np.radians(np.asarray(c, float)) for c in (r.a_lats, r.a_lngs, r.b_lats, r.b_lngs))
+                h = np.sin((lb - la[:, None]) / 2) ** 2 + np.cos(la)[:, None] * np.cos(lb) * np.sin((gb - ga[:, None]) / 2) ** 2
+                for axis, blk, others in ((1, r.a_blk, r.b_blocks), (0, r.b_blk, r.a_blocks)):
+                    least = np.fmin.reduce(h, axis=axis)
+                    gain = np.nan_to_num(np.maximum(zero_m - 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(least, 1.0))), 0.0))
+                    if others == 1:  # no other block to wait for
+                        out.append((r.a_id, axis, blk, -1, float(gain.sum())))
+                    else:
+                        out.extend((r.a_id, axis, blk, int(i), float(gain[i])) for i in np.nonzero(gain)[0])
+            yield pd.DataFrame(out, columns=["pair", "side", "blk", "i", "credit"])
+
+    kind = dict(pairs.dtypes)["track_id"]
+    cut = met.select("a_id", "a_blk", "a_lats", "a_lngs", "a_blocks", "b_blk", "b_lats", "b_lngs", "b_blocks")
+    won = cut.mapInPandas(credits, f"pair {kind}, side int, blk long, i int, credit double").groupBy("pair", "side", "blk", "i").agg(F.max("credit").alias("credit"))
+    sums = won.groupBy("pair").agg(*(F.sum(F.when(F.col("side") == side, F.col("credit"))).alias(c) for c, side in (("ab", 1), ("ba", 0))))
+    n = lambda name: sizes.select(F.col("track_id").alias(name), F.col("n").alias(f"n_{name}")).hint("merge")
+    both = pairs.withColumnRenamed("track_id", "pair").join(n("pair"), "pair").join(n("route"), "route").join(sums.hint("merge"), "pair", "left")
+    gain = (F.coalesce("ab", F.lit(0.0)) / F.col("n_pair") + F.coalesce("ba", F.lit(0.0)) / F.col("n_route")) / 2
+    amd = zero_m - gain
     pct = F.greatest(F.least((zero_m - amd) / (zero_m - perfect_m) * 100, F.lit(100.0)), F.lit(0.0))
     return both.select("pair", F.round(amd, 3).alias("amd"), F.round(pct, 3).alias("match"))
 
