@@ -45,24 +45,56 @@ def explode_range(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
 def point_tiles(points: DataFrame, zooms: list[int]) -> DataFrame:
     """Distinct tiles of each track's points at each zoom, from those at the finest one."""
     top = max(zooms)
-    fine = points.dropna(subset=["lat", "lng"]).select("track_id", S.tile_x(F.col("lng"), top).alias("x"), S.tile_y(F.col("lat"), top).alias("y")).distinct()
-    return parents(fine, top, zooms)
+    return parents(points.dropna(subset=["lat", "lng"]).select("track_id", S.tile_x(F.col("lng"), top).alias("x"), S.tile_y(F.col("lat"), top).alias("y")), top, zooms)
+
+
+def _spread(c: F.Column) -> F.Column:
+    """A whole number's lowest 24 bits, with a free bit after each."""
+    out = c.bitwiseAND(F.lit(1))
+    for bit in range(1, 24):
+        out = out.bitwiseOR(F.shiftleft(c.bitwiseAND(F.lit(1 << bit)), bit))
+    return out
 
 
 def parents(fine: DataFrame, top: int, zooms: list[int]) -> DataFrame:
-    """Distinct tiles at each zoom that hold the tiles (track_id, x, y) of zoom top."""
-    z = fine.withColumn("z", F.explode(F.array(*map(F.lit, zooms))))
-    up = F.pow(F.lit(2.0), top - F.col("z"))
-    return z.select("track_id", "z", F.floor(F.col("x") / up).alias("x"), F.floor(F.col("y") / up).alias("y")).distinct()
+    """Distinct tiles at each zoom that hold the tiles (track_id, x, y; repeats are allowed) of zoom top.
+
+    A track's tiles are put in the order of their interleaved coordinates,
+    where the tiles within a coarser one are neighbours. So a row brings
+    exactly the zooms at which it differs from the one before, and no tile
+    is made twice. One sort by track; nothing is shuffled where the rows are
+    dealt by track already.
+    """
+    rows = fine.withColumn("_m", _spread(F.col("x")).bitwiseOR(F.shiftleft(_spread(F.col("y")), 1)))
+    rows = rows.withColumn("_d", F.col("_m").bitwiseXOR(F.lag("_m").over(Window.partitionBy("track_id").orderBy("_m")))).filter("_d is null or _d <> 0")
+    # Half the place of the highest bit that differs is the number of zooms, from the finest one, that differ with it.
+    first = F.when(F.col("_d").isNull(), min(zooms)).otherwise(F.greatest(top - F.floor(F.log2("_d") / 2).cast("int"), F.lit(min(zooms))))
+    z = rows.withColumn("z", F.explode(F.sequence(first, F.lit(top))))
+    if set(zooms) != set(range(min(zooms), top + 1)):
+        z = z.filter(F.col("z").isin(zooms))
+    return z.select("track_id", "z", F.expr(f"shiftright(x, {top} - z)").alias("x"), F.expr(f"shiftright(y, {top} - z)").alias("y"))
+
+
+def _steps(points: DataFrame, scale: float, *more: F.Column) -> DataFrame:
+    """Each point on a square world map of `scale` a side, with the next one of its track (qx, qy) and further columns."""
+    w = Window.partitionBy("track_id").orderBy("seq")
+    r = F.radians(F.greatest(F.least(F.col("lat"), F.lit(85.051129)), F.lit(-85.051129)))
+    px = points.select("track_id", "seq", ((F.col("lng") + 180) / 360 * scale).alias("px"), ((1 - F.ln(F.tan(r) + 1 / F.cos(r)) / math.pi) / 2 * scale).alias("py"), *more)
+    return px.select("*", F.lead("px").over(w).alias("qx"), F.lead("py").over(w).alias("qy"))
+
+
+def _whole() -> F.Column:
+    """Steps with both ends known."""
+    ends = ("px", "py", "qx", "qy")
+    known = F.col("track_id").isNotNull() & F.col("seq").isNotNull()
+    for c in ends:
+        known = known & F.col(c).isNotNull() & ~F.isnan(c)
+    return known
 
 
 def segments(points: DataFrame, scale: float) -> DataFrame:
     """Consecutive points of each track on a square world map of `scale` a side; a missing coordinate breaks the line."""
-    w = Window.partitionBy("track_id").orderBy("seq")
-    r = F.radians(F.greatest(F.least(F.col("lat"), F.lit(85.051129)), F.lit(-85.051129)))
-    px = points.select("track_id", "seq", ((F.col("lng") + 180) / 360 * scale).alias("px"), ((1 - F.ln(F.tan(r) + 1 / F.cos(r)) / math.pi) / 2 * scale).alias("py"))
-    both = px.select("track_id", "seq", "px", "py", F.lead("px").over(w).alias("qx"), F.lead("py").over(w).alias("qy"))
-    return both.dropna().filter(~(F.isnan("px") | F.isnan("qx") | F.isnan("py") | F.isnan("qy")))
+    return _steps(points, scale).filter(_whole())
 
 
 def line_tiles(points: DataFrame, zooms: list[int]) -> DataFrame:
@@ -70,17 +102,19 @@ def line_tiles(points: DataFrame, zooms: list[int]) -> DataFrame:
 
     Swept at the finest zoom, column of tiles by column: a line enters and
     leaves each at known heights. A coarser tile is touched exactly if one of
-    its fine ones is.
+    its fine ones is. Fixes and lines come from one pass over the track, so
+    all its tiles are made, and told apart, in the task that holds it.
     """
     top = max(zooms)
-    s = segments(points, 2.0**top).withColumn("x0", F.floor(F.least("px", "qx"))).withColumn("x1", F.floor(F.greatest("px", "qx")))
+    s = _steps(points, 2.0**top, S.tile_x(F.col("lng"), top).alias("ox"), S.tile_y(F.col("lat"), top).alias("oy"), F.isnan("lat").alias("_n"), F.isnan("lng").alias("_o"))
+    # Each row is its fix, a tile, and its line, if it has one.
+    s = s.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).filter(F.when(F.col("own"), F.col("ox").isNotNull() & F.col("oy").isNotNull() & ~F.col("_n") & ~F.col("_o")).otherwise(_whole()))
+    s = s.withColumn("x0", F.when(F.col("own"), F.col("ox")).otherwise(F.floor(F.least("px", "qx")))).withColumn("x1", F.when(F.col("own"), F.col("ox")).otherwise(F.floor(F.greatest("px", "qx"))))
     height = lambda x: F.when(F.col("qx") == F.col("px"), None).otherwise(F.col("py") + (F.col("qy") - F.col("py")) * (x - F.col("px")) / (F.col("qx") - F.col("px")))
     s = explode_range(s, "x0", "x1", "x")
     ya, yb = F.coalesce(height(F.greatest(F.least("px", "qx"), F.col("x"))), F.col("py")), F.coalesce(height(F.least(F.greatest("px", "qx"), F.col("x") + 1)), F.col("qy"))
-    s = s.withColumn("y0", F.floor(F.least(ya, yb))).withColumn("y1", F.floor(F.greatest(ya, yb)))
-    swept = explode_range(s, "y0", "y1", "y").select("track_id", "x", "y").distinct()
-    alone = points.dropna(subset=["lat", "lng"]).select("track_id", S.tile_x(F.col("lng"), top).alias("x"), S.tile_y(F.col("lat"), top).alias("y"))
-    return parents(swept.unionByName(alone).distinct(), top, zooms)
+    s = s.withColumn("y0", F.when(F.col("own"), F.col("oy")).otherwise(F.floor(F.least(ya, yb)))).withColumn("y1", F.when(F.col("own"), F.col("oy")).otherwise(F.floor(F.greatest(ya, yb))))
+    return parents(explode_range(s, "y0", "y1", "y").select("track_id", "x", "y"), top, zooms)
 
 
 def with_halo(tiles: DataFrame) -> DataFrame:

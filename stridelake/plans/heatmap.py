@@ -19,8 +19,15 @@ SWEPT = FINE + """, sg as (select *, lead(px) over w qx, lead(py) over w qy from
 PARENTS = "select distinct track_id, z, x >> (17 - z) x, y >> (17 - z) y from (select *, unnest(range(1, 18))::int z from {})"
 
 
+#: Fixes for each task that draws tracks: a fix becomes hundreds of rows.
+TASK_FIXES = 1 << 15
+
+
 def tracks(t):
-    return t.points.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id")))
+    """Points in order, dealt by track over as many tasks as their number asks for (one count reaches the driver)."""
+    p = t.points
+    n = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-p.count() // TASK_FIXES))
+    return p.repartition(n, "track_id").withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "point_id")))
 
 
 @query("h1_point_tiles", FINE + " " + PARENTS.format("pt"))
