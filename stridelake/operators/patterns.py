@@ -97,20 +97,106 @@ def cluster_group(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     return None if best is None or best[0] < MIN_SILHOUETTE else best[1:]
 
 
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, column by column."""
+    out = (a[:, 0] - b[:, 0]) ** 2
+    for d in range(1, a.shape[1]):
+        out += (a[:, d] - b[:, d]) ** 2
+    return out
+
+
+def _k_means_of(x: np.ndarray, sizes: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Labels of k_means() for many groups at once, from the first centres of each; rows of a group are together."""
+    label, k = np.zeros(len(x), int), centres.shape[1]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    rows, live = np.arange(len(x)), np.arange(len(sizes))  # of groups that still move
+    for _ in range(ROUNDS):
+        at = np.searchsorted(live, group[rows])
+        some, c = x[rows], centres[live]
+        gap = np.stack([_gaps(some, c[at, j]) for j in range(k)], 1)
+        label[rows] = gap.argmin(1)
+        cell = at * k + label[rows]
+        counts = np.bincount(cell, minlength=len(live) * k).reshape(-1, k)
+        sums = np.stack([np.bincount(cell, weights=some[:, d], minlength=len(live) * k) for d in range(x.shape[1])], 1).reshape(-1, k, x.shape[1])
+        nxt = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], 0.0)
+        shift = ((nxt - c) ** 2).sum((1, 2))
+        centres[live] = nxt
+        moving = shift >= SHIFT
+        rows, live = rows[moving[at]], live[moving]
+        if not len(live):
+            break
+    return label
+
+
+def cluster_groups(x: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """cluster_group() of many small groups at once: distances are made once, rounds and sums are over the rows of all."""
+    ends = np.cumsum(sizes)
+    parts = [slice(e - n, e) for e, n in zip(ends, sizes)]
+    # All pairs of rows within a group, row by row.
+    own = np.repeat(np.arange(len(x)), np.repeat(sizes, sizes))
+    other = np.concatenate([np.tile(np.arange(p.start, p.stop), p.stop - p.start) for p in parts])
+    d = np.sqrt(_gaps(x[own], x[other]))
+    # A centre's choice does not depend on how many follow it.
+    seeds = [seed_centres(x[p], min(MAX_K, (p.stop - p.start) // MIN_SIZE)) for p in parts]
+    best: list = [None] * len(sizes)
+    for k in range(MIN_K, MAX_K + 1):
+        able = np.nonzero(sizes // MIN_SIZE >= k)[0]
+        if not len(able):
+            break
+        rows = np.concatenate([np.arange(parts[g].start, parts[g].stop) for g in able])
+        label = np.zeros(len(x), int)
+        label[rows] = _k_means_of(x[rows], sizes[able], np.stack([seeds[g][:k] for g in able]))
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.bincount(group * k + label, minlength=len(sizes) * k).reshape(-1, k)[group]
+        sums = np.bincount(own * k + label[other], weights=d, minlength=len(x) * k).reshape(-1, k)
+        at = np.arange(len(x))
+        a = sums[at, label] / np.maximum(counts[at, label] - 1, 1)
+        means = np.where(counts > 0, sums / np.maximum(counts, 1), np.inf)
+        means[at, label] = np.inf
+        b = means.min(1)
+        b = np.where(np.isfinite(b), b, a)
+        s = np.where(counts[at, label] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+        for g in able.tolist():
+            mean = s[parts[g]].mean()
+            if best[g] is None or mean > best[g][0]:
+                best[g] = (mean, label[parts[g]].copy(), s[parts[g]].copy())
+    return [None if b is None or b[0] < MIN_SILHOUETTE else b[1:] for b in best]
+
+
+#: Pairs of rows that are compared at once; a group with more is clustered alone, by blocks of rows.
+PAIRS = 500_000
+#: Buckets that each partition's groups are cut into.
+BUCKETS = 64
+
+
 def clusters(features: DataFrame, by: list[str]) -> DataFrame:
-    """Cluster and silhouette of each activity. A group is one athlete's history in one sport, which bounds its size."""
+    """Cluster and silhouette of each activity. A group is one athlete's history in one sport, which bounds its size.
+
+    Groups come to the workers in buckets, a 64th of a partition each, and
+    are clustered many at a time.
+    """
     kinds = dict(features.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", activity_id bigint, cluster int, silhouette double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("activity_id")
-        found = cluster_group(pdf[FEATURES].to_numpy(float)) if len(pdf) >= MIN_K * MIN_SIZE else None
-        out = pdf[[*by, "activity_id"]].copy()
-        if found is None:
-            return out.iloc[:0].assign(cluster=pd.Series(dtype="int32"), silhouette=pd.Series(dtype="float64"))
-        return out.assign(cluster=found[0].astype("int32"), silhouette=found[1])
-
-    return features.select(*by, "activity_id", *FEATURES).groupBy(*by).applyInPandas(run, schema)
+        pdf = pdf.assign(_g=pdf.groupby(by, dropna=False, sort=False).ngroup()).sort_values(["_g", "activity_id"], ignore_index=True)
+        sizes, x = np.bincount(pdf["_g"]), pdf[FEATURES].to_numpy(float)
+        found, group, start = [], 0, 0
+        while group < len(sizes):
+            last, pairs = group + 1, int(sizes[group]) ** 2
+            while last < len(sizes) and pairs + int(sizes[last]) ** 2 <= PAIRS:
+                pairs += int(sizes[last]) ** 2
+                last += 1
+            end = start + int(sizes[group:last].sum())
+            found += cluster_groups(x[start:end], sizes[group:last]) if pairs <= PAIRS else [cluster_group(x[start:end])]
+            group, start = last, end
+        keep = np.repeat([f is not None for f in found], sizes)
+        joined = lambda i, kind: np.concatenate([np.zeros(0), *(f[i] for f in found if f is not None)]).astype(kind)
+        return pdf.loc[keep, [*by, "activity_id"]].assign(cluster=joined(0, "int32"), silhouette=joined(1, float))
+
+    n = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS
+    bucket = F.pmod(F.xxhash64(*by), F.lit(n)).alias("_bucket")
+    return features.select(*by, "activity_id", *FEATURES, bucket).groupBy("_bucket").applyInPandas(run, schema)
 
 
 def mode_day(rows: DataFrame, by: list[str]) -> DataFrame:
