@@ -154,10 +154,14 @@ def pixel_intensity(points: DataFrame, zooms: list[int]) -> DataFrame:
         s = explode_range(s, "u0", "u1", "u")
         share = lambda top: F.when(F.col("ll") <= 0.0001, 0.0).otherwise(F.greatest(F.least(top, F.lit(1.0)), F.lit(0.0)))
         mid = F.col("pv") + F.col("dv") * share((F.col("u") + 0.5 - F.col("pu")) / F.when(F.col("du") == 0, 1.0).otherwise(F.col("du")))
-        s = s.withColumn("v", F.explode(F.sequence(F.floor(mid - 1.5 * outer - 1), F.ceil(mid + 1.5 * outer))))
+        # A line of slope dv / du is this far away, along v, where it is `outer` away across; a bit more for rounding.
+        across = F.when(F.col("du") == 0, outer).otherwise(outer * F.sqrt(1 + F.col("dv") * F.col("dv") / (F.col("du") * F.col("du")))) + 0.001
+        s = s.withColumn("mid", mid).withColumn("across", across)
+        s = s.withColumn("v", F.explode(F.sequence(F.ceil(F.col("mid") - F.col("across") - 0.5), F.floor(F.col("mid") + F.col("across") - 0.5))))
         u, v = F.col("u") + 0.5 - F.col("pu"), F.col("v") + 0.5 - F.col("pv")
         at = share((u * F.col("du") + v * F.col("dv")) / F.when(F.col("ll") == 0, 1.0).otherwise(F.col("ll")))
-        away = F.sqrt(F.pow(u - at * F.col("du"), 2) + F.pow(v - at * F.col("dv"), 2))
+        s = s.withColumns({"off_u": u - at * F.col("du"), "off_v": v - at * F.col("dv")})
+        away = F.sqrt(F.col("off_u") * F.col("off_u") + F.col("off_v") * F.col("off_v"))
         edge = F.greatest(F.least(away - radius, F.lit(1.0)), F.lit(0.0))
         s = s.withColumn("value", F.floor(intensity * (1 - edge * edge * (3 - 2 * edge)) + 0.5).cast("long")).filter("value > 0")
         lit = s.select(F.when(F.col("steep"), F.col("v")).otherwise(F.col("u")).alias("gx"), F.when(F.col("steep"), F.col("u")).otherwise(F.col("v")).alias("gy"), "value")
