@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stridelake.operators import sections as sec
 from stridelake.operators.detection import DetectionConfig, signatures, step_lengths
 from stridelake.operators.graph import ensure_checkpoint_dir
+from stridelake.operators.spatial import kinds, line_digests
 from stridelake.operators.upkeep import regrouped, spans
 from stridelake.sources.folders import BucketTable
 
@@ -16,6 +20,27 @@ POINTS = "track_id long, sport_type string, seq int, t long, lat double, lng dou
 LEAST_FIXES = 3
 
 
+class SharedTable(BucketTable):
+    """A table of sections whose stored rows stand for all sections of a kind: its key is the kind's smallest section_id."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, members: Callable[[], DataFrame]):
+        super().__init__(spark, path, key, schema)
+        self.members = members
+
+    def stored(self) -> DataFrame:
+        """The rows of kinds."""
+        return super().read()
+
+    def expanded(self, rows: DataFrame) -> DataFrame:
+        """Rows of kinds as rows of sections. What can be joined to a kind's rows should be joined before."""
+        m = self.members().select(F.col("section_id").alias("_member"), F.col("kind").alias("_kind"))
+        return rows.join(m.hint("merge"), F.col(self.key) == F.col("_kind")).select(*(F.col("_member").alias(c) if c == self.key else c for c in rows.columns))
+
+    def read(self) -> DataFrame:
+        """All rows of all sections."""
+        return self.expanded(self.stored())
+
+
 class TrackIndex:
     """Stored tables of signatures, groups, traversals and indicators over a fixed set of sections.
 
@@ -29,7 +54,9 @@ class TrackIndex:
     more before.
 
     Writes touch the buckets of the batch's tracks and sections only. Groups
-    are compared by signatures, a row for each track.
+    are compared by signatures, a row for each track. Sections of equal
+    polyline, sport and length have equal rows: the first of such a kind is
+    matched and stored, and read() gives the rows of all.
     """
 
     def __init__(self, spark: SparkSession, path: str, sections: DataFrame, polylines: DataFrame, cfg: DetectionConfig, threshold_m: float = 50.0, least: float = 0.5):
@@ -38,21 +65,35 @@ class TrackIndex:
         table = lambda name, key, schema: BucketTable(spark, f"{path}/{name}", key, schema)
         self.signatures = table("signatures", "track_id", "track_id long, lat double, lng double, end_lat double, end_lng double, metres_long double, points long, start long, elapsed long")
         self.groups = table("groups", "track_id", "track_id long, route long")
-        self.traversals = table(
-            "traversals", "section_id", "section_id long, activity_id long, start_index int, end_index int, direction string, distance_meters double, lap_time double, lap_pace double"
+        shared = lambda name, schema: SharedTable(spark, f"{path}/{name}", "section_id", schema, lambda: self._kinds)
+        self.traversals = shared(
+            "traversals", "section_id long, activity_id long, start_index int, end_index int, direction string, distance_meters double, lap_time double, lap_pace double"
         )
-        #: The sections of each track, so that a track that comes again is found in all of them.
+        #: The sections (first of their kind) of each track, so that a track that comes again is found in all of them.
         self.visited = table("visited", "track_id", "track_id long, section_id long")
-        self.indicators = table("indicators", "section_id", "activity_id long, kind string, section_id long, direction string, value int, lap_time double")
+        self.indicators = shared("indicators", "activity_id long, kind string, section_id long, direction string, value int, lap_time double")
+
+    @cached_property
+    def _kinds(self) -> DataFrame:
+        """The kind of each section."""
+        text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c)
+        s = self.sections.select("section_id", text("sport_type"), text("section_meters")).join(line_digests(self.polylines).hint("merge"), "section_id")
+        return kinds(s, "section_id", "line", "sport_type", "section_meters")[1].checkpoint()
+
+    @cached_property
+    def _lines(self) -> DataFrame:
+        """Polylines of the first section of each kind."""
+        firsts = self._kinds.filter("section_id = kind").select("section_id")
+        return self.polylines.join(firsts.hint("merge"), "section_id", "left_semi").checkpoint()
 
     def traversals_of(self, points: DataFrame) -> DataFrame:
-        """Traversals of the tracks on the sections of their sport, with length, time and pace of each."""
+        """Traversals of the tracks on the first section of each kind of their sport, with length, time and pace of each."""
         sport = points.groupBy("track_id").agg(F.first("sport_type").alias("sport_type"))
-        found = spans(points.select("track_id", "seq", "lat", "lng"), self.polylines, self.threshold_m, self.least)
+        found = spans(points.select("track_id", "seq", "lat", "lng"), self._lines, self.threshold_m, self.least)
         ours = self.sections.select("section_id", F.col("sport_type").alias("section_sport"))
-        found = found.join(sport, "track_id").join(ours, "section_id").filter("sport_type = section_sport")
+        found = found.join(sport.hint("merge"), "track_id").join(ours.hint("merge"), "section_id").filter("sport_type = section_sport")
         steps = step_lengths(points.select("track_id", "seq", "t", "lat", "lng")).select("track_id", "seq", "t", "step")
-        rows = found.join(steps, "track_id").filter(F.col("seq").between(F.col("first"), F.col("last")))
+        rows = found.join(steps.hint("merge"), "track_id").filter(F.col("seq").between(F.col("first"), F.col("last")))
         rows = rows.groupBy("section_id", F.col("track_id").alias("activity_id"), F.col("first").alias("start_index"), F.col("last").alias("end_index"), "direction").agg(
             F.round(F.sum(F.when(F.col("seq") > F.col("first"), F.col("step")).otherwise(0.0)), 3).alias("distance_meters"), (F.max("t") - F.min("t")).alias("s")
         )
