@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import struct
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,46 +134,131 @@ def tile_plan(points: DataFrame, zooms: list[int], halo: bool = True, existing:
     return plan if existing is None else plan.join(existing.select("z", "x", "y"), ["z", "x", "y"], "left_anti")
 
 
+#: Columns of strokes that are worked on at once (their arrays fit into a core's cache), and sums that a task keeps before it gives them out.
+COLUMNS, KEPT = 1 << 12, 1 << 20
+
+
+def _added(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values by key."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(values), len(found)).astype(np.int64)
+
+
+def _lit(zoom: int, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels (gx times the map's side plus gy) of stretches of strokes at one zoom, all steep or none, and what these add to them.
+
+    A stretch is columns `from` to `to` along the stroke's longer side; across
+    it, pixels are looked at as far as `across` from the line. The arithmetic
+    is that of the query's SQL, step by step, in place.
+    """
+    radius, intensity, most = max(of_zoom(WIDTHS, zoom) / 2, 0.75), of_zoom(INTENSITIES, zoom), SIZE * 2**zoom
+    n = s["to"] - s["from"] + 1
+    at = np.repeat(np.arange(len(n)), n)
+    gu = s["from"][at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    pu, pv, du, dv, ll, across = (s[c][at] for c in ("pu", "pv", "du", "dv", "ll", "across"))
+    dot = ll <= 0.0001
+    u = gu + 0.5 - pu
+    mid = pv + dv * np.where(dot, 0.0, np.clip(u / np.where(du == 0, 1.0, du), 0.0, 1.0))
+    gv, wide = np.ceil(mid - across - 0.5).astype(np.int64), np.arange(int(2 * across.max()) + 2)
+    v = (gv + 0.5)[:, None] + wide
+    v -= pv[:, None]
+    share = v * dv[:, None]
+    share += (u * du)[:, None]
+    share /= np.where(dot, 1.0, ll)[:, None]
+    np.minimum(share, 1.0, out=share)
+    np.maximum(share, 0.0, out=share)
+    share[dot] = 0.0
+    away = share * du[:, None]
+    np.subtract(u[:, None], away, out=away)
+    away *= away
+    share *= dv[:, None]
+    v -= share
+    v *= v
+    away += v
+    edge = np.sqrt(away, out=away)
+    edge -= radius
+    np.minimum(edge, 1.0, out=edge)
+    np.maximum(edge, 0.0, out=edge)
+    np.multiply(edge, -2.0, out=v)
+    v += 3.0
+    edge *= edge
+    edge *= v
+    np.subtract(1.0, edge, out=edge)
+    edge *= intensity
+    edge += 0.5
+    value = np.floor(edge, out=edge).ravel()
+    u0, v0 = int(gu.min()), int(gv.min())
+    high = int(gv.max()) - v0 + len(wide)
+    grid = ((gu - u0) * high + (gv - v0))[:, None] + wide
+    size = (int(gu.max()) - u0 + 1) * high
+    if size <= 8 * len(value):
+        sums = np.bincount(grid.ravel(), value, size)
+        cells = np.flatnonzero(sums)
+        sums = sums[cells]
+    else:  # too far apart for a grid around them all
+        lit = np.flatnonzero(value)
+        cells, sums = _added([grid.ravel()[lit]], [value[lit]])
+    gu, gv = cells // high + u0, cells % high + v0
+    keep = (gu >= 0) & (gu < most) & (gv >= 0) & (gv < most)
+    gu, gv = gu[keep], gv[keep]
+    return (gv * most + gu if s["steep"][0] else gu * most + gv), sums[keep].astype(np.int64)
+
+
+def _drawn(batches):
+    """Arrow batches of stretches of strokes into sums by zoom and pixel, added up within the task as far as KEPT allows."""
+    kept = {}
+
+    def out(zoom):
+        keys, values = (np.concatenate(x) for x in zip(*kept.pop(zoom)))
+        most = SIZE * 2**zoom
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), zoom, np.int32)), pa.array(keys // most), pa.array(keys % most), pa.array(values)], names=["z", "gx", "gy", "value"])
+
+    for b in batches:
+        rows = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
+        for zoom, steep in itertools.product(np.unique(rows["z"]).tolist(), (False, True)):
+            some = (rows["z"] == zoom) & (rows["steep"] == steep)
+            s = {c: v[some] for c, v in rows.items()}
+            part = np.cumsum(s["to"] - s["from"] + 1) // COLUMNS
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)] if some.any() else []
+            for lo, hi in itertools.pairwise(cuts):
+                have = kept.setdefault(zoom, [])
+                have.append(_lit(zoom, {c: v[lo:hi] for c, v in s.items()}))
+                if sum(len(k) for k, _ in have) > KEPT:
+                    have[:] = [_added(*map(list, zip(*have)))]
+                    if len(have[0][0]) > KEPT // 2:
+                        yield out(zoom)
+    for zoom in list(kept):
+        kept[zoom] = [_added(*map(list, zip(*kept[zoom])))]
+        yield out(zoom)
+
+
+def strokes(points: DataFrame, zooms: list[int]) -> DataFrame:
+    """Every line between two points at each zoom, turned so that its longer side is u, in stretches of at most STRETCH columns."""
+    drawn = F.explode(F.array(*(F.struct(F.lit(z).alias("z"), F.lit(max(of_zoom(WIDTHS, z) / 2, 0.75) + 1.0).alias("outer"), F.lit(float(SIZE * 2**z)).alias("scale")) for z in dict.fromkeys(zooms))))
+    s = segments(points, 1.0).withColumn("_z", drawn).select("_z.z", "_z.outer", *((F.col(c) * F.col("_z.scale")).alias(c) for c in ("px", "py", "qx", "qy")))
+    steep = F.abs(F.col("qy") - F.col("py")) > F.abs(F.col("qx") - F.col("px"))
+    turned = lambda a, b, name: F.when(steep, F.col(a)).otherwise(F.col(b)).alias(name)
+    s = s.select("z", "outer", steep.alias("steep"), turned("py", "px", "pu"), turned("px", "py", "pv"), turned("qy", "qx", "qu"), turned("qx", "qy", "qv"))
+    du, dv = F.col("qu") - F.col("pu"), F.col("qv") - F.col("pv")
+    s = s.withColumns({"du": du, "dv": dv, "ll": du * du + dv * dv, "u0": F.floor(F.least("pu", "qu") - F.col("outer")), "u1": F.ceil(F.greatest("pu", "qu") + F.col("outer"))})
+    # A line of slope dv / du is this far away, along v, where it is `outer` away across; a bit more for rounding.
+    across = F.when(F.col("du") == 0, F.col("outer")).otherwise(F.col("outer") * F.sqrt(1 + F.col("dv") * F.col("dv") / (F.col("du") * F.col("du")))) + 0.001
+    s = s.withColumns({"across": across, "from": F.explode(F.expr(f"sequence(u0, u1, {STRETCH})"))})
+    return s.select("z", "steep", "pu", "pv", "du", "dv", "ll", "across", "from", F.least(F.col("from") + (STRETCH - 1), F.col("u1")).alias("to"))
+
+
 def pixel_intensity(points: DataFrame, zooms: list[int]) -> DataFrame:
     """Intensity of each pixel of each tile: every line between two points is a stroke with round, smoothed ends.
 
     A stroke adds the zoom's intensity, times a smooth step over the last
     pixel of its width, to each pixel; sums stop at SATURATION. Pixels are
     found along the stroke's longer side, and across it as far as it is wide.
-    Adding up is a partial aggregation, so a pixel that every track crosses is
-    one row a task; a tile has at most SIZE squared rows in the end.
+    All zooms come from one pass over the tracks. A task adds up its strokes
+    as arrays, so a pixel that every track crosses is one row a task; a tile
+    has at most SIZE squared rows in the end.
     """
-    out = None
-    for zoom in zooms:
-        radius, intensity = max(of_zoom(WIDTHS, zoom) / 2, 0.75), of_zoom(INTENSITIES, zoom)
-        outer = radius + 1.0
-        s = segments(points, float(SIZE * 2**zoom))
-        steep = F.abs(F.col("qy") - F.col("py")) > F.abs(F.col("qx") - F.col("px"))
-        turned = lambda a, b, name: F.when(steep, F.col(a)).otherwise(F.col(b)).alias(name)  # noqa: B023, E731
-        s = s.select(steep.alias("steep"), turned("py", "px", "pu"), turned("px", "py", "pv"), turned("qy", "qx", "qu"), turned("qx", "qy", "qv"))
-        s = s.withColumn("du", F.col("qu") - F.col("pu")).withColumn("dv", F.col("qv") - F.col("pv")).withColumn("ll", F.col("du") * F.col("du") + F.col("dv") * F.col("dv"))
-        s = s.withColumn("u0", F.floor(F.least("pu", "qu") - outer)).withColumn("u1", F.ceil(F.greatest("pu", "qu") + outer))
-        s = explode_range(s, "u0", "u1", "u")
-        share = lambda top: F.when(F.col("ll") <= 0.0001, 0.0).otherwise(F.greatest(F.least(top, F.lit(1.0)), F.lit(0.0)))
-        mid = F.col("pv") + F.col("dv") * share((F.col("u") + 0.5 - F.col("pu")) / F.when(F.col("du") == 0, 1.0).otherwise(F.col("du")))
-        # A line of slope dv / du is this far away, along v, where it is `outer` away across; a bit more for rounding.
-        across = F.when(F.col("du") == 0, outer).otherwise(outer * F.sqrt(1 + F.col("dv") * F.col("dv") / (F.col("du") * F.col("du")))) + 0.001
-        s = s.withColumn("mid", mid).withColumn("across", across)
-        s = s.withColumn("v", F.explode(F.sequence(F.ceil(F.col("mid") - F.col("across") - 0.5), F.floor(F.col("mid") + F.col("across") - 0.5))))
-        u, v = F.col("u") + 0.5 - F.col("pu"), F.col("v") + 0.5 - F.col("pv")
-        at = share((u * F.col("du") + v * F.col("dv")) / F.when(F.col("ll") == 0, 1.0).otherwise(F.col("ll")))
-        s = s.withColumns({"off_u": u - at * F.col("du"), "off_v": v - at * F.col("dv")})
-        away = F.sqrt(F.col("off_u") * F.col("off_u") + F.col("off_v") * F.col("off_v"))
-        edge = F.greatest(F.least(away - radius, F.lit(1.0)), F.lit(0.0))
-        s = s.withColumn("value", F.floor(intensity * (1 - edge * edge * (3 - 2 * edge)) + 0.5).cast("long")).filter("value > 0")
-        lit = s.select(F.when(F.col("steep"), F.col("v")).otherwise(F.col("u")).alias("gx"), F.when(F.col("steep"), F.col("u")).otherwise(F.col("v")).alias("gy"), "value")
-        most = SIZE * 2**zoom
-        added = lit.filter(F.col("gx").between(0, most - 1) & F.col("gy").between(0, most - 1)).groupBy("gx", "gy").agg(F.least(F.sum("value"), F.lit(SATURATION)).alias("intensity"))
-        one = added.select(
-            F.lit(zoom).alias("z"), F.floor(F.col("gx") / SIZE).alias("x"), F.floor(F.col("gy") / SIZE).alias("y"), F.pmod("gx", F.lit(SIZE)).cast("int").alias("col"), F.pmod("gy", F.lit(SIZE)).cast("int").alias("row"), "intensity"
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    added = strokes(points, zooms).mapInArrow(_drawn, "z int, gx long, gy long, value long").groupBy("z", "gx", "gy").agg(F.least(F.sum("value"), F.lit(SATURATION)).alias("intensity"))
+    return added.select("z", F.floor(F.col("gx") / SIZE).alias("x"), F.floor(F.col("gy") / SIZE).alias("y"), F.pmod("gx", F.lit(SIZE)).cast("int").alias("col"), F.pmod("gy", F.lit(SIZE)).cast("int").alias("row"), "intensity")
 
 
 def png(rgba: np.ndarray) -> bytes:
